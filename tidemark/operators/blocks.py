@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
@@ -40,8 +40,11 @@ def blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], lookback:
     df = df if indexed else index_rows(df, keys, order, period)
     first = F.greatest(F.floor((F.col("_idx") - lookahead) / block), F.lit(0)).cast("long")
     last = F.floor((F.col("_idx") + lookback) / block).cast("long")
-    return (df.withColumn("_blk", F.explode(F.sequence(first, last)))
-            .withColumn("_own", F.col("_blk") == F.floor(F.col("_idx") / block)))
+    out = (df.withColumn("_blk", F.explode(F.sequence(first, last)))
+           .withColumn("_own", F.col("_blk") == F.floor(F.col("_idx") / block)))
+    # Frame windows are CPU-bound: keep the configured parallelism where small bytes would be merged.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartition(n, *keys, "_blk")
 
 
 def block_window(keys: Sequence[str]):
@@ -68,7 +71,3 @@ def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], colu
     return (local.join(carried, [*keys, "_per"], "left")
             .withColumns({c: F.coalesce(F.col(c), F.col(f"_in_{c}")) for c in columns})
             .drop("_per", *[f"_in_{c}" for c in columns]))
-
-
-def lag_col(name: str | Column, n: int, w) -> Column:
-    return F.lag(name, n).over(w)

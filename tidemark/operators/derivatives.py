@@ -12,6 +12,7 @@ from tidemark.functions.maths import finite_or, is_bad
 from tidemark.functions.times import floor_to, micros
 from tidemark.operators.asof import join_asof
 from tidemark.operators.blocks import block_window, blocked, carry_forward, index_rows, owned
+from tidemark.session import stage
 from tidemark.schemas import DERIVATIVE_FEATURES, DERIVATIVE_VALUES
 
 DAY = "INTERVAL 1 DAY"
@@ -226,6 +227,6 @@ def derivative_features(deriv: DataFrame, rules=FEATURE_RULES) -> DataFrame:
 
 def attach_derivatives(snapshots: DataFrame, deriv: DataFrame, time: str = "snapshot_time") -> DataFrame:
     """As-of the derivative features of the last day not after each snapshot; 0 without history."""
-    feats = derivative_features(deriv).withColumnRenamed("snapshot_time", "_deriv_time")
+    feats = stage(derivative_features(stage(deriv))).withColumnRenamed("snapshot_time", "_deriv_time")
     out = join_asof(snapshots, feats, time, "_deriv_time", ["asset_id"], list(DERIVATIVE_FEATURES), "year")
     return out.withColumns({c: finite_or(F.col(c)) for c in DERIVATIVE_FEATURES})

@@ -12,8 +12,8 @@ from tidemark.functions import maths
 from tidemark.operators import crosssection as xs
 from tidemark.operators import technical as ta
 from tidemark.operators.asof import join_asof, peer_panel
-from tidemark.operators.blocks import owned
 from tidemark.operators.derivatives import attach_derivatives
+from tidemark.session import stage
 
 
 def one_hot_asset(df: DataFrame, symbols: Sequence[str], key: str = "asset_id") -> DataFrame:
@@ -35,10 +35,9 @@ def complete_samples(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def crypto_base(daily: DataFrame, trend_limit: float = 0.05, vol_limit: float = 0.65) -> DataFrame:
     """Own-series spot features plus the trailing 90 returns, with the global row position."""
-    df = ta.with_growth(ta.prepare(daily))
-    df = df.withColumns(ta.crypto_spot_columns(trend_limit, vol_limit))
-    df = df.withColumn("_tail", F.collect_list("_r").over(ta.frame(90)))
-    return owned(df).drop("_prev", "_r", "_d", "_pos", "_g12", "_g26")
+    tail = {"_tail": F.collect_list("_r").over(ta.frame(90))}
+    df = ta.compute(ta.prepare(daily), lambda s: ta.crypto_spot_columns(s, trend_limit, vol_limit), tail)
+    return ta.finish(df)
 
 
 def positional_benchmark(base: DataFrame, benchmark: str) -> DataFrame:
@@ -46,23 +45,23 @@ def positional_benchmark(base: DataFrame, benchmark: str) -> DataFrame:
     bench = base.where(F.col("asset_id") == benchmark).select(
         F.col("open_time").alias("_bt"), F.col("_tail").alias("_btail"), F.col("_idx").alias("_bidx"),
         F.col("return_30d").alias("_b30"))
-    df = join_asof(base, bench, "open_time", "_bt", [], ["_btail", "_bidx", "_b30"], "year")
+    # The match depends on the time alone: one as-of row per distinct time, then an equi-join.
+    times = join_asof(base.select("open_time").distinct(), bench, "open_time", "_bt", [], ["_btail", "_bidx", "_b30"], "year")
+    df = base.join(times, "open_time")
+    df = df.withColumns({f"_m{n}": ta.tail_moments(F.col("_tail"), F.col("_btail"), n) for n in (30, 90)})
 
-    def pair(n: int):
-        return ta.array_moments(F.slice("_tail", -n, n), F.slice("_btail", -n, n), n)
-
-    def guarded(value, n):
-        ready = (F.col("_bidx") >= 90) & (F.size("_tail") >= n) & (F.size("_btail") >= n)
-        return F.when(ready, value).otherwise(F.lit(0.0))
+    def guarded(value, den, n):
+        ready = (F.col("_bidx") >= 90) & (F.size("_tail") >= n) & (F.size("_btail") >= n) & (den != 0)
+        return F.when(ready, value / den).otherwise(F.lit(0.0))
 
     cols = {}
     for n in (30, 90):
-        cov, sx, sy = pair(n)
-        cols[f"btc_correlation_{n}d"] = guarded(F.when(sx * sy == 0, 0.0).otherwise(cov / (sx * sy)), n)
+        cov, sx, sy = (F.col(f"_m{n}.{c}") for c in ("cov", "sx", "sy"))
+        cols[f"btc_correlation_{n}d"] = guarded(cov, sx * sy, n)
         if n == 30:
-            cols["btc_beta_30d"] = guarded(F.when(sy == 0, 0.0).otherwise(cov / (sy * sy)), n)
+            cols["btc_beta_30d"] = guarded(cov, sy * sy, n)
     cols["relative_strength_30d"] = F.col("return_30d") - F.coalesce(F.col("_b30"), F.lit(0.0))
-    return df.withColumns(cols).drop("_btail", "_bidx", "_b30")
+    return df.withColumns(cols).drop("_tail", "_btail", "_bidx", "_b30", "_m30", "_m90")
 
 
 def peer_statistics(base: DataFrame) -> DataFrame:
@@ -83,13 +82,17 @@ def crypto_snapshots(daily: DataFrame, deriv: DataFrame | None, benchmark: str =
                      symbols: Sequence[str] = schemas.CRYPTO_SYMBOLS, min_rows: int = 365,
                      trend_limit: float = 0.05, vol_limit: float = 0.65) -> DataFrame:
     """Spot, derivative, cross-section and indicator features for every asset-day with enough history."""
-    base = crypto_base(daily, trend_limit, vol_limit)
-    feats = positional_benchmark(base, benchmark).join(peer_statistics(base), ["asset_id", "open_time"])
-    feats = feats.where(F.col("_idx") >= min_rows - 1).withColumnRenamed("open_time", "snapshot_time")
+    # Four branches read the own-series features, so they are written once.
+    base = stage(crypto_base(daily, trend_limit, vol_limit))
+    keys = ["asset_id", "open_time"]
+    feats = positional_benchmark(base, benchmark).join(peer_statistics(base), keys)
+    feats = feats.where(F.col("_idx") >= min_rows - 1)
     if deriv is None:
         feats = feats.withColumns({c: F.lit(0.0) for c in schemas.DERIVATIVE_FEATURES})
     else:
-        feats = attach_derivatives(feats, deriv)
+        # Only the keys travel through the as-of join.
+        feats = feats.join(attach_derivatives(base.select(*keys), deriv, "open_time"), keys)
+    feats = feats.withColumnRenamed("open_time", "snapshot_time")
     feats = one_hot_asset(feats, symbols)
     names = [*schemas.SPOT_FEATURES, *schemas.DERIVATIVE_FEATURES, *schemas.CROSS_SECTION_FEATURES,
              *[f"asset_{s.lower()}" for s in symbols]]
@@ -99,12 +102,11 @@ def crypto_snapshots(daily: DataFrame, deriv: DataFrame | None, benchmark: str =
 
 def benchmark_macro(daily: DataFrame, benchmark: str, trend_limit: float = 0.03, vol_limit: float = 0.35) -> DataFrame:
     """The benchmark's own return, volatility, trend strength and regime per session."""
-    cols = {
-        "benchmark_return_20s": ta.log_return(20), "benchmark_return_60s": ta.log_return(60),
-        "benchmark_volatility_20s": ta.volatility(20, 252), "benchmark_volatility_60s": ta.volatility(60, 252),
-        "benchmark_market_regime": maths.regime_code(ta.ma_ratio(60), ta.volatility(20, 252), trend_limit, vol_limit),
-    }
-    df = ta.add_features(daily.where(F.col("asset_id") == benchmark), cols)
+    df = ta.add_features(daily.where(F.col("asset_id") == benchmark), lambda s: {
+        "benchmark_return_20s": s.log_return(20), "benchmark_return_60s": s.log_return(60),
+        "benchmark_volatility_20s": s.volatility(20, 252), "benchmark_volatility_60s": s.volatility(60, 252),
+        "benchmark_market_regime": maths.regime_code(s.ma_ratio(60), s.volatility(20, 252), trend_limit, vol_limit),
+    })
     strength = trend_strength(F.col("benchmark_return_60s"), F.col("benchmark_volatility_60s"), 60 / 252)
     return df.withColumn("benchmark_trend_strength_60s", strength).select(
         F.col("open_time").alias("snapshot_time"), *schemas.EQUITY_MACRO_FEATURES)
@@ -118,7 +120,7 @@ def equity_features(daily: DataFrame, benchmark: str = schemas.EQUITY_BENCHMARK,
                     trend_limit: float = 0.03, vol_limit: float = 0.35) -> DataFrame:
     """All session features before the completeness filter."""
     bars = daily.withColumn("_dollar", F.col("volume") * F.col("close"))
-    own = ta.add_features(bars, ta.equity_columns(mode, trend_limit, vol_limit), ema=True)
+    own = ta.add_features(bars, lambda s: ta.equity_columns(s, mode, trend_limit, vol_limit))
     zero = None if mode == "batch" else 0.0
     pairs = {"benchmark_correlation_20s": ("corr", 20), "benchmark_correlation_60s": ("corr", 60),
              "benchmark_beta_20s": ("beta", 20)}

@@ -8,7 +8,7 @@ the trailing-120 EMA and, to below double rounding, the full-history EMA.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,160 +42,175 @@ def full(expr: Column, n: int) -> Column:
     return F.when(F.col("_idx") >= n - 1, expr)
 
 
-def log_return(n: int, keys: Sequence[str] = (KEY,)) -> Column:
-    return F.ln(F.col("close") / F.lag("close", n).over(block_window(keys)))
+class Frames:
+    """Feature expressions over shared frame statistics.
 
-
-def rolling_std(col: str, n: int, keys: Sequence[str] = (KEY,)) -> Column:
-    return F.stddev_samp(col).over(frame(n, keys=keys))
-
-
-def volatility(n: int, ppy: int) -> Column:
-    return full(rolling_std("_r", n), n + 1) * math.sqrt(ppy)
-
-
-def downside_volatility(n: int, ppy: int) -> Column:
-    neg = F.when(F.col("_r") < 0, F.col("_r"))
-    return F.coalesce(F.stddev_samp(neg).over(frame(n)), F.lit(0.0)) * math.sqrt(ppy)
-
-
-def rsi(n: int = 14, on: str = "_d") -> Column:
-    """Simple-mean RSI in [0, 1]; no losses gives 1."""
-    w = frame(n)
-    gain = F.sum(F.when(F.col(on) > 0, F.col(on)).otherwise(0.0)).over(w) / n
-    loss = -F.sum(F.when(F.col(on) < 0, F.col(on)).otherwise(0.0)).over(w) / n
-    value = F.when(loss == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + gain / loss))
-    return full(value, n + 1) / 100
-
-
-def ema_trailing(period: int, seed: int = 120, col: str = "close") -> Column:
-    """EMA started from the first of the trailing ``seed`` rows, as one weighted frame sum.
-
-    x_t-k has weight a(1-a)^k; the seed row keeps (1-a)^(seed-1).  Weights are anchored at the block
-    start, all terms are positive, and the exponent stays below the block length plus the halo.
+    Every (function, column, frame) is registered once under a name and evaluated once per row; the
+    features refer to the names, so a mean used by three features costs one frame.
     """
-    a, keep = 2.0 / (period + 1), 1 - 2.0 / (period + 1)
-    w = block_window((KEY,))
-    scaled = F.sum(F.col(col) * F.col(f"_g{period}")).over(w.rowsBetween(2 - seed, 0))
-    seeded = a * scaled / F.col(f"_g{period}") + keep ** (seed - 1) * F.lag(col, seed - 1).over(w)
-    return F.when(F.col("_idx") >= seed - 1, seeded).otherwise(ema_full(period, col))
 
+    def __init__(self) -> None:
+        self.stats: dict[str, Column] = {}
 
-def ema_full(period: int, col: str = "close") -> Column:
-    """EMA over the whole history (first value is the seed), exact to double rounding.
+    def stat(self, kind: str, col: str, n: int, end: int = 0) -> Column:
+        name = f"_s_{kind}_{col}_{n}_{-end}"
+        if name not in self.stats:
+            fn = {"avg": F.avg, "std": F.stddev_samp, "sum": F.sum}[kind]
+            self.stats[name] = fn(col).over(frame(n, end))
+        return F.col(name)
 
-    Only the halo of the block is summed: a value 640 rows back has weight below 1e-17.
-    """
-    a = 2.0 / (period + 1)
-    run = block_window((KEY,)).rowsBetween(Window.unboundedPreceding, 0)
-    seed_weight = F.when(F.col("_pos") == 0, F.lit(1 / a)).otherwise(1.0)
-    return a * F.sum(F.col(col) * F.col(f"_g{period}") * seed_weight).over(run) / F.col(f"_g{period}")
+    def old(self, col: str, n: int) -> Column:
+        name = f"_l_{col}_{n}"
+        if name not in self.stats:
+            self.stats[name] = F.lag(col, n).over(block_window((KEY,)))
+        return F.col(name)
 
+    def log_return(self, n: int) -> Column:
+        return F.ln(F.col("close") / self.old("close", n))
 
-def with_growth(df: DataFrame, periods: Sequence[int] = (12, 26)) -> DataFrame:
-    """Per-row weights used by the EMA expressions."""
-    df = df.withColumn("_pos", F.row_number().over(block_window((KEY,))) - 1)
-    return df.withColumns({f"_g{p}": F.pow(F.lit((p + 1) / (p - 1)), F.col("_pos")) for p in periods})
+    def volatility(self, n: int, ppy: int) -> Column:
+        return full(self.stat("std", "_r", n), n + 1) * math.sqrt(ppy)
 
+    def downside_volatility(self, n: int, ppy: int) -> Column:
+        return F.coalesce(self.stat("std", "_neg", n), F.lit(0.0)) * math.sqrt(ppy)
 
-def macd(mode: str = "trailing", fast: int = 12, slow: int = 26, seed: int = 120) -> Column:
-    if mode == "trailing":
-        return (ema_trailing(fast, seed) - ema_trailing(slow, seed)) / F.col("close")
-    return (ema_full(fast) - ema_full(slow)) / F.col("close")
+    def rsi(self, n: int = 14, on: str = "_d") -> Column:
+        """Simple-mean RSI in [0, 1]; no losses gives 1."""
+        gain, loss = self.stat("sum", f"_up{on}", n) / n, self.stat("sum", f"_dn{on}", n) / n
+        value = F.when(loss == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + gain / loss))
+        return full(value, n + 1) / 100
 
+    def ema_full(self, period: int) -> Column:
+        """EMA over the whole history (first value is the seed), exact to double rounding.
 
-def true_range() -> Column:
-    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_prev")),
-                      F.abs(F.col("low") - F.col("_prev")))
+        The running sum starts at the block's halo: a value 640 rows back has weight below 1e-17.
+        """
+        a = 2.0 / (period + 1)
+        name = f"_run_{period}"
+        if name not in self.stats:
+            run = block_window((KEY,)).rowsBetween(Window.unboundedPreceding, 0)
+            self.stats[name] = F.sum(F.col(f"_xg{period}") * F.when(F.col("_pos") == 0, F.lit(1 / a)).otherwise(1.0)).over(run)
+        return a * F.col(name) / F.col(f"_g{period}")
 
+    def ema_trailing(self, period: int, seed: int = 120) -> Column:
+        """EMA started from the first of the trailing ``seed`` rows, as one weighted frame sum.
 
-def atr(n: int = 14, skip_first: bool = True) -> Column:
-    value = F.avg(true_range()).over(frame(n)) / F.col("close")
-    return full(value, n + 1 if skip_first else n)
+        x_t-k has weight a(1-a)^k; the seed row keeps (1-a)^(seed-1).  Weights are anchored at the block
+        start and all terms are positive.
+        """
+        a, keep = 2.0 / (period + 1), 1 - 2.0 / (period + 1)
+        scaled = self.stat("sum", f"_xg{period}", seed - 1)
+        seeded = a * scaled / F.col(f"_g{period}") + keep ** (seed - 1) * self.old("close", seed - 1)
+        return F.when(F.col("_idx") >= seed - 1, seeded).otherwise(self.ema_full(period))
 
+    def macd(self, mode: str = "trailing", fast: int = 12, slow: int = 26, seed: int = 120) -> Column:
+        ema = (lambda p: self.ema_trailing(p, seed)) if mode == "trailing" else self.ema_full
+        return (ema(fast) - ema(slow)) / F.col("close")
 
-def bollinger(n: int = 20) -> Column:
-    return full(4 * rolling_std("close", n) / F.avg("close").over(frame(n)), n)
+    def atr(self, n: int = 14) -> Column:
+        return full(self.stat("avg", "_tr", n) / F.col("close"), n + 1)
 
+    def bollinger(self, n: int = 20) -> Column:
+        return full(4 * self.stat("std", "close", n) / self.stat("avg", "close", n), n)
 
-def ma_ratio(n: int) -> Column:
-    return full(F.col("close") / F.avg("close").over(frame(n)) - 1, n)
+    def ma_ratio(self, n: int) -> Column:
+        return full(F.col("close") / self.stat("avg", "close", n) - 1, n)
 
+    def ma_slope(self, short: int, long: int) -> Column:
+        return full(self.stat("avg", "close", short) / self.stat("avg", "close", long, -short) - 1, short + long)
 
-def ma_slope(short: int, long: int) -> Column:
-    return full(F.avg("close").over(frame(short)) / F.avg("close").over(frame(long, -short)) - 1, short + long)
+    def zscore(self, col: str, n: int, zero_std: float | None = 0.0) -> Column:
+        """Rolling z of the newest value; a flat window gives ``zero_std`` (or NULL)."""
+        std = self.stat("std", col, n)
+        z = (F.col(col) - self.stat("avg", col, n)) / std
+        return full(F.when(std == 0, F.lit(zero_std)).otherwise(z), n)
 
+    def taker_ratio(self, n: int = 7) -> Column:
+        vol = self.stat("sum", "volume", n)
+        share = self.stat("sum", "taker_buy_base_volume", n) / vol
+        return full(F.when(vol == 0, F.lit(0.5)).otherwise(share), n)
 
-def zscore(col: str, n: int, zero_std: float | None = 0.0) -> Column:
-    """Rolling z of the newest value; a flat window gives ``zero_std`` (or NULL)."""
-    w = frame(n)
-    std = F.stddev_samp(col).over(w)
-    z = (F.col(col) - F.avg(col).over(w)) / std
-    return full(F.when(std == 0, F.lit(zero_std)).otherwise(z), n)
+    def overnight_gap(self) -> Column:
+        return F.when(F.col("_prev") == 0, F.lit(0.0)).otherwise(F.ln(F.col("open") / F.col("_prev")))
 
+    def intraday_return(self) -> Column:
+        return F.when(F.col("open") == 0, F.lit(0.0)).otherwise(F.ln(F.col("close") / F.col("open")))
 
-def taker_ratio(n: int = 7) -> Column:
-    w = frame(n)
-    vol = F.sum("volume").over(w)
-    return full(F.when(vol == 0, F.lit(0.5)).otherwise(F.sum("taker_buy_base_volume").over(w) / vol), n)
+
+# --- whole-frame operators -----------------------------------------------------------------------
 
 
-def overnight_gap() -> Column:
-    return F.when(F.col("_prev") == 0, F.lit(0.0)).otherwise(F.ln(F.col("open") / F.col("_prev")))
+def with_growth(df: DataFrame, periods: Sequence[int] = (12, 26)) -> DataFrame:
+    """Per-row weights of the EMA sums and the weighted closes."""
+    df = df.withColumn("_pos", F.row_number().over(block_window((KEY,))) - 1)
+    df = df.withColumns({f"_g{p}": F.pow(F.lit((p + 1) / (p - 1)), F.col("_pos")) for p in periods})
+    return df.withColumns({f"_xg{p}": F.col("close") * F.col(f"_g{p}") for p in periods})
 
 
-def intraday_return() -> Column:
-    return F.when(F.col("open") == 0, F.lit(0.0)).otherwise(F.ln(F.col("close") / F.col("open")))
+# Per-row inputs some statistics need; only those that are used get computed.
+ROW_INPUTS = {
+    "_neg": lambda: F.when(F.col("_r") < 0, F.col("_r")),
+    "_up_d": lambda: F.greatest(F.col("_d"), F.lit(0.0)), "_dn_d": lambda: F.greatest(-F.col("_d"), F.lit(0.0)),
+    "_up_r": lambda: F.greatest(F.col("_r"), F.lit(0.0)), "_dn_r": lambda: F.greatest(-F.col("_r"), F.lit(0.0)),
+    "_tr": lambda: F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_prev")),
+                              F.abs(F.col("low") - F.col("_prev"))),
+}
 
 
-# --- whole-frame operators -----------------------------------------------------------------------
+def compute(df: DataFrame, build: Callable[[Frames], dict[str, Column]], extra: dict[str, Column] | None = None) -> DataFrame:
+    """Add the built features to prepared (blocked) bars; helper columns are dropped."""
+    frames = Frames()
+    columns = build(frames)
+    names = " ".join(frames.stats)
+    inputs = {c: f() for c, f in ROW_INPUTS.items() if f"_{c}_" in names}
+    if "_xg" in names or "_run_" in names:
+        df = with_growth(df)
+    out = df.withColumns(inputs).withColumns(frames.stats | (extra or {})).withColumns(columns)
+    return out.drop(*inputs, *frames.stats, "_pos", "_g12", "_g26", "_xg12", "_xg26")
 
 
-def add_features(bars: DataFrame, columns: dict[str, Column], ema: bool = False, **extra: Column) -> DataFrame:
-    """Attach any of the expressions above to bars; halo rows are removed afterwards."""
-    df = prepare(bars).withColumns(extra) if extra else prepare(bars)
-    df = with_growth(df) if ema else df
-    df = df.withColumns(columns)
-    return finish(df, ["_pos", "_g12", "_g26"] + list(extra))
+def add_features(bars: DataFrame, build: Callable[[Frames], dict[str, Column]]) -> DataFrame:
+    """Bars with the built features; halo rows are removed afterwards."""
+    return finish(compute(prepare(bars), build))
 
 
 CRYPTO_RETURNS = (1, 3, 7, 14, 30, 60, 90)
 EQUITY_RETURNS = (1, 3, 5, 10, 20, 60, 120)
 
 
-def crypto_spot_columns(trend_limit: float = 0.05, vol_limit: float = 0.65) -> dict[str, Column]:
+def crypto_spot_columns(s: Frames, trend_limit: float = 0.05, vol_limit: float = 0.65) -> dict[str, Column]:
     """Spot features that need no other asset."""
     ppy = 365
-    cols = {f"return_{n}d": log_return(n) for n in CRYPTO_RETURNS}
-    cols |= {f"volatility_{n}d": volatility(n, ppy) for n in (7, 30, 90)}
+    cols = {f"return_{n}d": s.log_return(n) for n in CRYPTO_RETURNS}
+    cols |= {f"volatility_{n}d": s.volatility(n, ppy) for n in (7, 30, 90)}
     cols |= {
-        "rsi_14": rsi(14), "macd_normalized": macd("trailing"), "atr_14_normalized": atr(14),
-        "bollinger_width_20": bollinger(20), "ma_slope_30d": ma_slope(7, 30),
-        "volume_zscore_30d": zscore("volume", 30), "trade_count_zscore_30d": zscore("trade_count", 30),
-        "taker_buy_ratio_7d": taker_ratio(7),
-        "market_regime": maths.regime_code(ma_ratio(90), volatility(30, ppy), trend_limit, vol_limit),
+        "rsi_14": s.rsi(14), "macd_normalized": s.macd("trailing"), "atr_14_normalized": s.atr(14),
+        "bollinger_width_20": s.bollinger(20), "ma_slope_30d": s.ma_slope(7, 30),
+        "volume_zscore_30d": s.zscore("volume", 30), "trade_count_zscore_30d": s.zscore("trade_count", 30),
+        "taker_buy_ratio_7d": s.taker_ratio(7),
+        "market_regime": maths.regime_code(s.ma_ratio(90), s.volatility(30, ppy), trend_limit, vol_limit),
     }
-    return cols | {f"ma_ratio_{n}d": ma_ratio(n) for n in (7, 30, 90, 200)}
+    return cols | {f"ma_ratio_{n}d": s.ma_ratio(n) for n in (7, 30, 90, 200)}
 
 
-def equity_columns(mode: str = "batch", trend_limit: float = 0.03, vol_limit: float = 0.35) -> dict[str, Column]:
+def equity_columns(s: Frames, mode: str = "batch", trend_limit: float = 0.03, vol_limit: float = 0.35) -> dict[str, Column]:
     """Session features.  ``batch`` follows research (log-return RSI, full-history EMA, flat windows
     undefined), ``row`` follows serving (price-difference RSI, trailing-120 EMA, flat windows 0)."""
     ppy, batch = 252, mode == "batch"
     zero = None if batch else 0.0
-    cols = {f"return_{n}s": log_return(n) for n in EQUITY_RETURNS}
-    cols |= {f"volatility_{n}s": volatility(n, ppy) for n in (5, 20, 60)}
+    cols = {f"return_{n}s": s.log_return(n) for n in EQUITY_RETURNS}
+    cols |= {f"volatility_{n}s": s.volatility(n, ppy) for n in (5, 20, 60)}
     cols |= {
-        "downside_volatility_20s": downside_volatility(20, ppy),
-        "rsi_14": rsi(14, "_r" if batch else "_d"),
-        "macd_normalized": macd("full" if batch else "trailing"),
-        "atr_14_normalized": atr(14), "bollinger_width_20": bollinger(20), "ma_slope_20s": ma_slope(5, 20),
-        "volume_zscore_20s": zscore("volume", 20, zero),
-        "dollar_volume_zscore_20s": zscore("_dollar", 20, zero),
-        "overnight_gap_1s": overnight_gap(), "intraday_return_1s": intraday_return(),
-        "market_regime": maths.regime_code(ma_ratio(60), volatility(20, ppy), trend_limit, vol_limit),
+        "downside_volatility_20s": s.downside_volatility(20, ppy),
+        "rsi_14": s.rsi(14, "_r" if batch else "_d"),
+        "macd_normalized": s.macd("full" if batch else "trailing"),
+        "atr_14_normalized": s.atr(14), "bollinger_width_20": s.bollinger(20), "ma_slope_20s": s.ma_slope(5, 20),
+        "volume_zscore_20s": s.zscore("volume", 20, zero),
+        "dollar_volume_zscore_20s": s.zscore("_dollar", 20, zero),
+        "overnight_gap_1s": s.overnight_gap(), "intraday_return_1s": s.intraday_return(),
+        "market_regime": maths.regime_code(s.ma_ratio(60), s.volatility(20, ppy), trend_limit, vol_limit),
     }
-    return cols | {f"ma_ratio_{n}s": ma_ratio(n) for n in (5, 20, 60, 200)}
+    return cols | {f"ma_ratio_{n}s": s.ma_ratio(n) for n in (5, 20, 60, 200)}
 
 
 # --- against a benchmark -------------------------------------------------------------------------
@@ -205,38 +220,35 @@ def bench_by_date(bars: DataFrame, benchmark: str, pairs: dict[str, tuple[str, i
                   strength: tuple[str, int] | None = None) -> DataFrame:
     """Correlation / beta of log returns with the benchmark's returns on the same timestamps.
 
-    ``pairs`` maps an output name to ("corr" | "beta", n).  The benchmark series is one row per time;
-    its join is left to the optimizer, which broadcasts it when its measured size allows.
+    ``pairs`` maps an output name to ("corr" | "beta", n); ``strength`` adds own minus benchmark n-step
+    return.  The benchmark series is one row per time; its join is left to the optimizer, which
+    broadcasts it when its measured size allows.
     """
-    own = finish_returns(bars)
-    bench = (own.where(F.col(KEY) == benchmark)
-             .select(TIME, F.col("_ret").alias("_b"), F.col("close").alias("_bc"),
-                     F.col("_idx").alias("_bi")))
-    if strength:
-        bench = bench_strength(bars, benchmark, strength[1], bench)
+    ahead = strength[1] if strength else 1
+    own = owned(prepare(bars, halo=ahead).withColumns({"_ret": F.col("_r"), "_nret": F.ln(
+        F.col("close") / F.lag("close", ahead).over(block_window((KEY,))))})).drop("_prev", "_r", "_d")
+    bench = own.where(F.col(KEY) == benchmark).select(TIME, F.col("_ret").alias("_b"), F.col("_nret").alias("_bn"))
     joined = own.join(bench, TIME, "left")
-    n_max = max(n for _, n in pairs.values())
-    df = blocked(joined, [KEY], [TIME], lookback=max(n_max, strength[1] if strength else 0), indexed=True)
+    # Pairwise-complete values, so that one frame serves both sides.
+    paired = F.col("_ret").isNotNull() & F.col("_b").isNotNull()
+    joined = joined.withColumns({"_px": F.when(paired, F.col("_ret")), "_py": F.when(paired, F.col("_b"))})
+    df = blocked(joined, [KEY], [TIME], lookback=max(n for _, n in pairs.values()), indexed=True)
+    sizes = sorted({n for _, n in pairs.values()})
+    stats = {}
+    for n in sizes:
+        w = frame(n)
+        stats |= {f"_k{n}": F.count("_px").over(w), f"_sx{n}": F.stddev_samp("_px").over(w),
+                  f"_sy{n}": F.stddev_samp("_py").over(w), f"_cv{n}": F.covar_samp("_px", "_py").over(w)}
+    df = df.withColumns(stats)
     cols = {}
     for name, (kind, n) in pairs.items():
-        w = frame(n)
-        both = F.count(F.when(F.col("_b").isNotNull() & F.col("_ret").isNotNull(), 1)).over(w)
-        sx, sy = F.stddev_samp("_ret").over(w), F.stddev_samp("_b").over(w)
-        # covar_samp keeps the pairwise-complete rows; callers see NULL when one is missing.
-        cov = F.covar_samp("_ret", "_b").over(w)
-        raw = cov / (sx * sy) if kind == "corr" else cov / (sy * sy)
-        flat = (sx * sy == 0) if kind == "corr" else (sy == 0)
-        cols[name] = F.when(both == n, F.when(flat, F.lit(zero)).otherwise(raw)).otherwise(F.lit(zero))
-    df = df.withColumns(cols)
+        sx, sy, cov = F.col(f"_sx{n}"), F.col(f"_sy{n}"), F.col(f"_cv{n}")
+        den = sx * sy if kind == "corr" else sy * sy
+        value = F.when(den == 0, F.lit(zero)).otherwise(cov / den)
+        cols[name] = F.when(F.col(f"_k{n}") == n, value).otherwise(F.lit(zero))
     if strength:
-        name, n = strength
-        df = df.withColumn(name, F.ln(F.col("close") / F.lag("close", n).over(block_window((KEY,)))) - F.col("_bn"))
-    return owned(df).drop("_ret", "_b", "_bc", "_bi", "_bn", "_idx")
-
-
-def bench_strength(bars: DataFrame, benchmark: str, n: int, bench: DataFrame) -> DataFrame:
-    own = finish(prepare(bars.where(F.col(KEY) == benchmark), halo=n).withColumn("_bn", log_return(n)))
-    return bench.join(own.select(TIME, "_bn"), TIME, "left")
+        cols[strength[0]] = F.col("_nret") - F.col("_bn")
+    return owned(df.withColumns(cols)).drop("_ret", "_nret", "_b", "_bn", "_px", "_py", "_idx", *stats)
 
 
 def finish_returns(bars: DataFrame) -> DataFrame:
@@ -244,16 +256,27 @@ def finish_returns(bars: DataFrame) -> DataFrame:
     return owned(prepare(bars, halo=1).withColumn("_ret", F.col("_r"))).drop("_prev", "_r", "_d")
 
 
-def tail_arrays(bars: DataFrame, n: int) -> DataFrame:
-    """Each row with its last ``n`` one-step returns, newest last (arrays never exceed n)."""
-    df = prepare(bars, halo=n + 1)
-    df = df.withColumn("_tail", F.collect_list("_r").over(frame(n)))
-    return owned(df).drop("_prev", "_r", "_d")
-
+def tail_moments(x: Column, y: Column, n: int) -> Column:
+    """struct(cov, sx, sy) of the last n entries of two arrays, in one pass.
 
-def array_moments(x: Column, y: Column, n: int) -> tuple[Column, Column, Column]:
-    """Sample covariance and both sample standard deviations of two equally long arrays."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    mx, my = total(x) / n, total(y) / n
-    dot = lambda a, ma, b, mb: total(F.zip_with(a, b, lambda u, v: (u - ma) * (v - mb))) / (n - 1)
-    return dot(x, mx, y, my), F.sqrt(dot(x, mx, x, mx)), F.sqrt(dot(y, my, y, my))
+    Values are shifted by the first entry, so a constant series has exactly zero variance.  The shift
+    rides in the state: an expression inside the lambda would be evaluated for every element.
+    """
+    x, y = F.slice(x, -n, n), F.slice(y, -n, n)
+    zero = F.lit(0.0)
+    pairs = F.arrays_zip(x.alias("x"), y.alias("y"))
+    first = [F.coalesce(F.get(a, F.lit(0)), zero).alias(c) for a, c in ((x, "x0"), (y, "y0"))]
+    start = F.struct(*[zero.alias(c) for c in ("a", "b", "aa", "bb", "ab")], *first)
+
+    def step(s, v):
+        u, w = v["x"] - s["x0"], v["y"] - s["y0"]
+        return F.struct((s["a"] + u).alias("a"), (s["b"] + w).alias("b"), (s["aa"] + u * u).alias("aa"),
+                        (s["bb"] + w * w).alias("bb"), (s["ab"] + u * w).alias("ab"), s["x0"].alias("x0"), s["y0"].alias("y0"))
+
+    def end(s):
+        def moment(uv, u, v):
+            return (s[uv] - s[u] * s[v] / n) / (n - 1)
+        return F.struct(moment("ab", "a", "b").alias("cov"), F.sqrt(F.greatest(moment("aa", "a", "a"), zero)).alias("sx"),
+                        F.sqrt(F.greatest(moment("bb", "b", "b"), zero)).alias("sy"))
+
+    return F.aggregate(pairs, start, step, end)

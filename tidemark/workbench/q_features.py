@@ -15,22 +15,21 @@ from tidemark.operators import macro as M
 from tidemark.operators import relations as R
 from tidemark.operators import technical as ta
 from tidemark.operators.asof import join_asof, peer_panel
+from tidemark.session import stage
 from tidemark.workbench import tables as t
 from tidemark.workbench.registry import big, query, r, rexp, select_round
 
 K = ["asset_id", "open_time"]
 
 
-def feature(name, columns, sql, ema=False, prep=None):
+def feature(name, build, sql):
     """Register features over the daily bars; ``sql`` maps each output to an expression over view s."""
     body = ", ".join(rexp(e, n) for n, e in sql.items())
     text = f"WITH {t.SQL_SERIES} SELECT asset_id, open_time, {body} FROM s"
 
     @query(name, text)
     def run(spark, d):
-        bars = t.daily_bars(spark, d)
-        bars = prep(bars) if prep else bars
-        return ta.add_features(bars, columns(), ema=ema).select(*K, *sql)
+        return ta.add_features(t.daily_bars(spark, d), build).select(*K, *sql)
 
 
 def over(n, end=0, order="PARTITION BY asset_id ORDER BY open_time"):
@@ -87,30 +86,30 @@ Q_DOWN = f"coalesce(stddev_samp(CASE WHEN r < 0 THEN r END) {over(20)}, 0) * sqr
 Q_TAKER = when("i >= 6", f"CASE WHEN sum(volume) {over(7)} = 0 THEN 0.5 ELSE sum(taker_buy_base_volume) {over(7)} / sum(volume) {over(7)} END")
 ALL_RETURNS = sorted(set(ta.CRYPTO_RETURNS + ta.EQUITY_RETURNS))
 
-feature("feat_log_return", lambda: {f"return_{n}": ta.log_return(n) for n in ALL_RETURNS},
+feature("feat_log_return", lambda s: {f"return_{n}": s.log_return(n) for n in ALL_RETURNS},
         {f"return_{n}": f"ln(close / {lag('close', n)})" for n in ALL_RETURNS})
-feature("feat_volatility", lambda: {f"volatility_{n}": ta.volatility(n, 365) for n in (7, 30, 90)},
+feature("feat_volatility", lambda s: {f"volatility_{n}": s.volatility(n, 365) for n in (7, 30, 90)},
         {f"volatility_{n}": q_vol(n, 365) for n in (7, 30, 90)})
-feature("feat_downside_vol", lambda: {"downside_volatility_20s": ta.downside_volatility(20, 252)}, {"downside_volatility_20s": Q_DOWN})
-feature("feat_rsi", lambda: {"rsi_diff": ta.rsi(14, "_d"), "rsi_log": ta.rsi(14, "_r")},
+feature("feat_downside_vol", lambda s: {"downside_volatility_20s": s.downside_volatility(20, 252)}, {"downside_volatility_20s": Q_DOWN})
+feature("feat_rsi", lambda s: {"rsi_diff": s.rsi(14, "_d"), "rsi_log": s.rsi(14, "_r")},
         {"rsi_diff": q_rsi(14, "d"), "rsi_log": q_rsi(14, "r")})
-feature("feat_macd", lambda: {"macd_trailing": ta.macd("trailing"), "macd_full": ta.macd("full")},
-        {"macd_trailing": f"({q_ema(12, 120)} - {q_ema(26, 120)}) / close", "macd_full": f"({q_ema(12, 0)} - {q_ema(26, 0)}) / close"}, ema=True)
-feature("feat_atr", lambda: {"atr_14_normalized": ta.atr(14)}, {"atr_14_normalized": Q_ATR})
-feature("feat_bollinger", lambda: {"bollinger_width_20": ta.bollinger(20)}, {"bollinger_width_20": Q_BOLL})
-feature("feat_ma_ratio", lambda: {f"ma_ratio_{n}": ta.ma_ratio(n) for n in (5, 7, 20, 30, 60, 90, 200)},
+feature("feat_macd", lambda s: {"macd_trailing": s.macd("trailing"), "macd_full": s.macd("full")},
+        {"macd_trailing": f"({q_ema(12, 120)} - {q_ema(26, 120)}) / close", "macd_full": f"({q_ema(12, 0)} - {q_ema(26, 0)}) / close"})
+feature("feat_atr", lambda s: {"atr_14_normalized": s.atr(14)}, {"atr_14_normalized": Q_ATR})
+feature("feat_bollinger", lambda s: {"bollinger_width_20": s.bollinger(20)}, {"bollinger_width_20": Q_BOLL})
+feature("feat_ma_ratio", lambda s: {f"ma_ratio_{n}": s.ma_ratio(n) for n in (5, 7, 20, 30, 60, 90, 200)},
         {f"ma_ratio_{n}": q_ma(n) for n in (5, 7, 20, 30, 60, 90, 200)})
-feature("feat_ma_slope", lambda: {"ma_slope_30d": ta.ma_slope(7, 30), "ma_slope_20s": ta.ma_slope(5, 20)},
+feature("feat_ma_slope", lambda s: {"ma_slope_30d": s.ma_slope(7, 30), "ma_slope_20s": s.ma_slope(5, 20)},
         {"ma_slope_30d": q_slope(7, 30), "ma_slope_20s": q_slope(5, 20)})
-feature("feat_zscore", lambda: {"volume_z30": ta.zscore("volume", 30), "trades_z30": ta.zscore("trade_count", 30), "volume_z20": ta.zscore("volume", 20)},
+feature("feat_zscore", lambda s: {"volume_z30": s.zscore("volume", 30), "trades_z30": s.zscore("trade_count", 30), "volume_z20": s.zscore("volume", 20)},
         {"volume_z30": q_z("volume", 30, "0.0"), "trades_z30": q_z("trade_count", 30, "0.0"), "volume_z20": q_z("volume", 20, "0.0")})
-feature("feat_taker_ratio", lambda: {"taker_buy_ratio_7d": ta.taker_ratio(7)}, {"taker_buy_ratio_7d": Q_TAKER})
-feature("feat_gap_intraday", lambda: {"overnight_gap_1s": ta.overnight_gap(), "intraday_return_1s": ta.intraday_return()},
+feature("feat_taker_ratio", lambda s: {"taker_buy_ratio_7d": s.taker_ratio(7)}, {"taker_buy_ratio_7d": Q_TAKER})
+feature("feat_gap_intraday", lambda s: {"overnight_gap_1s": s.overnight_gap(), "intraday_return_1s": s.intraday_return()},
         {"overnight_gap_1s": "CASE WHEN pc = 0 THEN 0.0 ELSE ln(open / pc) END", "intraday_return_1s": "CASE WHEN open = 0 THEN 0.0 ELSE ln(close / open) END"})
 # Prices of the provided table are noise, so the limits are scaled for every branch to occur.
-feature("feat_regime", lambda: {
-    "crypto_regime": maths.regime_code(ta.ma_ratio(90), ta.volatility(30, 365), 0.3, 20.0),
-    "equity_regime": maths.regime_code(ta.ma_ratio(60), ta.volatility(20, 252), 0.2, 15.0)},
+feature("feat_regime", lambda s: {
+    "crypto_regime": maths.regime_code(s.ma_ratio(90), s.volatility(30, 365), 0.3, 20.0),
+    "equity_regime": maths.regime_code(s.ma_ratio(60), s.volatility(20, 252), 0.2, 15.0)},
     {"crypto_regime": q_regime(q_ma(90), q_vol(30, 365), 0.3, 20.0), "equity_regime": q_regime(q_ma(60), q_vol(20, 252), 0.2, 15.0)})
 
 # --- benchmark -----------------------------------------------------------------------------------
@@ -163,7 +162,7 @@ SELECT v.asset_id, v.open_time, {rexp('v.r20', 'return_20s')}, {rexp('b.r20', 'b
 FROM v LEFT JOIN (SELECT * FROM v WHERE asset_id = '{t.BENCH}') b USING (open_time)""")
 def join_left_benchmark(spark, d):
     bars = t.daily_bars(spark, d)
-    own = ta.add_features(bars, {"return_20s": ta.log_return(20)}).select(*K, "return_20s")
+    own = ta.add_features(bars, lambda s: {"return_20s": s.log_return(20)}).select(*K, "return_20s")
     bench = FE.benchmark_macro(bars, t.BENCH).select(F.col("snapshot_time").alias("open_time"), "benchmark_return_20s", "benchmark_volatility_20s")
     return own.join(bench, "open_time", "left")
 
@@ -182,7 +181,7 @@ SQL_XS = t.SQL_SERIES + f", x AS (SELECT asset_id, open_time, i, {q_vol(20, 252)
 
 
 def _xs(spark, d):
-    return ta.add_features(t.daily_bars(spark, d), {"r20": ta.log_return(20), "v20": ta.volatility(20, 252)}).withColumn("c20", F.round("r20", 1))
+    return ta.add_features(t.daily_bars(spark, d), lambda s: {"r20": s.log_return(20), "v20": s.volatility(20, 252)}).withColumn("c20", F.round("r20", 1))
 
 
 @query("xs_breadth", f"WITH {SQL_XS} SELECT asset_id, open_time, {rexp('coalesce(avg(CASE WHEN r20 IS NULL THEN NULL WHEN r20 > 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY open_time), 0.5)', 'breadth')}, {rexp('avg(CASE WHEN r20 > 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY open_time)', 'breadth_all')} FROM x")
@@ -228,7 +227,7 @@ g AS (SELECT tm.open_time, pa.asset_id AS peer FROM tm CROSS JOIN pa)"""
 @query("join_asof_peer", f"""WITH {SQL_PEER} SELECT g.open_time, g.peer, p.open_time AS peer_time, {rexp('p.return_30d', 'return_30d')}
 FROM g ASOF JOIN p ON g.peer = p.asset_id AND g.open_time >= p.open_time""")
 def join_asof_peer(spark, d):
-    rows = ta.add_features(t.daily_bars(spark, d), {"return_30d": ta.log_return(30)})
+    rows = ta.add_features(t.daily_bars(spark, d), lambda s: {"return_30d": s.log_return(30)})
     return peer_panel(rows, ["return_30d"]).select("open_time", "peer", "peer_time", "return_30d")
 
 
@@ -377,7 +376,7 @@ FROM al JOIN br ON br.open_time = al.open_time JOIN k30 ON k30.open_time = al.op
  JOIN k90 ON k90.open_time = al.open_time AND k90.asset_id = al.asset_id JOIN kv ON kv.open_time = al.open_time AND kv.asset_id = al.asset_id
  ASOF LEFT JOIN dfeat f ON al.asset_id = f.asset_id AND al.open_time >= f.snapshot_time WHERE al.i >= 364""")
 def feat_snapshot_crypto(spark, d):
-    return FE.crypto_snapshots(t.daily_bars(spark, d), asset_derivatives(spark, d), t.BENCH, _hot, trend_limit=TREND, vol_limit=VOL)
+    return FE.crypto_snapshots(stage(t.daily_bars(spark, d)), asset_derivatives(spark, d), t.BENCH, _hot, trend_limit=TREND, vol_limit=VOL)
 
 
 Q_EQ = {f"return_{n}s": f"ln(close / {lag('close', n)})" for n in ta.EQUITY_RETURNS}
@@ -408,7 +407,7 @@ eq AS (SELECT asset_id, open_time AS snapshot_time, {', '.join(schemas.EQUITY_FE
 
 @query("feat_snapshot_equity", f"WITH {SQL_EQUITY} SELECT asset_id, snapshot_time, 'us-equity-daily-v1' AS feature_set_version, {r(*schemas.EQUITY_FEATURES)} FROM eq")
 def feat_snapshot_equity(spark, d):
-    return FE.equity_snapshots(t.daily_bars(spark, d), t.BENCH, None, 0.2, 15.0)
+    return FE.equity_snapshots(stage(t.daily_bars(spark, d)), t.BENCH, None, 0.2, 15.0)
 
 
 @query("one_hot_asset", f"WITH {t.SQL_BARS} SELECT asset_id, open_time, {', '.join(f'''(asset_id = '{s}')::INT::DOUBLE AS asset_{s.lower()}''' for s in _hot)} FROM bars")
@@ -469,7 +468,7 @@ def target_risk(spark, d):
 
 def _labelled(spark, d, h=30):
     bars = t.daily_bars(spark, d)
-    f = ta.add_features(bars, {"volatility_30d": ta.volatility(30, 365), "volatility_90d": ta.volatility(90, 365), "atr": ta.atr(14)})
+    f = ta.add_features(bars, lambda s: {"volatility_30d": s.volatility(30, 365), "volatility_90d": s.volatility(90, 365), "atr": s.atr(14)})
     feats = f.where(F.col("_idx") >= 90).select("asset_id", F.col("open_time").alias("snapshot_time"), "volatility_30d", "volatility_90d", "atr")
     return L.attach_targets(feats, bars, h, 365, band=WIDE)
 
