@@ -124,6 +124,29 @@ def normal_cdf(z: Column) -> Column:
     return F.pandas_udf(_phi, T.DoubleType())(z)
 
 
+def argmax(probs: Probs) -> Column:
+    """Lowest class wins ties."""
+    p0, p1, p2 = probs
+    return F.when((p0 >= p1) & (p0 >= p2), F.lit(0)).when(p1 >= p2, F.lit(1)).otherwise(F.lit(2))
+
+
+def prob_of(label: Column, probs: Probs) -> Column:
+    return F.when(label == 0, probs[0]).when(label == 1, probs[1]).otherwise(probs[2])
+
+
+def hit(label: Column, k: int) -> Column:
+    return F.when(label == k, F.lit(1.0)).otherwise(F.lit(0.0))
+
+
+def row_brier(label: Column, probs: Probs) -> Column:
+    parts = [(p - hit(label, k)) * (p - hit(label, k)) for k, p in enumerate(probs)]
+    return parts[0] + parts[1] + parts[2]
+
+
+def row_nll(label: Column, probs: Probs) -> Column:
+    return -clip_log(prob_of(label, probs))
+
+
 # --- intervals -----------------------------------------------------------------------------------
 
 
