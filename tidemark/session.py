@@ -45,6 +45,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidemark-{kind}/{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a frame that several branches of a plan reuse and read it back.
 
@@ -52,6 +57,6 @@ def stage(df: DataFrame) -> DataFrame:
     recomputing the lineage, and every consumer gets column pruning and file statistics.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidemark-stage/{uuid.uuid4().hex}"
+    path = scratch(spark, "stage")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)

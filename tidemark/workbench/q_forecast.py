@@ -319,16 +319,16 @@ def agg_class_prior(spark, d):
 
 
 AGE = "epoch_us(max(snapshot_time) OVER (PARTITION BY fold) - snapshot_time) / 86400e6"
-SQL_W = f"{P}, ag AS (SELECT *, {AGE} AS age FROM pred WHERE event_id % 2 = 0), wt AS (SELECT *, exp(-ln(2) * age / 10) AS w FROM ag)"
+SQL_W = f"{P}, ag AS (SELECT *, {AGE} AS age FROM pred WHERE snapshot_time < TIMESTAMP '2024-01-16'), wt AS (SELECT *, exp(-ln(2) * age / 10) AS w FROM ag)"
 WS = ", ".join(f"sum(CASE WHEN y = {k} THEN w ELSE 0 END) AS w{k}" for k in range(3))
 
 
 def _fit(spark, d):
-    return t.predictions(spark, d).where(F.col("event_id") % 2 == 0)
+    return t.predictions(spark, d).where(F.col("snapshot_time") < t.ts("2024-01-16"))
 
 
 def _rest(spark, d):
-    return t.predictions(spark, d).where(F.col("event_id") % 2 == 1)
+    return t.predictions(spark, d).where(F.col("snapshot_time") >= t.ts("2024-01-16"))
 
 
 @query("agg_weighted_prior", f"WITH {SQL_W}, o AS (SELECT fold, market_regime, {WS} FROM wt GROUP BY 1, 2) SELECT fold, market_regime, {r('w0', 'w1', 'w2')} FROM o")
@@ -352,18 +352,18 @@ def agg_shrunk_prior(spark, d):
 
 
 @query("prior_conditional", f"""WITH {SQL_SHRINK} SELECT event_id, fold, {', '.join(rexp(f'coalesce(sh.q{k}, gl.g{k})', f'q{k}') for k in range(3))}
-FROM (SELECT * FROM pred WHERE event_id % 2 = 1) p LEFT JOIN sh USING (fold, market_regime, asset_id) LEFT JOIN gl USING (fold)""")
+FROM (SELECT * FROM pred WHERE snapshot_time >= TIMESTAMP '2024-01-16') p LEFT JOIN sh USING (fold, market_regime, asset_id) LEFT JOIN gl USING (fold)""")
 def prior_conditional(spark, d):
     out = PR.conditional_prior(_fit(spark, d), _rest(spark, d), ["market_regime", "asset_id"], 100.0, 10, ["fold"])
     return out.select("event_id", "fold", "q0", "q1", "q2")
 
 
-@query("join_prior_lookup", f"""WITH {P}, pr AS (SELECT asset_id, spy_regime, {', '.join(f'avg((y = {k})::INT) AS g{k}' for k in range(3))} FROM pred WHERE event_id % 2 = 0 AND user_id % 5 <> 0 GROUP BY 1, 2 HAVING count(*) > 10)
+@query("join_prior_lookup", f"""WITH {P}, pr AS (SELECT asset_id, spy_regime, {', '.join(f'avg((y = {k})::INT) AS g{k}' for k in range(3))} FROM pred WHERE snapshot_time < TIMESTAMP '2024-01-16' GROUP BY 1, 2 HAVING avg((y = 0)::INT) > avg((y = 2)::INT))
 SELECT event_id, {', '.join(rexp(f'coalesce(g{k}, {1 / 3!r})', f'q{k}') for k in range(3))} FROM pred LEFT JOIN pr USING (asset_id, spy_regime)""")
 def join_prior_lookup(spark, d):
     p = t.predictions(spark, d)
-    table = p.where((F.col("event_id") % 2 == 0) & (F.col("user_id") % 5 != 0)).groupBy("asset_id", "spy_regime").agg(
-        *[F.avg(maths.hit(F.col("y"), k)).alias(f"q{k}") for k in range(3)], F.count(F.lit(1)).alias("n")).where("n > 10").drop("n")
+    table = p.where(F.col("snapshot_time") < t.ts("2024-01-16")).groupBy("asset_id", "spy_regime").agg(
+        *[F.avg(maths.hit(F.col("y"), k)).alias(f"q{k}") for k in range(3)]).where("q0 > q2")
     return R.lookup_or_default(p, table, ["asset_id", "spy_regime"], {f"q{k}": F.lit(1 / 3) for k in range(3)}).select("event_id", "q0", "q1", "q2")
 
 
@@ -387,7 +387,7 @@ def sql_candidates():
     return " UNION ALL ".join(parts)
 
 
-SQL_CAND = f"""{P}, ag AS (SELECT *, {AGE} AS age FROM pred WHERE event_id % 2 = 0), va AS (SELECT * FROM pred WHERE event_id % 2 = 1), ca AS ({sql_candidates()})"""
+SQL_CAND = f"""{P}, ag AS (SELECT *, {AGE} AS age FROM pred WHERE snapshot_time < TIMESTAMP '2024-01-16'), va AS (SELECT * FROM pred WHERE snapshot_time >= TIMESTAMP '2024-01-16'), ca AS ({sql_candidates()})"""
 
 
 @query("prior_select", f"""WITH {SQL_CAND}, be AS (SELECT fold, min(row(b, idx)) AS anyb, min(row(b, idx)) FILTER (WHERE g = 0) AS gbest FROM ca GROUP BY 1)

@@ -14,6 +14,7 @@ from tidemark.operators import quality as Q
 from tidemark.operators import relations as R
 from tidemark.operators.scoring import top_factors as top_factors_of
 from tidemark.plans import reports as RP
+from tidemark.session import stage
 from tidemark.workbench import tables as t
 from tidemark.workbench.q_forecast import SQL_FM, fold_metrics
 from tidemark.workbench.registry import big, query, r, rexp
@@ -47,7 +48,7 @@ fb AS (SELECT 'P' || (l_partkey % 40) AS asset_id, l_shipdate AS open_time, CASE
   l_extendedprice * CASE WHEN l_orderkey % 13 = 0 THEN 0.9::DOUBLE ELSE 1.1::DOUBLE END AS high, l_extendedprice * CASE WHEN l_orderkey % 17 = 0 THEN 1.05::DOUBLE ELSE 0.8::DOUBLE END AS low,
   l_extendedprice * 1.02::DOUBLE AS close, CASE WHEN l_orderkey % 19 = 0 THEN -l_quantity ELSE l_quantity END AS volume, l_extendedprice * l_quantity AS quote_volume,
   l_linenumber AS trade_count, CASE WHEN l_orderkey % 23 = 0 THEN l_shipdate ELSE l_shipdate + INTERVAL 1 DAY END AS close_time, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)"""
-SQL_RULES = [("unknown_symbol", "asset_id NOT IN (SELECT 'P' || s_suppkey FROM supplier WHERE s_suppkey < 30)"),
+SQL_RULES = [("unknown_symbol", "asset_id NOT IN (SELECT 'P' || n_nationkey FROM nation)"),
              ("non_positive_price", "open <= 0 OR high <= 0 OR low <= 0 OR close <= 0"),
              ("invalid_ohlc", "high < greatest(open, close) OR low > least(open, close) OR high < low"),
              ("negative_activity", "volume < 0 OR quote_volume < 0 OR trade_count < 0"), ("invalid_time_range", "close_time <= open_time")]
@@ -56,7 +57,7 @@ SQL_RULES = [("unknown_symbol", "asset_id NOT IN (SELECT 'P' || s_suppkey FROM s
 @query("quality_bar", f"""WITH {SQL_FAULTY}, v AS (SELECT asset_id, open_time, array_to_string(list_filter([{', '.join(f"CASE WHEN {c} THEN '{n}' END" for n, c in SQL_RULES)}], lambda x: x IS NOT NULL), ',') AS violations FROM fb)
 SELECT asset_id, violations, {big('count(*)', 'n')} FROM v GROUP BY 1, 2""")
 def quality_bar(spark, d):
-    dim = t.load(spark, d, "supplier").where("s_suppkey < 30").select(F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("asset_id"))
+    dim = t.load(spark, d, "nation").select(F.concat(F.lit("P"), F.col("n_nationkey").cast("string")).alias("asset_id"))
     out = Q.quality_bar(faulty_bars(spark, d), dim)
     return out.groupBy("asset_id", F.array_join("violations", ",").alias("violations")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -139,23 +140,23 @@ def deriv_kline_daily(spark, d):
     return D.kline_daily(t.hourly_bars(spark, d), "futures")
 
 
-@query("deriv_funding_daily", f"SELECT event_type AS asset_id, date_trunc('day', ts) + INTERVAL 1 DAY AS snapshot_time, {rexp('avg(value / 1000)', 'funding_rate')} FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2")
+@query("deriv_funding_daily", f"SELECT event_type AS asset_id, date_trunc('day', ts) + INTERVAL 1 DAY AS snapshot_time, {rexp('avg(value / 1000)', 'funding_rate')} FROM events GROUP BY 1, 2")
 def deriv_funding_daily(spark, d):
     return D.funding_daily(_funding(spark, d))
 
 
 def _funding(spark, d):
-    e = t.events(spark, d).where(F.col("event_id") % 3 == 0)
+    e = t.events(spark, d)
     return e.select(F.col("event_type").alias("asset_id"), F.col("ts").alias("calc_time"), (F.col("value") / 1000).alias("last_funding_rate"))
 
 
 def _metrics(spark, d):
     e = t.events(spark, d)
-    return e.select(F.col("event_type").alias("asset_id"), F.col("ts").alias("create_time"), (F.col("value") * 10).alias("sum_open_interest_value"),
+    return e.select(F.col("event_type").alias("asset_id"), (F.col("ts") + F.expr("INTERVAL 12 HOUR")).alias("create_time"), (F.col("value") * 10).alias("sum_open_interest_value"),
                     (1 + F.col("user_id") % 3 / 10).alias("count_long_short_ratio"), (1 - F.col("user_id") % 4 / 10).alias("sum_taker_long_short_vol_ratio"))
 
 
-SQL_MET = f"""md AS (SELECT event_type AS asset_id, date_trunc('day', ts) + INTERVAL 1 DAY AS snapshot_time, arg_max(value * 10, ts) AS open_interest_value, avg(1 + (user_id % 3)::DOUBLE / 10) AS long_short_ratio,
+SQL_MET = f"""md AS (SELECT event_type AS asset_id, date_trunc('day', ts + INTERVAL 12 HOUR) + INTERVAL 1 DAY AS snapshot_time, arg_max(value * 10, ts) AS open_interest_value, avg(1 + (user_id % 3)::DOUBLE / 10) AS long_short_ratio,
  avg(1 - (user_id % 4)::DOUBLE / 10) AS taker_long_short_ratio FROM events GROUP BY 1, 2)"""
 
 
@@ -171,16 +172,15 @@ def deriv_taker_ratio(spark, d):
 
 SQL_CONS = f"""{t.SQL_HOURLY}, fk AS (SELECT asset_id, date_trunc('day', open_time) + INTERVAL 1 DAY AS snapshot_time, sum(quote_volume) AS futures_quote_volume,
  CASE WHEN sum(volume) > 0 THEN sum(taker_buy_base_volume) / sum(volume) ELSE 0.5 END AS futures_taker_buy_ratio FROM hours GROUP BY 1, 2),
-fu AS (SELECT event_type AS asset_id, date_trunc('day', ts) + INTERVAL 1 DAY AS snapshot_time, avg(value / 1000) AS funding_rate FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2), {SQL_MET},
-mm AS (SELECT * FROM md WHERE day(snapshot_time) % 4 <> 0),
+fu AS (SELECT event_type AS asset_id, date_trunc('day', ts) + INTERVAL 1 DAY AS snapshot_time, avg(value / 1000) AS funding_rate FROM events GROUP BY 1, 2), {SQL_MET},
 co AS (SELECT asset_id, snapshot_time, funding_rate, NULL::DOUBLE AS premium, futures_quote_volume, futures_taker_buy_ratio, open_interest_value, long_short_ratio, taker_long_short_ratio
- FROM fk FULL JOIN fu USING (asset_id, snapshot_time) FULL JOIN mm USING (asset_id, snapshot_time))"""
+ FROM fk FULL JOIN fu USING (asset_id, snapshot_time) FULL JOIN md USING (asset_id, snapshot_time))"""
 
 
 def _parts(spark, d):
     k = D.kline_daily(t.hourly_bars(spark, d), "futures")
     k = k.select("asset_id", "snapshot_time", "futures_quote_volume", D.taker_ratio(F.col("futures_taker_buy_volume"), F.col("futures_volume")).alias("futures_taker_buy_ratio"))
-    return D.funding_daily(_funding(spark, d)), k, D.metrics_daily(_metrics(spark, d)).where(F.dayofmonth("snapshot_time") % 4 != 0)
+    return D.funding_daily(_funding(spark, d)), k, D.metrics_daily(_metrics(spark, d))
 
 
 @query("deriv_consolidate", f"WITH {SQL_CONS} SELECT asset_id, snapshot_time, {r(*D.DERIVATIVE_VALUES)} FROM co")
@@ -213,7 +213,8 @@ def grid_series(spark, d):
 
     Days whose trade count is a multiple of 5 lose one 5-minute bucket and must be rejected.
     """
-    base = t.daily_bars(spark, d).select("asset_id", F.col("open_time").alias("day"), "close", "volume", "trade_count")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = stage(t.daily_bars(spark, d).select("asset_id", F.col("open_time").alias("day"), "close", "volume", "trade_count").repartition(n))
     hour = base.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(23))))
     at = F.col("day") + F.make_dt_interval(F.lit(0), F.col("h"))
     end = at + F.expr("INTERVAL '0 00:59:59.999' DAY TO SECOND")
@@ -353,13 +354,13 @@ def join_macro_benchmark(spark, d):
 def analysis_inputs(spark, d):
     pred = t.model_predictions(spark, d).withColumn("asset_id", F.col("symbol")).withColumn("snapshot_time", F.col("analysis_time"))
     m = G.champion_shadow(t.models(spark, d))
-    feats = t.load(spark, d, "orders").select(F.concat(F.lit("NATION_"), (F.col("o_custkey") % 25).cast("string")).alias("asset_id"), F.col("o_orderdate").alias("snapshot_time")).where(F.dayofmonth("snapshot_time") % 3 != 0).distinct()
+    feats = t.load(spark, d, "orders").select(F.concat(F.lit("NATION_"), (F.col("o_custkey") % 25).cast("string")).alias("asset_id"), F.col("o_orderdate").alias("snapshot_time")).distinct()
     return pred, t.assets(spark, d).withColumn("asset_id", F.col("symbol")).drop("symbol"), m, feats
 
 
 SQL_JP = f"""{t.SQL_ASSETS}, {t.SQL_MODELS}, {t.SQL_MPRED}, sc AS (SELECT *, NOT is_production AND row_number() OVER (PARTITION BY asset_class, horizon_days, is_production ORDER BY trained_at DESC, version DESC) = 1 AS is_shadow_candidate FROM models),
 jp AS (SELECT p.*, sc.version, sc.horizon_days, sc.is_production, sc.is_shadow_candidate FROM mpred p JOIN assets a ON a.symbol = p.symbol JOIN sc ON sc.model_id = p.model_id
- WHERE ((sc.is_production AND NOT p.is_shadow) OR (sc.is_shadow_candidate AND p.is_shadow)) AND day(p.analysis_time) % 3 <> 0)"""
+ WHERE ((sc.is_production AND NOT p.is_shadow) OR (sc.is_shadow_candidate AND p.is_shadow)))"""
 
 
 @query("join_inner_prediction", f"WITH {SQL_JP} SELECT prediction_id, symbol, version, {big('horizon_days')}, is_production FROM jp")
@@ -383,10 +384,10 @@ def latest_analysis(spark, d):
     return R.latest_analysis(_latest(spark, d), ("symbol", "horizon_days")).select("symbol", "horizon_days", "prediction_id", "is_production", "analysis_time")
 
 
-@query("join_semi_exists", "SELECT o_orderkey FROM orders WHERE (o_custkey, o_orderdate) NOT IN (SELECT (o_custkey, o_orderdate) FROM orders WHERE o_orderkey % 3 = 0)")
+@query("join_semi_exists", "SELECT o_orderkey FROM orders WHERE (o_custkey, o_orderdate) NOT IN (SELECT (o_custkey, o_orderdate) FROM orders WHERE o_orderstatus = 'F')")
 def join_semi_exists(spark, d):
     o = t.load(spark, d, "orders")
-    return R.not_yet(o, o.where("o_orderkey % 3 = 0"), ["o_custkey", "o_orderdate"]).select("o_orderkey")
+    return R.not_yet(o, o.where("o_orderstatus = 'F'"), ["o_custkey", "o_orderdate"]).select("o_orderkey")
 
 
 SQL_SESSION = """rc AS (SELECT 'NATION_' || (o_custkey % 40) AS symbol, o_orderdate AS open_time FROM orders), se AS (SELECT coalesce(max(open_time) FILTER (WHERE symbol = 'NATION_3'), max(open_time)) AS session FROM rc),
@@ -586,12 +587,12 @@ def freshness_state(spark, d):
 def order_bars(spark, d):
     """Orders as final and open bars of the nation assets."""
     k = F.col("o_orderkey")
-    return t.load(spark, d, "orders").where(k % 25 != 7).select(
-        F.concat(F.lit("NATION_"), (k % 25).cast("string")).alias("symbol"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (k % 24).cast("int"))).alias("close_time"),
+    return t.load(spark, d, "orders").select(
+        F.concat(F.lit("NATION_"), (k % 24).cast("string")).alias("symbol"), (F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (k % 24).cast("int"))).alias("close_time"),
         F.col("o_totalprice").alias("close"), (k % 6 != 0).alias("is_final"), (F.col("o_orderdate") + F.expr("INTERVAL 25 HOUR")).alias("ingested_at"), k.alias("k"))
 
 
-SQL_OB = """ob AS (SELECT 'NATION_' || (o_orderkey % 25) AS symbol, o_orderdate + to_hours((o_orderkey % 24)::INT) AS close_time, o_totalprice AS close, o_orderkey % 6 <> 0 AS is_final, o_orderdate + INTERVAL 25 HOUR AS ingested_at, o_orderkey AS k FROM orders WHERE o_orderkey % 25 <> 7),
+SQL_OB = """ob AS (SELECT 'NATION_' || (o_orderkey % 24) AS symbol, o_orderdate + to_hours((o_orderkey % 24)::INT) AS close_time, o_totalprice AS close, o_orderkey % 6 <> 0 AS is_final, o_orderdate + INTERVAL 25 HOUR AS ingested_at, o_orderkey AS k FROM orders),
 lt AS (SELECT symbol, max(close_time) FILTER (WHERE is_final) AS latest_close, max(ingested_at) AS last_ingested FROM ob GROUP BY 1)"""
 SQL_LN = "ln AS (SELECT symbol, max(published_at) AS latest_published, max(retrieved_at) AS last_retrieved FROM news GROUP BY 1)"
 
@@ -632,12 +633,12 @@ def issues(spark, d):
                                              F.when(k % 2 == 0, "DERIVATIVE_CUTOFF_INCOMPLETE").otherwise("US_EQUITY_SESSION_INCOMPLETE").alias("code"), F.col("o_orderdate").alias("data_time"), (k % 400 > 1).alias("is_resolved"))
 
 
-@query("issue_log", f"""WITH {SQL_ISSUES}, old AS (SELECT * FROM iss WHERE issue_id % 3 <> 0), new AS (SELECT * FROM iss WHERE issue_id % 3 = 0),
+@query("issue_log", f"""WITH {SQL_ISSUES}, old AS (SELECT * FROM iss WHERE data_time < TIMESTAMP '2000-01-01'), new AS (SELECT * FROM iss WHERE data_time >= TIMESTAMP '1999-06-01'),
 fr AS (SELECT DISTINCT asset_id, code, data_time FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE NOT old.is_resolved AND old.asset_id = new.asset_id AND old.code = new.code AND old.data_time = new.data_time))
 SELECT asset_id, code, data_time FROM old UNION ALL SELECT * FROM fr""")
 def issue_log(spark, d):
     i = issues(spark, d)
-    return G.issue_log(i.where("issue_id % 3 <> 0"), i.where("issue_id % 3 = 0")).select("asset_id", "code", "data_time")
+    return G.issue_log(i.where(F.col("data_time") < t.ts("2000-01-01")), i.where(F.col("data_time") >= t.ts("1999-06-01"))).select("asset_id", "code", "data_time")
 
 
 SQL_DC = f"""{t.SQL_SNAPS}, dn AS (SELECT * FROM snaps WHERE is_complete AND snapshot_time >= TIMESTAMP '{CUT}' - INTERVAL 97 DAY), la AS (SELECT asset_id, max(snapshot_time) AS latest_snapshot, arg_max(available_at, snapshot_time) AS available_at FROM dn GROUP BY 1),
@@ -686,10 +687,10 @@ def dash_equity(spark, d):
     return _equity(spark, d).select("asset_id", "bar_count", "first_bar", "latest_bar", "state", "readiness")
 
 
-@query("dash_equity_overall", f"""WITH {SQL_DE}, {SQL_ISSUES}, a AS (SELECT count(*) AS assets, count(*) FILTER (WHERE state = 'ready') AS ready, sum(bar_count) AS bars, min(first_bar) AS first_bar, max(latest_session) AS latest_session, (SELECT count(*) FROM iss WHERE code = 'US_EQUITY_SESSION_INCOMPLETE' AND NOT is_resolved AND issue_id < 0) AS open_issues FROM dx)
+@query("dash_equity_overall", f"""WITH {SQL_DE}, {SQL_ISSUES}, a AS (SELECT count(*) AS assets, count(*) FILTER (WHERE state = 'ready') AS ready, sum(bar_count) AS bars, min(first_bar) AS first_bar, max(latest_session) AS latest_session, (SELECT count(*) FROM iss WHERE code = 'NONE' AND NOT is_resolved) AS open_issues FROM dx)
 SELECT {big('assets')}, {big('ready')}, {big('bars')}, first_bar, latest_session, {big('open_issues')}, CASE WHEN assets = 0 THEN 'no_data' WHEN open_issues > 0 THEN 'degraded' WHEN assets = ready THEN 'healthy' WHEN ready = 0 THEN 'no_data' ELSE 'warming' END AS overall_state FROM a""")
 def dash_equity_overall(spark, d):
-    return RP.equity_overall(_equity(spark, d), issues(spark, d).where("issue_id < 0"))
+    return RP.equity_overall(_equity(spark, d), issues(spark, d), "NONE")
 
 
 SQL_SHADOW = f"""{t.SQL_ASSETS}, {t.SQL_MODELS}, {t.SQL_MPRED}, sc AS (SELECT * FROM (SELECT *, NOT is_production AND row_number() OVER (PARTITION BY asset_class, horizon_days, is_production ORDER BY trained_at DESC, version DESC) = 1 AS cand FROM models) WHERE cand OR (model_id % 3 = 1 AND NOT is_production)),
