@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.blocks import carry_forward, index_rows
+from tidemark.operators.blocks import block_window, blocked, carry_forward, index_rows, owned
 
 
 def join_asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: Sequence[str] = (),
@@ -48,11 +48,11 @@ def peer_panel(df: DataFrame, values: Sequence[str], key: str = "asset_id", time
     A row stays valid until the peer's next row, so it is expanded over exactly the time positions it
     covers.  Nothing is paired asset by asset: each time holds one row per peer.
     """
+    df = df.drop("_idx")
     times = index_rows(df.select(F.col(time).alias("_time")).distinct(), [], ["_time"], name="_ti")
     rows = df.join(times, df[time] == times["_time"]).drop("_time")
-    nxt = Window.partitionBy(key).orderBy("_ti")
-    # One row per (asset, time), at most one per calendar step: the window follows the calendar length.
-    rows = rows.withColumn("_next", F.lead("_ti").over(nxt))
+    rows = blocked(rows, [key], [time], lookback=0, lookahead=1)
+    rows = owned(rows.withColumn("_next", F.lead("_ti").over(block_window((key,)))))
     top = times.agg(F.max("_ti")).scalar()
     spans = rows.withColumn("_last", F.coalesce(F.col("_next") - 1, top))
     spans = spans.withColumn("_ti", F.explode(F.sequence("_ti", "_last")))

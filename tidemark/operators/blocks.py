@@ -43,8 +43,7 @@ def blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], lookback:
     out = (df.withColumn("_blk", F.explode(F.sequence(first, last)))
            .withColumn("_own", F.col("_blk") == F.floor(F.col("_idx") / block)))
     # Frame windows are CPU-bound: keep the configured parallelism where small bytes would be merged.
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(n, *keys, "_blk")
+    return out.repartition(parallelism(df), *keys, "_blk")
 
 
 def block_window(keys: Sequence[str]):
@@ -55,6 +54,13 @@ def owned(df: DataFrame) -> DataFrame:
     return df.where("_own").drop("_own", "_blk")
 
 
+def parallelism(df: DataFrame) -> int:
+    """Partitions for CPU-bound stages: the session's shuffle setting, or its larger AQE start value."""
+    conf = df.sparkSession.conf
+    start = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return max(int(conf.get("spark.sql.shuffle.partitions")), int(start or 0))
+
+
 def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
                   period: str = "month") -> DataFrame:
     """Replace every NULL in ``columns`` by the last earlier non-NULL value inside the key."""

@@ -13,6 +13,7 @@ from tidemark.operators import gates as G
 from tidemark.operators import quality as Q
 from tidemark.operators import relations as R
 from tidemark.operators.scoring import top_factors as top_factors_of
+from tidemark.operators.blocks import parallelism
 from tidemark.plans import reports as RP
 from tidemark.session import stage
 from tidemark.workbench import tables as t
@@ -213,8 +214,8 @@ def grid_series(spark, d):
 
     Days whose trade count is a multiple of 5 lose one 5-minute bucket and must be rejected.
     """
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = stage(t.daily_bars(spark, d).select("asset_id", F.col("open_time").alias("day"), "close", "volume", "trade_count").repartition(n))
+    bars = t.daily_bars(spark, d).select("asset_id", F.col("open_time").alias("day"), "close", "volume", "trade_count")
+    base = stage(bars.repartition(parallelism(bars)))
     hour = base.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(23))))
     at = F.col("day") + F.make_dt_interval(F.lit(0), F.col("h"))
     end = at + F.expr("INTERVAL '0 00:59:59.999' DAY TO SECOND")

@@ -215,17 +215,17 @@ def src_futures_kline(spark, d):
 
 
 def _zip_lines(key, pdf):
-    """One archive per (asset, day) with its lines in order."""
+    """One archive per (asset, page) with its lines in order."""
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("bars.csv", "\n".join(pdf.sort_values("event_id")["line"]) + "\n")
-    return pd.DataFrame({"path": [f"{key[0]}-1h-2024-01-{key[1]:02d}.zip"], "content": [buf.getvalue()]})
+    return pd.DataFrame({"path": [f"{key[0]}-1h-2024-01-{key[1]}.zip"], "content": [buf.getvalue()]})
 
 
 def archives(spark, d):
-    """Daily archives per asset, built in tasks from that day's lines."""
-    rows = t.events(spark, d).select(F.col("event_type").alias("asset"), F.dayofmonth("ts").alias("day"), "event_id", kline_lines(None).alias("line"))
-    return rows.groupBy("asset", "day").applyInPandas(_zip_lines, "path string, content binary")
+    """Archives of at most 500 lines per asset, built in tasks."""
+    rows = t.events(spark, d).select(F.col("event_type").alias("asset"), F.floor(F.col("event_id") / 500).alias("page"), "event_id", kline_lines(None).alias("line"))
+    return rows.groupBy("asset", "page").applyInPandas(_zip_lines, "path string, content binary")
 
 
 @query("src_kline_archive", SQL_KLINE)
