@@ -70,6 +70,10 @@ def main() -> None:
         start = time.time()
         try:
             df = fn(spark, sf)
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            pairs = [w for w in ("CartesianProduct", "BroadcastNestedLoopJoin") if w in plan]
+            if pairs:
+                print(f"PLAN {name} {pairs}", flush=True)
             if name in oracles:
                 note = compare(df, con, oracles[name])
                 kind = "ok  " if not note else "FAIL"

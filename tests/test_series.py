@@ -107,7 +107,10 @@ def test_asof_join_equals_merge_asof(spark):
     t0 = pd.Timestamp("2020-01-01")
     left = pd.DataFrame({"k": g.choice(["a", "b", "hot"], 400, p=[0.1, 0.1, 0.8]), "t": t0 + pd.to_timedelta(g.integers(0, 800, 400), "D"), "i": range(400)})
     right = pd.DataFrame({"k": g.choice(["a", "hot"], 60), "u": t0 + pd.to_timedelta(g.choice(800, 60, replace=False), "D"), "v": g.normal(size=60)})
-    got = asof.join_asof(spark.createDataFrame(left), spark.createDataFrame(right), "t", "u", ["k"], ["u", "v"]).toPandas().sort_values("i").reset_index(drop=True)
+    sides = spark.createDataFrame(left), spark.createDataFrame(right)
+    got = asof.join_asof(*sides, "t", "u", ["k"], ["u", "v"]).toPandas().sort_values("i").reset_index(drop=True)
+    split = asof.join_asof(*sides, "t", "u", ["k"], ["u", "v"], "year", rows_per_task=7).toPandas().sort_values("i").reset_index(drop=True)
+    assert got["v"].equals(split["v"])
     want = pd.merge_asof(left.sort_values("t"), right.sort_values("u"), left_on="t", right_on="u", by="k").sort_values("i").reset_index(drop=True)
     assert np.allclose(got["v"], want["v"], equal_nan=True)
     assert asof.future_rows(spark.createDataFrame(want[["t", "u"]].dropna()), "t", "u").count() == 0

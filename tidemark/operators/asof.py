@@ -1,39 +1,57 @@
-"""Backward as-of joins built on ``carry_forward``: one shuffle by (key, period), no pair explosion."""
+"""Backward as-of joins: one shuffle by (key, period), no pair explosion."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.blocks import block_window, blocked, carry_forward, index_rows, owned
+from tidemark.operators.blocks import block_window, blocked, index_rows, owned
+
+
+ROWS_PER_TASK = 500_000
 
 
 def join_asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, by: Sequence[str] = (),
-              values: Sequence[str] | None = None, period: str = "month", pick: str = "_match") -> DataFrame:
+              values: Sequence[str] | None = None, period: str = "month", pick: str = "_match",
+              rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Every left row with the newest right row whose time is not after it (equal times match).
 
-    Rows are tagged, unioned and the right payload is carried forward inside (by, period); earlier
-    periods arrive through their last row only, so one hot key still spreads over all its periods.
+    Both sides are merged inside (by, period) and the newest right payload is carried down the rows.
+    Earlier periods arrive through their last right row only.  A (by, period) with many left rows is
+    split by a row hash into as many parts as its count asks for, and only there the right rows are
+    repeated, so neither a hot key nor a missing key puts more than ``rows_per_task`` in one window.
     """
     by = list(by)
     values = list(values or [c for c in right.columns if c not in by])
     keys = by or ["_one"]
     if not by:
         left, right = left.withColumn("_one", F.lit(0)), right.withColumn("_one", F.lit(0))
-    r = right.select(*keys, F.col(right_time).cast("timestamp").alias("_t"), F.lit(0).alias("_side"),
-                     F.struct(*values).alias(pick))
-    payload = [c for c in left.columns if c not in keys]
-    l = left.select(*keys, F.col(left_time).cast("timestamp").alias("_t"), F.lit(1).alias("_side"),
-                    F.struct(*payload).alias("_row"))
-    both = l.unionByName(r, allowMissingColumns=True).where(F.col("_t").isNotNull())
-    out = carry_forward(both, keys, ["_t", "_side", pick], [pick], period).where("_side = 1")
+    keep = [c for c in left.columns if c not in keys]
+    t, per = F.col("_t"), F.date_trunc(period, F.col("_t")).alias("_per")
+    slot = [*keys, "_per"]
+    r = right.select(*keys, F.col(right_time).cast("timestamp").alias("_t"), F.struct(*values).alias(pick)).where(t.isNotNull())
+    r = r.groupBy(*keys, "_t").agg(F.max(pick).alias(pick)).withColumn("_per", per)
+    l = left.select(*keys, F.col(left_time).cast("timestamp").alias("_t"), F.struct(*keep).alias("_row")).where(t.isNotNull())
+    l = l.withColumn("_per", per)
+    # Per (by, period): how many parts, and the value carried in from the newest earlier period.
+    ends = r.groupBy(*slot).agg(F.max_by(pick, "_t").alias("_end"))
+    spans = l.groupBy(*slot).agg(F.count(F.lit(1)).alias("_n")).join(ends, slot, "full_outer")
+    earlier = Window.partitionBy(*keys).orderBy("_per").rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.greatest(F.ceil(F.coalesce("_n", F.lit(0)) / rows_per_task), F.lit(1)).cast("int")
+    spans = spans.select(*slot, F.last("_end", ignorenulls=True).over(earlier).alias("_in"), parts.alias("_parts"))
+    lrows = l.join(spans, slot).withColumns({"_part": F.pmod(F.xxhash64("_t", "_row"), F.col("_parts")).cast("int"), "_side": F.lit(1)})
+    rrows = r.join(spans.select(*slot, "_parts"), slot).withColumns(
+        {"_part": F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)), "_side": F.lit(0)})
+    both = lrows.drop("_parts").unionByName(rrows.drop("_parts"), allowMissingColumns=True)
+    so_far = Window.partitionBy(*slot, "_part").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn(pick, F.coalesce(F.last(pick, ignorenulls=True).over(so_far), "_in")).where("_side = 1")
     out = out.select(*by, "_row.*", *[F.col(f"{pick}.{v}").alias(v) for v in values])
     lost = left.where(F.col(left_time).isNull())
     if left.schema[left_time].nullable:
         nulls = [F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values]
-        out = out.unionByName(lost.select(*by, *payload, *nulls))
+        out = out.unionByName(lost.select(*by, *keep, *nulls))
     return out
 
 

@@ -21,7 +21,10 @@ BLOCK = 1024
 
 def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], period: str = "month",
                name: str = "_idx") -> DataFrame:
-    """0-based position of every row inside its key, ordered by ``order`` (its first entry is the time)."""
+    """0-based position of every row inside its key, ordered by ``order`` (its first entry is the time).
+
+    The input is read twice, once for the size of each (key, period): stage it when it is costly.
+    """
     keys = list(keys)
     df = df.withColumn("_per", F.date_trunc(period, F.col(order[0]).cast("timestamp")))
     sizes = df.groupBy(*keys, "_per").agg(F.count(F.lit(1)).alias("_sz"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import maths
+from tidemark.operators.blocks import parallelism
 from tidemark.operators.metrics import P, probs
 from tidemark.operators.quantiles import higher, order_statistics
 
@@ -27,20 +28,26 @@ def with_grid(df: DataFrame) -> DataFrame:
         "temperature", grid_temperature(F.col("step")))
 
 
+def distinct_cases(cases: DataFrame) -> DataFrame:
+    """Equal rows once with their count ``_n``, spread evenly because each is then evaluated 321 times."""
+    return cases.groupBy(*cases.columns).agg(F.count(F.lit(1)).alias("_n")).repartition(parallelism(cases))
+
+
 def temperature_losses(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """(key, step, temperature, nll).
 
-    Per row only the two log-odds against the true class enter the expansion; the grouped mean is
-    combined map-side, so at most 321 rows per key and task are shuffled.
+    Only the two log-odds against the true class enter the expansion, equal cases once with their count;
+    the grouped mean is combined map-side, so at most 321 rows per key and task are shuffled.
     """
     logs = [maths.clip_log(p) for p in probs()]
     own = F.when(F.col("y") == 0, logs[0]).when(F.col("y") == 1, logs[1]).otherwise(logs[2])
     first = F.when(F.col("y") == 0, logs[1]).otherwise(logs[0]) - own
     second = F.when(F.col("y") == 2, logs[1]).otherwise(logs[2]) - own
-    grid = with_grid(df.select(*by, first.alias("_a"), second.alias("_b")))
+    grid = with_grid(distinct_cases(df.select(*by, first.alias("_a"), second.alias("_b"))))
     t = F.col("temperature")
     nll = F.least(F.log1p(F.exp(F.col("_a") / t) + F.exp(F.col("_b") / t)), F.lit(NLL_CAP))
-    return grid.groupBy(*by, "step").agg(F.avg(nll).alias("nll")).withColumn("temperature", grid_temperature(F.col("step")))
+    return grid.groupBy(*by, "step").agg((F.sum(nll * F.col("_n")) / F.sum("_n")).alias("nll")).withColumn(
+        "temperature", grid_temperature(F.col("step")))
 
 
 def temperature_fit(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -51,10 +58,10 @@ def temperature_fit(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def binary_temperature_fit(df: DataFrame, by: Sequence[str], label: Column, p: Column) -> DataFrame:
     c = maths.clamp(p, maths.TINY, 1 - maths.TINY)
-    grid = with_grid(df.select(*by, label.cast("double").alias("_l"), F.ln(c / (1 - c)).alias("_z")))
+    grid = with_grid(distinct_cases(df.select(*by, label.cast("double").alias("_l"), F.ln(c / (1 - c)).alias("_z"))))
     q = maths.clamp(1 / (1 + F.exp(-maths.clamp(F.col("_z") / F.col("temperature"), -50.0, 50.0))), maths.TINY, 1 - maths.TINY)
     nll = -(F.col("_l") * F.ln(q) + (1 - F.col("_l")) * F.ln(1 - q))
-    losses = grid.groupBy(*by, "step").agg(F.avg(nll).alias("nll"))
+    losses = grid.groupBy(*by, "step").agg((F.sum(nll * F.col("_n")) / F.sum("_n")).alias("nll"))
     best = F.min_by("step", F.struct("nll", "step"))
     return losses.groupBy(*by).agg(grid_temperature(best).alias("temperature"))
 

@@ -25,6 +25,11 @@ def zoned(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.col(name).cast("timestamp"))
 
 
+def _rank(order: Sequence[str]) -> Column:
+    """One column keeps first and last in hash aggregation; several need a struct and a sort."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def final_bars(messages: DataFrame, column: str = "value", now: Column | None = None) -> DataFrame:
     return parse_stream_bars(messages, column, now)
 
@@ -34,18 +39,18 @@ def dedupe(stream: DataFrame, keys: Sequence[str], time: str, delay: str) -> Dat
 
 
 def tumbling_ohlc(ticks: DataFrame, width: str, delay: str, price: str = "value", time: str = "ts",
-                  order: Sequence[str] = ("ts", "event_id"), key: str = "asset_id") -> DataFrame:
+                  order: Sequence[str] = ("event_id",), key: str = "asset_id") -> DataFrame:
     """Bars per window, emitted once when the watermark passes the window end."""
-    rank, p = F.struct(*order), F.col(price)
+    rank, p = _rank(order), F.col(price)
     return (zoned(ticks, time).withWatermark(time, delay).groupBy(key, F.window(time, width).alias("w")).agg(
         F.min_by(p, rank).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"), F.max_by(p, rank).alias("close"), F.count(F.lit(1)).alias("trades"))
         .select(key, F.col("w.start").alias("open_time"), F.col("w.end").alias("known_at"), "open", "high", "low", "close", "trades"))
 
 
 def sliding_change(bars: DataFrame, delay: str, width: str = "24 hours", slide: str = "1 hour", need: int = 24,
-                   time: str = "ts", price: str = "value", order: Sequence[str] = ("ts", "event_id"), key: str = "asset_id") -> DataFrame:
+                   time: str = "ts", price: str = "value", order: Sequence[str] = ("event_id",), key: str = "asset_id") -> DataFrame:
     """Percent change between the first and the last value of every sliding window that holds enough rows."""
-    rank, p = F.struct(*order), F.col(price)
+    rank, p = _rank(order), F.col(price)
     out = zoned(bars, time).withWatermark(time, delay).groupBy(key, F.window(time, width, slide).alias("w")).agg(
         F.min_by(p, rank).alias("_first"), F.max_by(p, rank).alias("latest"), F.count(F.lit(1)).alias("n"))
     change = F.when((F.col("n") >= need) & (F.col("_first") != 0), (F.col("latest") / F.col("_first") - 1) * 100)
@@ -60,9 +65,9 @@ def complete_grids(stream: DataFrame, n: int, delay: str, time: str = "time", bu
     return days.where(F.col("points") == n).select(key, F.col("w.start").alias("day"), "points")
 
 
-def latest_price(stream: DataFrame, time: str = "ts", price: str = "value", order: Sequence[str] = ("ts", "event_id"), key: str = "asset_id") -> DataFrame:
+def latest_price(stream: DataFrame, time: str = "ts", price: str = "value", order: Sequence[str] = ("event_id",), key: str = "asset_id") -> DataFrame:
     """Running newest price per asset (update mode; one state row per asset)."""
-    return stream.groupBy(key).agg(F.max_by(price, F.struct(*order)).alias("price"), F.max(time).alias("price_time"))
+    return stream.groupBy(key).agg(F.max_by(price, _rank(order)).alias("price"), F.max(time).alias("price_time"))
 
 
 def streak(stream: DataFrame, time: str, key: str) -> DataFrame:

@@ -29,7 +29,7 @@ def feature(name, build, sql):
 
     @query(name, text)
     def run(spark, d):
-        return ta.add_features(t.daily_bars(spark, d), build).select(*K, *sql)
+        return ta.add_features(t.series(spark, d), build).select(*K, *sql)
 
 
 def over(n, end=0, order="PARTITION BY asset_id ORDER BY open_time"):
@@ -136,7 +136,7 @@ def bench_query(name, pairs, strength=None):
 
     @query(name[0], f"WITH {SQL_BENCH} SELECT asset_id, open_time, {', '.join(cols)} FROM sb")
     def run(spark, d):
-        return ta.bench_by_date(t.daily_bars(spark, d), t.BENCH, pairs, 0.0, strength).select(*K, *wanted)
+        return ta.bench_by_date(t.series(spark, d), t.BENCH, pairs, 0.0, strength).select(*K, *wanted)
 
 
 CORR = {"corr_20": ("corr", 20), "corr_30": ("corr", 30), "corr_60": ("corr", 60), "corr_90": ("corr", 90)}
@@ -154,14 +154,14 @@ Q_BM = {
 
 @query("feat_bench_macro", f"WITH {t.SQL_SERIES} SELECT open_time AS snapshot_time, {', '.join(rexp(e, n) for n, e in Q_BM.items())} FROM s WHERE asset_id = '{t.BENCH}'")
 def feat_bench_macro(spark, d):
-    return FE.benchmark_macro(t.daily_bars(spark, d), t.BENCH, 0.2, 15.0)
+    return FE.benchmark_macro(t.series(spark, d), t.BENCH, 0.2, 15.0)
 
 
 @query("join_left_benchmark", f"""WITH {t.SQL_SERIES}, v AS (SELECT *, {Q_BM['benchmark_return_20s']} AS r20, {q_vol(20, 252)} AS v20 FROM s)
 SELECT v.asset_id, v.open_time, {rexp('v.r20', 'return_20s')}, {rexp('b.r20', 'benchmark_return_20s')}, {rexp('b.v20', 'benchmark_volatility_20s')}
 FROM v LEFT JOIN (SELECT * FROM v WHERE asset_id = '{t.BENCH}') b USING (open_time)""")
 def join_left_benchmark(spark, d):
-    bars = t.daily_bars(spark, d)
+    bars = t.series(spark, d)
     own = ta.add_features(bars, lambda s: {"return_20s": s.log_return(20)}).select(*K, "return_20s")
     bench = FE.benchmark_macro(bars, t.BENCH).select(F.col("snapshot_time").alias("open_time"), "benchmark_return_20s", "benchmark_volatility_20s")
     return own.join(bench, "open_time", "left")
@@ -171,7 +171,7 @@ def join_left_benchmark(spark, d):
 SELECT a.asset_id, {big('a.pos', 'pos')}, {rexp('a.r', 'value')}, {rexp('b.r', 'bench_value')}
 FROM e a JOIN e b ON b.asset_id = '{t.BENCH}' AND a.pos = b.pos WHERE a.pos <= 90""")
 def join_positional_bench(spark, d):
-    rows = ta.finish_returns(t.daily_bars(spark, d)).withColumn("value", F.col("_ret"))
+    rows = ta.finish_returns(t.series(spark, d)).withColumn("value", F.col("_ret"))
     return R.positional_pairs(rows, rows.where(F.col("asset_id") == t.BENCH), 90)
 
 
@@ -181,7 +181,7 @@ SQL_XS = t.SQL_SERIES + f", x AS (SELECT asset_id, open_time, i, {q_vol(20, 252)
 
 
 def _xs(spark, d):
-    return ta.add_features(t.daily_bars(spark, d), lambda s: {"r20": s.log_return(20), "v20": s.volatility(20, 252)}).withColumn("c20", F.round("r20", 1))
+    return ta.add_features(t.series(spark, d), lambda s: {"r20": s.log_return(20), "v20": s.volatility(20, 252)}).withColumn("c20", F.round("r20", 1))
 
 
 @query("xs_breadth", f"WITH {SQL_XS} SELECT asset_id, open_time, {rexp('coalesce(avg(CASE WHEN r20 IS NULL THEN NULL WHEN r20 > 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY open_time), 0.5)', 'breadth')}, {rexp('avg(CASE WHEN r20 > 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY open_time)', 'breadth_all')} FROM x")
@@ -206,7 +206,7 @@ def xs_rank_avg(spark, d):
 SELECT asset_id, open_time, {r('close')} FROM bars WHERE open_time <= TIMESTAMP '2001-07-01' AND asset_id IN (SELECT asset_id FROM e)""")
 def xs_eligible(spark, d):
     cut = t.ts("2001-07-01")
-    return xs.eligible(t.daily_bars(spark, d).where(F.col("open_time") <= cut), cut).select(*K, "close")
+    return xs.eligible(t.series(spark, d).where(F.col("open_time") <= cut), cut).select(*K, "close")
 
 
 # --- as-of ---------------------------------------------------------------------------------------
@@ -214,9 +214,9 @@ def xs_eligible(spark, d):
 @query("join_asof_macro", f"""WITH {t.SQL_MACRO} SELECT o.o_orderkey, o.o_orderdate, m.available_at, {', '.join(rexp('m.' + c, c) for c in schemas.MACRO_FEATURES)}
 FROM orders o ASOF LEFT JOIN macro m ON o.o_orderdate >= m.available_at""")
 def join_asof_macro(spark, d):
-    macro = M.macro_features(M.wide_macro(t.macro_long(spark, d), t.SERIES))
+    macro = stage(M.macro_features(M.wide_macro(t.macro_long(spark, d), t.SERIES)))
     left = t.load(spark, d, "orders").select("o_orderkey", "o_orderdate")
-    return join_asof(left, macro, "o_orderdate", "available_at", [], ["available_at", *schemas.MACRO_FEATURES], "year")
+    return join_asof(left, macro, "o_orderdate", "available_at", [], ["available_at", *schemas.MACRO_FEATURES])
 
 
 SQL_PEER = t.SQL_SERIES + f""", p AS (SELECT asset_id, open_time, ln(close / {lag('close', 30)}) AS return_30d FROM s),
@@ -227,7 +227,7 @@ g AS (SELECT tm.open_time, pa.asset_id AS peer FROM tm CROSS JOIN pa)"""
 @query("join_asof_peer", f"""WITH {SQL_PEER} SELECT g.open_time, g.peer, p.open_time AS peer_time, {rexp('p.return_30d', 'return_30d')}
 FROM g ASOF JOIN p ON g.peer = p.asset_id AND g.open_time >= p.open_time""")
 def join_asof_peer(spark, d):
-    rows = ta.add_features(t.daily_bars(spark, d), lambda s: {"return_30d": s.log_return(30)})
+    rows = ta.add_features(t.series(spark, d), lambda s: {"return_30d": s.log_return(30)})
     return peer_panel(rows, ["return_30d"]).select("open_time", "peer", "peer_time", "return_30d")
 
 
@@ -307,7 +307,7 @@ dfeat AS (SELECT * REPLACE ({_map} AS asset_id) FROM (SELECT b.asset_id, b.snaps
  {', '.join(rexp(f'coalesce(f.{c}, 0.0)', c) for c in schemas.DERIVATIVE_FEATURES)}
  FROM bars b ASOF LEFT JOIN dfeat f ON b.asset_id = f.asset_id AND b.open_time >= f.snapshot_time""")
 def join_asof_history(spark, d):
-    snaps = t.daily_bars(spark, d).select("asset_id", F.col("open_time").alias("snapshot_time"))
+    snaps = t.series(spark, d).select("asset_id", F.col("open_time").alias("snapshot_time"))
     return D.attach_derivatives(snaps, asset_derivatives(spark, d))
 
 
@@ -376,7 +376,7 @@ FROM al JOIN br ON br.open_time = al.open_time JOIN k30 ON k30.open_time = al.op
  JOIN k90 ON k90.open_time = al.open_time AND k90.asset_id = al.asset_id JOIN kv ON kv.open_time = al.open_time AND kv.asset_id = al.asset_id
  ASOF LEFT JOIN dfeat f ON al.asset_id = f.asset_id AND al.open_time >= f.snapshot_time WHERE al.i >= 364""")
 def feat_snapshot_crypto(spark, d):
-    return FE.crypto_snapshots(stage(t.daily_bars(spark, d)), asset_derivatives(spark, d), t.BENCH, _hot, trend_limit=TREND, vol_limit=VOL)
+    return FE.crypto_snapshots(t.series(spark, d), asset_derivatives(spark, d), t.BENCH, _hot, trend_limit=TREND, vol_limit=VOL)
 
 
 Q_EQ = {f"return_{n}s": f"ln(close / {lag('close', n)})" for n in ta.EQUITY_RETURNS}
@@ -407,7 +407,7 @@ eq AS (SELECT asset_id, open_time AS snapshot_time, {', '.join(schemas.EQUITY_FE
 
 @query("feat_snapshot_equity", f"WITH {SQL_EQUITY} SELECT asset_id, snapshot_time, 'us-equity-daily-v1' AS feature_set_version, {r(*schemas.EQUITY_FEATURES)} FROM eq")
 def feat_snapshot_equity(spark, d):
-    return FE.equity_snapshots(stage(t.daily_bars(spark, d)), t.BENCH, None, 0.2, 15.0)
+    return FE.equity_snapshots(t.series(spark, d), t.BENCH, None, 0.2, 15.0)
 
 
 @query("one_hot_asset", f"WITH {t.SQL_BARS} SELECT asset_id, open_time, {', '.join(f'''(asset_id = '{s}')::INT::DOUBLE AS asset_{s.lower()}''' for s in _hot)} FROM bars")
@@ -447,27 +447,27 @@ def sql_targets(h):
 
 @query("target_forward", f"WITH {sql_targets(30)} SELECT asset_id, open_time, {r('target_return')}, label_end_time FROM tg")
 def target_forward(spark, d):
-    return L.forward_targets(t.daily_bars(spark, d), 30, with_path=False)
+    return L.forward_targets(t.series(spark, d), 30, with_path=False)
 
 
 @query("target_volatility", f"WITH {sql_targets(90)} SELECT asset_id, open_time, {r('target_volatility')} FROM tg")
 def target_volatility(spark, d):
-    return L.forward_targets(t.daily_bars(spark, d), 90).select(*K, "target_volatility")
+    return L.forward_targets(t.series(spark, d), 90).select(*K, "target_volatility")
 
 
 @query("target_drawdown", f"WITH {sql_targets(30)} SELECT asset_id, open_time, {rexp(Q_DD, 'target_max_drawdown')} FROM tg")
 def target_drawdown(spark, d):
-    return L.forward_targets(t.daily_bars(spark, d), 30).select(*K, "target_max_drawdown")
+    return L.forward_targets(t.series(spark, d), 30).select(*K, "target_max_drawdown")
 
 
 @query("target_risk", f"WITH {sql_targets(30)} SELECT asset_id, open_time, {rexp('1 - exp(-target_volatility / 20)', 'target_risk')} FROM tg")
 def target_risk(spark, d):
-    out = L.forward_targets(t.daily_bars(spark, d), 30)
+    out = L.forward_targets(t.series(spark, d), 30)
     return out.select(*K, maths.target_risk(F.col("target_volatility") / 20).alias("target_risk"))
 
 
 def _labelled(spark, d, h=30):
-    bars = t.daily_bars(spark, d)
+    bars = t.series(spark, d)
     f = ta.add_features(bars, lambda s: {"volatility_30d": s.volatility(30, 365), "volatility_90d": s.volatility(90, 365), "atr": s.atr(14)})
     feats = f.where(F.col("_idx") >= 90).select("asset_id", F.col("open_time").alias("snapshot_time"), "volatility_30d", "volatility_90d", "atr")
     return L.attach_targets(feats, bars, h, 365, band=WIDE)
@@ -555,5 +555,5 @@ def split_inner_year(spark, d):
  QUALIFY lead(close, 30) OVER w IS NOT NULL UNION ALL SELECT asset_id, open_time, {rexp("ln(lead(close, 90) OVER w / close)", 'target_return')}, {big('90', 'horizon_days')} FROM s WINDOW w AS (PARTITION BY asset_id ORDER BY open_time)
  QUALIFY lead(close, 90) OVER w IS NOT NULL""")
 def union_horizons(spark, d):
-    bars = t.daily_bars(spark, d)
+    bars = t.series(spark, d)
     return R.union_all([L.forward_targets(bars, h, with_path=False).withColumn("horizon_days", F.lit(h)).drop("label_end_time") for h in schemas.HORIZONS])

@@ -213,7 +213,7 @@ def _daily(spark, d, equity):
     s = samples(spark, d)
     feats = s.where(f"fold = '{FOLDS[-1]}' and role = 'test'")
     cutoff = feats.agg(F.max("snapshot_time")).scalar()
-    ready = G.readiness_spot(t.daily_bars(spark, d).join(feats.agg(F.max("snapshot_time").alias("_cut")), F.col("open_time") <= F.col("_cut")), cutoff, t.BENCH, 252 if equity else 365)
+    ready = G.readiness_spot(t.daily_bars(spark, d).where(F.col("open_time") <= cutoff), cutoff, t.BENCH, 252 if equity else 365)
     stored = spark.createDataFrame([], "asset_id string, snapshot_time timestamp_ntz, version string")
     model = {"direction_eligible": not equity, "scenario_eligible": True}
     now = feats.agg(F.max("snapshot_time") + F.expr("INTERVAL 1 HOUR")).scalar()

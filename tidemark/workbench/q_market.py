@@ -421,7 +421,7 @@ def join_symbol_in(spark, d):
 @query("join_window_bars", f"""WITH {t.SQL_SERIES} SELECT asset_id, open_time, {rexp('lead(close, 5) OVER w', 'close_5')}, {rexp('max(close) OVER (PARTITION BY asset_id ORDER BY open_time ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)', 'max_5')} FROM s WINDOW w AS (PARTITION BY asset_id ORDER BY open_time) QUALIFY lead(close, 5) OVER w IS NOT NULL""")
 def join_window_bars(spark, d):
     from tidemark.operators.blocks import block_window, blocked, owned
-    b = blocked(t.daily_bars(spark, d), ["asset_id"], ["open_time"], lookback=0, lookahead=5)
+    b = blocked(t.series(spark, d), ["asset_id"], ["open_time"], lookback=0, lookahead=5)
     w = block_window(("asset_id",))
     out = owned(b.withColumns({"close_5": F.lead("close", 5).over(w), "max_5": F.max("close").over(w.rowsBetween(1, 5))}))
     return out.where(F.col("close_5").isNotNull()).select("asset_id", "open_time", "close_5", "max_5")

@@ -89,14 +89,14 @@ def st_dedupe(spark, d):
     return appended(ST.dedupe(ticks(spark, d), ["asset_id", "user_id"], "ts", "40 days"), spark).select("asset_id", "user_id")
 
 
-@query("st_tumbling_ohlc", f"""SELECT event_type AS asset_id, date_trunc('day', ts) AS open_time, date_trunc('day', ts) + INTERVAL 1 DAY AS known_at, {rexp('arg_min(value, row(ts, event_id))', 'open')}, {rexp('max(value)', 'high')}, {rexp('min(value)', 'low')}, {rexp('arg_max(value, row(ts, event_id))', 'close')}, {big('count(*)', 'trades')}
+@query("st_tumbling_ohlc", f"""SELECT event_type AS asset_id, date_trunc('day', ts) AS open_time, date_trunc('day', ts) + INTERVAL 1 DAY AS known_at, {rexp('arg_min(value, event_id)', 'open')}, {rexp('max(value)', 'high')}, {rexp('min(value)', 'low')}, {rexp('arg_max(value, event_id)', 'close')}, {big('count(*)', 'trades')}
  FROM events GROUP BY 1, 2, 3 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 45 MINUTE""")
 def st_tumbling_ohlc(spark, d):
     return appended(ST.tumbling_ohlc(ticks(spark, d), "1 day", "45 minutes"), spark)
 
 
 @query("st_sliding_24h", f"""WITH w AS (SELECT event_type AS asset_id, date_trunc('hour', ts) + to_hours(i::INT + 1) AS window_end, ts, event_id, value FROM events, range(0, 24) g(i)),
-a AS (SELECT asset_id, window_end, count(*) AS n, arg_max(value, row(ts, event_id)) AS latest, arg_min(value, row(ts, event_id)) AS f FROM w GROUP BY 1, 2)
+a AS (SELECT asset_id, window_end, count(*) AS n, arg_max(value, event_id) AS latest, arg_min(value, event_id) AS f FROM w GROUP BY 1, 2)
 SELECT asset_id, window_end, {big('n')}, {r('latest')}, {rexp('CASE WHEN n >= 24 AND f <> 0 THEN (latest / f - 1) * 100 END', 'change')} FROM a WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 45 MINUTE""")
 def st_sliding_24h(spark, d):
     return appended(ST.sliding_change(ticks(spark, d), "45 minutes"), spark)
@@ -120,7 +120,7 @@ def st_grid_complete(spark, d):
     return appended(ST.complete_grids(ticks(spark, d), 24, "45 minutes", "ts"), spark)
 
 
-@query("st_latest_price", f"SELECT event_type AS asset_id, {rexp('arg_max(value, row(ts, event_id))', 'price')}, max(ts) AS price_time FROM events GROUP BY 1")
+@query("st_latest_price", f"SELECT event_type AS asset_id, {rexp('arg_max(value, event_id)', 'price')}, max(ts) AS price_time FROM events GROUP BY 1")
 def st_latest_price(spark, d):
     path = scratch(spark, "stream")
     ST.latest_sink(ST.latest_price(ticks(spark, d)), path).awaitTermination()
