@@ -76,9 +76,9 @@ def latency_stats(snaps: DataFrame, cutoff: Column, limit_minutes: float = 45) -
     rows = snaps.where(F.col("is_complete") & (F.col("snapshot_time") >= cutoff - F.expr("INTERVAL 6 DAY")) & (F.col("snapshot_time") <= cutoff))
     rows = rows.select(minutes(F.col("available_at"), F.col("snapshot_time")).alias("latency")).where("latency >= 0")
     base = rows.agg(F.count(F.lit(1)).alias("snapshots"), F.avg((F.col("latency") <= limit_minutes).cast("double")).alias("on_time_share"),
-                    F.avg("latency").alias("mean_latency")).withColumn("_k", F.lit(1))
-    p95 = order_statistics(rows.withColumn("_k", F.lit(1)), ["_k"], "latency", {"p95_latency": nearest_rank(0.95)})
-    return base.join(p95, "_k", "left").drop("_k")
+                    F.avg("latency").alias("mean_latency"))
+    p95 = order_statistics(rows, [], "latency", {"p95_latency": nearest_rank(0.95)})
+    return base.withColumn("p95_latency", p95.scalar())
 
 
 def collector_assets(assets: DataFrame, snaps: DataFrame, cutoff: Column, required: int = 90) -> DataFrame:

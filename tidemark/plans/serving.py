@@ -69,8 +69,9 @@ def fold_metrics(samples: DataFrame, scored: DataFrame, horizon: int, ppy: int,
 def train(samples: DataFrame, folds: Sequence[str], features: Sequence[str], horizon: int, ppy: int = 252, scale_feature: str = "volatility_60s",
           risk_feature: str = "volatility_20s", seeds: Sequence[int] = SEEDS, **tree) -> tuple[DataFrame, DataFrame]:
     """(fold metrics, one manifest row with both gate decisions)."""
-    metrics = stage(fold_metrics(samples, train_folds(samples, folds, features, seeds, **tree), horizon, ppy, scale_feature, risk_feature))
-    tagged = metrics.withColumn("horizon_days", F.lit(horizon))
+    scored = train_folds(samples, folds, features, seeds, **tree)
+    metrics = fold_metrics(samples, scored, horizon, ppy, scale_feature, risk_feature)
+    metrics = tagged = stage(metrics.withColumn("horizon_days", F.lit(horizon)))
     gates = G.gate_direction(tagged, ["horizon_days"]).select("horizon_days", "brier", "baseline_brier", "ece", "direction_passed").join(
         G.gate_scenario(tagged, ["horizon_days"]).select("horizon_days", "coverage", "scenario_passed"), "horizon_days")
     return metrics, gates.withColumn("production_eligible", F.col("scenario_passed"))
@@ -87,6 +88,10 @@ class Bundle:
     features: Sequence[str]
     version: str
 
+    def fitted(self) -> dict:
+        """The single parameter row as plain values."""
+        return self.parameters.first().asDict()
+
 
 def fit_bundle(train_rows: DataFrame, validation: DataFrame, features: Sequence[str], version: str, horizon: int, ppy: int, scale_feature: str,
                seeds: Sequence[int] = SEEDS, **tree) -> Bundle:
@@ -108,17 +113,17 @@ def score(bundle: Bundle, rows: DataFrame, scale: Column) -> DataFrame:
     """Calibrated probabilities, widened sorted quantiles and risk for any feature rows."""
     ready = M.vectors(rows.drop("q0", "q1", "q2"), bundle.features)
     raw = bundle.risk(bundle.quantiles(bundle.direction(ready))).drop("features")
-    # The parameter row joins on a constant: one row by construction.
-    raw = raw.withColumn("k", F.lit(1)).join(F.broadcast(bundle.parameters), "k").drop("k")
-    out = S.finish_score(raw, F.col("temperature"), F.col("weight"), F.col("multiplier"), scale)
-    return out.drop("temperature", "weight", "multiplier", "risk", "q0", "q1", "q2", *[f"r_{f}" for f in bundle.features])
+    fitted = bundle.fitted()
+    raw = raw.withColumns({f"q{k}": F.lit(fitted[f"q{k}"]) for k in range(3)})
+    out = S.finish_score(raw, F.lit(fitted["temperature"]), F.lit(fitted["weight"]), F.lit(fitted["multiplier"]), scale)
+    return out.drop("risk", "q0", "q1", "q2")
 
 
 def explain(bundle: Bundle, rows: DataFrame, ids: Sequence[str], scale_of) -> DataFrame:
     """Top factors per row: each feature in turn moved to its training median."""
-    wide = rows.withColumn("k", F.lit(1)).join(F.broadcast(bundle.parameters.select("k", *[f"r_{f}" for f in bundle.features])), "k").drop("k")
-    stored = {f: F.col(f"r_{f}") for f in bundle.features}
-    cases = S.perturbed_rows(wide, ids, bundle.features, stored)
+    fitted = bundle.fitted()
+    stored = {f: F.lit(fitted[f"r_{f}"]) for f in bundle.features}
+    cases = S.perturbed_rows(rows, ids, bundle.features, stored)
     return S.top_factors(S.impacts(score(bundle, rows, scale_of), score(bundle, cases, scale_of), ids), ids)
 
 
