@@ -141,14 +141,14 @@ def deriv_kline_daily(spark, d):
     return D.kline_daily(t.hourly_bars(spark, d), "futures")
 
 
-@query("deriv_funding_daily", f"SELECT event_type AS asset_id, date_trunc('day', ts) + INTERVAL 1 DAY AS snapshot_time, {rexp('avg(value / 1000)', 'funding_rate')} FROM events GROUP BY 1, 2")
+@query("deriv_funding_daily", f"SELECT event_type AS asset_id, date_trunc('day', ts) + INTERVAL 1 DAY AS snapshot_time, {rexp('avg(value / 777)', 'funding_rate')} FROM events GROUP BY 1, 2")
 def deriv_funding_daily(spark, d):
     return D.funding_daily(_funding(spark, d))
 
 
 def _funding(spark, d):
     e = t.events(spark, d)
-    return e.select(F.col("event_type").alias("asset_id"), F.col("ts").alias("calc_time"), (F.col("value") / 1000).alias("last_funding_rate"))
+    return e.select(F.col("event_type").alias("asset_id"), F.col("ts").alias("calc_time"), (F.col("value") / 777).alias("last_funding_rate"))
 
 
 def _metrics(spark, d):
@@ -173,7 +173,7 @@ def deriv_taker_ratio(spark, d):
 
 SQL_CONS = f"""{t.SQL_HOURLY}, fk AS (SELECT asset_id, date_trunc('day', open_time) + INTERVAL 1 DAY AS snapshot_time, sum(quote_volume) AS futures_quote_volume,
  CASE WHEN sum(volume) > 0 THEN sum(taker_buy_base_volume) / sum(volume) ELSE 0.5 END AS futures_taker_buy_ratio FROM hours GROUP BY 1, 2),
-fu AS (SELECT event_type AS asset_id, date_trunc('day', ts) + INTERVAL 1 DAY AS snapshot_time, avg(value / 1000) AS funding_rate FROM events GROUP BY 1, 2), {SQL_MET},
+fu AS (SELECT event_type AS asset_id, date_trunc('day', ts) + INTERVAL 1 DAY AS snapshot_time, avg(value / 777) AS funding_rate FROM events GROUP BY 1, 2), {SQL_MET},
 co AS (SELECT asset_id, snapshot_time, funding_rate, NULL::DOUBLE AS premium, futures_quote_volume, futures_taker_buy_ratio, open_interest_value, long_short_ratio, taker_long_short_ratio
  FROM fk FULL JOIN fu USING (asset_id, snapshot_time) FULL JOIN md USING (asset_id, snapshot_time))"""
 
