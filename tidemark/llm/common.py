@@ -26,13 +26,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable]) -> DataFrame:
-    """One Arrow pass over (doc_id, text): ``make()`` runs once per task and returns texts -> iterable of value tuples.
+def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable], whole: bool = False) -> DataFrame:
+    """One Arrow pass over the texts: ``make()`` runs once per task and returns texts -> iterable of value tuples.
 
-    Only the two columns are read, whatever else the table holds; repeated rows stay repeated.
+    The result holds ``doc_id``, or with ``whole`` the entire row as the struct ``row``, and the values; only what it
+    holds is read.  Repeated rows stay repeated.
     """
     modest_batches(df.sparkSession)
     fields = [part.strip().split(" ", 1) for part in schema.split(",")]
+    carried = df.select(F.struct("*").alias("row"), "text") if whole else df.select("doc_id", "text")
+    first = carried.schema.fields[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = make()
@@ -40,10 +43,14 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable]) -> DataF
             values = list(many(batch.column(1).to_pylist()))
             columns = list(zip(*values)) if values else [()] * len(fields)
             arrays = [pa.array(c, type=ARROW[kind]) for c, (_, kind) in zip(columns, fields)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *(n for n, _ in fields)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [first.name, *(n for n, _ in fields)])
 
-    kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {schema}")
+    return carried.mapInArrow(run, f"{first.name} {first.dataType.simpleString()}, {schema}")
+
+
+def rows_where(mapped: DataFrame, keep: Column, columns: list[str]) -> DataFrame:
+    """The original rows of a ``whole`` pass for which the verdict holds."""
+    return mapped.where(keep).select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
 ARROW = {
