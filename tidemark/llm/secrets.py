@@ -203,11 +203,14 @@ def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def secret_spans(docs: DataFrame, more: tuple[Rule, ...] = MORE) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row."""
+    def of_kind(kind: str):
+        return lambda s: s["kind"] == kind
+
     base = [r.kind for r in BASE]
     found = find_spans(docs.select("doc_id", "text"), BASE + more)
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
-        *[F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base],
+        *[F.size(F.filter("found", of_kind(k))).cast("long").alias(f"n_{k}") for k in base],
         F.sha2(joined(F.filter("found", lambda s: s["rank"] < len(base))), 256).alias("base_sha256"),
         joined(F.col("found")).alias("spans"),
     )
@@ -239,7 +242,7 @@ def secret_sql(more: tuple[Rule, ...] = MORE) -> str:
     return f"""
     WITH d AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
     hits AS ({' UNION ALL '.join(parts)}),
-    spans AS (SELECT doc, rank, kind, coalesce(list_sum(list_transform(g[1:i + 1], x -> length(x))), 0) + coalesce(list_sum(list_transform(h[1:i], x -> length(x))), 0) AS b, length(h[i + 1]) AS n FROM hits WHERE h[i + 1] <> '' AND length(v[i + 1]) >= least),
+    spans AS (SELECT doc, rank, kind, coalesce(list_sum(list_transform(g[1:i + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(h[1:i], lambda x: length(x))), 0) AS b, length(h[i + 1]) AS n FROM hits WHERE h[i + 1] <> '' AND length(v[i + 1]) >= least),
     named AS (SELECT doc, rank, kind, b::BIGINT AS b, (b + n)::BIGINT AS e FROM spans)
     SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
       sha256({text_of("FILTER (rank < 3)")}) AS base_sha256, {text_of('')} AS spans

@@ -141,10 +141,10 @@ def shard_sql(shards: int = 16, seed: int = 42) -> str:
             sql = f"SELECT {keep}, a, b, l, {half('r', 'l', two, 'b')} AS r FROM ({sql})"
         return f"SELECT {keep}, a, b, l * b + r AS x FROM ({sql})"
 
-    crc = """coalesce(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), h -> ('0x' || h)::BIGINT)),
-      (c, y) -> xor(crc_table[(xor(c, y) & 255) + 1], c >> 8)), 4294967295)"""
+    crc = """coalesce(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda c, y: xor(crc_table[(xor(c, y) & 255) + 1], c >> 8)), 4294967295)"""
     return f"""
-    WITH RECURSIVE crc_step AS (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), (c, k) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i)),
+    WITH RECURSIVE crc_step AS (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) t(i)),
     crc AS (SELECT list(v ORDER BY i) AS crc_table FROM crc_step),
     slim AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, xor({crc}, 4294967295) AS text_crc32 FROM documents, crc),
     sizes AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, greatest(1, ceil(sqrt(n))::BIGINT) AS a FROM (SELECT count(*) AS n FROM documents))),

@@ -49,7 +49,9 @@ def _term_array(text: Column) -> Column:
     """``word_terms`` of all words of a text, each once, as a column; only feeds the choice of terms."""
     words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
     parts = [F.transform(words, lambda w: F.concat(F.lit("="), w))]
-    parts += [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in PREFIXES]
+    for n in PREFIXES:
+        longer = F.filter(words, lambda w: F.length(w) > n)  # noqa: B023 - called at once
+        parts.append(F.transform(longer, lambda w: F.concat(F.lit("^"), F.substring(w, 1, n))))  # noqa: B023
     return F.array_distinct(F.concat(*parts))
 
 
@@ -70,7 +72,7 @@ def examples(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[Da
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")
     rows = stage(rows.withColumn("pairs", F.transform(words, lambda w, k: F.concat_ws(" ", w, F.get(words, k + 1)))))
     for seed in range(3):
-        least = F.array_min(F.transform("pairs", lambda p, s=seed: F.xxhash64(p, F.lit(s))))
+        least = F.array_min(F.transform("pairs", lambda p: F.xxhash64(p, F.lit(seed))))  # noqa: B023 - called at once
         rows = rows.groupBy("toxic", least.alias("least")).agg(F.min_by(F.struct("doc_id", "text", "pairs"), "doc_id").alias("r")).select("toxic", "r.*")
     rows = stage(rows.drop("pairs"))
     return rows, totals

@@ -136,11 +136,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = PIVOT
         for g, (_, far) in widths.items():
             gap = p_dist[g, r["cell"]] - far - slack
             if gap - r["high"] <= reach[g]:
-                targets.setdefault(r["cell"], []).append((g, p_dist[g, r["cell"]], far))
+                targets.setdefault(r["cell"], []).append((g, float(p_dist[g, r["cell"]]), far))
                 sent[g] += r["n"]
     chunks = {g: -(-n // queries_at_once) for g, (n, _) in widths.items()}
     slices = {g: max(1, -(-n // rows_at_once)) for g, n in sent.items()}
-    plan = [(c, g, float(dist - far), float(dist + far), reach[g], chunks[g], slices[g]) for c, ts in targets.items() for g, dist, far in ts]
+    plan = [(c, g, float(dist - far), float(dist + far), float(reach[g]), chunks[g], slices[g]) for c, ts in targets.items() for g, dist, far in ts]
     table = F.broadcast(spark.createDataFrame(plan, "cell int, g int, near double, wide double, reach double, chunks int, slices int"))  # at most pivots squared rows
     keep = (F.col("near") - F.col("d") <= F.col("reach")) & (F.col("d") - F.col("wide") <= F.col("reach"))
     rows = (
@@ -169,7 +169,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = PIVOT
 
 def top_k_sql(every: int = 100, k: int = 10, scale: int = SCALE) -> str:
     return f"""
-    WITH good AS (SELECT vec_id, list_transform(embedding, x -> floor(x::DOUBLE * {scale})::BIGINT) AS v FROM embeddings
-      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    WITH good AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {scale})::BIGINT) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score FROM good q JOIN good c ON q.vec_id <> c.vec_id WHERE q.vec_id % {every} = 0)
     SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= {k}"""
