@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fertility, langid, pieces, pii, secrets, shards, simhash, toxicity, voronoi
+from tidemark.llm import fertility, langid, packing, pieces, pii, secrets, shards, simhash, toxicity, voronoi
 from tidemark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,8 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_pieces")
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read(spark, sf_dir, "documents"))
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))

@@ -160,15 +160,35 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     return near.unionByName(shared)
 
 
+def _grouped(docs: DataFrame, radius: int, width: int, seed: int, bucket: int) -> DataFrame:
+    """(doc_id, row_key, fp, component, component_id) of every row."""
+    if radius < 0 or radius % 2:
+        raise ValueError("the radius must be even")
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("doc_id", "text").alias("row_key")).alias("doc_id"), "text")
+    prints = stage(fingerprints(keyed, width, seed).select("doc_id.*", "fp"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(links(distinct.select("fp"), radius, bucket))
+    member = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = member.join(member.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component", "component_id")
+    return prints.join(named, "fp")
+
+
 def near_copies(docs: DataFrame, radius: int = RADIUS, width: int = 4, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (least id of the documents reachable over links) of every row.
 
     Texts without words have fingerprint zero and link like any other.  Null ids take part and are the least only
     where no id is known (then component_id is null).  Repeated rows each get their row; an empty table gives none.
     """
-    prints = stage(fingerprints(docs, width, seed))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = components(links(distinct.select("fp"), radius, bucket))
-    member = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = member.join(member.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _grouped(docs, radius, width, seed, bucket)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS, width: int = 4, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
+    """One row of ``docs`` from each group of near copies: that of the least known id; repeats of it go."""
+    found = stage(_grouped(docs, radius, width, seed, bucket))
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key")
+    kept = found.groupBy("component").agg(F.min(order).alias("r")).select("r.row_key")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("row_key")).join(kept, "row_key", "left_semi")
+    if not found.groupBy("row_key").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["row_key"])
+    return rows.select("row.*")

@@ -20,7 +20,7 @@ from tidemark.llm.common import held_out, map_texts
 from tidemark.session import stage
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 KNOWN_WORDS = 500_000
 
 
@@ -28,13 +28,15 @@ KNOWN_WORDS = 500_000
 class Settings:
     """Bounds of the learned model: examples per class, terms; and of the vote.
 
-    A term needs ``least_examples`` examples and a contrast of ``least_z`` standard errors between the classes.
+    A term needs ``least_examples`` examples, a contrast of ``least_z`` standard errors between the classes and odds
+    that differ by ``least_odds``; the latter leaves out mere habits of a language or source.
     """
 
     examples_per_class: int = 4096
     terms: int = 4096
     least_examples: int = 4
-    least_z: float = 6.0
+    least_z: float = 5.0
+    least_odds: float = 10.0
     neighbours: int = 25
     prior_votes: float = 0.5
     threshold: float = 0.7
@@ -70,11 +72,11 @@ def examples(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[Da
     ids = marked.withColumn("at", F.row_number().over(first)).where(F.col("at") <= settings.examples_per_class).select(F.col("doc_id").alias("example_id"), "toxic")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("example_id")).drop("example_id")
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")
-    rows = stage(rows.withColumn("pairs", F.transform(words, lambda w, k: F.concat_ws(" ", w, F.get(words, k + 1)))))
+    rows = stage(rows.withColumn("shingles", F.transform(words, lambda w, k: F.concat_ws(" ", w, F.get(words, k + 1), F.get(words, k + 2)))))
     for seed in range(3):
-        least = F.array_min(F.transform("pairs", lambda p: F.xxhash64(p, F.lit(seed))))  # noqa: B023 - called at once
-        rows = rows.groupBy("toxic", least.alias("least")).agg(F.min_by(F.struct("doc_id", "text", "pairs"), "doc_id").alias("r")).select("toxic", "r.*")
-    rows = stage(rows.drop("pairs"))
+        least = F.array_min(F.transform("shingles", lambda p: F.xxhash64(p, F.lit(seed))))  # noqa: B023 - called at once
+        rows = rows.groupBy("toxic", least.alias("least")).agg(F.min_by(F.struct("doc_id", "text", "shingles"), "doc_id").alias("r")).select("toxic", "r.*")
+    rows = stage(rows.drop("shingles"))
     return rows, totals
 
 
@@ -185,8 +187,10 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     share = F.col("d") / F.lit(max(1, n1 + n0))
     gap = F.col("d1") / F.lit(max(1, n1)) - (F.col("d") - F.col("d1")) / F.lit(max(1, n0))
     z = F.abs(gap) / F.sqrt(share * (1 - share) * F.lit(1 / max(1, n1) + 1 / max(1, n0)) + F.lit(1e-12))
+    d1, d0 = F.col("d1"), F.col("d") - F.col("d1")
+    odds = F.abs(F.log((d1 + 0.5) * (n0 - d0 + 0.5) / ((d0 + 0.5) * (n1 - d1 + 0.5))))
     terms = (
-        counted.withColumn("z", z).where((F.col("d") >= settings.least_examples) & (F.col("z") >= settings.least_z))
+        counted.withColumn("z", z).where((F.col("d") >= settings.least_examples) & (F.col("z") >= settings.least_z) & (odds >= float(np.log(settings.least_odds))))
         .orderBy(F.desc("z"), "term").limit(settings.terms).collect() if n1 and n0 else []
     )
     names = [r["term"] for r in terms]
