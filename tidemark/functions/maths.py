@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 Probs = tuple[Column, Column, Column]
 
@@ -115,13 +113,24 @@ def ordinal(not_down: Column, up: Column) -> list[Column]:
     return [1 - nd2, nd2 - u2, u2]
 
 
-def _phi(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))))
+def erf(x: Column) -> Column:
+    """Error function to double rounding, by a series of positive terms up to 3 and a continued fraction beyond."""
+    x = x.cast("double")
+    a = F.abs(x)
+    # all literals are doubles: each cast would cost the analyser a pass over the nested terms
+    near, square = F.lit(1.0), x * x * 2.0
+    for n in range(111, 1, -2):  # 1 + 2x^2/3 (1 + 2x^2/5 (1 + ...))
+        near = square * near / float(n) + 1.0
+    far = a
+    for k in range(30, 0, -1):  # a + 1/2 / (a + 2/2 / (a + 3/2 / ...))
+        far = F.lit(k / 2) / far + a
+    bell = F.exp(-x * x)
+    inside = x * (2 / math.sqrt(math.pi)) * bell * near
+    return F.when(F.isnan(x), x).when(a < 3.0, inside).otherwise(F.signum(x) * (F.lit(1.0) - bell / (far * math.sqrt(math.pi))))
 
 
 def normal_cdf(z: Column) -> Column:
-    """Spark has no erf; one Arrow batch at a time."""
-    return F.pandas_udf(_phi, T.DoubleType())(z)
+    return 0.5 * (1 + erf(z / math.sqrt(2)))
 
 
 def argmax(probs: Probs) -> Column:

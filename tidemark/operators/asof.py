@@ -25,9 +25,9 @@ def join_asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     """
     by = list(by)
     values = list(values or [c for c in right.columns if c not in by])
-    keys = by or ["_one"]
     if not by:
-        left, right = left.withColumn("_one", F.lit(0)), right.withColumn("_one", F.lit(0))
+        return _asof_by_time(left, right, left_time, right_time, values, period, pick, rows_per_task)
+    keys = by
     keep = [c for c in left.columns if c not in keys]
     t, per = F.col("_t"), F.date_trunc(period, F.col("_t")).alias("_per")
     slot = [*keys, "_per"]
@@ -37,12 +37,12 @@ def join_asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     l = l.withColumn("_per", per)
     # Per (by, period): how many parts, and the value carried in from the newest earlier period.
     ends = r.groupBy(*slot).agg(F.max_by(pick, "_t").alias("_end"))
-    spans = l.groupBy(*slot).agg(F.count(F.lit(1)).alias("_n")).join(ends, slot, "full_outer")
+    spans = _join_slots(l.groupBy(*slot).agg(F.count(F.lit(1)).alias("_n")), ends, slot, "full_outer")
     earlier = Window.partitionBy(*keys).orderBy("_per").rowsBetween(Window.unboundedPreceding, -1)
     parts = F.greatest(F.ceil(F.coalesce("_n", F.lit(0)) / rows_per_task), F.lit(1)).cast("int")
     spans = spans.select(*slot, F.last("_end", ignorenulls=True).over(earlier).alias("_in"), parts.alias("_parts"))
-    lrows = l.join(spans, slot).withColumns({"_part": F.pmod(F.xxhash64("_t", "_row"), F.col("_parts")).cast("int"), "_side": F.lit(1)})
-    rrows = r.join(spans.select(*slot, "_parts"), slot).withColumns(
+    lrows = _join_slots(l, spans, slot).withColumns({"_part": F.pmod(F.xxhash64("_t", "_row"), F.col("_parts")).cast("int"), "_side": F.lit(1)})
+    rrows = _join_slots(r, spans.select(*slot, "_parts"), slot).withColumns(
         {"_part": F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)), "_side": F.lit(0)})
     both = lrows.drop("_parts").unionByName(rrows.drop("_parts"), allowMissingColumns=True)
     so_far = Window.partitionBy(*slot, "_part").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
@@ -55,6 +55,34 @@ def join_asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str
     return out
 
 
+def _join_slots(left: DataFrame, right: DataFrame, slot: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join in which missing keys are equal, the slot columns kept once."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}" if c in slot else c) for c in right.columns])
+    same = [left[c].eqNullSafe(named[f"_r_{c}"]) for c in slot]
+    both = left.join(named, same, how)
+    if how == "full_outer":
+        both = both.withColumns({c: F.coalesce(c, f"_r_{c}") for c in slot})
+    return both.drop(*[f"_r_{c}" for c in slot])
+
+
+def _asof_by_time(left: DataFrame, right: DataFrame, left_time: str, right_time: str, values: Sequence[str], period: str, pick: str,
+                  rows_per_task: int) -> DataFrame:
+    """Without a key the match depends on the time alone: distinct times are matched, then joined to the rows."""
+    times = left.select(F.col(left_time).cast("timestamp").alias("_at")).where(F.col("_at").isNotNull()).distinct()
+    # Months stand in for the key, so that the times are spread over tasks; earlier months come in through their end.
+    t, per = F.col("_t"), F.date_trunc(period, F.col("_t")).alias("_per")
+    r = right.select(F.col(right_time).cast("timestamp").alias("_t"), F.struct(*values).alias(pick)).where(t.isNotNull())
+    r = r.groupBy("_t").agg(F.max(pick).alias(pick)).withColumn("_per", per)
+    both = r.withColumn("_side", F.lit(0)).unionByName(times.select(F.col("_at").alias("_t")).withColumns({"_per": per, "_side": F.lit(1)}), allowMissingColumns=True)
+    order = Window.partitionBy("_per").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn(pick, F.last(pick, ignorenulls=True).over(order))
+    earlier = Window.orderBy("_per").rowsBetween(Window.unboundedPreceding, -1)  # one row per period
+    ends = near.groupBy("_per").agg(F.max_by(pick, "_t").alias("_end")).select("_per", F.last("_end", ignorenulls=True).over(earlier).alias("_in"))
+    found = near.where("_side = 1").join(ends, "_per").select(F.col("_t").alias("_at"), F.coalesce(pick, "_in").alias(pick))
+    out = left.join(found, F.col(left_time).cast("timestamp") == F.col("_at"), "left")
+    return out.select(*left.columns, *[F.col(f"{pick}.{v}").alias(v) for v in values])
+
+
 def future_rows(joined: DataFrame, left_time: str, right_time: str) -> DataFrame:
     """Rows that would break point-in-time safety; callers assert this is empty."""
     return joined.where(F.col(right_time) > F.col(left_time))

@@ -86,8 +86,9 @@ def latest_bar(bars: DataFrame, key: str = "asset_id", columns: Sequence[str] =
 
 
 def last_n(df: DataFrame, n: int, key: str = "asset_id", order: Sequence[Column] | None = None) -> DataFrame:
-    """Newest n rows per key, n clamped to 1..2000; each task keeps at most n rows per key before shuffling."""
-    n = min(max(int(n), 1), 2000)
+    """Newest n rows per key; each task keeps at most n rows per key before shuffling."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
     order = order or [F.desc("open_time")]
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)

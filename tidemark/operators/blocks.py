@@ -23,7 +23,9 @@ def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], period:
                name: str = "_idx") -> DataFrame:
     """0-based position of every row inside its key, ordered by ``order`` (its first entry is the time).
 
-    The input is read twice, once for the size of each (key, period): stage it when it is costly.
+    The input is read twice, once for the size of each (key, period): stage it when it is costly.  Rows of one (key,
+    period) are sorted in one task; choose the period by the rate of rows.  A missing key is a key of its own, and
+    rows without a time come first in theirs.
     """
     keys = list(keys)
     df = df.withColumn("_per", F.date_trunc(period, F.col(order[0]).cast("timestamp")))
@@ -32,9 +34,11 @@ def index_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], period:
     sizes = sizes.select(*keys, "_per", F.coalesce(F.sum("_sz").over(before), F.lit(0)).alias("_off"))
     inner = Window.partitionBy(*keys, "_per").orderBy(*order)
     ranked = df.withColumn("_rn", F.row_number().over(inner))
-    return (ranked.join(sizes, [*keys, "_per"])
+    named = sizes.select(*[F.col(c).alias(f"_k_{c}") for c in [*keys, "_per"]], "_off")
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*keys, "_per"]]
+    return (ranked.join(named, same)
             .withColumn(name, F.col("_rn") + F.col("_off") - 1)
-            .drop("_rn", "_off", "_per"))
+            .drop("_rn", "_off", "_per", *[f"_k_{c}" for c in [*keys, "_per"]]))
 
 
 def blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], lookback: int, lookahead: int = 0,

@@ -36,7 +36,7 @@ def complete_samples(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def crypto_base(daily: DataFrame, trend_limit: float = 0.05, vol_limit: float = 0.65) -> DataFrame:
     """Own-series spot features plus the trailing 90 returns, with the global row position."""
     tail = {"_tail": F.collect_list("_r").over(ta.frame(90))}
-    df = ta.compute(ta.prepare(daily), lambda s: ta.crypto_spot_columns(s, trend_limit, vol_limit), tail)
+    df = ta.compute(daily, lambda s: ta.crypto_spot_columns(s, trend_limit, vol_limit), tail, halo=90)
     return ta.finish(df)
 
 

@@ -79,10 +79,18 @@ def limitations(direction_ok: Column, scenario_ok: Column, is_equity: Column) ->
 # --- readiness -----------------------------------------------------------------------------------
 
 
-def readiness_history(snaps: DataFrame, cutoff: Column, now: Column, n: int = REQUIRED_DAYS) -> DataFrame:
+def _all_assets(found: DataFrame, assets: DataFrame | None, count: str) -> DataFrame:
+    """One row for each asset of the dimension, a count of 0 where nothing was found."""
+    if assets is None:
+        return found
+    return assets.select("asset_id").distinct().join(found, "asset_id", "left").withColumn(count, F.coalesce(count, F.lit(0)))
+
+
+def readiness_history(snaps: DataFrame, cutoff: Column, now: Column, n: int = REQUIRED_DAYS, assets: DataFrame | None = None) -> DataFrame:
     """(asset, days, ready, reason): the last n complete days up to the cutoff, gap-free and as-of safe.
 
-    A missing day shows up as a short count or as a gap, a row known too late as a boundary violation.
+    A missing day shows up as a short count or as a gap, a row known too late as a boundary violation.  With
+    ``assets``, an asset without any complete day is there as well and counts 0.
     """
     rows = snaps.where(F.col("is_complete") & (F.col("snapshot_time") <= cutoff))
     w = Window.partitionBy("asset_id").orderBy(F.desc("snapshot_time"))
@@ -94,6 +102,7 @@ def readiness_history(snaps: DataFrame, cutoff: Column, now: Column, n: int = RE
         F.count(F.lit(1)).alias("days"),
         F.max(F.when(F.col("snapshot_time") != expected, F.col("_rn"))).alias("_gap"),
         F.max(F.when(late, F.col("_rn"))).alias("_late"))
+    agg = _all_assets(agg, assets, "days")
     gap, late_at = F.coalesce(F.col("_gap"), F.lit(0)), F.coalesce(F.col("_late"), F.lit(0))
     reason = (F.when(F.col("days") < n, F.concat(F.col("days").cast("string"), F.lit(f"/{n}")))
               .when((gap > 0) & (gap >= late_at), "gap").when(late_at > 0, "as_of_violation").otherwise(""))
@@ -101,12 +110,16 @@ def readiness_history(snaps: DataFrame, cutoff: Column, now: Column, n: int = RE
 
 
 def readiness_spot(daily: DataFrame, cutoff: Column, benchmark: str, n: int = 365,
-                   max_age_days: int | None = None, now: Column | None = None) -> DataFrame:
-    """(asset, rows, last_time, ready): enough rows ending on the cutoff, and a benchmark that passes too."""
+                   max_age_days: int | None = None, now: Column | None = None, assets: DataFrame | None = None) -> DataFrame:
+    """(asset, rows, last_time, ready): enough rows ending on the cutoff, and a benchmark that passes too.
+
+    With ``assets``, an asset without rows is there as well, not ready.
+    """
     agg = daily.groupBy("asset_id").agg(F.count(F.lit(1)).alias("rows"), F.max("open_time").alias("last_time"))
-    own = (F.col("rows") >= n) & (F.col("last_time") == cutoff)
+    agg = _all_assets(agg, assets, "rows")
+    own = (F.col("rows") >= n) & F.coalesce(F.col("last_time") == cutoff, F.lit(False))
     if max_age_days is not None:
-        own = own & (micros(now) - micros(F.col("last_time")) <= max_age_days * 86_400_000_000)
+        own = own & F.coalesce(micros(now) - micros(F.col("last_time")) <= max_age_days * 86_400_000_000, F.lit(False))
     flagged = agg.withColumn("_own", own)
     bench = flagged.where(F.col("asset_id") == benchmark).agg(F.coalesce(F.max("_own"), F.lit(False))).scalar()
     return flagged.withColumn("ready", F.col("_own") & bench).drop("_own")

@@ -43,8 +43,8 @@ def quality_batch(bars: DataFrame, by: Sequence[str] = (), key: Sequence[str] =
                   seq: str | None = None) -> DataFrame:
     """Counts of each file-level fault per ``by``; an empty input gives rows = 0.
 
-    Duplicates are found by one count per key; time order (``seq`` gives the arrival order) by comparing
-    each row with the previous arrival inside (by, day of arrival order).
+    Duplicates are found by one count per key.  With ``seq``, the arrival order inside ``by`` (one file each), the
+    rows whose time is before that of the previous arrival are counted as ``regressions``.
     """
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
     per_key = bars.groupBy(*by, *key).agg(
@@ -52,11 +52,16 @@ def quality_batch(bars: DataFrame, by: Sequence[str] = (), key: Sequence[str] =
         F.count_if((o <= 0) | (h <= 0) | (l <= 0) | (c <= 0)).alias("_np"),
         F.count_if(h < F.greatest(o, c)).alias("_hi"), F.count_if(l > F.least(o, c)).alias("_lo"),
         F.count_if((F.col("volume") < 0) | (F.col("quote_volume") < 0) | (F.col("trade_count") < 0)).alias("_na"))
-    return per_key.groupBy(*by).agg(
+    counts = per_key.groupBy(*by).agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in
           (("_np", "non_positive"), ("_hi", "bad_high"), ("_lo", "bad_low"), ("_na", "negative_activity"))])
+    if seq is None:
+        return counts
+    if len(by) != 1:
+        raise ValueError("the time order is checked inside files: name one file column in by")
+    return counts.join(time_regressions(bars, by[0], seq, key[-1]), by[0])
 
 
 def time_regressions(bars: DataFrame, file: str, seq: str, time: str = "open_time") -> DataFrame:

@@ -1,13 +1,17 @@
 """Exact order statistics without holding a group in one task.
 
 Values are counted, then located by a bounded, order-preserving code (the binary exponent and the top
-bits of the mantissa).  Only the code histogram is scanned to find where the wanted ranks fall, and only
-the rows of those codes are ordered, so a group with a third of all rows needs no single-task sort.
+bits of the mantissa).  Only the code histogram is scanned to find where the wanted ranks fall.  A wanted
+code is cut once more into cells over its own least and greatest value, and only the values of the wanted
+cells are ordered, so neither a group with a third of all rows nor one whose values lie close together
+needs a single-task sort.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,8 +47,22 @@ def _code(v: Column, bits: int) -> Column:
     e = F.floor(F.log2(a))
     steps = float(1 << bits)
     body = (e + 1100) * steps + F.floor(a / F.pow(F.lit(2.0), e) * steps)
-    # Largest finite exponents would overflow the division; they share the outermost code.
-    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * body).cast("long")
+    endless = F.signum(v) * float(1 << 40)
+    return F.when(v == 0, F.lit(0.0)).when(a == float("inf"), endless).otherwise(F.signum(v) * body).cast("long")
+
+
+def _cell(v: Column, low: Column, high: Column) -> Column:
+    """Number of the cell of v among ``CELLS`` equal ones over [low, high]; one cell where they are equal."""
+    return F.when(high > low, F.floor((v - low) / (high - low) * CELLS)).otherwise(F.lit(0)).cast("long")
+
+
+CELLS = 1024
+
+
+def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which missing keys are equal."""
+    named = right.select(*[F.col(c).alias(f"_r_{c}" if c in keys else c) for c in right.columns])
+    return left.join(named, [left[c].eqNullSafe(named[f"_r_{c}"]) for c in keys]).drop(*[f"_r_{c}" for c in keys])
 
 
 def order_statistics(df: DataFrame, by: Sequence[str], value: str, specs: dict[str, Rank],
@@ -58,7 +76,7 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, specs: dict[s
     counts = (src.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
               .groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
               .withColumn("_code", _code(F.col("_v"), bits)))
-    hist = counts.groupBy(*groups, "_code").agg(F.sum("_c").alias("_bc"))
+    hist = counts.groupBy(*groups, "_code").agg(F.sum("_c").alias("_bc"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
     run = Window.partitionBy(*groups).orderBy("_code").rowsBetween(Window.unboundedPreceding, -1)
     hist = (hist.withColumn("_before", F.coalesce(F.sum("_bc").over(run), F.lit(0)))
             .withColumn("_n", F.sum("_bc").over(Window.partitionBy(*groups))))
@@ -66,15 +84,19 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, specs: dict[s
     for i, name in enumerate(names):
         lo, hi, frac = specs[name](F.col("_n"))
         hist = hist.withColumns({f"_lo{i}": lo, f"_hi{i}": hi, f"_fr{i}": frac})
-    inside = None
-    for i in range(len(names)):
-        for edge in ("lo", "hi"):
-            r = F.col(f"_{edge}{i}")
-            test = (r >= F.col("_before")) & (r < F.col("_before") + F.col("_bc"))
-            inside = test if inside is None else inside | test
-    wanted = hist.where(inside)
-    order = Window.partitionBy(*groups, "_code").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    near = (counts.join(wanted, [*groups, "_code"])
+    inside = reduce(or_, [
+        (F.col(f"_{edge}{i}") >= F.col("_before")) & (F.col(f"_{edge}{i}") < F.col("_before") + F.col("_bc"))
+        for i in range(len(names)) for edge in ("lo", "hi")])
+    place = [*groups, "_code"]
+    rows = _same(counts, hist.where(inside), place).withColumn("_cell", _cell(F.col("_v"), F.col("_low"), F.col("_high")))
+    # The same step inside each wanted code.
+    below = Window.partitionBy(*place).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = [f"_{k}{i}" for i in range(len(names)) for k in ("lo", "hi", "fr")]
+    cells = rows.groupBy(*place, "_cell").agg(F.sum("_c").alias("_bc"), *[F.first(c).alias(c) for c in ("_before", "_n", *ranks)])
+    cells = cells.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_bc").over(below), F.lit(0))).where(inside)
+    place = [*place, "_cell"]
+    order = Window.partitionBy(*place).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    near = (_same(rows.select(*place, "_v", "_c"), cells, place)
             .withColumn("_s", F.col("_before") + F.coalesce(F.sum("_c").over(order), F.lit(0))))
     aggs = [F.max("_n").alias("_n")]
     for i in range(len(names)):
@@ -83,7 +105,9 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, specs: dict[s
             aggs.append(F.max(F.when((r >= F.col("_s")) & (r < F.col("_s") + F.col("_c")), F.col("_v"))).alias(f"_{edge}{i}"))
         aggs.append(F.max(f"_fr{i}").alias(f"_fr{i}"))
     out = near.groupBy(*groups).agg(*aggs)
-    cols = [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}")).alias(n)
-            for i, n in enumerate(names)]
+    cols = []
+    for i, n in enumerate(names):
+        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        cols.append(F.when((low == high) | (F.col(f"_fr{i}") == 0), low).otherwise(low + (high - low) * F.col(f"_fr{i}")).alias(n))
     extra = [F.col("_n").alias(count_name)] if count_name else []
     return out.select(*by, *extra, *cols)

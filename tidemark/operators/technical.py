@@ -1,8 +1,8 @@
 """Technical features over bars: one bounded row-frame window sort feeds every column.
 
 Inputs are bars keyed by ``asset_id`` and ordered by ``open_time``; each (asset, open_time) is unique.
-``prepare`` cuts the series into blocks with a 640-row halo, which covers the longest frame (200 rows),
-the trailing-120 EMA and, to below double rounding, the full-history EMA.
+``prepare`` cuts the series into blocks with a halo that covers the longest registered frame and, to below double
+rounding, the full-history EMA.
 """
 
 from __future__ import annotations
@@ -14,14 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import maths
-from tidemark.operators.blocks import block_window, blocked, owned
+from tidemark.operators.blocks import BLOCK, block_window, blocked, owned
 
 KEY = "asset_id"
 TIME = "open_time"
-HALO = 640
+LEAST_WEIGHT = 1e-17
 
 
-def prepare(bars: DataFrame, keys: Sequence[str] = (KEY,), halo: int = HALO) -> DataFrame:
+def prepare(bars: DataFrame, keys: Sequence[str] = (KEY,), halo: int = 1) -> DataFrame:
     """Blocked bars with the one-step log return ``_r`` and price difference ``_d``."""
     df = blocked(bars, list(keys), [TIME], lookback=halo)
     w = block_window(keys)
@@ -51,8 +51,11 @@ class Frames:
 
     def __init__(self) -> None:
         self.stats: dict[str, Column] = {}
+        self.halo = 1
+        self.periods: set[int] = set()
 
     def stat(self, kind: str, col: str, n: int, end: int = 0) -> Column:
+        self.halo = max(self.halo, n - end)  # the oldest row's own previous row included
         name = f"_s_{kind}_{col}_{n}_{-end}"
         if name not in self.stats:
             fn = {"avg": F.avg, "std": F.stddev_samp, "sum": F.sum}[kind]
@@ -60,6 +63,7 @@ class Frames:
         return F.col(name)
 
     def old(self, col: str, n: int) -> Column:
+        self.halo = max(self.halo, n)
         name = f"_l_{col}_{n}"
         if name not in self.stats:
             self.stats[name] = F.lag(col, n).over(block_window((KEY,)))
@@ -80,12 +84,19 @@ class Frames:
         value = F.when(loss == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + gain / loss))
         return full(value, n + 1) / 100
 
+    def ema_weight(self, period: int) -> float:
+        if period < 2:
+            raise ValueError("an EMA needs a period of at least 2")
+        self.periods.add(period)
+        return 2.0 / (period + 1)
+
     def ema_full(self, period: int) -> Column:
         """EMA over the whole history (first value is the seed), exact to double rounding.
 
-        The running sum starts at the block's halo: a value 640 rows back has weight below 1e-17.
+        The running sum starts at the block's halo, where a value's weight is below ``LEAST_WEIGHT``.
         """
-        a = 2.0 / (period + 1)
+        a = self.ema_weight(period)
+        self.halo = max(self.halo, math.ceil(math.log(LEAST_WEIGHT) / math.log(1 - a)))
         name = f"_run_{period}"
         if name not in self.stats:
             run = block_window((KEY,)).rowsBetween(Window.unboundedPreceding, 0)
@@ -98,7 +109,8 @@ class Frames:
         x_t-k has weight a(1-a)^k; the seed row keeps (1-a)^(seed-1).  Weights are anchored at the block
         start and all terms are positive.
         """
-        a, keep = 2.0 / (period + 1), 1 - 2.0 / (period + 1)
+        a = self.ema_weight(period)
+        keep = 1 - a
         scaled = self.stat("sum", f"_xg{period}", seed - 1)
         seeded = a * scaled / F.col(f"_g{period}") + keep ** (seed - 1) * self.old("close", seed - 1)
         return F.when(F.col("_idx") >= seed - 1, seeded).otherwise(self.ema_full(period))
@@ -140,8 +152,11 @@ class Frames:
 # --- whole-frame operators -----------------------------------------------------------------------
 
 
-def with_growth(df: DataFrame, periods: Sequence[int] = (12, 26)) -> DataFrame:
-    """Per-row weights of the EMA sums and the weighted closes."""
+def with_growth(df: DataFrame, periods: Sequence[int], halo: int) -> DataFrame:
+    """Per-row weights of the EMA sums and the weighted closes; they must stay inside a double over one block."""
+    for p in periods:
+        if (BLOCK + halo) * math.log((p + 1) / (p - 1)) > 600:
+            raise ValueError(f"an EMA of period {p} overflows over a block with a halo of {halo} rows")
     df = df.withColumn("_pos", F.row_number().over(block_window((KEY,))) - 1)
     df = df.withColumns({f"_g{p}": F.pow(F.lit((p + 1) / (p - 1)), F.col("_pos")) for p in periods})
     return df.withColumns({f"_xg{p}": F.col("close") * F.col(f"_g{p}") for p in periods})
@@ -157,21 +172,24 @@ ROW_INPUTS = {
 }
 
 
-def compute(df: DataFrame, build: Callable[[Frames], dict[str, Column]], extra: dict[str, Column] | None = None) -> DataFrame:
-    """Add the built features to prepared (blocked) bars; helper columns are dropped."""
+def compute(bars: DataFrame, build: Callable[[Frames], dict[str, Column]], extra: dict[str, Column] | None = None, halo: int = 1) -> DataFrame:
+    """Blocked bars with the built features; ``halo`` is what ``extra`` needs beyond them.  Helper columns are dropped."""
     frames = Frames()
     columns = build(frames)
+    halo = max(halo, frames.halo)
+    df = prepare(bars, halo=halo)
     names = " ".join(frames.stats)
     inputs = {c: f() for c, f in ROW_INPUTS.items() if f"_{c}_" in names}
-    if "_xg" in names or "_run_" in names:
-        df = with_growth(df)
+    periods = sorted(frames.periods)
+    if periods:
+        df = with_growth(df, periods, halo)
     out = df.withColumns(inputs).withColumns(frames.stats | (extra or {})).withColumns(columns)
-    return out.drop(*inputs, *frames.stats, "_pos", "_g12", "_g26", "_xg12", "_xg26")
+    return out.drop(*inputs, *frames.stats, "_pos", *[f"_{k}{p}" for p in periods for k in ("g", "xg")])
 
 
 def add_features(bars: DataFrame, build: Callable[[Frames], dict[str, Column]]) -> DataFrame:
     """Bars with the built features; halo rows are removed afterwards."""
-    return finish(compute(prepare(bars), build))
+    return finish(compute(bars, build))
 
 
 CRYPTO_RETURNS = (1, 3, 7, 14, 30, 60, 90)

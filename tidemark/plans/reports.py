@@ -201,7 +201,9 @@ def performance_report(models: DataFrame, asset_class: str = "crypto") -> DataFr
 
 
 def news_latest(news: DataFrame, n: int, key: str = "symbol") -> DataFrame:
-    n = min(max(int(n), 1), 100)
+    """Newest n news rows per key."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
     w = Window.partitionBy(key).orderBy(F.desc("published_at"), F.desc("doc_id"))
     return news.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -14,13 +15,14 @@ from tidemark.functions.times import norm_epoch
 from tidemark.schemas import FUNDING_REQUIRED, KLINE_COLUMNS, METRICS_REQUIRED
 
 CHUNK = 20_000
-LINES = "path string, line_no long, header string, line string"
+LINES = "path string, digest string, line_no long, header string, line string"
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines of the single CSV member of each archive, streamed in chunks."""
+    """Lines of the single CSV member of each archive with the archive's digest, streamed in chunks."""
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
+            digest = hashlib.sha256(content).hexdigest()
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
                 names = [n for n in archive.namelist() if n.endswith(".csv")]
                 if len(names) != 1:
@@ -32,10 +34,10 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         header = line if header is None else header
                         lines.append(line)
                         if len(lines) == CHUNK:
-                            yield pd.DataFrame({"path": path, "line_no": range(start, number + 1), "header": header, "line": lines})
+                            yield pd.DataFrame({"path": path, "digest": digest, "line_no": range(start, number + 1), "header": header, "line": lines})
                             lines, start = [], number + 1
                     if lines:
-                        yield pd.DataFrame({"path": path, "line_no": range(start, start + len(lines)), "header": header, "line": lines})
+                        yield pd.DataFrame({"path": path, "digest": digest, "line_no": range(start, start + len(lines)), "header": header, "line": lines})
 
 
 def zip_files(spark: SparkSession, path: str) -> DataFrame:
@@ -56,12 +58,12 @@ def _file_part(pattern: str, group: int = 1) -> Column:
     return F.regexp_extract("path", pattern, group)
 
 
-def _typed_klines(lines: DataFrame) -> DataFrame:
+def _typed_klines(lines: DataFrame, *also: str) -> DataFrame:
     """Positional columns of data lines; a header line has no digits in front and is dropped."""
     cells = F.split("line", ",")
-    df = lines.where(F.col("line").rlike("^[0-9]+,")).select("path", *[F.get(cells, F.lit(i)).alias(c) for i, c in enumerate(KLINE_COLUMNS)])
+    df = lines.where(F.col("line").rlike("^[0-9]+,")).select("path", *also, *[F.get(cells, F.lit(i)).alias(c) for i, c in enumerate(KLINE_COLUMNS)])
     doubles = [c for c in KLINE_COLUMNS if c not in ("open_time", "close_time", "trade_count", "ignore")]
-    return df.select("path", norm_epoch(F.col("open_time")).alias("open_time"), norm_epoch(F.col("close_time")).alias("close_time"),
+    return df.select("path", *also, norm_epoch(F.col("open_time")).alias("open_time"), norm_epoch(F.col("close_time")).alias("close_time"),
                      *[F.col(c).cast("double").alias(c) for c in doubles], F.col("trade_count").cast("long").alias("trade_count"))
 
 
@@ -70,8 +72,7 @@ NAME = r"([A-Za-z0-9_]+)-([0-9a-zA-Z]+)-\d{4}-\d{2}[^/]*$"
 
 def read_kline_archives(files: DataFrame, source: str = "spot_archive") -> DataFrame:
     """Spot klines: bars with asset and interval from the file name and the archive's checksum as lineage."""
-    sums = files.select("path", F.sha2("content", 256).alias("source_checksum"))
-    bars = _typed_klines(zip_lines(files)).join(sums, "path")
+    bars = _typed_klines(zip_lines(files), "digest").withColumnRenamed("digest", "source_checksum")
     return bars.select(_file_part(NAME, 1).alias("asset_id"), _file_part(NAME, 2).alias("interval"), *[c for c in bars.columns if c != "path"],
                        F.lit(source).alias("source"), F.col("close_time").alias("available_at"), F.lit(True).alias("is_final"))
 

@@ -2,11 +2,15 @@
 
 Transformations take and return streaming frames.  Sinks that update by key append each micro-batch to
 its own folder (rewriting that folder on replay, so a repeated batch changes nothing) and resolve the
-key at read time; nothing is ever overwritten in place, so a lost executor or a restart is harmless.
+key at read time; nothing else is overwritten, so a lost executor or a restart is harmless.  The folder
+names the run as well: a query whose checkpoint was lost counts its batches from 0 again, in a run of
+its own.  ``compact`` folds the stored batches of a table into one.
 """
 
 from __future__ import annotations
 
+import time as clock
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -104,37 +108,98 @@ def start(stream: DataFrame, path: str, each: Callable[[DataFrame, int], None] |
     return writer.format("parquet").option("path", f"{path}/data").start()
 
 
-def put_batch(batch: DataFrame, path: str, table: str, batch_id: int) -> None:
-    batch.write.mode("overwrite").parquet(f"{path}/{table}/batch={batch_id}")
+def _folder(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def run_name(spark: SparkSession, path: str) -> str:
+    """Name of the run that the checkpoint below ``path`` belongs to; it is kept with the checkpoint.
+
+    Names sort by the time the run began.
+    """
+    folder, fs = _folder(spark, f"{path}/_checkpoint/_run")
+    if fs.exists(folder):
+        return fs.listStatus(folder)[0].getPath().getName()
+    name = f"{int(clock.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
+    fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder, name))
+    return name
+
+
+def put_batch(batch: DataFrame, path: str, table: str, batch_id: int, run: str = "0") -> None:
+    batch.write.mode("overwrite").parquet(f"{path}/{table}/run={run}/batch={batch_id}")
+
+
+def keyed(path: str, each: Callable[[DataFrame, int, str], None]) -> Callable[[DataFrame, int], None]:
+    """A batch function that knows its run and whose batch is computed once, however often it is used."""
+    names: list[str] = []
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if not names:
+            names.append(run_name(batch.sparkSession, path))
+        batch = batch.persist()
+        try:
+            each(batch, batch_id, names[0])
+        finally:
+            batch.unpersist()
+
+    return run
+
+
+PLACE = ("run", "batch")
 
 
 def get_table(spark: SparkSession, path: str, table: str, schema) -> DataFrame:
-    """All stored batches of a table, empty before the first one; ``batch`` is a partition column."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
-    return spark.read.option("basePath", f"{path}/{table}").parquet(f"{path}/{table}")
+    """All stored batches of a table, empty before the first one; ``run`` and ``batch`` are partition columns."""
+    folder, fs = _folder(spark, f"{path}/{table}")
+    if not fs.exists(folder):
+        return spark.createDataFrame([], schema).withColumns({"run": F.lit("0"), "batch": F.lit(0)})
+    return stored(spark, path, table)
+
+
+def stored(spark: SparkSession, path: str, table: str) -> DataFrame:
+    rows = spark.read.option("basePath", f"{path}/{table}").parquet(f"{path}/{table}")
+    return rows.withColumn("run", F.col("run").cast("string"))
+
+
+def compact(spark: SparkSession, path: str, table: str, keys: Sequence[str], order: Sequence[Column] = ()) -> None:
+    """Fold the batches of a table into one: the winning row of each key, under ``order`` and then the
+    newest batch.  Rows move to a new folder before the old ones go, so an interruption leaves repeats, never gaps.
+
+    Run it between the runs of the table's queries; keys resolve to the same rows before and after.
+    """
+    _, fs = _folder(spark, path)
+    old = [s.getPath() for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{table}/run=*/batch=*"))]
+    if len(old) < 2:
+        return
+    kept = B.latest_wins(stored(spark, path, table), keys, [*order, F.desc("run"), F.desc("batch")])
+    # In the newest run, before its batches: whatever that run or a later one adds still wins.
+    run = max(f.getParent().getName() for f in old).removeprefix("run=")
+    kept.drop(*PLACE).write.parquet(f"{path}/{table}/run={run}/batch=-{int(clock.time() * 1000)}")
+    def age(folder) -> tuple[str, int]:
+        return folder.getParent().getName(), int(folder.getName().removeprefix("batch="))
+    for folder in sorted(old, key=age):  # oldest first, so that what is left wins at any time
+        fs.delete(folder, True)
 
 
 def upsert_sink(stream: DataFrame, path: str, **kw) -> StreamingQuery:
     """Idempotent keyed upsert of bars: deliveries are stored, ``upserted`` resolves them."""
-    return start(stream, path, lambda df, i: put_batch(df, path, "bars", i), **kw)
+    return start(stream, path, keyed(path, lambda df, i, run: put_batch(df, path, "bars", i, run)), **kw)
 
 
 def upserted(spark: SparkSession, path: str, keys: Sequence[str] = B.BAR_KEY, seq: str = "ingest_seq") -> DataFrame:
     """Current bars: a final bar wins over a non-final one, then the later batch, then the later arrival."""
-    rows = spark.read.option("basePath", f"{path}/bars").parquet(f"{path}/bars")
-    return B.latest_wins(rows, keys, [F.desc("is_final"), F.desc("batch"), F.desc(seq)]).drop("batch")
+    return B.latest_wins(stored(spark, path, "bars"), keys, [F.desc("is_final"), F.desc("run"), F.desc("batch"), F.desc(seq)]).drop(*PLACE)
 
 
 def latest_sink(stream: DataFrame, path: str, **kw) -> StreamingQuery:
     """Changed keys of an update-mode aggregate per micro-batch."""
-    return start(stream, path, lambda df, i: put_batch(df, path, "latest", i), mode="update", **kw)
+    return start(stream, path, keyed(path, lambda df, i, run: put_batch(df, path, "latest", i, run)), mode="update", **kw)
 
 
 def latest_of(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    rows = spark.read.option("basePath", f"{path}/latest").parquet(f"{path}/latest")
-    return B.latest_wins(rows, keys, [F.desc("batch")]).drop("batch")
+    return B.latest_wins(stored(spark, path, "latest"), keys, [F.desc("run"), F.desc("batch")]).drop(*PLACE)
 
 
 def cutoff_collect(stream: DataFrame, path: str, time: str = "ts", arrived: str = "arrived_at", close_minutes: int = 45, **kw) -> StreamingQuery:
@@ -145,30 +210,47 @@ def cutoff_collect(stream: DataFrame, path: str, time: str = "ts", arrived: str
     limit = F.date_trunc("day", F.col(time).cast("timestamp")) + F.expr(f"INTERVAL '1 00:{close_minutes}:00' DAY TO SECOND")
     late = F.col(arrived).cast("timestamp") > limit
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        put_batch(batch.where(~late), path, "kept", batch_id)
-        put_batch(batch.where(late).withColumn("code", F.lit("DERIVATIVE_CUTOFF_INCOMPLETE")), path, "issues", batch_id)
+    def each(batch: DataFrame, batch_id: int, run: str) -> None:
+        put_batch(batch.where(~late), path, "kept", batch_id, run)
+        put_batch(batch.where(late).withColumn("code", F.lit("DERIVATIVE_CUTOFF_INCOMPLETE")), path, "issues", batch_id, run)
+
+    return start(stream, path, keyed(path, each), **kw)
 
-    return start(stream, path, each, **kw)
 
+def append_once(stream: DataFrame, path: str, keys: Sequence[str], day: str | None = None, **kw) -> StreamingQuery:
+    """Append rows whose key is not stored yet, by any run; a key repeated inside a batch counts once.
 
-def append_once(stream: DataFrame, path: str, keys: Sequence[str], **kw) -> StreamingQuery:
-    """Append rows whose key is not stored by an earlier batch; a key repeated inside a batch counts once."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        stored = get_table(batch.sparkSession, path, "rows", batch.schema).where(F.col("batch") < batch_id)
-        put_batch(not_yet(batch.dropDuplicates(list(keys)), stored, keys), path, "rows", batch_id)
+    A batch that is replayed compares itself with every stored folder but its own.  ``day`` names a date or time
+    among the keys: stored rows outside the batch's range of it cannot match and are skipped by file statistics.
+    """
+    def each(batch: DataFrame, batch_id: int, run: str) -> None:
+        old = get_table(batch.sparkSession, path, "rows", batch.schema).where(~((F.col("run") == run) & (F.col("batch") == batch_id)))
+        if day is not None:
+            low, high = batch.agg(F.min(day), F.max(day)).first()
+            if low is not None:
+                old = old.where(F.col(day).between(F.lit(low), F.lit(high)) | F.col(day).isNull())
+        put_batch(not_yet(batch.dropDuplicates(list(keys)), old, keys), path, "rows", batch_id, run)
 
-    return start(stream, path, each, **kw)
+    return start(stream, path, keyed(path, each), **kw)
 
 
 def audited(stream: DataFrame, path: str, source: str, dataset: str, valid: Column, **kw) -> StreamingQuery:
-    """Store valid rows and one run row per micro-batch: read, written, succeeded or deferred."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        put_batch(batch.where(valid), path, "rows", batch_id)
-        counts = batch.agg(F.count(F.lit(1)).alias("records_read"), F.count_if(valid).alias("records_written"))
-        status = F.when(F.col("records_read") == 0, "deferred").otherwise("succeeded")
-        run = counts.select(F.lit(str(batch_id)).alias("run_id"), F.lit(source).alias("source"), F.lit(dataset).alias("dataset"),
-                            status.alias("status"), "records_read", "records_written")
-        put_batch(run, path, "runs", batch_id)
-
-    return start(stream, path, each, **kw)
+    """Store valid rows and one run row per micro-batch: read, written, succeeded, deferred or failed.
+
+    A failed batch leaves its row and stops the query; when it is repeated with success, the row is replaced.
+    """
+    def row(spark: SparkSession, batch_id: int, status: str, read: int, written: int) -> DataFrame:
+        return spark.createDataFrame([(str(batch_id), source, dataset, status, read, written)],
+                                     "run_id string, source string, dataset string, status string, records_read long, records_written long")
+
+    def each(batch: DataFrame, batch_id: int, run: str) -> None:
+        spark = batch.sparkSession
+        try:
+            put_batch(batch.where(valid), path, "rows", batch_id, run)
+            read, written = batch.agg(F.count(F.lit(1)), F.count_if(valid)).first()
+        except Exception:
+            put_batch(row(spark, batch_id, "failed", 0, 0), path, "runs", batch_id, run)
+            raise
+        put_batch(row(spark, batch_id, "succeeded" if read else "deferred", read, written), path, "runs", batch_id, run)
+
+    return start(stream, path, keyed(path, each), **kw)

@@ -63,10 +63,12 @@ def quality_bar(spark, d):
     return out.groupBy("asset_id", F.array_join("violations", ",").alias("violations")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("quality_batch", f"""WITH {SQL_FAULTY} SELECT asset_id, {big('count(*)', 'rows')}, {big('count(*) - count(DISTINCT open_time)', 'duplicates')}, {big('count(*) FILTER (WHERE open <= 0 OR high <= 0 OR low <= 0 OR close <= 0)', 'non_positive')},
- {big('count(*) FILTER (WHERE high < greatest(open, close))', 'bad_high')}, {big('count(*) FILTER (WHERE low > least(open, close))', 'bad_low')}, {big('count(*) FILTER (WHERE volume < 0 OR quote_volume < 0 OR trade_count < 0)', 'negative_activity')} FROM fb GROUP BY 1""")
+@query("quality_batch", f"""WITH {SQL_FAULTY}, o AS (SELECT *, lag(open_time) OVER (PARTITION BY asset_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, open_time) AS p FROM fb)
+ SELECT asset_id, {big('count(*)', 'rows')}, {big('count(*) FILTER (WHERE open_time < p)', 'regressions')}, {big('count(*) - count(DISTINCT open_time)', 'duplicates')}, {big('count(*) FILTER (WHERE open <= 0 OR high <= 0 OR low <= 0 OR close <= 0)', 'non_positive')},
+ {big('count(*) FILTER (WHERE high < greatest(open, close))', 'bad_high')}, {big('count(*) FILTER (WHERE low > least(open, close))', 'bad_low')}, {big('count(*) FILTER (WHERE volume < 0 OR quote_volume < 0 OR trade_count < 0)', 'negative_activity')} FROM o GROUP BY 1""")
 def quality_batch(spark, d):
-    return Q.quality_batch(faulty_bars(spark, d), ["asset_id"], ["open_time"])
+    rows = faulty_bars(spark, d).withColumn("seq", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "open_time"))
+    return Q.quality_batch(rows, ["asset_id"], ["open_time"], "seq")
 
 
 @query("quality_finite", """SELECT l_returnflag, CAST(count(*) FILTER (WHERE l_discount <= 0) AS BIGINT) AS bad_l_discount, CAST(count(*) FILTER (WHERE l_tax <= 0) AS BIGINT) AS bad_l_tax,
@@ -562,12 +564,19 @@ def promote_production(spark, d):
 CUT = "2001-07-30"
 
 
+def asset_ids(spark, d):
+    """The traded assets and those of the dimension, which have no snapshots here."""
+    traded = t.load(spark, d, "orders").select(F.col("o_orderstatus").alias("asset_id"))
+    return traded.unionByName(t.load(spark, d, "nation").select(F.col("n_name").alias("asset_id"))).distinct()
+
+
 @query("readiness_history", f"""WITH {t.SQL_SNAPS}, k AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY snapshot_time DESC) AS rn FROM snaps WHERE is_complete AND snapshot_time <= TIMESTAMP '{CUT}' QUALIFY rn <= 90),
 f AS (SELECT asset_id, rn, CASE WHEN snapshot_time <> TIMESTAMP '{CUT}' - to_days((rn - 1)::INT) THEN 'gap' WHEN available_at > TIMESTAMP '{t.NOW}' OR source_max_event_time >= snapshot_time THEN 'as_of_violation' END AS fault FROM k),
 g AS (SELECT asset_id, count(*) AS days, arg_max(fault, rn) FILTER (WHERE fault IS NOT NULL) AS fault FROM f GROUP BY 1)
-SELECT asset_id, {big('days')}, CASE WHEN days < 90 THEN days || '/90' ELSE coalesce(fault, '') END AS reason, days >= 90 AND fault IS NULL AS ready FROM g""")
+SELECT asset_id, {big('coalesce(days, 0)', 'days')}, CASE WHEN coalesce(days, 0) < 90 THEN coalesce(days, 0) || '/90' ELSE coalesce(fault, '') END AS reason, coalesce(days, 0) >= 90 AND fault IS NULL AS ready
+ FROM (SELECT DISTINCT o_orderstatus AS asset_id FROM orders UNION SELECT n_name FROM nation) LEFT JOIN g USING (asset_id)""")
 def readiness_history(spark, d):
-    return G.readiness_history(t.order_snapshots(spark, d), t.ts(CUT), t.ts(t.NOW))
+    return G.readiness_history(t.order_snapshots(spark, d), t.ts(CUT), t.ts(t.NOW), assets=asset_ids(spark, d))
 
 
 @query("readiness_spot", f"""WITH {t.SQL_BARS}, a AS (SELECT asset_id, count(*) AS rows, max(open_time) AS last_time FROM bars WHERE open_time <= TIMESTAMP '2001-07-01' GROUP BY 1), b AS (SELECT *, rows >= 365 AND last_time = TIMESTAMP '2001-07-01' AS own FROM a)
