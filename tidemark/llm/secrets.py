@@ -76,7 +76,7 @@ def _terms(tree) -> list[Query]:
 
     def flush() -> None:
         nonlocal now
-        need = [trigrams(s) for s in now]
+        need = [trigrams(s) for s in sorted(now)]
         if all(need):
             terms.append([q for q in need if not any(o < q for o in need)])
         now = {""}
