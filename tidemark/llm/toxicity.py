@@ -47,9 +47,9 @@ def word_terms(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:n] for n in PREFIXES if len(word) > n)]
 
 
-def _term_array(text: Column) -> Column:
-    """``word_terms`` of all words of a text, each once, as a column; only feeds the choice of terms."""
-    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
+def _term_array(words: Column) -> Column:
+    """``word_terms`` of all words, each once, as a column; only feeds the choice of terms."""
+    words = F.array_distinct(words)
     parts = [F.transform(words, lambda w: F.concat(F.lit("="), w))]
     for n in PREFIXES:
         longer = F.filter(words, lambda w: F.length(w) > n)  # noqa: B023 - called at once
@@ -58,7 +58,7 @@ def _term_array(text: Column) -> Column:
 
 
 def examples(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, toxic) of at most ``examples_per_class`` rows a class, and how many labelled rows each class has.
+    """(doc_id, text, words, toxic) of at most ``examples_per_class`` rows a class, and how many labelled rows each class has.
 
     The rows have the least hash of their id; a document with several labels is toxic if any says so.  Of near copies
     (equal least shingle hash under any of three seeds) one stays.
@@ -71,12 +71,12 @@ def examples(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[Da
     first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = marked.withColumn("at", F.row_number().over(first)).where(F.col("at") <= settings.examples_per_class).select(F.col("doc_id").alias("example_id"), "toxic")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("example_id")).drop("example_id")
-    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")
-    rows = stage(rows.withColumn("shingles", F.transform(words, lambda w, k: F.concat_ws(" ", w, F.get(words, k + 1), F.get(words, k + 2)))))
+    # the words are written out: an expression inside a lambda would split the text again for every word
+    rows = stage(rows.withColumn("words", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")))
     for seed in range(3):
-        least = F.array_min(F.transform("shingles", lambda p: F.xxhash64(p, F.lit(seed))))  # noqa: B023 - called at once
-        rows = rows.groupBy("toxic", least.alias("least")).agg(F.min_by(F.struct("doc_id", "text", "shingles"), "doc_id").alias("r")).select("toxic", "r.*")
-    rows = stage(rows.drop("shingles"))
+        shingle = F.transform("words", lambda w, k: F.xxhash64(F.concat_ws(" ", w, F.get("words", k + 1), F.get("words", k + 2)), F.lit(seed)))  # noqa: B023 - called at once
+        rows = rows.groupBy("toxic", F.array_min(shingle).alias("least")).agg(F.min_by(F.struct("doc_id", "text", "words"), "doc_id").alias("r")).select("toxic", "r.*")
+    rows = stage(rows)
     return rows, totals
 
 
@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     rows, totals = examples(docs, labels, settings)
     sizes = {int(r["toxic"]): int(r["count"]) for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    counted = rows.select("toxic", F.explode(_term_array(F.col("text"))).alias("term")).where(F.length("term") > 1).groupBy("term").agg(F.sum("toxic").alias("d1"), F.count(F.lit(1)).alias("d"))
+    counted = rows.select("toxic", F.explode(_term_array(F.col("words"))).alias("term")).where(F.length("term") > 1).groupBy("term").agg(F.sum("toxic").alias("d1"), F.count(F.lit(1)).alias("d"))
     share = F.col("d") / F.lit(max(1, n1 + n0))
     gap = F.col("d1") / F.lit(max(1, n1)) - (F.col("d") - F.col("d1")) / F.lit(max(1, n0))
     z = F.abs(gap) / F.sqrt(share * (1 - share) * F.lit(1 / max(1, n1) + 1 / max(1, n0)) + F.lit(1e-12))
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         count = Counts(number)
         return lambda texts: ((list((c := count(t)).keys()), list(c.values())) for t in texts)
 
-    counted = map_texts(rows, "term array<long>, tf array<long>", make, whole=True)
+    counted = map_texts(rows.drop("words"), "term array<long>, tf array<long>", make, whole=True)
     vectors = [(r["doc_id"], r["toxic"], dict(zip(r["term"], r["tf"]))) for r in counted.select("row.doc_id", "row.toxic", "term", "tf").collect()]
     return Model(names, idf, sorted(vectors, key=lambda v: (v[0], v[1])), totals, settings)
 
