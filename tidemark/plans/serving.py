@@ -67,14 +67,25 @@ def fold_metrics(samples: DataFrame, scored: DataFrame, horizon: int, ppy: int,
 
 
 def train(samples: DataFrame, folds: Sequence[str], features: Sequence[str], horizon: int, ppy: int = 252, scale_feature: str = "volatility_60s",
-          risk_feature: str = "volatility_20s", seeds: Sequence[int] = SEEDS, **tree) -> tuple[DataFrame, DataFrame]:
-    """(fold metrics, one manifest row with both gate decisions)."""
+          risk_feature: str = "volatility_20s", seeds: Sequence[int] = SEEDS, version: str = "tidemark-1", **tree) -> tuple[DataFrame, DataFrame, Bundle]:
+    """(fold metrics, one manifest row, the bundle fitted on all rows).
+
+    The manifest holds both gate decisions and everything a scorer needs beside the models: temperature, blend weight
+    and interval multiplier of the newest fold (never fitted on an outer test period), class shares and feature
+    medians of all rows.
+    """
     scored = train_folds(samples, folds, features, seeds, **tree)
     metrics = fold_metrics(samples, scored, horizon, ppy, scale_feature, risk_feature)
     metrics = tagged = stage(metrics.withColumn("horizon_days", F.lit(horizon)))
     gates = G.gate_direction(tagged, ["horizon_days"]).select("horizon_days", "brier", "baseline_brier", "ece", "direction_passed").join(
         G.gate_scenario(tagged, ["horizon_days"]).select("horizon_days", "coverage", "scenario_passed"), "horizon_days")
-    return metrics, gates.withColumn("production_eligible", F.col("scenario_passed"))
+    bundle = final_fit(samples, metrics, features, version, seeds, **tree)
+    stored = bundle.parameters.select(
+        F.lit(version).alias("version"), F.col("temperature"), F.col("weight").alias("probability_blend_weight"), F.col("multiplier").alias("conformal_multiplier"),
+        *[F.col(f"q{k}").alias(f"prior_{k}") for k in range(3)], "sample_count",
+        F.create_map(*[x for f in features for x in (F.lit(f), F.col(f"r_{f}"))]).alias("feature_reference"))
+    decided = gates.withColumns({"direction_eligible": F.col("direction_passed"), "scenario_eligible": F.col("scenario_passed"), "production_eligible": F.col("scenario_passed")})
+    return metrics, stage(decided.join(stored, how="cross")), bundle
 
 
 @dataclass
@@ -109,6 +120,18 @@ def fit_bundle(train_rows: DataFrame, validation: DataFrame, features: Sequence[
     return Bundle(d, q, r, params, features, version)
 
 
+def final_fit(samples: DataFrame, metrics: DataFrame, features: Sequence[str], version: str, seeds: Sequence[int] = SEEDS, **tree) -> Bundle:
+    """Models refitted on every sample once, whatever folds it is in, with the calibration of the newest fold."""
+    rows = stage(samples.dropDuplicates(["asset_id", "snapshot_time"]))
+    ready = stage(M.vectors(rows.withColumn("target_risk", maths.target_risk(F.col("target_volatility"))), features))
+    d, q, r = M.fit_direction(ready, seeds, **tree), M.fit_quantiles(ready), M.fit_risk(ready)
+    newest = metrics.orderBy(F.desc("fold")).limit(1).select(
+        F.lit(1).alias("k"), "temperature", F.col("probability_blend_weight").alias("weight"), F.col("conformal_multiplier").alias("multiplier"))
+    shares = rows.agg(F.count(F.lit(1)).alias("sample_count"), *[F.avg((F.col("y") == k).cast("double")).alias(f"q{k}") for k in range(3)]).withColumn("k", F.lit(1))
+    medians = S.median_reference(rows, features).select(F.lit(1).alias("k"), *[F.col(f).alias(f"r_{f}") for f in features])
+    return Bundle(d, q, r, stage(newest.join(shares, "k").join(medians, "k")), features, version)
+
+
 def score(bundle: Bundle, rows: DataFrame, scale: Column) -> DataFrame:
     """Calibrated probabilities, widened sorted quantiles and risk for any feature rows."""
     ready = M.vectors(rows.drop("q0", "q1", "q2"), bundle.features)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions import maths
 from tidemark.operators import calibration as C
-from tidemark.operators import derivatives as D
+from tidemark.operators import features as FE
 from tidemark.operators import gates as G
 from tidemark.operators import labels as L
 from tidemark.operators import macro as MA
@@ -204,24 +204,43 @@ def job_collect_derivatives(spark, d):
 
 # --- training, scoring, experiments --------------------------------------------------------------
 
+def trained(spark, d):
+    """Metrics, manifest and final bundle, fitted once per session and table folder."""
+    key = (spark.sparkContext.applicationId, d, "trained")
+    if key not in _staged:
+        _staged[key] = SV.train(samples(spark, d), FOLDS, FEATS, 30, seeds=schemas.SEEDS[:1], **SMALL)
+    return _staged[key]
+
+
 @query("job_train")
 def job_train(spark, d):
-    return SV.train(samples(spark, d), FOLDS, FEATS, 30, seeds=schemas.SEEDS[:1], **SMALL)[1]
+    manifest = trained(spark, d)[1]
+    reference = F.array_sort(F.transform(F.map_entries("feature_reference"), lambda e: F.concat_ws("=", e["key"], F.round(e["value"], 6).cast("string"))))
+    return manifest.withColumn("feature_reference", F.array_join(reference, ","))
 
 
 def _daily(spark, d, equity):
-    s = samples(spark, d)
-    feats = s.where(f"fold = '{FOLDS[-1]}' and role = 'test'")
+    """Every ready asset's prediction for the newest session with enough features, by the final bundle."""
+    _, manifest, final = trained(spark, d)
+    feats = newest_features(spark, d)
     cutoff = feats.agg(F.max("snapshot_time")).scalar()
-    ready = G.readiness_spot(t.daily_bars(spark, d).where(F.col("open_time") <= cutoff), cutoff, t.BENCH, 252 if equity else 365)
+    ready = G.readiness_spot(t.daily_bars(spark, d).where(F.col("open_time") <= cutoff), cutoff, t.BENCH, 252 if equity else 365, assets=t.part_assets(spark, d).select("asset_id"))
     stored = spark.createDataFrame([], "asset_id string, snapshot_time timestamp_ntz, version string")
-    model = {"direction_eligible": not equity, "scenario_eligible": True}
+    model = manifest.select("direction_eligible", "scenario_eligible").first().asDict()
     now = feats.agg(F.max("snapshot_time") + F.expr("INTERVAL 1 HOUR")).scalar()
-    out = SV.daily_score(bundle(spark, d), feats, ready, cutoff, now, model, stored, C.horizon_scale(F.col(SCALE[0]), *SCALE[1:]), equity, F.lit(True))
+    out = SV.daily_score(final, feats, ready, cutoff, now, model, stored, C.horizon_scale(F.col(SCALE[0]), *SCALE[1:]), equity, F.lit(True))
     lists = {c: F.array_join(c, ",") for c in ("positive", "negative", "limitations")}
     return out.withColumns(lists)
 
 
+def newest_features(spark, d):
+    """Feature rows of the newest session on which the benchmark is complete; these have no labels yet."""
+    rows = FE.complete_samples(FE.equity_snapshots(t.daily_bars(spark, d), t.BENCH, trend_limit=0.2, vol_limit=15.0), FEATS)
+    rows = stage(rows.select("asset_id", "snapshot_time", *FEATS))
+    last = rows.where(F.col("asset_id") == t.BENCH).agg(F.max("snapshot_time")).scalar()
+    return rows.where(F.col("snapshot_time") == last)
+
+
 @query("job_daily_score_crypto")
 def job_daily_score_crypto(spark, d):
     return _daily(spark, d, False)
