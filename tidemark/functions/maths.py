@@ -25,10 +25,6 @@ def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
 
-def ratio_or(num: Column, den: Column, default: float) -> Column:
-    return F.when(den > 0, num / den).otherwise(F.lit(default))
-
-
 # --- labels --------------------------------------------------------------------------------------
 
 

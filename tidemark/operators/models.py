@@ -18,7 +18,6 @@ from tidemark.operators.quantiles import linear, order_statistics
 from tidemark.schemas import SEEDS
 
 Scorer = Callable[[DataFrame], DataFrame]
-TREES = {"trees": 40, "depth": 6, "min_leaf": 40, "subset": 0.8}
 
 
 def vectors(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:

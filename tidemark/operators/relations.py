@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.blocks import index_rows
 
 
 def prediction_rows(pred: DataFrame, assets: DataFrame, models: DataFrame, feats: DataFrame,
@@ -106,7 +105,3 @@ def unpivot_features(df: DataFrame, ids: Sequence[str], names: Sequence[str]) ->
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
-def series_index(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return index_rows(df, keys, order)

@@ -2,27 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-
-# --- table schemas -------------------------------------------------------------------------------
-
-PRICE = T.DecimalType(28, 10)
-AMOUNT = T.DecimalType(36, 12)
-
-
-def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
+from collections.abc import Sequence
 
+from pyspark.sql import DataFrame
 
-PRICE_BARS = _struct(
-    ("asset_id", T.StringType()), ("open_time", T.TimestampType()), ("close_time", T.TimestampType()),
-    ("interval", T.StringType()), ("open", PRICE), ("high", PRICE), ("low", PRICE), ("close", PRICE),
-    ("volume", AMOUNT), ("quote_volume", AMOUNT), ("trade_count", T.LongType()),
-    ("taker_buy_base_volume", AMOUNT), ("taker_buy_quote_volume", AMOUNT),
-    ("is_final", T.BooleanType()), ("available_at", T.TimestampType()), ("source", T.StringType()),
-    ("source_checksum", T.StringType()), ("ingested_at", T.TimestampType()),
-)
+# --- fixed values: columns of files and tables ----------------------------------------------------
 
 # One kline archive line: twelve positional columns, all read as text and cast afterwards.
 KLINE_COLUMNS = (
@@ -38,19 +22,9 @@ DERIVATIVE_VALUES = (
     "funding_rate", "premium", "futures_quote_volume", "futures_taker_buy_ratio",
     "open_interest_value", "long_short_ratio", "taker_long_short_ratio",
 )
-INGESTION_RUNS = _struct(
-    ("run_id", T.StringType()), ("source", T.StringType()), ("dataset", T.StringType()),
-    ("started_at", T.TimestampType()), ("completed_at", T.TimestampType()), ("status", T.StringType()),
-    ("records_read", T.LongType()), ("records_written", T.LongType()), ("error", T.StringType()),
-)
-
 # --- fixed values: catalogue, feature names, horizons, seeds ------------------------------------
 
 CRYPTO_SYMBOLS = ("BTCUSDT", "ETHUSDT", "SOLUSDT", "BNBUSDT", "XRPUSDT", "ADAUSDT", "LINKUSDT", "DOGEUSDT")
-EQUITY_SYMBOLS = (
-    "SPY", "QQQ", "IWM", "DIA", "XLK", "XLF", "XLE", "XLV", "AAPL", "MSFT", "NVDA", "AMZN", "GOOGL",
-    "META", "TSLA", "JPM", "V", "XOM", "UNH", "WMT",
-)
 CRYPTO_BENCHMARK = "BTCUSDT"
 EQUITY_BENCHMARK = "SPY"
 HORIZONS = (30, 90)
@@ -85,6 +59,10 @@ EQUITY_MACRO_FEATURES = (
     "benchmark_return_20s", "benchmark_return_60s", "benchmark_volatility_20s",
     "benchmark_volatility_60s", "benchmark_trend_strength_60s", "benchmark_market_regime",
 )
+MACRO_FEATURES = (
+    "benchmark_return_20s", "benchmark_return_60s", "benchmark_volatility_20s",
+    "benchmark_volatility_60s", "benchmark_trend_strength_60s", "benchmark_market_regime",
+)
 MACRO_SERIES = {
     "VIXCLS": "vix", "DGS2": "treasury_2y", "DGS10": "treasury_10y", "NFCI": "financial_conditions",
 }
@@ -92,23 +70,12 @@ MACRO_FEATURES = (
     "vix_level", "vix_change_5s", "vix_zscore_60s", "treasury_10y_level", "yield_curve_10y_2y",
     "yield_curve_change_20s", "financial_conditions_level", "financial_conditions_change_20s",
 )
-FEATURE_SETS = {
-    "crypto-daily-v2": SPOT_FEATURES + DERIVATIVE_FEATURES,
-    "us-equity-daily-v1": EQUITY_FEATURES,
-    "us-equity-daily-v1+spy-macro-exp1": EQUITY_FEATURES + EQUITY_MACRO_FEATURES,
-}
-CRYPTO_GROUPS = {
-    "spot": SPOT_FEATURES,
-    "derivatives": DERIVATIVE_FEATURES,
-    "cross_sectional": CROSS_SECTION_FEATURES,
-}
+EQUITY_MACRO_SET = "us-equity-daily-v1+spy-macro-exp1"
 
 
-def validate_schema(df: DataFrame, version: str) -> DataFrame:
-    """Reject a frame that lacks a column of the named feature set."""
-    if version not in FEATURE_SETS:
-        raise ValueError(f"unknown feature set version {version!r}")
-    missing = [name for name in FEATURE_SETS[version] if name not in df.columns]
+def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The frame itself; a lacking column fails at once."""
+    missing = sorted(set(columns) - set(df.columns))
     if missing:
-        raise ValueError(f"feature set {version} lacks: {', '.join(missing)}")
+        raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
