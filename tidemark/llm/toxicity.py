@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -68,8 +70,12 @@ def examples(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[Da
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     )
     totals = {int(r["toxic"]): int(r["count"]) for r in marked.groupBy("toxic").count().collect()}
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = marked.withColumn("at", F.row_number().over(first)).where(F.col("at") <= settings.examples_per_class).select(F.col("doc_id").alias("example_id"), "toxic")
+    # Hashes are uniform: twice the wanted share of them holds the least ones, and only those are sorted.
+    h = F.xxhash64("doc_id")
+    shares = {c: min(1.0, (2 * settings.examples_per_class + 256) / n) for c, n in totals.items()}
+    low = reduce(or_, [(F.col("toxic") == c) & (h <= int((s - 0.5) * 2 ** 64) if s < 1 else F.col("toxic") == c) for c, s in shares.items()], F.lit(False))
+    first = Window.partitionBy("toxic").orderBy(h, "doc_id")
+    ids = marked.where(low).withColumn("at", F.row_number().over(first)).where(F.col("at") <= settings.examples_per_class).select(F.col("doc_id").alias("example_id"), "toxic")
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("example_id")).drop("example_id")
     # the words are written out: an expression inside a lambda would split the text again for every word
     rows = stage(rows.withColumn("words", F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+")))
