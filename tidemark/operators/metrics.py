@@ -138,13 +138,47 @@ def join_metrics(frames: Sequence[DataFrame], by: Sequence[str]) -> DataFrame:
 
 
 def summary(df: DataFrame, by: Sequence[str], baseline: str | None = None, bins: int = 10) -> DataFrame:
-    """One metric row per key: Brier with skill against a baseline forecast, calibration, decomposition."""
+    """One metric row per key: Brier with skill against a baseline forecast, calibration, decomposition.
+
+    One pass: every row goes to three class cells and one top-label cell (kind 3), which carries the row's own sums.
+    """
     by = list(by)
-    aggs = [F.count(F.lit(1)).alias("sample_count"), accuracy_expr(), logloss_expr()]
+    y, conf = F.col("y"), F.greatest(*probs())
+    zero = F.lit(0.0)
+
+    def cell(kind: int, f: Column, ok: Column, slot: Column, *sums: Column) -> Column:
+        named = [c.cast("double").alias(n) for c, n in zip((f, ok, *sums), ("f", "ok", "nll", "base"))]
+        return F.struct(F.lit(kind).alias("kind"), slot.cast("int").alias("bin"), *named)
+
+    edges = functools.reduce(lambda a, b: a + b, [(conf > i / bins).cast("int") for i in range(1, bins)])
+    base_loss = maths.row_brier(y, probs(baseline)) if baseline else zero
+    cells = [cell(k, F.col(p), y == k, F.least(F.floor(maths.clamp(F.col(p), 0.0, 1.0) * bins), F.lit(bins - 1)), zero, zero) for k, p in enumerate(P)]
+    cells.append(cell(3, conf, maths.argmax(probs()) == y, F.when((conf > 0) & (conf <= 1), edges).otherwise(-1), maths.row_nll(y, probs()), base_loss))
+    rows = df.select(*by, F.explode(F.array(*cells)).alias("c")).select(*by, "c.*")
+    binned = rows.groupBy(*by, "kind", "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("f").alias("sf"), F.sum("ok").alias("so"),
+        F.sum((F.col("f") - F.col("ok")) * (F.col("f") - F.col("ok"))).alias("s2"), F.sum("nll").alias("nll"), F.sum("base").alias("base"))
+    per_kind = Window.partitionBy(*by, "kind")
+    binned = binned.withColumns({"_N": F.sum("n").over(per_kind), "_rate": F.sum("so").over(per_kind) / F.sum("n").over(per_kind)})
+    share, rate = F.col("n") / F.col("_N"), F.col("so") / F.col("n")
+    gap, lift = F.col("sf") / F.col("n") - rate, rate - F.col("_rate")
+
+    def classes(value: Column) -> Column:
+        return F.sum(F.when(F.col("kind") < 3, value))
+
+    def top(value: Column) -> Column:
+        return F.sum(F.when(F.col("kind") == 3, value))
+
+    total, miss = top(F.col("n")), F.abs(F.col("so") - F.col("sf"))
+    aggs = [total.alias("sample_count"), (top(F.col("so")) / total).alias("accuracy"), (top(F.col("nll")) / total).alias("log_loss")]
     if baseline:
-        aggs.append(brier_expr(baseline, "baseline_brier"))
-    parts = [df.groupBy(*by).agg(*aggs), murphy(df, by, bins), ece(df, by, bins), ece_classwise(df, by, bins)]
-    out = join_metrics(parts, by)
+        aggs.append((top(F.col("base")) / total).alias("baseline_brier"))
+    out = binned.groupBy(*by).agg(
+        *aggs, classes(share * gap * gap).alias("reliability"), classes(share * lift * lift).alias("resolution"),
+        classes(share * F.col("_rate") * (1 - F.col("_rate"))).alias("uncertainty"), (classes(F.col("s2")) / total).alias("brier"),
+        (top(F.when(F.col("bin") >= 0, miss).otherwise(0.0)) / total).alias("ece"), (classes(miss) / classes(F.col("n"))).alias("classwise_ece"))
+    whole = F.col("reliability") - F.col("resolution") + F.col("uncertainty")
+    out = out.withColumn("decomposed_brier", whole).withColumn("binning_gap", F.col("brier") - whole)
     if baseline:
         out = out.withColumns({"brier_skill_score": bss(F.col("brier"), F.col("baseline_brier")),
                                "brier_delta": F.col("brier") - F.col("baseline_brier")})

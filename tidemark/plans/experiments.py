@@ -84,12 +84,8 @@ def intervals_against(test: DataFrame, reference: str, block: int, iterations: i
     """
     daily = stage(ME.daily_loss(test, ["variant", "fold"]))
     base = daily.where(F.col("variant") == reference).drop("variant")
-    names = [r["variant"] for r in daily.select("variant").distinct().collect() if r["variant"] != reference]
-    parts = []
-    for name in sorted(names):
-        diff = BS.paired_difference(base, daily.where(F.col("variant") == name).drop("variant"))
-        parts.append(BS.block_bootstrap(diff, block, iterations).withColumn("variant", F.lit(name)))
-    return union(parts)
+    diff = BS.paired_difference(base, daily.where(F.col("variant") != reference), by=["variant"])
+    return BS.block_bootstrap(diff, block, iterations, by=["variant"])
 
 
 # --- experiments ---------------------------------------------------------------------------------

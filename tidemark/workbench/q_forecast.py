@@ -435,7 +435,7 @@ def regime_bucket(spark, d):
 
 # --- bootstrap -----------------------------------------------------------------------------------
 
-ITER, BLOCK = 200, 5
+ITER, BLOCK = 2000, 5
 SQL_BOOT = f"""{P}, dl AS (SELECT fold, date_trunc('day', snapshot_time) AS day, avg({RB}) - avg({RBB}) AS diff FROM pred GROUP BY 1, 2),
 po AS (SELECT fold, diff, row_number() OVER (PARTITION BY fold ORDER BY day) - 1 AS position, count(*) OVER (PARTITION BY fold) AS n FROM dl),
 it AS (SELECT fold, n, i AS iteration, b AS block_no FROM (SELECT DISTINCT fold, n FROM po) f, range(0, {ITER}) a(i), range(0, CAST(ceil(n / {BLOCK}.0) AS BIGINT)) c(b)),
@@ -456,6 +456,6 @@ def join_bootstrap_index(spark, d):
     return BS.iteration_means(_diff(spark, d), BLOCK, ITER)
 
 
-@query("met_block_bootstrap", f"WITH {SQL_BOOT} SELECT {rexp('quantile_cont(mean_difference, 0.025)', 'ci_lower')}, {rexp('quantile_cont(mean_difference, 0.975)', 'ci_upper')}, {big('count(*)', 'iterations')} FROM mn".replace(f"range(0, {ITER})", "range(0, 2000)"))
+@query("met_block_bootstrap", f"WITH {SQL_BOOT} SELECT {rexp('quantile_cont(mean_difference, 0.025)', 'ci_lower')}, {rexp('quantile_cont(mean_difference, 0.975)', 'ci_upper')}, {big('count(*)', 'iterations')} FROM mn")
 def met_block_bootstrap(spark, d):
     return BS.block_bootstrap(_diff(spark, d), BLOCK)
