@@ -196,10 +196,11 @@ def exp_direction(samples: DataFrame, folds: Sequence[str], features: Sequence[s
     return mean_report(fold_report(long)).join(intervals_against(long, "multiclass", horizon, iterations), "variant", "left")
 
 
-def exp_macro(samples: DataFrame, macro: DataFrame, folds: Sequence[str], features: Sequence[str], macro_features: Sequence[str], **tree) -> DataFrame:
+def exp_macro(samples: DataFrame, macro: DataFrame, folds: Sequence[str], features: Sequence[str], macro_features: Sequence[str],
+              seeds: Sequence[int] = SEEDS[:3], **tree) -> DataFrame:
     """With and without lagged macro features, on the rows that have both."""
     joined = stage(with_prior(MA.attach_macro(samples, macro).dropna(subset=list(macro_features))))
-    val, test = split_roles(variant_scores(joined, folds, {"without": features, "with": [*features, *macro_features]}, SEEDS[:1], **tree))
+    val, test = split_roles(variant_scores(joined, folds, {"without": features, "with": [*features, *macro_features]}, seeds, **tree))
     return mean_report(fold_report(stage(C.temperature_blend(val, test, VF))))
 
 
@@ -250,6 +251,8 @@ def fit_linear_selected(train: DataFrame, sets: dict[str, Sequence[str]], cs: Se
     """Feature set and strength chosen on the final training year, then refitted on all training rows."""
     inner = stage(L.inner_year(train))
     fit, sel = inner.where("part = 'fit'"), inner.where("part = 'selection'")
+    if fit.isEmpty():
+        raise ValueError("inner model selection requires a complete final training year")
     best = None
     for name, features in sets.items():
         a, b = M.vectors(fit, features), M.vectors(sel, features)

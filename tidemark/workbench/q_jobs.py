@@ -45,63 +45,67 @@ def samples(spark, d):
     return _staged[key]
 
 
-def one_fold(spark, d):
-    """Vectors of the last fold with the risk target."""
-    s = samples(spark, d).where(F.col("fold") == FOLDS[-1])
-    return stage(M.vectors(s.withColumn("target_risk", maths.target_risk(F.col("target_volatility") / 20)), FEATS))
+def prepared(spark, d):
+    """Feature vectors of all folds with the risk target, written once per session and table folder."""
+    key = (spark.sparkContext.applicationId, d, "vectors")
+    if key not in _staged:
+        s = samples(spark, d).withColumn("target_risk", maths.target_risk(F.col("target_volatility") / 20))
+        _staged[key] = stage(M.vectors(s, FEATS))
+    return _staged[key]
 
 
 def train_test(spark, d):
-    s = one_fold(spark, d)
+    """Train, validation and test rows of the newest fold, for the scoring queries."""
+    s = prepared(spark, d).where(F.col("fold") == FOLDS[-1])
     return s.where("role = 'train'"), s.where("role = 'validation'"), s.where("role = 'test'")
 
 
-OUT = ["asset_id", "snapshot_time", "y"]
+OUT = ["fold", "asset_id", "snapshot_time", "y"]
 
 
 @query("model_direction")
 def model_direction(spark, d):
-    tr, _, te = train_test(spark, d)
-    return M.fit_direction(tr, schemas.SEEDS, **SMALL)(te).select(*OUT, *ME.P)
+    return M.over_folds(prepared(spark, d), FOLDS, lambda tr: M.fit_direction(tr, schemas.SEEDS, **SMALL), ("test",)).select(*OUT, *ME.P)
 
 
 @query("model_ordinal")
 def model_ordinal(spark, d):
-    tr, va, te = train_test(spark, d)
-    f = M.fit_ordinal(tr, schemas.SEEDS[:1], rounds=5)
-    return X.ordinal_blend(f(va), f(te)).select(*OUT, *ME.P)
+    rows = M.over_folds(prepared(spark, d), FOLDS, lambda tr: M.fit_ordinal(tr, schemas.SEEDS[:1], rounds=5))
+    return X.ordinal_blend(*X.split_roles(stage(rows.drop("features")))).select(*OUT, *ME.P)
 
 
 @query("model_quantile")
 def model_quantile(spark, d):
-    tr, _, te = train_test(spark, d)
-    return M.fit_quantiles(tr)(te).select(*OUT, "lower", "mid", "upper")
+    return M.over_folds(prepared(spark, d), FOLDS, M.fit_quantiles, ("test",)).select(*OUT, "lower", "mid", "upper")
 
 
 @query("model_risk")
 def model_risk(spark, d):
-    tr, _, te = train_test(spark, d)
-    return M.fit_risk(tr, rounds=5)(te).select(*OUT, "risk", "target_risk")
+    return M.over_folds(prepared(spark, d), FOLDS, lambda tr: M.fit_risk(tr, rounds=5), ("test",)).select(*OUT, "risk", "target_risk")
+
+
+def selectable(rows):
+    """The folds whose final training year holds enough rows to select a model on; the others cannot be fitted."""
+    return sorted(r["fold"] for r in L.inner_year(rows.where("role = 'train'")).select("fold").distinct().collect())
 
 
 @query("model_linear")
 def model_linear(spark, d):
-    tr, _, te = train_test(spark, d)
+    rows = prepared(spark, d).drop("features")
     sets = {"stable": FEATS[:8], "full": FEATS}
-    return X.fit_linear_selected(tr.drop("features"), sets, (0.01, 1.0))(te.drop("features")).select(*OUT, *ME.P)
+    return M.over_folds(rows, selectable(rows), lambda tr: X.fit_linear_selected(tr, sets), ("test",)).select(*OUT, *ME.P)
 
 
 @query("model_baseline")
 def model_baseline(spark, d):
-    tr, _, te = train_test(spark, d)
-    rows = M.fit_balanced_logistic(tr)(te)
+    rows = M.over_folds(prepared(spark, d), FOLDS, M.fit_balanced_logistic, ("test",))
     return rows.groupBy("fold").agg(ME.brier_expr(name="logistic_brier"), ME.brier_expr("q", "climatology_brier")).withColumn(
         "baseline_brier", F.least("logistic_brier", "climatology_brier"))
 
 
 @query("model_capacity_variants")
 def model_capacity_variants(spark, d):
-    return X.exp_capacity(samples(spark, d), FOLDS[-1:], FEATS, schemas.SEEDS[:1], 0.2)
+    return X.exp_capacity(samples(spark, d), FOLDS, FEATS, schemas.SEEDS[:1], 0.2)
 
 
 @query("cal_matrix")
@@ -254,12 +258,12 @@ def job_daily_score_equity(spark, d):
 @query("exp_feature_groups")
 def exp_feature_groups(spark, d):
     groups = {"spot": FEATS[:8], "spot_cross": FEATS[:8] + ["market_breadth_20s", "momentum_rank_20s"], "full": FEATS}
-    return X.exp_feature_groups(samples(spark, d), FOLDS, groups, 30, iterations=200, **SMALL)
+    return X.exp_feature_groups(samples(spark, d), FOLDS, groups, 30, **SMALL)
 
 
 @query("exp_calibration")
 def exp_calibration(spark, d):
-    return X.exp_calibration(samples(spark, d), FOLDS[-1:], FEATS, schemas.SEEDS[:1], **SMALL)
+    return X.exp_calibration(samples(spark, d), FOLDS, FEATS, schemas.SEEDS[:1], **SMALL)
 
 
 @query("exp_conditional_prior")
@@ -269,13 +273,13 @@ def exp_conditional_prior(spark, d):
 
 @query("exp_direction_models")
 def exp_direction_models(spark, d):
-    return X.exp_direction(samples(spark, d), FOLDS[-1:], FEATS, 30, schemas.SEEDS[:1], 200, 5, **SMALL)
+    return X.exp_direction(samples(spark, d), FOLDS, FEATS, 30, schemas.SEEDS[:1], 2000, 5, **SMALL)
 
 
 @query("exp_macro")
 def exp_macro(spark, d):
     macro = stage(MA.macro_features(MA.wide_macro(t.macro_long(spark, d), t.SERIES)))
-    return X.exp_macro(samples(spark, d), macro, FOLDS[-1:], FEATS, ["vix_level", "yield_curve_10y_2y"], **SMALL)
+    return X.exp_macro(samples(spark, d), macro, FOLDS, FEATS, schemas.MACRO_FEATURES, **SMALL)
 
 
 @query("exp_intervals")
@@ -285,19 +289,19 @@ def exp_intervals(spark, d):
 
 @query("exp_labels")
 def exp_labels(spark, d):
-    return X.exp_labels(samples(spark, d), FOLDS[-1:], FEATS, 30, schemas.SEEDS[:1], **SMALL)
+    return X.exp_labels(samples(spark, d), FOLDS, FEATS, 30, schemas.SEEDS[:1], **SMALL)
 
 
 @query("exp_linear")
 def exp_linear(spark, d):
-    return X.exp_linear(samples(spark, d), FOLDS[-1:], {"stable": FEATS[:8], "full": FEATS}, (0.01, 1.0))
+    return X.exp_linear(samples(spark, d), selectable(samples(spark, d)), {"stable": FEATS[:8], "full": FEATS})
 
 
 @query("exp_regimes")
 def exp_regimes(spark, d):
-    return X.exp_regimes(samples(spark, d), FOLDS[-1:], FEATS, t.BENCH, schemas.SEEDS[:1], **SMALL)
+    return X.exp_regimes(samples(spark, d), FOLDS, FEATS, t.BENCH, schemas.SEEDS[:1], **SMALL)
 
 
 @query("exp_capacity")
 def exp_capacity(spark, d):
-    return X.exp_capacity(samples(spark, d), FOLDS[-1:], FEATS, schemas.SEEDS[:1], 0.2)
+    return X.exp_capacity(samples(spark, d), FOLDS, FEATS, schemas.SEEDS[:1], 0.2)
