@@ -233,6 +233,14 @@ def test_ordinary_words_are_left_alone(text):
     assert spans_of(text) == ([], [])
 
 
+def test_windows_cut_no_identifier():
+    from tidemark.llm.pii import spans_of
+    digits = "9" * 30 + "4111111111111111" + "9" * 370  # too long for a card, wherever it would be cut
+    for gap in range(0, 60, 3):
+        base, every = spans_of("on " + digits + " " * gap + " by me (at) here (dot) com")
+        assert base == [] and [k for _, k, _ in every] == [0]
+
+
 def test_personal_data_rows(spark, odd, none):
     from tidemark.llm import pii
     rows = pii.personal_data(odd).collect()

@@ -40,6 +40,7 @@ DIGIT_WORDS = {
     "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+ARTICLES = frozenset(["a", "an", "the", "this", "that", "my", "your", "our", "their", "his", "her", "its"])  # no host is called so
 INVISIBLE = frozenset("­​‌‍⁠﻿")
 
 _ODD = re.compile(r"[^\x00-\x7fÀ-ÖØ-öø-ſ]")
@@ -146,6 +147,8 @@ def unmask_signs(t: Traced) -> Traced:
     t = t.rewritten([(m.start(), m.end(), sign[m.group(1).lower()]) for m in _BRACKETED.finditer(t.text)])
     edits = []
     for m in _WORDED.finditer(t.text):
+        if re.split(r"\x20at\x20", m.group(), maxsplit=1, flags=re.IGNORECASE)[1].split(" ")[0].lower() in ARTICLES:
+            continue
         edits.extend((m.start() + k.start(), m.start() + k.end(), sign[k.group(1).lower()]) for k in _WORDED_ITEM.finditer(m.group()))
     return t.rewritten(edits)
 
@@ -172,14 +175,23 @@ def unmask_digits(t: Traced) -> Traced:
 WINDOW = 400
 
 
+def _between_words(text: str, at: int, step: int) -> int:
+    """The nearest place from ``at`` in the direction of ``step`` behind a letter and before white space, or the end."""
+    while 0 < at < len(text) and not (text[at].isspace() and text[at - 1].isalpha()):
+        at += step
+    return at
+
+
 def hidden_windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around every sign of a disguise, cut at spaces and merged; elsewhere rewriting changes nothing."""
+    """Stretches around every sign of a disguise, cut between words and merged; elsewhere rewriting changes nothing."""
     spots = [m.start() for m in _HINT.finditer(text)]
     if not text.isascii():
         spots += [m.start() for m in _ODD.finditer(text) if m.group() in LOOKALIKES or m.group() in INVISIBLE or unicodedata.normalize("NFKC", m.group()).isascii() or unicodedata.digit(m.group(), None) is not None]
     out: list[tuple[int, int]] = []
     for spot in sorted(spots):
-        lo, hi = max(0, spot - WINDOW), min(len(text), spot + WINDOW)
+        if out and spot + WINDOW <= out[-1][1]:
+            continue
+        lo, hi = _between_words(text, max(0, spot - WINDOW), -1), _between_words(text, min(len(text), spot + WINDOW), 1)
         if out and lo <= out[-1][1]:
             out[-1] = out[-1][0], max(hi, out[-1][1])
         else:
