@@ -47,9 +47,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidemark/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
-    """A new folder name below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tidemark-{kind}/{uuid.uuid4().hex}"
+    """A new folder name below this application's part of the shared checkpoint folder."""
+    return f"{_own_folder(spark)}/{kind}/{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all folders this application staged; call it when no frame that reads them is in use any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stage(df: DataFrame) -> DataFrame:
