@@ -298,3 +298,46 @@ def test_pipeline_stages(spark):
     for r in packed:
         lengths[r["doc_id"]] += r["length"]
     assert lengths == Counter({i: len(coder.encode(r["text"])) for i, r in masked.items()})
+
+
+def test_near_copies_of_the_pipeline_are_those_by_exact_jaccard(spark, odd, none):
+    import corpus_pipeline
+    from tidemark.llm import copies
+    rng = random.Random(8)
+    texts = []
+    for k in range(40):  # copies with a few words changed, from far below to far above the bound
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts.append(" ".join(words))
+        for changes in (1, 4, 6, 8, 12, 30):
+            other = list(words)
+            for at in rng.sample(range(300), changes):
+                other[at] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(other))
+    words = [f"v{k}" for k in range(400)]  # one large group, linked over steps
+    texts += [" ".join(words[k:k + 200]) for k in range(0, 200, 4)] + ["", " \n", "a b c", "A b  C"]
+
+    def sets(text):
+        words = text.lower().split()
+        return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else frozenset()
+    every = [sets(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    linked = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(every[i] & every[j])
+            if every[i] == every[j] or both and 5 * both >= 4 * (len(every[i]) + len(every[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+                linked += 1
+    assert linked > 200
+    docs = docs_of(spark, texts)
+    kept = {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, docs, SF).collect()}
+    assert kept == {find(i) for i in range(len(texts))}
+    found = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in copies.representatives(odd).collect())
+    assert found == [(False, 1), (False, 2), (False, 4), (False, 6), (False, 7)]  # the row without an id is a copy of row 1
+    assert copies.representatives(none).count() == 0
