@@ -227,6 +227,21 @@ def test_disguised_identifiers(text, kind, part):
     assert [(KINDS[k], ("é\U0001F600 " * 300 + text)[a:b]) for a, k, b in every] == [(kind, part)]
 
 
+@pytest.mark.parametrize("text, kind, part, plain", [
+    ("to john@mail.firm.exаmple.com now", "email", "john@mail.firm.exаmple.com", "john@mail.firm.ex"),
+    ("to jоhn.smith@example.com now", "email", "jоhn.smith@example.com", "hn.smith@example.com"),
+    ("call +49 30 1234 56 seven eight nine nine now", "phone", "+49 30 1234 56 seven eight nine nine", "+49 30 1234 56"),
+    ("at 192.168.1.2٣ or", "ip", "192.168.1.2٣", "192.168.1.2"),
+])
+def test_partly_disguised_identifiers(spark, text, kind, part, plain):
+    from tidemark.llm import pii
+    base, every = pii.spans_of(text)
+    assert base == plain_spans(text) and plain in [text[a:b] for a, _, b in base]
+    assert part in [text[a:b] for a, k, b in every if pii.KINDS[k] == kind] and set(base) <= set(every)
+    clean = pii.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert clean == text.replace(part, f"[{kind.upper()}]")
+
+
 @pytest.mark.parametrize("text", ["look at the dot com", "one two three", "a at b", "version 1.2.3", "the one at nine", "привет мир", "at (the) dot"])
 def test_ordinary_words_are_left_alone(text):
     from tidemark.llm.pii import spans_of

@@ -2,7 +2,7 @@
 
 Plain identifiers are found in the text itself.  Transducers then rewrite the text step by step, each output character
 keeping the range of source characters it came from; identifiers found in the rewritten text map back to the source,
-and those that overlap no plain identifier are added.
+and those that lie in no found span of their kind are added.
 """
 
 from __future__ import annotations
@@ -200,7 +200,7 @@ def hidden_windows(text: str) -> list[tuple[int, int]]:
 
 
 def spans_of(text: str | None) -> tuple[list[Span], list[Span]]:
-    """Plain spans, and all spans: the plain ones and the unmasked ones that overlap none of them."""
+    """Plain spans, and all spans: the plain ones and the unmasked ones that lie in none of their kind."""
     text = text or ""
     base = identifiers(text)
     every = list(base)
@@ -210,7 +210,7 @@ def spans_of(text: str | None) -> tuple[list[Span], list[Span]]:
             continue
         for a, rank, b in identifiers(traced.text):
             start, end = traced.begins[a], traced.ends[b - 1]
-            if not any(start < e and s < end for s, _, e in every):
+            if not any(k == rank and s <= start and end <= e for s, k, e in every):
                 every.append((start, rank, end))
     return base, sorted(every)
 
