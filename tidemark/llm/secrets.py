@@ -44,14 +44,19 @@ BASE = (
     Rule("access", "(AKIA[A-Z0-9]{12,})"),  # a shorter run can hold no longer match
     Rule("hex", "([0-9a-f]{32,})", probe="[0-9a-f]{32}"),
 )
+# A key runs to its END line, with header lines before the body; without one, over lines of base64 and a short last line.
+_LINES = r"[\s\\]+[A-Za-z0-9+/=]{16,}"
+_KEY_END = r"[^-]*(?:-[^-]+){0,64}-----END [A-Z ]{0,40}PRIVATE KEY-----"
+_KEY_HEADERS = r"(?:\s+[A-Za-z]+-[A-Za-z]+:\x20[^\r\n]*){0,8}"
+_KEY_LINES = rf"(?:(?:{_LINES}){{60}}[A-Za-z0-9+/=\r\n\\]*|(?:{_LINES}){{1,59}}(?:[\s\\]+[A-Za-z0-9+/]+={{0,2}}(?:[\r\n]|$))?)"
 MORE = (
     Rule("github", "(gh[pousr]_[A-Za-z0-9]{36,255})"),
     Rule("google", "(AIza[A-Za-z0-9_-]{35})"),
     Rule("jwt", r"(eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
-    Rule("pem", "(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)"),
+    Rule("pem", rf"(-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----(?:{_KEY_END}|{_KEY_HEADERS}{_KEY_LINES})?)"),
     Rule("slack", "(xox[abprs]-[A-Za-z0-9-]{10,})"),
     Rule("stripe", "([rs]k_live_[A-Za-z0-9]{16,})"),
-    Rule("url", "([A-Za-z][A-Za-z0-9+.-]{1,20}://[A-Za-z0-9._%-]{1,64}:[A-Za-z0-9._%!~*-]{3,64}@)"),
+    Rule("url", "([A-Za-z][A-Za-z0-9+.-]{1,20}://[A-Za-z0-9._%-]*:[A-Za-z0-9._%!~*-]{3,}@)"),
 )
 RULES = BASE + MORE
 
