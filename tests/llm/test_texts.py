@@ -145,6 +145,22 @@ def test_language_odd_rows(spark, odd, none):
     assert langid.identify_all(odd).count() == odd.count()
 
 
+def test_every_language_is_learned_from_whole_texts(spark):
+    from tidemark.llm import langid
+    rng = random.Random(3)
+    rows, truth = [], {}
+    for k in range(70):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(60)]
+        for _ in range(6):
+            rows.append((len(rows), "| 12 | 3.5 |\n" * 800 + " ".join(rng.choices(words, k=80)), f"l{k:02}"))  # a long table first
+        truth[len(truth)] = " ".join(rng.choices(words, k=60)), f"l{k:02}"
+    contents = langid.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(contents) == 70 and all(len(c) > 1000 for c in contents.values())
+    asked = spark.createDataFrame([(i, t) for i, (t, _) in truth.items()], "doc_id long, text string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(asked, contents).collect()}
+    assert found == {i: name for i, (_, name) in truth.items()}
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------
 
 def test_block_search_is_exact():

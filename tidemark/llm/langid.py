@@ -36,7 +36,6 @@ class Settings:
     level: int = 5
     turns: int = 3
     margin: float = 0.002
-    languages: int = 64
 
 
 def letters(text: str) -> str:
@@ -46,23 +45,28 @@ def letters(text: str) -> str:
 def dictionaries(learn: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
     """Raw dictionary content by language, from rows (doc_id, text, lang).
 
-    The rows are those with the least hash of id and text, so any partitioning gives the same ones; copies count once.
-    At most ``languages`` languages are learned, the most frequent first.
+    The rows are those with the least hash of the text, so any partitioning gives the same ones; copies count once.
+    Every language that occurs is learned; the driver holds at most ``dictionary_rows`` excerpts of each.  Excerpts are
+    cut from the letters of the whole text.
     """
-    known = learn.where(F.col("lang").isNotNull())
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()]
-    rows = known.where(F.col("lang").isin(names) & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
+    rows = learn.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
     least = Window.partitionBy("lang").orderBy("h")
     chosen = rows.groupBy("lang", "h").agg(F.lit(0)).withColumn("at", F.row_number().over(least)).where(F.col("at") <= settings.dictionary_rows).select("lang", "h")
     some = (
-        rows.join(F.broadcast(chosen), ["lang", "h"])  # at most languages * dictionary_rows rows
-        .select("lang", "h", F.substring("text", 1, 4 * settings.excerpt_chars).alias("text"))
-        .groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+        rows.join(F.broadcast(chosen), ["lang", "h"])  # at most dictionary_rows texts of a language
+        .select(F.struct("lang", "h").alias("doc_id"), "text")
     )
+
+    def make():
+        return lambda texts: ((letters(t)[:settings.excerpt_chars],) for t in texts)
+
+    cut = map_texts(some, "excerpt string", make).groupBy("doc_id").agg(F.min("excerpt").alias("excerpt"))
+    excerpts: dict[str, list[str]] = {}
+    for r in cut.select("doc_id.lang", "excerpt").orderBy("doc_id.lang", "doc_id.h").collect():
+        excerpts.setdefault(r["lang"], []).append(r["excerpt"])
     found = {}
-    for name in sorted(names):
-        excerpts = [letters(r["text"])[:settings.excerpt_chars] for r in sorted((r for r in some if r["lang"] == name), key=lambda r: r["h"])]
-        found[name] = " ".join(e for e in excerpts if e).encode("utf-8", "replace")[:settings.dictionary_bytes]
+    for name in sorted(excerpts):
+        found[name] = " ".join(e for e in excerpts[name] if e).encode("utf-8", "replace")[:settings.dictionary_bytes]
     return {name: content for name, content in found.items() if content}
 
 
