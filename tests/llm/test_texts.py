@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -177,6 +178,16 @@ def test_block_search_is_exact():
         assert [round(c, 9) for c, _ in best] == pytest.approx([c for c, _ in every if c > 0][:25])
 
 
+def test_counts_do_not_depend_on_what_is_remembered(monkeypatch):
+    from tidemark.llm import toxicity
+    monkeypatch.setattr(toxicity, "KNOWN_WORDS", 2)
+    number = {"^abcd": 0, "=plain": 1, "^abcde": 2}
+    count = toxicity.Counts(number)
+    for text in ("abcdef abcdeg other", "abcdeh abcdef abcdeh plain", "abcdx words here too", "plain abcdef abcdei"):
+        expected = Counter(number[t] for w in text.split() for t in toxicity.word_terms(w) if t in number)
+        assert count(text) == dict(expected) and len(count.marked) <= 2 and len(count.plain) <= 2
+
+
 def test_toxicity_on_held_out_rows(spark):
     from tidemark.llm import toxicity
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))

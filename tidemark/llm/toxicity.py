@@ -158,28 +158,28 @@ class Model:
 
 
 class Counts:
-    """Counts of the chosen terms in a text; words without any are remembered, up to a bound."""
+    """Counts of the chosen terms in a text; words are remembered up to a bound, others looked up again."""
 
     def __init__(self, number: dict[str, int]):
         self.number, self.plain, self.marked = number, set(), {}
 
     def __call__(self, text: str | None) -> dict[int, int]:
         words = _LETTERS.findall((text or "").lower())
-        distinct = set(words)
+        distinct, late = set(words), {}
         for w in distinct - self.plain:
             if w not in self.marked:
                 hit = tuple(self.number[t] for t in word_terms(w) if t in self.number)
-                if hit and len(self.marked) < KNOWN_WORDS:
-                    self.marked[w] = hit
+                if hit:
+                    (self.marked if len(self.marked) < KNOWN_WORDS else late)[w] = hit
                 elif not hit and len(w) <= 64:
                     if len(self.plain) >= KNOWN_WORDS:
                         self.plain.clear()
                     self.plain.add(w)
         out: Counter = Counter()
-        hits = distinct & self.marked.keys()
+        hits = (distinct & self.marked.keys()) | late.keys()
         if hits:
             for w, n in Counter(w for w in words if w in hits).items():
-                for t in self.marked[w]:
+                for t in late[w] if w in late else self.marked[w]:
                     out[t] += n
         return dict(out)
 
