@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fertility, langid, packing, pieces, pii, secrets, shards, simhash, toxicity, voronoi
+from tidemark.llm import fertility, langid, merkle, oddsketch, packing, pieces, pii, secrets, shards, simhash, toxicity, trie, voronoi
 from tidemark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,18 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op11_manifest", merkle.prove_sql())
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove(read(spark, sf_dir, "documents"))
+
+
+@query("op12_oddsketch", oddsketch.near_copies_sql())
+def op12_oddsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oddsketch.near_copies(read(spark, sf_dir, "documents"))
+
+
+@query("op13_trie", trie.trie_sql())
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
