@@ -56,11 +56,41 @@ def test_memo_and_pairs_survive_forgetting(library):
     from tidemark.llm import pieces
     coder = pieces.PrefixTable(pieces.model_bytes())
     coder.pairs = pieces.PairMemo(coder._may_follow, bits=6)
-    memo = pieces.WordMemo(coder, entries=10)
+    memo = pieces.WordMemo(coder, most=2000)
     for text in strings()[1][:200]:
         words = coder.words(text)
         memo.learn([words])
         assert list(chain.from_iterable(map(memo.__getitem__, words))) == library.encode(text)
+        assert memo.held <= 2000 + 8192 * 400 and memo.held == sum(pieces.getsizeof(w) + pieces.weight(v) + pieces.ENTRY_BYTES for w, v in memo.items())
+
+
+def test_memo_is_bounded_by_bytes():
+    """Many distinct words, most of them long: the memo stays near its bound and every value stays right."""
+    import tracemalloc
+    from tidemark.llm import pieces
+    coder, rng, most = pieces.PrefixTable(pieces.model_bytes()), random.Random(4), 4 << 20
+    memo = pieces.WordMemo(coder, lambda ids: (" ".join(map(str, ids)), len(ids)), most=most)
+    lists = [["▁" + "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 40))) for _ in range(9000)] for _ in range(6)]
+    tracemalloc.start()
+    for words in lists:
+        memo.learn([words])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert memo.held < 2 * most and held < 3 * most + (8 << 20)
+    for word in lists[-1][::500]:
+        assert memo[word][1] == len(coder.ids_of(word))
+
+
+def test_slices_are_bounded_by_rows_and_bytes():
+    import pyarrow as pa
+    from tidemark.llm import common
+    texts = ["x" * 10, None, "", "y" * (common.BATCH_BYTES + 1), *["z" * 1000] * 5000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    parts = list(common.slices(batch, batch.column(1)))
+    assert [i for b, _ in parts for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(b.column(1).to_pylist() == t.to_pylist() for b, t in parts)
+    assert all(len(t) <= common.BATCH_ROWS and (len(t) == 1 or sum(len(x or "") for x in t.to_pylist()) <= common.BATCH_BYTES) for _, t in parts)
+    assert list(common.slices(batch.slice(0, 0), batch.column(1).slice(0, 0))) == []
 
 
 def test_digests(spark, odd, none, library):

@@ -5,16 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_ROWS = 512
+BATCH_BYTES = 4 << 20
 
 
-def modest_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Texts can be very long: small Arrow batches keep a Python worker's memory bounded."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batch: pa.RecordBatch, texts: pa.Array) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """A batch in parts of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` of text; a longer text is a part of its own.
+
+    Spark bounds what arrives by bytes; this bounds what a worker makes of it at once.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start = held = 0
+    for k, size in enumerate(sizes):
+        if k > start and (k - start >= BATCH_ROWS or held + size > BATCH_BYTES):
+            yield batch.slice(start, k - start), texts.slice(start, k - start)
+            start, held = k, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start), texts.slice(start)
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -32,18 +44,17 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable], whole: b
     The result holds ``doc_id``, or with ``whole`` the entire row as the struct ``row``, and the values; only what it
     holds is read.  Repeated rows stay repeated.
     """
-    modest_batches(df.sparkSession)
     fields = [part.strip().split(" ", 1) for part in schema.split(",")]
-    carried = df.select(F.struct("*").alias("row"), "text") if whole else df.select("doc_id", "text")
-    first = carried.schema.fields[0]
+    carried = df.select(F.struct("*").alias("row")) if whole else df.select("doc_id", "text")
+    first, place = carried.schema.fields[0], df.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = make()
-        for batch in batches:
-            values = list(many(batch.column(1).to_pylist()))
-            columns = list(zip(*values)) if values else [()] * len(fields)
-            arrays = [pa.array(c, type=ARROW[kind]) for c, (_, kind) in zip(columns, fields)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [first.name, *(n for n, _ in fields)])
+        for arrived in batches:
+            for batch, texts in slices(arrived, arrived.column(0).field(place) if whole else arrived.column(1)):
+                values = list(many(texts.to_pylist()))
+                arrays = [pa.array(c, type=ARROW[kind]) for c, (_, kind) in zip(zip(*values), fields)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], [first.name, *(n for n, _ in fields)])
 
     return carried.mapInArrow(run, f"{first.name} {first.dataType.simpleString()}, {schema}")
 

@@ -1,128 +1,48 @@
 """Near copies of a training corpus: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates share a band of MinHash values: 24 bands of 5 miss a pair of similarity 0.8 with probability
-(1 - 0.8 ** 5) ** 24 < 1e-4, a closer one less.  A candidate pair links only if the exact Jaccard of its shingles says
-so.  Texts of equal words are one node.  A bucket is first compared with its least and its greatest node; where that
-links all its nodes nothing is left to learn, else the pairs of nodes not yet reachable from each other are compared.
+Candidates are fingerprints that collide under the covering masks of ``simhash`` and, since a SimHash radius that masks
+can cover holds only the closest pairs, nodes that share a MinHash band.  Both are confirmed alike: by odd sketches and
+the exact similarity of the full sets, each bucket by pivots and never as its pairs.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts
-from tidemark.llm.components import components
-from tidemark.llm.simhash import signed
+from tidemark.llm import oddsketch, simhash
 from tidemark.session import stage
 
 WIDTH = 5
 SIMILARITY = 0.8
-BANDS = 24
-ROWS = 5
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
-
-
-def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of all word shingles; a shorter text is one shingle, no words are none."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    plain, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return np.array([digest(plain)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.append(0, ends[:-1] + 1)
-    n = len(words) - width + 1
-    return np.unique(np.fromiter((digest(plain[a:b]) for a, b in zip(starts[:n].tolist(), ends[width - 1:].tolist())), np.uint64, n))
-
-
-def _seeds(count: int) -> tuple[np.ndarray, np.ndarray]:
-    draws = np.random.default_rng(42).integers(0, 1 << 64, (2, count, 1), np.uint64)
-    return draws[0], draws[1] | np.uint64(1)
-
-
-def band_keys(hashes: np.ndarray, seeds: tuple[np.ndarray, np.ndarray], rows: int = ROWS) -> list[int]:
-    """One key per band of MinHash values; none for no shingles."""
-    if not len(hashes):
-        return []
-    flip, odd = seeds
-    least = np.full(len(flip), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for lo in range(0, len(hashes), 4096):  # bounded memory for very long texts
-        mixed = (hashes[lo:lo + 4096] ^ flip) * odd
-        np.minimum(least, mixed.min(axis=1), out=least)
-    return [signed(xxhash.xxh64_intdigest(least[k:k + rows].tobytes(), k)) for k in range(0, len(least), rows)]
-
-
-def _signatures(keyed: DataFrame, width: int) -> DataFrame:
-    """doc_id, node (hash of the words), n (shingles), keys."""
-    def make():
-        seeds = _seeds(BANDS * ROWS)
-
-        def one(text):
-            words = words_of(text)
-            found = shingles(words, width)
-            return signed(xxhash.xxh64_intdigest(b" ".join(words))), len(found), band_keys(found, seeds)
-        return lambda texts: map(one, texts)
-
-    return map_texts(keyed, "node long, n long, keys array<long>", make)
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets have at least the similarity."""
-    left, right = (sets.select(F.col("node").alias(node), F.col("items").alias(items)) for node, items in (("u", "a"), ("v", "b")))
-    common = F.size(F.array_intersect("a", "b"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", common.alias("common"), (F.size("a") + F.size("b")).alias("total"))
-    return both.where(F.col("common") >= F.lit(similarity) * (F.col("total") - F.col("common")) - 1e-9).select("u", "v")
-
-
-def links(docs: DataFrame, signed_rows: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(u, v) links among nodes whose components are those of all similar candidate pairs.
-
-    ``docs`` has row_key and text, ``signed_rows`` node, n, keys and the row_key of one row of each node.
-    """
-    buckets = signed_rows.select("node", "n", F.explode("keys").alias("key"))
-    ends = buckets.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("most")).where("m <> most")
-    shared = stage(buckets.join(ends, "key"))  # only buckets of several nodes
-    asked = shared.select("node").distinct().join(signed_rows, "node").select("row_key", "node", F.col("n").alias("size"))
-    texts = docs.join(asked, "row_key").dropDuplicates(["node"]).select(F.struct("node").alias("doc_id"), "text")
-
-    def make():
-        return lambda texts: ((shingles(words_of(t), width).view(np.int64).tolist(),) for t in texts)
-
-    sets = stage(map_texts(texts, "items array<long>", make).select("doc_id.node", "items"))
-    sizes = asked.select(F.col("node").alias("v"), F.col("size").alias("n_v"))
-    alike = (F.col("n") >= F.lit(similarity) * F.col("n_v") - 1e-9) & (F.col("n_v") >= F.lit(similarity) * F.col("n") - 1e-9)
-    ended = shared.select(F.col("node").alias("u"), "n", F.explode(F.array("m", "most")).alias("v")).where("u <> v").distinct()
-    near = stage(_verified(ended.join(sizes, "v").where(alike).select("u", "v"), sets, similarity))
-    reached = components(near)
-    parted = shared.join(reached, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    several = parted.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    open_rows = stage(parted.join(several, "key"))
-    other = open_rows.select("key", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("c_v"))
-    rest = open_rows.withColumnRenamed("node", "u").join(other, "key").where((F.col("u") < F.col("v")) & (F.col("component") != F.col("c_v")) & alike)
-    return near.unionByName(_verified(rest.select("u", "v").distinct(), sets, similarity))
+def covered(nodes: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
+    """(u, v) nodes that join all whose fingerprints lie within the radius."""
+    least = stage(nodes.groupBy("print").agg(F.min("node").alias("u")))
+    alike = nodes.join(least, "print").where("node <> u").select("u", F.col("node").alias("v"))
+    near = simhash.links(least.select(F.col("print").alias("fp")), radius)
+    ends = least.select(F.col("print").alias("v"), F.col("u").alias("of_v"))
+    return alike.unionByName(near.join(least.withColumnsRenamed({"print": "u", "u": "of_u"}), "u").join(ends, "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v")))
 
 
 def grouped(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
-    """(doc_id, row_key, component) of every row; texts without words are one group."""
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    prints = stage(_signatures(keyed.select(F.struct("doc_id", "row_key").alias("doc_id"), "text"), width).select("doc_id.*", "node", "n", "keys"))
-    nodes = stage(prints.groupBy("node").agg(F.min(F.struct("row_key", "n", "keys")).alias("r")).select("node", "r.*"))
-    found = components(links(keyed.select("row_key", "text"), nodes, similarity, width))
-    return prints.select("doc_id", "row_key", "node").join(found, "node", "left").select("doc_id", "row_key", F.coalesce("component", "node").alias("component"))
+    """(doc_id, k1, k2, component) of every row; texts without words are one group."""
+    found = oddsketch.grouped(docs, similarity, width, more=covered)
+    return found.select("doc_id", "k1", "k2", F.coalesce("component", F.lit(-1)).alias("component"))
 
 
 def representatives(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
-    """One row of ``docs`` from each group of near copies: that of the least known id; repeats of it go."""
+    """One row of ``docs`` from each group of near copies: that of the least known id; repeats of it go.
+
+    Null texts and texts without words are copies of each other; a row without an id stands for its group only where no
+    row of it has one; an empty table gives none; all columns are kept as they are.
+    """
     found = stage(grouped(docs, similarity, width))
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row_key")
-    kept = found.groupBy("component").agg(F.min(order).alias("r")).select("r.row_key")
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("row_key")).join(kept, "row_key", "left_semi")
-    if not found.groupBy("row_key").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["row_key"])
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "k1", "k2")
+    kept = found.groupBy("component").agg(F.min(order).alias("r")).select("r.k1", "r.k2")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2"))
+    rows = rows.join(kept, ["k1", "k2"], "left_semi")
+    if not found.groupBy("k1", "k2").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["k1", "k2"])
     return rows.select("row.*")

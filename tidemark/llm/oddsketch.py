@@ -7,19 +7,23 @@ which each sample flips one bit: two nodes that differ in few samples differ in
 exclusive or estimates a high similarity closely.  Only candidates whose count lies within ``SAFETY`` standard
 deviations of what the threshold makes expect are confirmed, on their full sets.
 
-Only links that join components are looked for, so a group of copies never becomes its pairs.  First each node meets the
-least node it shares a bucket with.  Then, in every bucket that still holds several components, some pivots meet the rows
-of other components and leave the bucket, one pivot in the first round and twice as many in each later one, until no
-bucket holds two components.  A pivot has then met or joined each node of its buckets: no candidate pair is left out.
+Pairs are never rows.  Nodes that share buckets, directly or over others, are a cluster.  A cluster is cut into blocks by
+a hash, and a task takes two of its blocks: sketches and sets lie there as arrays, a node is compared with those it is
+not yet joined with, and only the links that join something new leave the task.  Every two nodes of a cluster meet in
+some task, so no candidate pair is left out; a group of copies is joined after one comparison each.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_texts
@@ -32,7 +36,9 @@ BANDS = 40
 ROWS = 5
 BITS = 512
 SAFETY = 5.3
-PIVOTS = 1024
+BLOCK_NODES = 2048
+BLOCK_SHINGLES = 1 << 19
+Candidates = Callable[[DataFrame], DataFrame]  # of nodes (node, print, ...) to pairs (u, v)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -53,6 +59,14 @@ def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
     return np.unique(np.fromiter((digest(plain[a:b]) for a, b in zip(starts[:n].tolist(), ends[width - 1:].tolist())), np.uint64, n))
 
 
+def majority(hashes: np.ndarray) -> int:
+    """A bit for each that is set in over half of the hashes, as a signed long."""
+    counts = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 65536):  # bounded memory for very long texts
+        counts += np.unpackbits(hashes[lo:lo + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 class Sampler:
     """MinHash samples of a set, their band keys and their odd sketch."""
 
@@ -72,11 +86,11 @@ class Sampler:
         found = [xxhash.xxh64_intdigest(samples[k:k + self.rows].tobytes(), k) for k in range(0, len(samples), self.rows)]
         return np.array(found, np.uint64).view(np.int64).tolist()
 
-    def sketch(self, samples: np.ndarray) -> list[int]:
-        """The parity bitmap as signed longs: sample number and value together choose the bit that flips."""
+    def sketch(self, samples: np.ndarray) -> bytes:
+        """The parity bitmap: sample number and value together choose the bit that flips."""
         place = ((samples ^ self.fold) * self.turn) >> np.uint64(64 - int(math.log2(self.bits)))
         odd = np.bincount(place.astype(np.int64), minlength=self.bits) & 1
-        return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+        return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def most_bits(similarity: float = SIMILARITY, samples: int = BANDS * ROWS, bits: int = BITS, safety: float = SAFETY) -> int:
@@ -98,81 +112,100 @@ def estimate(count: int, samples: int = BANDS * ROWS, bits: int = BITS) -> float
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int, bits: int) -> DataFrame:
-    """doc_id, n (set size), h1, h2 (digest of the set), keys, sketch of every text; no keys without words."""
+    """doc_id, n (set size), h1, h2 (digest of the set), keys, sketch, print (majority bits of the set) of every text; no
+    keys without words."""
     def make():
         sampler = Sampler(bands, rows, bits)
 
         def one(text):
             found = shingles(words_of(text), width)
             if not len(found):
-                return 0, None, None, [], []
+                return 0, None, None, [], b"", None
             whole, samples = xxhash.xxh128_intdigest(found.tobytes()), sampler.samples(found)
             h1, h2 = np.array([whole >> 64, whole & 0xFFFFFFFFFFFFFFFF], np.uint64).view(np.int64).tolist()
-            return len(found), h1, h2, sampler.keys(samples), sampler.sketch(samples)
+            return len(found), h1, h2, sampler.keys(samples), sampler.sketch(samples), majority(found)
         return lambda texts: map(one, texts)
 
-    return map_texts(docs, "n long, h1 long, h2 long, keys array<long>, sketch array<long>", make)
-
-
-class _Judge:
-    """Which pairs of nodes are links: odd sketches first, then the full sets."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame, members: DataFrame, similarity: float, width: int, most: int, longs: int):
-        self.similarity, self.most, self.longs = similarity, most, longs
-        named = nodes.join(members, "node")
-        self.sketches = stage(named.select("node", "n", *[F.col("sketch")[k].alias(f"s{k}") for k in range(longs)]))
-        texts = docs.join(named.select("k1", "k2", "node"), ["k1", "k2"]).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "text")
-
-        def make():
-            return lambda texts: ((shingles(words_of(t), width).view(np.int64).tolist(),) for t in texts)
-        self.sets = stage(map_texts(texts, "items array<long>", make).withColumnRenamed("doc_id", "node"))
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The (u, v) of ``pairs`` that are links."""
-        u = self.sketches.select(F.col("node").alias("u"), F.col("n").alias("n_u"), *[F.col(f"s{k}").alias(f"u{k}") for k in range(self.longs)])
-        v = self.sketches.select(F.col("node").alias("v"), F.col("n").alias("n_v"), *[F.col(f"s{k}").alias(f"v{k}") for k in range(self.longs)])
-        apart = sum((F.bit_count(F.col(f"u{k}").bitwiseXOR(F.col(f"v{k}"))) for k in range(self.longs)), F.lit(0))
-        least, greatest = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
-        alike = (least >= F.lit(self.similarity) * greatest - 1e-9) & (apart <= self.most)
-        close = stage(pairs.distinct().join(u, "u").join(v, "v").where(alike).select("u", "v"))
-        a = self.sets.select(F.col("node").alias("u"), F.col("items").alias("a"))
-        b = self.sets.select(F.col("node").alias("v"), F.col("items").alias("b"))
-        common = F.size(F.array_intersect("a", "b"))
-        both = close.join(a, "u").join(b, "v").select("u", "v", common.alias("common"), (F.size("a") + F.size("b")).alias("total"))
-        return stage(both.where(F.col("common") >= F.lit(self.similarity) * (F.col("total") - F.col("common")) - 1e-9).select("u", "v"))
+    return map_texts(docs, "n long, h1 long, h2 long, keys array<long>, sketch binary, print long", make)
+
+
+class Sets:
+    """Nodes of one or two blocks in a task: labels, sketches and sets, and the links that join different labels."""
+
+    def __init__(self, nodes: list[int], sizes: list[int], sketches: list[bytes], items: list[bytes], similarity: float, most: int):
+        self.nodes, self.n = nodes, np.array(sizes)
+        self.sketch = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(nodes), -1)
+        self.item = np.unique(np.frombuffer(b"".join(items), np.uint64), return_inverse=True)[1]
+        self.start = np.append(0, np.cumsum(self.n))
+        self.label, self.similarity, self.most = np.arange(len(nodes)), similarity, most
+        self.mark = np.zeros(int(self.item.max(initial=-1)) + 1, bool)
+
+    def links_of(self, i: int, others: np.ndarray) -> list[tuple[int, int]]:
+        """Links of node i to nodes of ``others`` that are not joined with it, one for each label that it joins."""
+        far = others[self.label[others] != self.label[i]]
+        least, greatest = np.minimum(self.n[far], self.n[i]), np.maximum(self.n[far], self.n[i])
+        far = far[least >= self.similarity * greatest - 1e-9]
+        far = far[np.bitwise_count(self.sketch[far] ^ self.sketch[i]).sum(axis=1) <= self.most]
+        if not len(far):
+            return []
+        own = self.item[self.start[i]:self.start[i + 1]]
+        self.mark[own] = True
+        places = np.concatenate([np.arange(self.start[j], self.start[j + 1]) for j in far.tolist()])
+        common = np.add.reduceat(self.mark[self.item[places]], np.append(0, np.cumsum(self.n[far])[:-1]), dtype=np.int64)
+        self.mark[own] = False
+        out = []
+        for j in far[common >= self.similarity * (self.n[far] + self.n[i] - common) - 1e-9].tolist():
+            if self.label[j] != self.label[i]:
+                self.label[self.label == self.label[j]] = self.label[i]
+                out.append((self.nodes[i], self.nodes[j]))
+        return out
+
+
+def _clusters(nodes: DataFrame, more: Candidates | None) -> DataFrame:
+    """(node, cluster) of the nodes that share a bucket with another one."""
+    buckets = nodes.select("node", F.explode("keys").alias("key"))
+    ends = buckets.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("most")).where("u <> most").select("key", "u")
+    pairs = buckets.join(ends, "key").where("node <> u").select("u", F.col("node").alias("v"))
+    return components(pairs.unionByName(more(nodes)) if more is not None else pairs).withColumnRenamed("component", "cluster")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, similarity: float, width: int, most: int, longs: int) -> DataFrame:
+def _links(docs: DataFrame, nodes: DataFrame, similarity: float, width: int, most: int, more: Candidates | None) -> DataFrame:
     """(u, v) links of nodes whose components are those of all candidate pairs of the similarity."""
-    buckets = nodes.select("node", F.explode("keys").alias("key"))
-    ends = buckets.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("most")).where("m <> most").select("key", "m")
-    live = stage(buckets.join(ends, "key"))
-    judge = _Judge(docs, nodes, live.select("node").distinct(), similarity, width, most, longs)
-    found = judge.links(live.where("node <> m").groupBy(F.col("node").alias("v")).agg(F.min("m").alias("u")))
-    live, pivots = live.select("key", "node"), 1
-    while True:
-        named = live.join(components(found), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        several = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        live = stage(named.join(several, "key"))
-        if live.isEmpty():
-            return found
-        order = Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(pivots)), "node")
-        chosen = stage(live.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots).drop("place"))
-        met = live.join(chosen.select("key", F.col("node").alias("pivot"), F.col("component").alias("of_pivot")), "key").where("component <> of_pivot")
-        found = stage(found.unionByName(judge.links(met.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")))))
-        live = live.join(chosen.select("key", "node"), ["key", "node"], "left_anti").select("key", "node")
-        pivots = min(2 * pivots, PIVOTS)
-
-
-def grouped(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, bits: int = BITS) -> DataFrame:
-    """doc_id, k1, k2 (of the row), n and component (null without words) of every row."""
+    member = stage(nodes.select("node", "n", "k1", "k2", "sketch").join(_clusters(nodes, more), "node"))
+    texts = docs.join(member.select("k1", "k2", "node"), ["k1", "k2"]).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "text")
+
+    def make():
+        return lambda texts: ((shingles(words_of(t), width).tobytes(),) for t in texts)
+    sets = map_texts(texts, "items binary", make).withColumnRenamed("doc_id", "node")
+    sizes = member.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
+    placed = member.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    met = placed.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = met.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "sketch", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+        for (_, i, j), group in groupby(stream, key=itemgetter(0, 1, 2)):
+            held = list(group)  # two blocks at most
+            sets = Sets([r[4] for r in held], [r[5] for r in held], [r[6] for r in held], [r[7] for r in held], similarity, most)
+            block = np.array([r[3] for r in held])
+            second = np.flatnonzero(block == j)
+            found = [pair for k in np.flatnonzero(block == i).tolist() for pair in sets.links_of(k, second[second > k] if i == j else second)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*found)], ["u", "v"])
+
+    return stage(rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(run, "u long, v long"))
+
+
+def grouped(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, bits: int = BITS,
+            more: Candidates | None = None) -> DataFrame:
+    """doc_id, k1, k2 (of the row), n and component (null without words) of every row; ``more`` adds candidate pairs."""
     if bits & (bits - 1) or bits < 64:
         raise ValueError("bits must be a power of two, 64 or more")
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2"))
-    prints = stage(signatures(keyed.select(F.struct("doc_id", "k1", "k2").alias("doc_id"), "text"), width, bands, rows, bits).select("doc_id.*", "n", "h1", "h2", "keys", "sketch"))
-    nodes = prints.where("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("k1", "k2", "n", "keys", "sketch")).alias("r"))
+    prints = stage(signatures(keyed.select(F.struct("doc_id", "k1", "k2").alias("doc_id"), "text"), width, bands, rows, bits).select("doc_id.*", "n", "h1", "h2", "keys", "sketch", "print"))
+    nodes = prints.where("h1 is not null").groupBy("h1", "h2").agg(F.min(F.struct("k1", "k2", "n", "keys", "sketch", "print")).alias("r"))
     nodes = stage(nodes.select("h1", "h2", "r.*").withColumn("node", F.monotonically_increasing_id()))
-    found = components(_links(keyed.select("k1", "k2", "text"), nodes, similarity, width, most_bits(similarity, bands * rows, bits), bits // 64))
+    found = components(_links(keyed.select("k1", "k2", "text"), nodes, similarity, width, most_bits(similarity, bands * rows, bits), more))
     member = nodes.select("h1", "h2", "node").join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     return prints.select("doc_id", "k1", "k2", "n", "h1", "h2").join(member, ["h1", "h2"], "left").drop("h1", "h2")
 

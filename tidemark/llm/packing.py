@@ -1,7 +1,7 @@
 """Variable-capacity best-fit packing of documents into training sequences.
 
-Documents longer than the greatest length are cut into pieces of it.  Pieces are dealt to packs of bounded size by a
-hash; each pack is packed on its own, so any number of executors share the work and only each pack's last bins are
+Documents longer than the greatest length are cut into pieces of it.  Pieces are numbered in the order
+of a hash and every ``pack_rows`` of them are a pack, however often an id repeats; each pack is packed on its own, so any number of executors share the work and only each pack's last bins are
 not full.  Within a pack, longest first, a piece goes to the open bin that it fills best.  If none has room, a bin is
 opened of that permitted length which costs least for what the remaining pieces could fill of it.  At the end each
 bin shrinks to the least permitted length that holds its content.
@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.ordering import positions
 from tidemark.llm.pieces import token_counts
-from tidemark.session import stage
 
 
 @dataclass(frozen=True)
@@ -96,15 +96,14 @@ def best_fit(sized: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, piece, start, length, pack, bin, offset, bin_length: where each piece of each row (doc_id, size) lies.
 
     Rows of size null or under 1 take no room and do not appear.  Repeated rows are packed each for itself, in the
-    order of id, start and length; null ids are packed like others.  An empty table gives no rows.
+    order of id, start and length, and may lie in neighbouring packs; null ids are packed like others.  An empty table gives no rows.
     """
     if not settings.lengths or min(settings.lengths) < 1:
         raise ValueError("sequence lengths must be positive")
-    pieces = stage(pieces_of(sized.select("doc_id", F.col("size").cast("long").alias("size")), settings))
-    packs = max(1, -(-pieces.count() // settings.pack_rows))
-    # whole multiples of equal rows would meet in one pack: they are numbered apart by their place in the input
-    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "piece"))
-    dealt = pieces.withColumn("pack", F.pmod(apart, F.lit(packs)).cast("int"))
+    pieces = pieces_of(sized.select("doc_id", F.col("size").cast("long").alias("size")), settings)
+    mixed = pieces.select("*", F.lit(0).alias("all"), F.xxhash64("doc_id", "piece").alias("mix"))
+    numbered = positions(mixed, "all", ["mix", "doc_id", "start", "length"])
+    dealt = numbered.select("doc_id", "piece", "start", "length", F.call_function("div", F.col("pos"), F.lit(settings.pack_rows)).cast("int").alias("pack"))
     kind = sized.schema["doc_id"].dataType.simpleString()
 
     def run(one: pd.DataFrame) -> pd.DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from itertools import chain
+from sys import getsizeof
 
 import ahocorasick
 import numpy as np
@@ -23,7 +24,8 @@ from tidemark.llm.common import map_texts
 
 SPACE = "▁"
 NEVER = 1 << 60
-MEMO_ENTRIES = 400_000
+MEMO_BYTES = 48 << 20
+ENTRY_BYTES = 110  # of the table itself, at its least filling
 MEMO_LENGTH = 64
 LOCKSTEP_LENGTH = 96
 _CHUNK = re.compile(r" *[^ ]+| +")
@@ -38,23 +40,41 @@ def model_bytes(path: str | None = None) -> bytes:
         return f.read()
 
 
+def weight(value) -> int:
+    """Bytes that a remembered value takes."""
+    return getsizeof(value) + (sum(map(getsizeof, value)) if isinstance(value, (list, tuple)) else 0)
+
+
 class WordMemo(dict):
-    """Values by word.  ``learn`` fills in the new words of a batch together; too many are forgotten all at once."""
+    """Values by word, in bounded memory.
+
+    ``learn`` fills in the new words of a batch together.  Where they would take the memo beyond ``most`` bytes all older
+    ones are forgotten, and words that still do not fit are worked out when they are met.
+    """
 
-    def __init__(self, coder: PrefixTable, value=lambda ids: ids, entries: int = MEMO_ENTRIES):
+    def __init__(self, coder: PrefixTable, value=lambda ids: ids, most: int = MEMO_BYTES):
         super().__init__()
-        self.coder, self.value, self.entries = coder, value, entries
+        self.coder, self.value, self.most, self.held = coder, value, most, 0
 
     def __missing__(self, word: str):
         return self.value(self.coder.ids_of(word))
 
     def learn(self, lists: list[list[str]]) -> None:
-        new = [w for w in set().union(*lists).difference(self) if len(w) <= MEMO_LENGTH]
-        if len(self) + len(new) > self.entries:
+        every = set().union(*lists)
+        self.add([w for w in every.difference(self) if len(w) <= MEMO_LENGTH])
+        if self.held > self.most:
             self.clear()
-            new = [w for w in set().union(*lists) if len(w) <= MEMO_LENGTH]
-        value = self.value
-        self.update(zip(new, map(value, self.coder.ids_of_many(new))))
+            self.held = 0
+            self.add([w for w in every if len(w) <= MEMO_LENGTH])
+
+    def add(self, new: list[str]) -> None:
+        for k in range(0, len(new), 8192):
+            words = new[k:k + 8192]
+            values = list(map(self.value, self.coder.ids_of_many(words)))
+            self.held += sum(map(getsizeof, words)) + sum(map(weight, values)) + ENTRY_BYTES * len(words)
+            self.update(zip(words, values))
+            if self.held > self.most:
+                return
 
 
 class PrefixTable:

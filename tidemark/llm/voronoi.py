@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import modest_batches
 from tidemark.session import stage
 
 PIVOTS = 32
@@ -82,7 +81,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = PIVOT
     each row as a candidate and, as a query, by its least vector.  Scores must fit a long.
     """
     spark = vectors.sparkSession
-    modest_batches(spark, 4096)
     every = quantised(vectors.where(F.col("vec_id").isNotNull()).select("vec_id", "embedding", is_query.alias("asks")).select("vec_id", "embedding"), scale)
     lengths = every.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
