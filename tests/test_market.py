@@ -179,14 +179,6 @@ def test_append_once_over_batches(spark, tmp_path):
     assert sorted(r["k"] for r in spark.read.parquet(f"{path}/rows").collect()) == ["A", "B"]
 
 
-def test_streak_state_handles_late_days(spark, tmp_path):
-    day = lambda d: ("A", T0 + timedelta(days=d))
-    s = feed(spark, tmp_path, [[day(0), day(2)], [day(1)], [day(3), day(3)]], f"k string, t {NTZ}")
-    path = scratch(spark, "test")
-    streams.latest_sink(streams.streak(s, "t", "k"), path).awaitTermination()
-    assert streams.latest_of(spark, path, ["k"]).first()["days"] == 4
-
-
 def test_late_rows_become_issues(spark, tmp_path):
     rows = [("A", T0, T0 + timedelta(days=1, minutes=45)), ("B", T0, T0 + timedelta(days=1, minutes=46))]
     s = feed(spark, tmp_path, [rows], f"k string, ts {NTZ}, arrived_at {NTZ}")

@@ -1,20 +1,19 @@
-"""Forecast models on spark.ml: every fit is a distributed job, every score a column expression."""
+"""Forecast models: boosted trees on histograms and spark.ml; every fit is distributed, every score a column."""
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import maths
+from tidemark.operators import boosting as BO
 from tidemark.operators.metrics import P
-from tidemark.operators.quantiles import linear, order_statistics
 from tidemark.schemas import SEEDS
 
 Scorer = Callable[[DataFrame], DataFrame]
@@ -46,8 +45,8 @@ def _bag(df: DataFrame, models: Sequence, names: Sequence[str], classes: Sequenc
     return out.withColumns({n: _mean([_class(a, k) for a in arrays]) for n, k in zip(names, classes)}).drop(*helpers)
 
 
-def fit_direction(train: DataFrame, seeds: Sequence[int] = SEEDS, features: str = "features", label: str = "y",
-                  trees: int = 40, depth: int = 6, min_leaf: int = 40, subset: float = 0.8) -> Scorer:
+def fit_forest(train: DataFrame, seeds: Sequence[int] = SEEDS, features: str = "features", label: str = "y",
+               trees: int = 40, depth: int = 6, min_leaf: int = 40, subset: float = 0.8) -> Scorer:
     """Seed-bagged multiclass forest; the mean probability goes to p0..p2."""
     data = train.withColumn("_label", F.col(label).cast("double"))
     models = [RandomForestClassifier(featuresCol=features, labelCol="_label", numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf,
@@ -55,31 +54,51 @@ def fit_direction(train: DataFrame, seeds: Sequence[int] = SEEDS, features: str
     return lambda df: _bag(df, models, P, (0, 1, 2))
 
 
-def fit_ordinal(train: DataFrame, seeds: Sequence[int] = SEEDS, features: str = "features", label: str = "y", rounds: int = 20, depth: int = 4) -> Scorer:
+def _boosted(train: DataFrame, loss, label: str, names: Sequence[str], link, by: str | None, seeds: Sequence[int], settings: BO.Settings,
+             each: Mapping[str, BO.Settings] | None, features: str) -> Scorer:
+    """One run of boosting for all values of ``by``; the outputs go to ``names``, null for a value without training rows."""
+    model = BO.fit(train, loss, label, by, seeds, settings, each, features)
+
+    def score(df: DataFrame) -> DataFrame:
+        group = F.lit("all") if by is None else F.col(by).cast("string")
+        out = df.withColumn("_raw", model.raw(vector_to_array(features), group, link))
+        return out.withColumns({n: F.col("_raw")[k] for k, n in enumerate(names)}).drop("_raw")
+    return score
+
+
+def fit_direction(train: DataFrame, seeds: Sequence[int] = SEEDS, features: str = "features", label: str = "y", by: str | None = None,
+                  settings: BO.Settings = BO.Settings(), each: Mapping[str, BO.Settings] | None = None) -> Scorer:
+    """Seed-bagged multiclass boosting; the mean probability goes to p0..p2."""
+    return _boosted(train, BO.Softmax(3), label, P, BO.softmax, by, seeds, settings, each, features)
+
+
+def fit_ordinal(train: DataFrame, seeds: Sequence[int] = SEEDS, features: str = "features", label: str = "y", by: str | None = None,
+                settings: BO.Settings = BO.Settings()) -> Scorer:
     """Two boosted threshold models, P(y >= 1) and P(y >= 2)."""
-    def threshold(k: int):
-        data = train.withColumn("_label", (F.col(label) >= k).cast("double"))
-        return [GBTClassifier(featuresCol=features, labelCol="_label", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=s).fit(data) for s in seeds]
-    low, high = threshold(1), threshold(2)
-    return lambda df: _bag(_bag(df, low, ["not_down"], [1]), high, ["up"], [1])
+    return _boosted(train, BO.Thresholds(1, 2), label, ("not_down", "up"), BO.sigmoid, by, seeds, settings, None, features)
 
 
-def fit_quantiles(train: DataFrame, target: str = "target_return", qs: dict[str, float] | None = None, features: str = "features",
-                  depth: int = 5, min_leaf: int = 40) -> Scorer:
-    """Leaf quantiles: a regression tree partitions the rows, each leaf keeps exact target quantiles.
+def _same(score):
+    return score
+
 
-    The leaf table has at most 2**depth rows, which bounds the broadcast.
-    """
+def fit_quantiles(train: DataFrame, target: str = "target_return", qs: dict[str, float] | None = None, features: str = "features", by: str | None = None,
+                  settings: BO.Settings = BO.Settings(), seeds: Sequence[int] = SEEDS[:1]) -> Scorer:
+    """Boosted quantiles of the target, sorted where they cross; leaves hold exact quantiles."""
     qs = qs or {"lower": 0.1, "mid": 0.5, "upper": 0.9}
-    tree = DecisionTreeRegressor(featuresCol=features, labelCol=target, maxDepth=depth, minInstancesPerNode=min_leaf, predictionCol="_pred", leafCol="_leaf").fit(train)
-    table = order_statistics(tree.transform(train), ["_leaf"], target, {n: linear(q) for n, q in qs.items()})
-    return lambda df: tree.transform(df).join(F.broadcast(table), "_leaf", "left").drop("_leaf", "_pred")
+    model = _boosted(train, BO.Pinball(*qs.values()), target, list(qs), _same, by, seeds, settings, None, features)
+
+    def score(df: DataFrame) -> DataFrame:
+        out = model(df).withColumn("_sorted", F.array_sort(F.array(*qs)))
+        return out.withColumns({n: F.col("_sorted")[k] for k, n in enumerate(sorted(qs, key=qs.get))}).drop("_sorted")
+    return score
 
 
-def fit_risk(train: DataFrame, features: str = "features", target: str = "target_risk", rounds: int = 10, depth: int = 4) -> Scorer:
+def fit_risk(train: DataFrame, features: str = "features", target: str = "target_risk", by: str | None = None, settings: BO.Settings = BO.Settings(),
+             seeds: Sequence[int] = SEEDS[:1], each: Mapping[str, BO.Settings] | None = None) -> Scorer:
     """Boosted regression of risk, clipped to [0, 1]."""
-    model = GBTRegressor(featuresCol=features, labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=0.1, predictionCol="_risk", seed=SEEDS[0]).fit(train)
-    return lambda df: model.transform(df).withColumn("risk", maths.clamp(F.col("_risk"), 0.0, 1.0)).drop("_risk")
+    model = _boosted(train, BO.Squared(), target, ["_risk"], _same, by, seeds, settings, each, features)
+    return lambda df: model(df).withColumn("risk", maths.clamp(F.col("_risk"), 0.0, 1.0)).drop("_risk")
 
 
 def fit_logistic(train: DataFrame, c: float, features: str = "features", label: str = "y", standardize: bool = True, weight: str | None = None) -> Scorer:
@@ -113,11 +132,20 @@ def fit_matrix_calibrator(val: DataFrame, c: float) -> Scorer:
     return lambda df: score(logs(df)).drop("_lp")
 
 
-# Fixed values: (name, trees, depth, min rows per leaf, feature share, training years)
+# Fixed values: (name, rounds, step, leaves, depth, min rows per leaf, l1, l2, feature share, training years)
 CAPACITY_VARIANTS = (
-    ("current", 40, 6, 40, 0.8, None), ("current_recent_6y", 40, 6, 40, 0.8, 6), ("shallow", 30, 3, 200, 0.75, None),
-    ("shallow_recent_6y", 30, 3, 200, 0.75, 6), ("very_shallow", 18, 3, 400, 0.70, None),
+    ("current", 400, 0.025, 15, 6, 40, 0.2, 1.0, 0.8, None), ("current_recent_6y", 400, 0.025, 15, 6, 40, 0.2, 1.0, 0.8, 6),
+    ("shallow", 300, 0.020, 7, 3, 200, 1.0, 10.0, 0.75, None), ("shallow_recent_6y", 300, 0.020, 7, 3, 200, 1.0, 10.0, 0.75, 6),
+    ("very_shallow", 180, 0.020, 5, 3, 400, 2.0, 20.0, 0.70, None),
 )
+PACE = 8  # a job a level makes rounds dear: so many times fewer of them, with steps as many times larger
+
+
+def capacity_settings(variant: tuple) -> BO.Settings:
+    _, rounds, rate, leaves, depth, least, l1, l2, columns, _ = variant
+    return BO.Settings(rounds=-(-rounds // PACE), rate=rate * PACE, depth=depth, leaves=leaves, min_leaf=least, l1=l1, l2=l2, columns=columns)
+
+
 LINEAR_C = (0.001, 0.01, 0.1, 1.0)
 
 
@@ -129,3 +157,9 @@ def over_folds(samples: DataFrame, folds: Sequence[str], fit: Callable[[DataFram
         score = fit(rows.where(F.col("role") == "train"))
         parts.append(score(rows.where(F.col("role").isin(*roles))))
     return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def together(samples: DataFrame, folds: Sequence[str], fit: Callable[[DataFrame], Scorer], roles: Sequence[str] = ("validation", "test")) -> DataFrame:
+    """As ``over_folds``, for a ``fit`` that trains all folds at once."""
+    rows = samples.where(F.col("fold").isin(*folds))
+    return fit(rows.where("role = 'train'"))(rows.where(F.col("role").isin(*roles)))

@@ -2,19 +2,21 @@
 
 ``samples`` carries asset_id, snapshot_time, label_end_time, fold, role, y, target_return,
 target_volatility, neutral_band_threshold, q0..q2 (training class prior of the fold) and the features.
-A driver loop over (fold, variant) only calls ``fit``.
+Boosted variants are groups of one training run: all variants, folds and seeds grow in the same jobs.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import maths
 from tidemark.operators import bars as B
+from tidemark.operators import boosting as BO
 from tidemark.operators import bootstrap as BS
 from tidemark.operators import calibration as C
 from tidemark.operators import labels as L
@@ -45,14 +47,38 @@ def split_roles(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scored.where("role = 'validation'"), scored.where("role = 'test'")
 
 
-def variant_scores(samples: DataFrame, folds: Sequence[str], variants: dict[str, Sequence[str]], seeds: Sequence[int], **tree) -> DataFrame:
-    """Long table of raw probabilities, one block per variant's feature list, written once."""
-    parts = []
-    for name, features in variants.items():
-        ready = M.vectors(samples, features)
-        scored = M.over_folds(ready, folds, lambda tr: M.fit_direction(tr, seeds, **tree))
-        parts.append(scored.drop("features").withColumn("variant", F.lit(name)))
-    return stage(union(parts))
+def by_variant(rows: DataFrame, folds: Sequence[str], each: Mapping[str, BO.Settings], seeds: Sequence[int], risk: bool = False) -> DataFrame:
+    """Raw probabilities of the validation and test rows of every ``variant``, from one training run, written once.
+
+    ``rows`` have a variant, a fold and the vector ``features``; ``each`` holds the settings of each variant.
+    """
+    grouped = rows.where(F.col("fold").isin(*folds)).withColumn("_group", F.concat_ws("|", "variant", "fold"))
+    settings = {f"{name}|{fold}": own for name, own in each.items() for fold in folds}
+    train, scored = grouped.where("role = 'train'"), grouped.where("role <> 'train'")
+    out = M.fit_direction(train, seeds, by="_group", each=settings)(scored)
+    if risk:
+        out = M.fit_risk(train, by="_group", each=settings)(out)
+    return stage(out.drop("features", "_group"))
+
+
+def in_variants(samples: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Every row once for each variant."""
+    return samples.withColumn("variant", F.explode(F.array(*[F.lit(n) for n in names])))
+
+
+def variant_scores(samples: DataFrame, folds: Sequence[str], variants: Mapping[str, Sequence[str]], seeds: Sequence[int],
+                   settings: BO.Settings = BO.Settings(), risk: bool = False) -> DataFrame:
+    """Long table of raw probabilities of models on different feature lists."""
+    every = list(dict.fromkeys(f for features in variants.values() for f in features))
+    ready = stage(M.vectors(samples, every))
+    each = {n: replace(settings, features=tuple(every.index(f) for f in features)) for n, features in variants.items()}
+    return by_variant(in_variants(ready, list(variants)), folds, each, seeds, risk)
+
+
+def worst(segments: DataFrame, k: int) -> DataFrame:
+    """Each segment with its place among the ``k`` that lose most against the prior; no place beyond."""
+    top = ME.worst_k(segments, k).select("dimension", "value", F.row_number().over(Window.orderBy(F.desc("brier_delta"), "dimension", "value")).alias("worst_rank"))
+    return segments.join(top, ["dimension", "value"], "left")
 
 
 def interval_skill(fold_metrics: DataFrame, reference: str, variant: str = "variant") -> DataFrame:
@@ -91,16 +117,18 @@ def intervals_against(test: DataFrame, reference: str, block: int, iterations: i
 # --- experiments ---------------------------------------------------------------------------------
 
 
-def exp_feature_groups(samples: DataFrame, folds: Sequence[str], groups: dict[str, Sequence[str]], horizon: int, reference: str = "spot",
-                       iterations: int = 2000, **tree) -> DataFrame:
-    """Feature groups on identical folds: Brier, calibration, BIC-like score, loss interval against the reference."""
-    val, test = split_roles(variant_scores(samples, folds, groups, SEEDS[:1], **tree))
+def exp_feature_groups(samples: DataFrame, folds: Sequence[str], groups: Mapping[str, Sequence[str]], horizon: int, reference: str = "spot",
+                       iterations: int = 2000, settings: BO.Settings = BO.Settings()) -> DataFrame:
+    """Feature groups on identical folds: Brier, calibration, risk error, BIC-like score, loss interval against the reference."""
+    rows = samples.withColumn("target_risk", maths.target_risk(F.col("target_volatility")))
+    val, test = split_roles(variant_scores(rows, folds, groups, SEEDS[:1], settings, risk=True))
     temps = C.temperature_fit(val, VF)
     test = stage(C.temperature_apply(test.join(temps, VF), F.col("temperature")))
     rep = fold_report(test).join(ME.effective_n(test, horizon, VF), VF)
+    rep = rep.join(test.groupBy(*VF).agg(ME.risk_mae_expr(F.col("risk"), F.col("target_risk"))), VF)
     size = F.create_map(*[x for n, f in groups.items() for x in (F.lit(n), F.lit(len(f)))])
     rep = rep.withColumn("bic_like", ME.bic_like(F.col("log_loss"), size[F.col("variant")], F.col("effective_n")))
-    mean = mean_report(rep).join(rep.groupBy("variant").agg(F.avg("bic_like").alias("bic_like")), "variant")
+    mean = mean_report(rep).join(rep.groupBy("variant").agg(F.avg("bic_like").alias("bic_like"), F.avg("risk_mae").alias("risk_mae")), "variant")
     return mean.join(intervals_against(test, reference, horizon, iterations), "variant", "left")
 
 
@@ -141,11 +169,26 @@ def calibrated_variants(scored: DataFrame, folds: Sequence[str]) -> DataFrame:
                   (("raw", test), ("temperature_blend", blended), ("selected", selected))])
 
 
-def exp_calibration(samples: DataFrame, folds: Sequence[str], features: Sequence[str], seeds: Sequence[int] = SEEDS, **tree) -> DataFrame:
-    scored = variant_scores(samples, folds, {"model": features}, seeds, **tree).drop("variant")
+REGIMES = ("volatility_regime", "volume_regime", "trend_strength", "macro_market_regime")
+
+
+def direction_scores(samples: DataFrame, folds: Sequence[str], features: Sequence[str], seeds: Sequence[int] = SEEDS, settings: BO.Settings = BO.Settings()) -> DataFrame:
+    """Raw probabilities of one model on all folds; several experiments start from them."""
+    return variant_scores(samples, folds, {"model": features}, seeds, settings).drop("variant")
+
+
+def exp_calibration(scored: DataFrame, folds: Sequence[str]) -> DataFrame:
+    """Mean metrics of raw, blended and nested-selected calibration."""
     return mean_report(fold_report(stage(calibrated_variants(scored, folds))))
 
 
+def exp_calibration_segments(samples: DataFrame, scored: DataFrame, benchmark: str, k: int = 10) -> DataFrame:
+    """Blended predictions by fold and macro regime, the ``k`` worst segments ranked."""
+    val, test = split_roles(scored)
+    rows = stage(regime_rows(samples, C.temperature_blend(val, test, ["fold"]), benchmark))
+    return worst(ME.segment_summary(rows, ["fold", *REGIMES], "q"), k)
+
+
 def exp_prior(samples: DataFrame) -> DataFrame:
     """Prior grid chosen on validation, refitted on train and validation, tested; no model involved."""
     train, val, test = (samples.where(F.col("role") == r) for r in ("train", "validation", "test"))
@@ -171,15 +214,16 @@ def ordinal_blend(fit: DataFrame, target: DataFrame, by: Sequence[str] = ("fold"
 
 
 def exp_direction(samples: DataFrame, folds: Sequence[str], features: Sequence[str], horizon: int, seeds: Sequence[int] = SEEDS,
-                  iterations: int = 2000, rounds: int = 20, **tree) -> DataFrame:
+                  iterations: int = 2000, settings: BO.Settings = BO.Settings()) -> DataFrame:
     """Multiclass, ordinal, nested choice and quantile-derived direction on identical folds."""
     ready = stage(M.vectors(samples, features))
 
     def fit(train: DataFrame):
-        multi, ordinal, quant = M.fit_direction(train, seeds, **tree), M.fit_ordinal(train, seeds, rounds=rounds), M.fit_quantiles(train)
+        multi = M.fit_direction(train, seeds, by="fold", settings=settings)
+        ordinal, quant = M.fit_ordinal(train, seeds, by="fold", settings=settings), M.fit_quantiles(train, by="fold", settings=settings)
         return lambda df: quant(ordinal(multi(df)))
 
-    val, test = split_roles(stage(M.over_folds(ready, folds, fit).drop("features")))
+    val, test = split_roles(stage(M.together(ready, folds, fit).drop("features")))
     inner = L.inner_calibration(val)
     f, s = inner.where("part = 'fit'"), inner.where("part = 'selection'")
     trial = union([df.select("fold", "y", *ME.P, F.lit(n).alias("method")) for n, df in (
@@ -197,17 +241,17 @@ def exp_direction(samples: DataFrame, folds: Sequence[str], features: Sequence[s
 
 
 def exp_macro(samples: DataFrame, macro: DataFrame, folds: Sequence[str], features: Sequence[str], macro_features: Sequence[str],
-              seeds: Sequence[int] = SEEDS[:3], **tree) -> DataFrame:
+              seeds: Sequence[int] = SEEDS[:3], settings: BO.Settings = BO.Settings()) -> DataFrame:
     """With and without lagged macro features, on the rows that have both."""
     joined = stage(with_prior(MA.attach_macro(samples, macro).dropna(subset=list(macro_features))))
-    val, test = split_roles(variant_scores(joined, folds, {"without": features, "with": [*features, *macro_features]}, seeds, **tree))
+    val, test = split_roles(variant_scores(joined, folds, {"without": features, "with": [*features, *macro_features]}, seeds, settings))
     return mean_report(fold_report(stage(C.temperature_blend(val, test, VF))))
 
 
 def exp_intervals(samples: DataFrame, folds: Sequence[str], features: Sequence[str], horizon: int, vol: str = "volatility_60s", ppy: int = 252) -> DataFrame:
     """Absolute, predicted-width-scaled and volatility-scaled conformal intervals."""
     ready = M.vectors(samples, features)
-    scored = stage(M.over_folds(ready, folds, lambda tr: M.fit_quantiles(tr)).drop("features").withColumn("target", F.col("target_return")))
+    scored = stage(M.together(ready, folds, lambda tr: M.fit_quantiles(tr, by="fold")).drop("features").withColumn("target", F.col("target_return")))
     scored = scored.withColumns({"one": F.lit(1.0), "width": F.col("upper") - F.col("lower"), "vol_scale": C.horizon_scale(F.col(vol), horizon, ppy)})
     val, test = split_roles(scored)
     parts = []
@@ -229,7 +273,8 @@ def baseline_quantiles(samples: DataFrame) -> DataFrame:
 ATR_MULTIPLIERS = (0.35, 0.50, 0.65)  # fixed values
 
 
-def exp_labels(samples: DataFrame, folds: Sequence[str], features: Sequence[str], horizon: int, seeds: Sequence[int] = SEEDS[:3], **tree) -> DataFrame:
+def exp_labels(samples: DataFrame, folds: Sequence[str], features: Sequence[str], horizon: int, seeds: Sequence[int] = SEEDS[:3],
+               settings: BO.Settings = BO.Settings()) -> DataFrame:
     """The current neutral band against three ATR-confirmed ones; the stored label must be reproducible."""
     rows = samples.withColumn("_again", maths.direction(F.col("target_return"), F.col("neutral_band_threshold")))
     check = F.when(F.col("_again") != F.col("y"), F.raise_error(F.lit("stored label differs from its reconstruction")).cast("int"))
@@ -239,9 +284,8 @@ def exp_labels(samples: DataFrame, folds: Sequence[str], features: Sequence[str]
     parts = []
     for name, band in bands.items():
         relabelled = with_prior(rows.withColumn("neutral_band_threshold", band).withColumn("y", maths.direction(F.col("target_return"), F.col("neutral_band_threshold"))))
-        ready = M.vectors(relabelled, features)
-        parts.append(M.over_folds(ready, folds, lambda tr: M.fit_direction(tr, seeds, **tree)).drop("features").withColumn("variant", F.lit(name)))
-    val, test = split_roles(stage(union(parts)))
+        parts.append(M.vectors(relabelled, features).withColumn("variant", F.lit(name)))
+    val, test = split_roles(by_variant(stage(union(parts)), folds, dict.fromkeys(bands, settings), seeds))
     test = stage(C.temperature_blend(val, test, VF))
     shares = ME.class_shares(test, ["variant"])
     return mean_report(fold_report(test)).join(shares, "variant")
@@ -282,21 +326,31 @@ def regime_rows(samples: DataFrame, test: DataFrame, benchmark: str, roles=RG.EQ
     return RG.attach(test, test_macro, RG.thresholds(train_macro, ["fold"]), ["fold"])
 
 
-def exp_regimes(samples: DataFrame, folds: Sequence[str], features: Sequence[str], benchmark: str, seeds: Sequence[int] = SEEDS, **tree) -> DataFrame:
-    """Outer-fold predictions by asset and macro regime, with the gap to the prior."""
-    val, test = split_roles(variant_scores(samples, folds, {"model": features}, seeds, **tree).drop("variant"))
-    rows = stage(regime_rows(samples, C.temperature_blend(val, test, ["fold"]), benchmark))
-    return ME.segment_summary(rows, ["asset_id", "volatility_regime", "volume_regime", "trend_strength", "macro_market_regime"], "q")
+def better_baseline(samples: DataFrame, folds: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """(ids, b0..b2) of the test rows: of each fold the better of the balanced logistic model and the prior."""
+    ready = stage(M.vectors(samples, features))
+    rows = stage(M.over_folds(ready, folds, M.fit_balanced_logistic, ("test",)).drop("features"))
+    pick = rows.groupBy("fold").agg(ME.brier_expr(name="own"), ME.brier_expr("q", "prior")).select("fold", (F.col("own") < F.col("prior")).alias("_own"))
+    return rows.join(pick, "fold").select("fold", "asset_id", "snapshot_time", *[F.when(F.col("_own"), F.col(f"p{k}")).otherwise(F.col(f"q{k}")).alias(f"b{k}") for k in range(3)])
+
 
+def exp_regimes(samples: DataFrame, scored: DataFrame, folds: Sequence[str], features: Sequence[str], benchmark: str, k: int = 8) -> DataFrame:
+    """Outer-fold predictions by fold, asset and macro regime, with the gap to the better baseline and the ``k`` worst ranked."""
+    val, test = split_roles(scored)
+    blended = C.temperature_blend(val, test, ["fold"]).join(better_baseline(samples, folds, features), ["fold", "asset_id", "snapshot_time"])
+    rows = stage(regime_rows(samples, blended, benchmark))
+    return worst(ME.segment_summary(rows, ["fold", "asset_id", *REGIMES], "b"), k)
 
-def exp_capacity(samples: DataFrame, folds: Sequence[str], features: Sequence[str], seeds: Sequence[int] = SEEDS[:3], scale: float = 1.0) -> DataFrame:
-    """Tree capacity and recency variants; ``scale`` shrinks the number of trees for trial runs."""
+
+def exp_capacity(samples: DataFrame, folds: Sequence[str], features: Sequence[str], seeds: Sequence[int] = SEEDS[:3]) -> DataFrame:
+    """Tree capacity and recency variants."""
     ready = stage(M.vectors(samples, features))
-    parts = []
-    for name, trees, depth, leaf, subset, years in M.CAPACITY_VARIANTS:
-        def fit(train: DataFrame):
-            rows = B.recent_years(train, "snapshot_time", years, ["fold"]) if years else train
-            return M.fit_direction(rows, seeds, trees=max(2, int(trees * scale)), depth=depth, min_leaf=leaf, subset=subset)
-        parts.append(M.over_folds(ready, folds, fit).drop("features").withColumn("variant", F.lit(name)))
-    val, test = split_roles(stage(union(parts)))
+    parts, each = [], {}
+    for variant in M.CAPACITY_VARIANTS:
+        name, years = variant[0], variant[-1]
+        train, rest = ready.where("role = 'train'"), ready.where("role <> 'train'")
+        train = B.recent_years(train, "snapshot_time", years, ["fold"]) if years else train
+        parts.append(train.unionByName(rest).withColumn("variant", F.lit(name)))
+        each[name] = M.capacity_settings(variant)
+    val, test = split_roles(by_variant(union(parts), folds, each, seeds))
     return mean_report(fold_report(stage(C.temperature_blend(val, test, VF))))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import maths
+from tidemark.operators import boosting as BO
 from tidemark.operators import calibration as C
 from tidemark.operators import gates as G
 from tidemark.operators import metrics as ME
@@ -20,23 +21,15 @@ from tidemark.schemas import SEEDS
 from tidemark.session import stage
 
 
-def train_folds(samples: DataFrame, folds: Sequence[str], features: Sequence[str], seeds: Sequence[int] = SEEDS, **tree) -> DataFrame:
+def train_folds(samples: DataFrame, folds: Sequence[str], features: Sequence[str], seeds: Sequence[int] = SEEDS, settings: BO.Settings = BO.Settings()) -> DataFrame:
     """Every validation and test row with raw direction, quantiles, risk and the balanced-logistic baseline l0..l2."""
     ready = stage(M.vectors(samples.withColumn("target_risk", maths.target_risk(F.col("target_volatility"))), features))
-
-    def fit(train: DataFrame):
-        logistic = M.fit_balanced_logistic(train)
-        models = [M.fit_direction(train, seeds, **tree), M.fit_quantiles(train), M.fit_risk(train)]
-
-        def score(df: DataFrame) -> DataFrame:
-            df = logistic(df)
-            df = df.withColumns({f"l{k}": F.col(f"p{k}") for k in range(3)}).drop(*ME.P)
-            for m in models:
-                df = m(df)
-            return df
-        return score
-
-    return stage(M.over_folds(ready, folds, fit).drop("features"))
+    logistic = M.over_folds(ready, folds, M.fit_balanced_logistic)
+    rows = logistic.withColumns({f"l{k}": F.col(f"p{k}") for k in range(3)}).drop(*ME.P)
+    train = ready.where(F.col("fold").isin(*folds) & (F.col("role") == "train"))
+    for score in (M.fit_direction(train, seeds, by="fold", settings=settings), M.fit_quantiles(train, by="fold", settings=settings), M.fit_risk(train, by="fold", settings=settings)):
+        rows = score(rows)
+    return stage(rows.drop("features"))
 
 
 def fold_metrics(samples: DataFrame, scored: DataFrame, horizon: int, ppy: int, scale_feature: str, risk_feature: str) -> DataFrame:
@@ -67,19 +60,20 @@ def fold_metrics(samples: DataFrame, scored: DataFrame, horizon: int, ppy: int,
 
 
 def train(samples: DataFrame, folds: Sequence[str], features: Sequence[str], horizon: int, ppy: int = 252, scale_feature: str = "volatility_60s",
-          risk_feature: str = "volatility_20s", seeds: Sequence[int] = SEEDS, version: str = "tidemark-1", **tree) -> tuple[DataFrame, DataFrame, Bundle]:
-    """(fold metrics, one manifest row, the bundle fitted on all rows).
+          risk_feature: str = "volatility_20s", seeds: Sequence[int] = SEEDS, version: str = "tidemark-1",
+          settings: BO.Settings = BO.Settings(), scored: DataFrame | None = None) -> tuple[DataFrame, DataFrame, Bundle]:
+    """(fold metrics, one manifest row, the bundle fitted on all rows); ``scored`` is what ``train_folds`` gave, if it ran.
 
     The manifest holds both gate decisions and everything a scorer needs beside the models: temperature, blend weight
     and interval multiplier of the newest fold (never fitted on an outer test period), class shares and feature
     medians of all rows.
     """
-    scored = train_folds(samples, folds, features, seeds, **tree)
+    scored = train_folds(samples, folds, features, seeds, settings) if scored is None else scored
     metrics = fold_metrics(samples, scored, horizon, ppy, scale_feature, risk_feature)
     metrics = tagged = stage(metrics.withColumn("horizon_days", F.lit(horizon)))
     gates = G.gate_direction(tagged, ["horizon_days"]).select("horizon_days", "brier", "baseline_brier", "ece", "direction_passed").join(
         G.gate_scenario(tagged, ["horizon_days"]).select("horizon_days", "coverage", "scenario_passed"), "horizon_days")
-    bundle = final_fit(samples, metrics, features, version, seeds, **tree)
+    bundle = final_fit(samples, metrics, features, version, seeds, settings)
     stored = bundle.parameters.select(
         F.lit(version).alias("version"), F.col("temperature"), F.col("weight").alias("probability_blend_weight"), F.col("multiplier").alias("conformal_multiplier"),
         *[F.col(f"q{k}").alias(f"prior_{k}") for k in range(3)], "sample_count",
@@ -105,10 +99,10 @@ class Bundle:
 
 
 def fit_bundle(train_rows: DataFrame, validation: DataFrame, features: Sequence[str], version: str, horizon: int, ppy: int, scale_feature: str,
-               seeds: Sequence[int] = SEEDS, **tree) -> Bundle:
+               seeds: Sequence[int] = SEEDS, settings: BO.Settings = BO.Settings()) -> Bundle:
     """Fit on the training rows, calibrate on validation; the medians become the explanation reference."""
     ready = M.vectors(train_rows.withColumn("target_risk", maths.target_risk(F.col("target_volatility"))), features)
-    d, q, r = M.fit_direction(ready, seeds, **tree), M.fit_quantiles(ready), M.fit_risk(ready)
+    d, q, r = M.fit_direction(ready, seeds, settings=settings), M.fit_quantiles(ready, settings=settings), M.fit_risk(ready, settings=settings)
     val = q(d(M.vectors(validation, features))).withColumns({"k": F.lit(1), "target": F.col("target_return"), "scale": C.horizon_scale(F.col(scale_feature), horizon, ppy)})
     val = stage(val.drop("features"))
     temp = C.temperature_fit(val, ["k"])
@@ -120,11 +114,12 @@ def fit_bundle(train_rows: DataFrame, validation: DataFrame, features: Sequence[
     return Bundle(d, q, r, params, features, version)
 
 
-def final_fit(samples: DataFrame, metrics: DataFrame, features: Sequence[str], version: str, seeds: Sequence[int] = SEEDS, **tree) -> Bundle:
+def final_fit(samples: DataFrame, metrics: DataFrame, features: Sequence[str], version: str, seeds: Sequence[int] = SEEDS,
+              settings: BO.Settings = BO.Settings()) -> Bundle:
     """Models refitted on every sample once, whatever folds it is in, with the calibration of the newest fold."""
     rows = stage(samples.dropDuplicates(["asset_id", "snapshot_time"]))
     ready = stage(M.vectors(rows.withColumn("target_risk", maths.target_risk(F.col("target_volatility"))), features))
-    d, q, r = M.fit_direction(ready, seeds, **tree), M.fit_quantiles(ready), M.fit_risk(ready)
+    d, q, r = M.fit_direction(ready, seeds, settings=settings), M.fit_quantiles(ready, settings=settings), M.fit_risk(ready, settings=settings)
     newest = metrics.orderBy(F.desc("fold")).limit(1).select(
         F.lit(1).alias("k"), "temperature", F.col("probability_blend_weight").alias("weight"), F.col("conformal_multiplier").alias("multiplier"))
     shares = rows.agg(F.count(F.lit(1)).alias("sample_count"), *[F.avg((F.col("y") == k).cast("double")).alias(f"q{k}") for k in range(3)]).withColumn("k", F.lit(1))

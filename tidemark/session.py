@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,8 +57,21 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{_own_folder(spark)}/{kind}/{uuid.uuid4().hex}"
 
 
+_kept: dict[tuple, DataFrame] = {}
+
+
+def kept(spark: SparkSession, name: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A frame that several queries over the folder ``source`` use, staged once until ``clear_scratch``."""
+    key = (spark.sparkContext.applicationId, name, source)
+    if key not in _kept:
+        _kept[key] = stage(make())
+    return _kept[key]
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove all folders this application staged; call it when no frame that reads them is in use any more."""
+    for key in [k for k in _kept if k[0] == spark.sparkContext.applicationId]:
+        del _kept[key]
     folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

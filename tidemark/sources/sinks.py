@@ -1,10 +1,10 @@
-"""Writers: versioned datasets, JSON reports, audit rows."""
+"""Writers: versioned datasets, JSON reports, audited writes."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,28 @@ def audit_row(run_id: str, source: str, dataset: str, started: Column, completed
         F.lit(run_id).alias("run_id"), F.lit(source).alias("source"), F.lit(dataset).alias("dataset"), started.alias("started_at"),
         completed.alias("completed_at"), F.lit(status).alias("status"), F.col("records_read").cast("long").alias("records_read"),
         F.col("records_written").cast("long").alias("records_written"), F.lit(error).cast("string").alias("error"))
+
+
+def observed(df: DataFrame, valid: Column, write: Callable[[DataFrame], None]) -> tuple[int, int]:
+    """Write the valid rows; how many rows were read and written is counted by that same job."""
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("read"), F.count_if(valid).alias("written")).where(valid))
+    counts = seen.get
+    return counts.get("read") or 0, counts.get("written") or 0
+
+
+def audited_write(df: DataFrame, path: str, valid: Column, run_id: str, source: str, dataset: str, started: Column) -> DataFrame:
+    """Write the valid rows below ``path`` and give the run's row; a failed write leaves its row in ``path`` and is raised."""
+    spark = df.sparkSession
+
+    def row(status: str, read: int, written: int, error: str | None = None) -> DataFrame:
+        counts = spark.createDataFrame([(read, written)], "records_read long, records_written long")
+        out = audit_row(run_id, source, dataset, started, F.current_timestamp(), counts, status, error)
+        out.write.mode("overwrite").parquet(f"{path}/runs/run_id={run_id}")
+        return spark.read.schema(out.schema).option("basePath", f"{path}/runs").parquet(f"{path}/runs/run_id={run_id}")
+    try:
+        read, written = observed(df, valid, lambda rows: rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rows/run_id={run_id}"))
+    except Exception as failure:
+        row("failed", 0, 0, str(failure)[:1000])
+        raise
+    return row("succeeded" if read else "deferred", read, written)

@@ -20,6 +20,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 from tidemark.operators import bars as B
 from tidemark.operators.relations import not_yet
 from tidemark.sources.payloads import content_hash, parse_stream_bars, strip_space
+from tidemark.sources.sinks import observed
+from tidemark.sources.snapshots import SnapshotTable
+from tidemark.streaming.state import rocksdb
 
 # --- transformations -----------------------------------------------------------------------------
 
@@ -74,17 +77,6 @@ def latest_price(stream: DataFrame, time: str = "ts", price: str = "value", orde
     return stream.groupBy(key).agg(F.max_by(price, _rank(order)).alias("price"), F.max(time).alias("price_time"))
 
 
-def streak(stream: DataFrame, time: str, key: str) -> DataFrame:
-    """Running length of the consecutive-day run ending at the newest day (update mode).
-
-    The state is the set of seen days, bounded by the calendar, so late and repeated days are exact.
-    """
-    days = stream.groupBy(key).agg(F.array_sort(F.collect_set(F.to_date(time))).alias("_days"))
-    last, n = F.element_at("_days", -1), F.size("_days")
-    run = F.size(F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.date_diff(last, F.element_at("_days", n - i)) == i))
-    return days.select(key, last.alias("last_day"), run.cast("long").alias("days"))
-
-
 def asof_guard(stream: DataFrame, now: Column, cutoff: str = "snapshot_time") -> DataFrame:
     """Only rows known by now whose sources ended before the cutoff."""
     return stream.where((F.col("available_at") <= now) & (F.col("source_max_event_time") < F.col(cutoff)))
@@ -99,8 +91,14 @@ def news_dedupe(stream: DataFrame, delay: str, key: str = "symbol", time: str =
 
 
 def start(stream: DataFrame, path: str, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append",
-          every: str | None = None) -> StreamingQuery:
-    """Start a query with its own checkpoint: all available data once, or every ``every``."""
+          every: str | None = None, timed: bool = False) -> StreamingQuery:
+    """Start a query with its own checkpoint: all available data once, or every ``every``.
+
+    ``timed`` is for the operators of ``state``, whose state needs RocksDB.
+    """
+    if timed:
+        with rocksdb(stream.sparkSession):
+            return start(stream, path, each, mode, every)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/_checkpoint")
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     if each is not None:
@@ -131,13 +129,15 @@ def put_batch(batch: DataFrame, path: str, table: str, batch_id: int, run: str =
     batch.write.mode("overwrite").parquet(f"{path}/{table}/run={run}/batch={batch_id}")
 
 
-def keyed(path: str, each: Callable[[DataFrame, int, str], None]) -> Callable[[DataFrame, int], None]:
-    """A batch function that knows its run and whose batch is computed once, however often it is used."""
+def keyed(path: str, each: Callable[[DataFrame, int, str], None], hold: bool = True) -> Callable[[DataFrame, int], None]:
+    """A batch function that knows its run; with ``hold`` its batch is computed once, however often it is used."""
     names: list[str] = []
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if not names:
             names.append(run_name(batch.sparkSession, path))
+        if not hold:
+            return each(batch, batch_id, names[0])
         batch = batch.persist()
         try:
             each(batch, batch_id, names[0])
@@ -193,6 +193,14 @@ def upserted(spark: SparkSession, path: str, keys: Sequence[str] = B.BAR_KEY, se
     return B.latest_wins(stored(spark, path, "bars"), keys, [F.desc("is_final"), F.desc("run"), F.desc("batch"), F.desc(seq)]).drop(*PLACE)
 
 
+def snapshot_sink(stream: DataFrame, path: str, table: SnapshotTable, seq: str | None = "ingest_seq", prefer: Sequence[str] = ("is_final",), **kw) -> StreamingQuery:
+    """Keyed upsert that rewrites the touched buckets of ``table``; its readers see whole batches only."""
+    def each(batch: DataFrame, batch_id: int, run: str) -> None:
+        table.upsert(batch, seq, prefer, (run, batch_id))
+
+    return start(stream, path, keyed(path, each, hold=False), **kw)
+
+
 def latest_sink(stream: DataFrame, path: str, **kw) -> StreamingQuery:
     """Changed keys of an update-mode aggregate per micro-batch."""
     return start(stream, path, keyed(path, lambda df, i, run: put_batch(df, path, "latest", i, run)), mode="update", **kw)
@@ -237,6 +245,8 @@ def append_once(stream: DataFrame, path: str, keys: Sequence[str], day: str | No
 def audited(stream: DataFrame, path: str, source: str, dataset: str, valid: Column, **kw) -> StreamingQuery:
     """Store valid rows and one run row per micro-batch: read, written, succeeded, deferred or failed.
 
+    The counts are observed by the job that writes the rows, so a batch is read once and held nowhere.
+
     A failed batch leaves its row and stops the query; when it is repeated with success, the row is replaced.
     """
     def row(spark: SparkSession, batch_id: int, status: str, read: int, written: int) -> DataFrame:
@@ -246,11 +256,10 @@ def audited(stream: DataFrame, path: str, source: str, dataset: str, valid: Colu
     def each(batch: DataFrame, batch_id: int, run: str) -> None:
         spark = batch.sparkSession
         try:
-            put_batch(batch.where(valid), path, "rows", batch_id, run)
-            read, written = batch.agg(F.count(F.lit(1)), F.count_if(valid)).first()
+            read, written = observed(batch, valid, lambda rows: put_batch(rows, path, "rows", batch_id, run))
         except Exception:
             put_batch(row(spark, batch_id, "failed", 0, 0), path, "runs", batch_id, run)
             raise
         put_batch(row(spark, batch_id, "succeeded" if read else "deferred", read, written), path, "runs", batch_id, run)
 
-    return start(stream, path, keyed(path, each), **kw)
+    return start(stream, path, keyed(path, each, hold=False), **kw)

@@ -13,10 +13,11 @@ from tidemark.operators import labels as L
 from tidemark.operators import macro as MA
 from tidemark.operators import metrics as ME
 from tidemark.operators import models as M
+from tidemark.operators import scoring as SC
 from tidemark.plans import datasets as DS
 from tidemark.plans import experiments as X
 from tidemark.plans import serving as SV
-from tidemark.session import stage
+from tidemark.session import kept, stage
 from tidemark.workbench import q_features as QF
 from tidemark.workbench import q_market as QM
 from tidemark.workbench import tables as t
@@ -24,40 +25,39 @@ from tidemark.workbench.registry import big, query, r, rexp
 
 YEARS = QF.YEARS
 FOLDS = [f"wf-{y}" for y in YEARS]
-FEATS = ["return_5s", "return_20s", "return_60s", "return_120s", "volatility_20s", "volatility_60s", "rsi_14", "macd_normalized", "atr_14_normalized",
-         "ma_ratio_20s", "ma_ratio_200s", "volume_zscore_20s", "benchmark_correlation_60s", "market_breadth_20s", "momentum_rank_20s", "market_regime"]
-# Small ensembles keep the registered runs short; the library defaults are the full ones.
-SMALL = {"trees": 8, "depth": 4}
-_staged: dict[tuple[str, str], object] = {}
-
-
-def samples(spark, d):
-    """Labelled equity samples with folds, roles and the fold prior, written once per session and table folder."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _staged:
+FEATS = list(schemas.EQUITY_FEATURES)
+# Feature groups of the ablation: price and volume alone, with the benchmark, with the cross-section, all.
+CROSS = ["market_breadth_20s", "momentum_rank_20s", "momentum_rank_60s", "volatility_rank_20s"]
+BENCH = ["benchmark_correlation_20s", "benchmark_correlation_60s", "benchmark_beta_20s", "relative_strength_20s"]
+SPOT = [f for f in FEATS if f not in (*CROSS, *BENCH)]
+HORIZON = 30
+SCALE = ("volatility_60s", HORIZON, 252)
+
+
+def labelled(spark, d, horizon=HORIZON):
+    """Labelled equity samples with their own features and those of the benchmark and its regime."""
+    def make():
         daily = t.daily_bars(spark, d)
-        rows = DS.build_equity(daily, t.part_assets(spark, d), t.BENCH, (30,), band=QF.WIDE, trend_limit=0.2, vol_limit=15.0)
+        rows = DS.build_equity(daily, t.part_assets(spark, d), t.BENCH, (horizon,), band=QF.WIDE, trend_limit=0.2, vol_limit=15.0)
         rows = DS.build_equity_macro(rows, t.BENCH).withColumn("y", F.col("target_direction"))
         regime = rows.where(F.col("asset_id") == t.BENCH).select("snapshot_time", F.col("market_regime").alias("spy_regime"))
-        rows = rows.join(regime, "snapshot_time", "left")
-        folds = L.walk_forward(rows, YEARS)
-        _staged[key] = stage(X.with_prior(stage(folds)))
-    return _staged[key]
+        return rows.join(regime, "snapshot_time", "left")
+    return kept(spark, f"labelled-{horizon}", d, make)
+
+
+def samples(spark, d, horizon=HORIZON):
+    """The samples with folds, roles and the fold prior."""
+    return kept(spark, f"samples-{horizon}", d, lambda: X.with_prior(kept(spark, f"folds-{horizon}", d, lambda: L.walk_forward(labelled(spark, d, horizon), YEARS))))
 
 
 def prepared(spark, d):
-    """Feature vectors of all folds with the risk target, written once per session and table folder."""
-    key = (spark.sparkContext.applicationId, d, "vectors")
-    if key not in _staged:
-        s = samples(spark, d).withColumn("target_risk", maths.target_risk(F.col("target_volatility") / 20))
-        _staged[key] = stage(M.vectors(s, FEATS))
-    return _staged[key]
+    """Feature vectors of all folds with the risk target."""
+    return kept(spark, "vectors", d, lambda: M.vectors(samples(spark, d).withColumn("target_risk", maths.target_risk(F.col("target_volatility"))), FEATS))
 
 
-def train_test(spark, d):
-    """Train, validation and test rows of the newest fold, for the scoring queries."""
-    s = prepared(spark, d).where(F.col("fold") == FOLDS[-1])
-    return s.where("role = 'train'"), s.where("role = 'validation'"), s.where("role = 'test'")
+def scored(spark, d):
+    """Raw probabilities of the validation and test rows by the five-seed model; several queries start from them."""
+    return kept(spark, "scored", d, lambda: X.direction_scores(samples(spark, d), FOLDS, FEATS))
 
 
 OUT = ["fold", "asset_id", "snapshot_time", "y"]
@@ -65,35 +65,44 @@ OUT = ["fold", "asset_id", "snapshot_time", "y"]
 
 @query("model_direction")
 def model_direction(spark, d):
-    return M.over_folds(prepared(spark, d), FOLDS, lambda tr: M.fit_direction(tr, schemas.SEEDS, **SMALL), ("test",)).select(*OUT, *ME.P)
+    return scored(spark, d).where("role = 'test'").select(*OUT, *ME.P)
 
 
 @query("model_ordinal")
 def model_ordinal(spark, d):
-    rows = M.over_folds(prepared(spark, d), FOLDS, lambda tr: M.fit_ordinal(tr, schemas.SEEDS[:1], rounds=5))
+    rows = M.together(prepared(spark, d), FOLDS, lambda tr: M.fit_ordinal(tr, by="fold"))
     return X.ordinal_blend(*X.split_roles(stage(rows.drop("features")))).select(*OUT, *ME.P)
 
 
 @query("model_quantile")
 def model_quantile(spark, d):
-    return M.over_folds(prepared(spark, d), FOLDS, M.fit_quantiles, ("test",)).select(*OUT, "lower", "mid", "upper")
+    return M.together(prepared(spark, d), FOLDS, lambda tr: M.fit_quantiles(tr, by="fold"), ("test",)).select(*OUT, "lower", "mid", "upper")
 
 
 @query("model_risk")
 def model_risk(spark, d):
-    return M.over_folds(prepared(spark, d), FOLDS, lambda tr: M.fit_risk(tr, rounds=5), ("test",)).select(*OUT, "risk", "target_risk")
+    return M.together(prepared(spark, d), FOLDS, lambda tr: M.fit_risk(tr, by="fold"), ("test",)).select(*OUT, "risk", "target_risk")
 
 
 def selectable(rows):
-    """The folds whose final training year holds enough rows to select a model on; the others cannot be fitted."""
+    """The folds whose final training year holds enough rows to select a model on."""
     return sorted(r["fold"] for r in L.inner_year(rows.where("role = 'train'")).select("fold").distinct().collect())
 
 
+def unfitted(spark, fitted):
+    """A row for each fold without a model."""
+    return spark.createDataFrame([(f, "final training year too short") for f in FOLDS if f not in fitted], "fold string, reason string")
+
+
+LINEAR = {"stable": SPOT[:8], "full": FEATS}
+
+
 @query("model_linear")
 def model_linear(spark, d):
     rows = prepared(spark, d).drop("features")
-    sets = {"stable": FEATS[:8], "full": FEATS}
-    return M.over_folds(rows, selectable(rows), lambda tr: X.fit_linear_selected(tr, sets), ("test",)).select(*OUT, *ME.P)
+    folds = selectable(rows)
+    out = M.over_folds(rows, folds, lambda tr: X.fit_linear_selected(tr, LINEAR), ("test",)).select(*OUT, *ME.P)
+    return out.unionByName(unfitted(spark, folds), allowMissingColumns=True)
 
 
 @query("model_baseline")
@@ -103,9 +112,13 @@ def model_baseline(spark, d):
         "baseline_brier", F.least("logistic_brier", "climatology_brier"))
 
 
+def capacity(spark, d):
+    return kept(spark, "capacity", d, lambda: X.exp_capacity(samples(spark, d), FOLDS, FEATS))
+
+
 @query("model_capacity_variants")
 def model_capacity_variants(spark, d):
-    return X.exp_capacity(samples(spark, d), FOLDS, FEATS, schemas.SEEDS[:1], 0.2)
+    return capacity(spark, d).select("variant", "brier", "brier_skill_score", "log_loss", "accuracy", "ece")
 
 
 @query("cal_matrix")
@@ -121,26 +134,27 @@ def cal_select(spark, d):
     return X.select_calibrator(p, ["wf-2021", "wf-2022", "wf-2023"])
 
 
-def bundle(spark, d):
-    tr, va, _ = train_test(spark, d)
-    return SV.fit_bundle(tr.drop("features", "target_risk"), va.drop("features", "target_risk"), FEATS, "tidemark-1", 30, 252, "volatility_60s", schemas.SEEDS[:2], **SMALL)
-
-
-SCALE = ("volatility_60s", 30, 252)
-
-
 @query("score_batch")
 def score_batch(spark, d):
-    b = bundle(spark, d)
-    te = train_test(spark, d)[2].drop("features")
-    return SV.score(b, te, C.horizon_scale(F.col(SCALE[0]), *SCALE[1:])).select(*OUT, *ME.P, "lower", "mid", "upper", "risk_score")
+    """Every fold's test rows by the models of that fold, calibrated on its validation rows."""
+    rows = fold_scores(spark, d)
+    val, test = X.split_roles(rows.withColumns({"target": F.col("target_return"), "scale": C.horizon_scale(F.col(SCALE[0]), *SCALE[1:])}))
+    fitted = C.temperature_fit(val, ["fold"])
+    weight = C.blend_fit(C.temperature_apply(val.join(fitted, "fold"), F.col("temperature")), ["fold"])
+    ready = test.join(fitted, "fold").join(weight, "fold").join(C.conformal_scaled(val, ["fold"]), "fold")
+    return SC.finish_score(ready, F.col("temperature"), F.col("weight"), F.col("multiplier"), F.col("scale")).select(*OUT, *ME.P, "lower", "mid", "upper", "risk_score")
+
+
+def fold_scores(spark, d):
+    return kept(spark, "fold-scores", d, lambda: SV.train_folds(samples(spark, d), FOLDS, FEATS))
 
 
 @query("explain_perturb")
 def explain_perturb(spark, d):
-    b = bundle(spark, d)
-    te = train_test(spark, d)[2].drop("features")
-    out = SV.explain(b, te, ["asset_id", "snapshot_time"], C.horizon_scale(F.col(SCALE[0]), *SCALE[1:]))
+    """Top factors of every labelled row once, by the final models."""
+    final = trained(spark, d)[2]
+    rows = labelled(spark, d).where(F.year("snapshot_time").isin(*YEARS))
+    out = SV.explain(final, rows, ["asset_id", "snapshot_time"], C.horizon_scale(F.col(SCALE[0]), *SCALE[1:]))
     return out.select("asset_id", "snapshot_time", F.array_join("positive", ",").alias("positive"), F.array_join("negative", ",").alias("negative"))
 
 
@@ -208,19 +222,30 @@ def job_collect_derivatives(spark, d):
 
 # --- training, scoring, experiments --------------------------------------------------------------
 
-def trained(spark, d):
+_trained: dict[tuple, tuple] = {}
+
+
+def trained(spark, d, horizon=HORIZON):
     """Metrics, manifest and final bundle, fitted once per session and table folder."""
-    key = (spark.sparkContext.applicationId, d, "trained")
-    if key not in _staged:
-        _staged[key] = SV.train(samples(spark, d), FOLDS, FEATS, 30, seeds=schemas.SEEDS[:1], **SMALL)
-    return _staged[key]
+    key = (spark.sparkContext.applicationId, d, horizon)
+    metrics = kept(spark, f"trained-{horizon}", d, lambda: _train(spark, d, horizon, key))
+    return metrics, *_trained[key]
+
+
+def _train(spark, d, horizon, key):
+    features, rows = FEATS, samples(spark, d, horizon)
+    fitted = fold_scores(spark, d) if horizon == HORIZON else None
+    metrics, *rest = SV.train(rows, FOLDS, features, horizon, scored=fitted)
+    _trained[key] = tuple(rest)
+    return metrics
 
 
 @query("job_train")
 def job_train(spark, d):
-    manifest = trained(spark, d)[1]
+    """The manifests of both horizons."""
+    both = [trained(spark, d, h)[1] for h in schemas.HORIZONS]
     reference = F.array_sort(F.transform(F.map_entries("feature_reference"), lambda e: F.concat_ws("=", e["key"], F.round(e["value"], 6).cast("string"))))
-    return manifest.withColumn("feature_reference", F.array_join(reference, ","))
+    return both[0].unionByName(both[1]).withColumn("feature_reference", F.array_join(reference, ","))
 
 
 def _daily(spark, d, equity):
@@ -257,51 +282,60 @@ def job_daily_score_equity(spark, d):
 
 @query("exp_feature_groups")
 def exp_feature_groups(spark, d):
-    groups = {"spot": FEATS[:8], "spot_cross": FEATS[:8] + ["market_breadth_20s", "momentum_rank_20s"], "full": FEATS}
-    return X.exp_feature_groups(samples(spark, d), FOLDS, groups, 30, **SMALL)
+    groups = {"spot": SPOT, "spot_cross": [*SPOT, *CROSS], "spot_benchmark": [*SPOT, *BENCH], "full": FEATS}
+    return X.exp_feature_groups(samples(spark, d), FOLDS, groups, HORIZON)
 
 
 @query("exp_calibration")
 def exp_calibration(spark, d):
-    return X.exp_calibration(samples(spark, d), FOLDS, FEATS, schemas.SEEDS[:1], **SMALL)
+    return X.exp_calibration(scored(spark, d), FOLDS)
+
+
+@query("exp_calibration_segments")
+def exp_calibration_segments(spark, d):
+    return X.exp_calibration_segments(samples(spark, d), scored(spark, d), t.BENCH)
 
 
 @query("exp_conditional_prior")
 def exp_conditional_prior(spark, d):
-    return X.exp_prior(samples(spark, d))
+    """The fourth year is the locked one: no other query tests on it."""
+    rows = kept(spark, "four-years", d, lambda: L.walk_forward(labelled(spark, d), (*YEARS, YEARS[-1] + 1)))
+    return X.exp_prior(X.with_prior(rows))
 
 
 @query("exp_direction_models")
 def exp_direction_models(spark, d):
-    return X.exp_direction(samples(spark, d), FOLDS, FEATS, 30, schemas.SEEDS[:1], 2000, 5, **SMALL)
+    return X.exp_direction(samples(spark, d), FOLDS, FEATS, HORIZON)
 
 
 @query("exp_macro")
 def exp_macro(spark, d):
     macro = stage(MA.macro_features(MA.wide_macro(t.macro_long(spark, d), t.SERIES)))
-    return X.exp_macro(samples(spark, d), macro, FOLDS, FEATS, schemas.MACRO_FEATURES, **SMALL)
+    return X.exp_macro(samples(spark, d), macro, FOLDS, FEATS, schemas.MACRO_FEATURES)
 
 
 @query("exp_intervals")
 def exp_intervals(spark, d):
-    return X.exp_intervals(samples(spark, d), FOLDS, FEATS, 30)
+    return X.exp_intervals(samples(spark, d), FOLDS, FEATS, HORIZON)
 
 
 @query("exp_labels")
 def exp_labels(spark, d):
-    return X.exp_labels(samples(spark, d), FOLDS, FEATS, 30, schemas.SEEDS[:1], **SMALL)
+    return X.exp_labels(samples(spark, d), FOLDS, FEATS, HORIZON)
 
 
 @query("exp_linear")
 def exp_linear(spark, d):
-    return X.exp_linear(samples(spark, d), selectable(samples(spark, d)), {"stable": FEATS[:8], "full": FEATS})
+    folds = selectable(samples(spark, d))
+    out = X.exp_linear(samples(spark, d), folds, LINEAR)
+    return out.unionByName(unfitted(spark, folds).withColumnRenamed("fold", "variant"), allowMissingColumns=True)
 
 
 @query("exp_regimes")
 def exp_regimes(spark, d):
-    return X.exp_regimes(samples(spark, d), FOLDS, FEATS, t.BENCH, schemas.SEEDS[:1], **SMALL)
+    return X.exp_regimes(samples(spark, d), scored(spark, d), FOLDS, FEATS, t.BENCH)
 
 
 @query("exp_capacity")
 def exp_capacity(spark, d):
-    return X.exp_capacity(samples(spark, d), FOLDS, FEATS, schemas.SEEDS[:1], 0.2)
+    return capacity(spark, d)

@@ -8,12 +8,15 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tidemark.operators import bars as B
 from tidemark.operators import relations as R
-from tidemark.session import scratch
+from tidemark.session import scratch, stage
 from tidemark.sources import archives as A
 from tidemark.sources import payloads as PL
 from tidemark.sources import sinks as S
+from tidemark.sources import snapshots as SN
 from tidemark.sources import tables as TB
+from tidemark.streaming import state as SS
 from tidemark.streaming import streams as ST
 from tidemark.workbench import tables as t
 from tidemark.workbench.registry import big, query, r, rexp
@@ -80,8 +83,9 @@ def deliveries(df):
 @query("st_upsert", f"SELECT event_type AS asset_id, date_trunc('hour', ts) AS open_time, {rexp('value', 'close')}, user_id % 3 = 0 AS is_final FROM events QUALIFY row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY user_id % 3 = 0 DESC, event_id DESC) = 1")
 def st_upsert(spark, d):
     path = scratch(spark, "stream")
-    ST.upsert_sink(deliveries(ticks(spark, d)), path).awaitTermination()
-    return ST.upserted(spark, path).select("asset_id", "open_time", "close", "is_final")
+    table = SN.SnapshotTable(spark, f"{path}/bars", B.BAR_KEY, ["asset_id", "date_trunc('month', open_time)"])
+    ST.snapshot_sink(deliveries(ticks(spark, d)), path, table).awaitTermination()
+    return table.read().select("asset_id", "open_time", "close", "is_final")
 
 
 @query("st_dedupe", "SELECT DISTINCT event_type AS asset_id, user_id FROM events")
@@ -124,11 +128,27 @@ def st_grid_complete(spark, d):
     return appended(ST.complete_grids(ticks(spark, d), 24, "45 minutes", "ts"), spark)
 
 
+SQL_ABSENT = f"""WITH ro AS (SELECT DISTINCT event_type AS asset_id FROM events UNION SELECT DISTINCT p_type FROM part), lim AS (SELECT CAST(min(ts) AS DATE) AS a, max(ts) - INTERVAL 45 MINUTE AS b FROM events),
+dy AS (SELECT CAST(unnest(range(a, CAST(b AS DATE), INTERVAL 1 DAY)) AS DATE) AS day FROM lim), seen AS (SELECT event_type AS asset_id, CAST(ts AS DATE) AS day, {big('count(DISTINCT date_trunc(' + "'hour'" + ', ts))', 'points')} FROM events GROUP BY 1, 2)
+SELECT asset_id, day, {big('coalesce(points, 0)', 'points')}, 'DERIVATIVE_CUTOFF_INCOMPLETE' AS code FROM ro CROSS JOIN dy LEFT JOIN seen USING (asset_id, day) WHERE coalesce(points, 0) < 24"""
+
+
+@query("st_cutoff_absent", SQL_ABSENT)
+def st_cutoff_absent(spark, d):
+    ids = t.events(spark, d).select(F.col("event_type").alias("asset_id")).unionByName(t.part_assets(spark, d).select("asset_id")).distinct()
+    first = t.events(spark, d).agg(F.to_date(F.min("ts"))).scalar()
+    path = scratch(spark, "stream")
+    roster = stage(ids.withColumn("first_day", first))
+    ST.start(SS.incomplete_grids(ticks(spark, d), roster, 24), path, timed=True).awaitTermination()
+    return spark.read.parquet(f"{path}/data")
+
+
 @query("st_latest_price", f"SELECT event_type AS asset_id, {rexp('arg_max(value, event_id)', 'price')}, max(ts) AS price_time FROM events GROUP BY 1")
 def st_latest_price(spark, d):
     path = scratch(spark, "stream")
-    ST.latest_sink(ST.latest_price(ticks(spark, d)), path).awaitTermination()
-    return ST.latest_of(spark, path, ["asset_id"])
+    table = SN.SnapshotTable(spark, f"{path}/latest", ["asset_id"], ["asset_id"], 16)
+    ST.snapshot_sink(ST.latest_price(ticks(spark, d)), path, table, None, (), mode="update").awaitTermination()
+    return table.read()
 
 
 @query("st_streak_state", """WITH dd AS (SELECT DISTINCT o_custkey % 50 AS cust, CAST(o_orderdate AS DATE) AS d FROM orders), isl AS (SELECT cust, d, d - CAST(row_number() OVER (PARTITION BY cust ORDER BY d) AS INT) AS g FROM dd)
@@ -136,7 +156,7 @@ SELECT cust, max(d) AS last_day, CAST(count(*) AS BIGINT) AS days FROM isl GROUP
 def st_streak_state(spark, d):
     path = scratch(spark, "stream")
     s = stream_of(spark, d, "orders").withColumn("cust", F.col("o_custkey") % 50)
-    ST.latest_sink(ST.streak(s, "o_orderdate", "cust"), path).awaitTermination()
+    ST.latest_sink(SS.streak(s, "o_orderdate", "cust"), path, timed=True).awaitTermination()
     return ST.latest_of(spark, path, ["cust"])
 
 
@@ -179,8 +199,8 @@ def st_audit(spark, d):
 
 @query("sink_audit_run", SQL_AUDIT)
 def sink_audit_run(spark, d):
-    counts = t.events(spark, d).agg(F.count(F.lit(1)).alias("records_read"), F.count_if(F.col("value") > 1).alias("records_written"))
-    return S.audit_row("1", "feed", "ticks", F.current_timestamp(), F.current_timestamp(), counts).select("source", "dataset", "status", "records_read", "records_written")
+    run = S.audited_write(t.events(spark, d), scratch(spark, "audit"), F.col("value") > 1, "1", "feed", "ticks", F.current_timestamp())
+    return run.select("source", "dataset", "status", "records_read", "records_written")
 
 
 # --- readers over derived files ------------------------------------------------------------------
