@@ -172,7 +172,8 @@ def _clusters(nodes: DataFrame, more: Candidates | None) -> DataFrame:
 def _links(docs: DataFrame, nodes: DataFrame, similarity: float, width: int, most: int, more: Candidates | None) -> DataFrame:
     """(u, v) links of nodes whose components are those of all candidate pairs of the similarity."""
     member = stage(nodes.select("node", "n", "k1", "k2", "sketch").join(_clusters(nodes, more), "node"))
-    texts = docs.join(member.select("k1", "k2", "node"), ["k1", "k2"]).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "text")
+    # members are a share of the corpus: the join is planned for its size at any size
+    texts = docs.join(member.select("k1", "k2", "node").hint("merge"), ["k1", "k2"]).dropDuplicates(["node"]).select(F.col("node").alias("doc_id"), "text")
 
     def make():
         return lambda texts: ((shingles(words_of(t), width).tobytes(),) for t in texts)
