@@ -9,6 +9,7 @@ few words, and the sizes are added.
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import zstandard
@@ -25,13 +26,13 @@ _OTHER = re.compile(r"[\W\d_]+")
 class Settings:
     """Bounds of the learned dictionaries and of the verdict.
 
-    A dictionary holds at most ``dictionary_bytes`` of a language, ``excerpt_chars`` from each of at most
-    ``dictionary_rows`` learning rows; ``margin`` is the least relative gain over the second best language.
+    A dictionary holds at most ``dictionary_bytes`` of a language, shared out evenly over at most ``dictionary_rows``
+    learning rows and at most ``excerpt_chars`` of each; ``margin`` is the least relative gain over the second best language.
     """
 
     dictionary_bytes: int = 128 * 1024
     dictionary_rows: int = 512
-    excerpt_chars: int = 512
+    excerpt_chars: int = 1024
     piece_bytes: int = 1024
     level: int = 5
     turns: int = 3
@@ -42,23 +43,36 @@ def letters(text: str) -> str:
     return _OTHER.sub(" ", text.lower()).strip()
 
 
+def excerpt(text: str, chars: int) -> str:
+    """So many letters of a text, from the word at a position that its hash chooses; a short text whole."""
+    if len(text) <= chars:
+        return text
+    start = zlib.crc32(text.encode("utf-8", "replace")) % (len(text) - chars + 1)
+    start = text.rfind(" ", 0, start) + 1 if start else 0
+    return text[start:start + chars]
+
+
 def dictionaries(learn: DataFrame, settings: Settings = Settings()) -> dict[str, bytes]:
     """Raw dictionary content by language, from rows (doc_id, text, lang).
 
     The rows are those with the least hash of the text, so any partitioning gives the same ones; copies count once.
-    Every language that occurs is learned; the driver holds at most ``dictionary_rows`` excerpts of each.  Excerpts are
-    cut from the letters of the whole text.
+    Every language that occurs is learned; the driver holds at most ``dictionary_rows`` excerpts of each.  An excerpt
+    starts at a word of the whole text that its hash chooses.
     """
     rows = learn.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
+    # Hashes are uniform: twice the wanted share of a language's texts holds the least ones, and only those are sorted.
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts"))
+    share = F.lit(2 * settings.dictionary_rows + 256) / F.col("texts")
+    low = rows.select("lang", "h").join(counts, "lang").where(F.col("h") / F.lit(2.0 ** 64) + 0.5 <= share)
     least = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.groupBy("lang", "h").agg(F.lit(0)).withColumn("at", F.row_number().over(least)).where(F.col("at") <= settings.dictionary_rows).select("lang", "h")
+    chosen = low.groupBy("lang", "h").agg(F.lit(0)).withColumn("at", F.row_number().over(least)).where(F.col("at") <= settings.dictionary_rows).select("lang", "h")
     some = (
         rows.join(F.broadcast(chosen), ["lang", "h"])  # at most dictionary_rows texts of a language
         .select(F.struct("lang", "h").alias("doc_id"), "text")
     )
 
     def make():
-        return lambda texts: ((letters(t)[:settings.excerpt_chars],) for t in texts)
+        return lambda texts: ((excerpt(letters(t), settings.excerpt_chars),) for t in texts)
 
     cut = map_texts(some, "excerpt string", make).groupBy("doc_id").agg(F.min("excerpt").alias("excerpt"))
     excerpts: dict[str, list[str]] = {}
@@ -66,7 +80,9 @@ def dictionaries(learn: DataFrame, settings: Settings = Settings()) -> dict[str,
         excerpts.setdefault(r["lang"], []).append(r["excerpt"])
     found = {}
     for name in sorted(excerpts):
-        found[name] = " ".join(e for e in excerpts[name] if e).encode("utf-8", "replace")[:settings.dictionary_bytes]
+        some = [e.encode("utf-8", "replace") for e in excerpts[name] if e]
+        share = settings.dictionary_bytes // max(1, len(some)) - 1
+        found[name] = b" ".join(e[:share] for e in some)
     return {name: content for name, content in found.items() if content}
 
 

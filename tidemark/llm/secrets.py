@@ -141,13 +141,14 @@ def candidates(keyed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     grams = sorted({g for q in queries.values() for some in q for g in some})
     number = {g: k for k, g in enumerate(grams)}
     blocks = max(1, keyed.count() // BLOCK_ROWS)
-    low = F.lower("text")
-    present = F.array_compact(F.array(*[F.when(low.contains(g), F.lit(k)) for k, g in enumerate(grams)]))
+    # the text in small letters is bound once, as the only element of an array, and not made anew for every trigram
+    found = F.transform(F.array(F.lower("text")), lambda low: F.array_compact(F.array(*[F.when(low.contains(g), F.lit(k)) for k, g in enumerate(grams)])))
+    present = F.get(found, F.lit(0))
     postings = (
         keyed.select("row_key", present.alias("grams")).where(F.size("grams") > 0)
         .withColumn("block", F.pmod(F.col("row_key"), F.lit(blocks)))
         .select("block", "row_key", F.explode("grams").alias("gram"))
-        .groupBy("block", "gram").agg(F.collect_list("row_key").alias("rows"))
+        .groupBy("block", "gram").agg(F.collect_set("row_key").alias("rows"))  # a block's distinct rows, however often they repeat
     )
     index = postings.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("gram", "rows"))).alias("lists"))
 

@@ -3,12 +3,14 @@
 Vectors get one more coordinate that gives all of them the same length; among such vectors the greatest inner product
 with a query is the least distance to it.  Pivots cut the space into cells.  From each cell's count, radius and least
 pivot distances follows, for each group of queries, a distance within which its k-th neighbour must lie; a vector is
-sent to a group only if the triangle inequality does not put it beyond that.  Groups are solved locally and exactly
-on integers, in slices of bounded size, and the slices' best are merged.
+sent to a group only if the triangle inequality does not put it beyond that.  Groups that ask for the same cells are
+joined, so that a vector goes there once.  Groups are solved locally and exactly on integers, in slices of bounded size,
+and the slices' best are merged.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,9 @@ from pyspark.sql import functions as F
 from tidemark.session import stage
 
 PIVOTS = 32
-QUERIES_AT_ONCE = 256
+MOST_PIVOTS = 512
+QUERIES_AT_ONCE = 4096
+SCORED_AT_ONCE = 256
 ROWS_AT_ONCE = 8192
 SCALE = 1024
 
@@ -55,12 +59,14 @@ def _best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
     exact = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * rows.shape[1]
     if exact >= 2 ** 63:
         raise OverflowError("scores do not fit a long")
-    scores = (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64) if exact < 2 ** 53 else queries @ rows.T
     order = np.argsort(row_ids, kind="stable")
-    scores, row_ids = scores[:, order], row_ids[order]
-    out = []
+    rows, row_ids, out = rows[order], row_ids[order], []
+    plain = rows.astype(np.float64).T if exact < 2 ** 53 else rows.T
     for i, q in enumerate(query_ids):
-        s = scores[i]
+        if i % SCORED_AT_ONCE == 0:
+            some = queries[i:i + SCORED_AT_ONCE]
+            scores = (some.astype(np.float64) @ plain).astype(np.int64) if exact < 2 ** 53 else some @ plain
+        s = scores[i % SCORED_AT_ONCE]
         own = row_ids != q
         if own.sum() > k:
             least = np.partition(s[own], own.sum() - k)[own.sum() - k]
@@ -72,7 +78,7 @@ def _best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
     return [np.concatenate(x) if out else np.zeros(0, np.int64) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = PIVOTS, scale: int = SCALE, rows_at_once: int = ROWS_AT_ONCE, queries_at_once: int = QUERIES_AT_ONCE) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int | None = None, scale: int = SCALE, rows_at_once: int = ROWS_AT_ONCE, queries_at_once: int = QUERIES_AT_ONCE) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row the k rows of other ids with the greatest integer inner
     product, ties to the smaller id, all if there are fewer.
 
@@ -88,10 +94,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = PIVOT
         return empty
     square = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
     data = stage(every.where(F.size("v") == lengths["d"]).withColumn("square", square))
-    most = float(data.agg(F.max("square")).first()[0]) * (1 + 1e-9) + 1.0
-    # a bounded sample as pivots; any pivots give exact results
-    pivot_rows = data.select("v").groupBy("v").agg(F.lit(0)).orderBy(F.xxhash64("v"), "v").limit(pivots).collect()
-    p_lift = _lifted(_matrix([r["v"] for r in pivot_rows]), most)
+    whole = data.agg(F.max("square").alias("most"), F.count(F.lit(1)).alias("n")).first()
+    most = float(whole["most"]) * (1 + 1e-9) + 1.0
+    pivots = pivots or max(PIVOTS, min(MOST_PIVOTS, math.isqrt(whole["n"]) // 16))
+    # a bounded sample as pivots, by hash and without repeats; any pivots give exact results
+    drawn = dict.fromkeys(tuple(r["v"]) for r in data.select("v").orderBy(F.xxhash64("v"), "v").limit(4 * pivots).collect())
+    p_lift = _lifted(_matrix(list(drawn)[:pivots]), most)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,9 +144,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = PIVOT
             if gap - r["high"] <= reach[g]:
                 targets.setdefault(r["cell"], []).append((g, float(p_dist[g, r["cell"]]), far))
                 sent[g] += r["n"]
-    chunks = {g: -(-n // queries_at_once) for g, (n, _) in widths.items()}
-    slices = {g: max(1, -(-n // rows_at_once)) for g, n in sent.items()}
-    plan = [(c, g, float(dist - far), float(dist + far), float(reach[g]), chunks[g], slices[g]) for c, ts in targets.items() for g, dist, far in ts]
+    # groups that ask for the same cells are one; its rows are not held to the bounds of either
+    asks_for: dict[int, list[int]] = {}
+    for c in sorted(targets):
+        for g, _, _ in targets[c]:
+            asks_for.setdefault(g, []).append(c)
+    joined: dict[tuple[int, ...], list[int]] = {}
+    for g in sorted(widths):
+        joined.setdefault(tuple(asks_for.get(g, ())), []).append(g)
+    head = {g: same[0] for same in joined.values() for g in same}
+    alone = {same[0]: len(same) == 1 for same in joined.values()}
+    chunks = {same[0]: -(-sum(widths[g][0] for g in same) // queries_at_once) for same in joined.values()}
+    slices = {same[0]: max(1, -(-sent[same[0]] // rows_at_once)) for same in joined.values()}
+    far_away = 1e300
+    plan = [(c, g, float(dist - far) if alone[g] else -far_away, float(dist + far) if alone[g] else far_away, float(reach[g]) if alone[g] else 0.0, chunks[g], slices[g])
+            for c, ts in targets.items() for g, dist, far in ts if g in alone]
     table = F.broadcast(spark.createDataFrame(plan, "cell int, g int, near double, wide double, reach double, chunks int, slices int"))  # at most pivots squared rows
     keep = (F.col("near") - F.col("d") <= F.col("reach")) & (F.col("d") - F.col("wide") <= F.col("reach"))
     rows = (
@@ -146,11 +166,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = PIVOT
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select("g", "chunk", F.pmod(F.xxhash64("vec_id"), F.col("slices")).cast("int").alias("slice"), "vec_id", "v")
     )
-    sizes = F.broadcast(spark.createDataFrame([(g, chunks[g], slices[g]) for g in widths], "cell int, chunks int, slices int"))
-    numbered = asked.withColumn("at", F.row_number().over(Window.partitionBy("cell").orderBy("query_id")) - 1) if max(chunks.values()) > 1 else asked.withColumn("at", F.lit(0))
+    sizes = F.broadcast(spark.createDataFrame([(g, h, chunks[h], slices[h]) for g, h in head.items()], "cell int, g int, chunks int, slices int"))
     queries = (
-        numbered.join(sizes, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        .select(F.col("cell").alias("g"), F.floor(F.col("at") / queries_at_once).cast("int").alias("chunk"), F.col("slice").cast("int").alias("slice"), "query_id", "v")
+        asked.join(sizes, "cell").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
+        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("g", "chunk", "slice", "query_id", "v")
     )
 
     def solve(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
