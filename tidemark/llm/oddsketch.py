@@ -166,7 +166,8 @@ def _clusters(nodes: DataFrame, more: Candidates | None) -> DataFrame:
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     ends = buckets.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("most")).where("u <> most").select("key", "u")
     pairs = buckets.join(ends, "key").where("node <> u").select("u", F.col("node").alias("v"))
-    return components(pairs.unionByName(more(nodes)) if more is not None else pairs).withColumnRenamed("component", "cluster")
+    pairs = stage(pairs.unionByName(more(nodes)) if more is not None else pairs)  # read twice
+    return components(pairs).withColumnRenamed("component", "cluster")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, similarity: float, width: int, most: int, more: Candidates | None) -> DataFrame:
