@@ -22,8 +22,8 @@ def covered(nodes: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
     least = stage(nodes.groupBy("print").agg(F.min("node").alias("u")))
     alike = nodes.join(least, "print").where("node <> u").select("u", F.col("node").alias("v"))
     near = simhash.links(least.select(F.col("print").alias("fp")), radius)
-    ends = least.select(F.col("print").alias("v"), F.col("u").alias("of_v"))
-    return alike.unionByName(near.join(least.withColumnsRenamed({"print": "u", "u": "of_u"}), "u").join(ends, "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v")))
+    one, other = (least.select(F.col("print").alias(fp), F.col("u").alias(of)) for fp, of in (("u", "of_u"), ("v", "of_v")))
+    return alike.unionByName(near.join(one, "u").join(other, "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v")))
 
 
 def grouped(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
