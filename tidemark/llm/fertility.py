@@ -16,13 +16,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import sentencepiece
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_texts
-from tidemark.llm.pieces import model_bytes
+from tidemark.llm.pieces import WordMemo, model_bytes, table
 from tidemark.session import stage
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -121,15 +120,27 @@ def pair_ranks(path: str | None = None) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def coders(proto: bytes, ranks: dict[bytes, int], pattern: str) -> list[tuple[Callable[[str], list[int]], np.ndarray]]:
-    """For each vocabulary its encoder and which ids are a lone byte of a longer character."""
-    pieces = sentencepiece.SentencePieceProcessor(model_proto=proto)
-    newline = pieces.piece_to_id("<0x0A>")  # line ends are bytes in any script
-    lone = np.array([pieces.is_byte(i) and i != newline for i in range(pieces.get_piece_size())])
-    pairs = tiktoken.Encoding("pairs", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    part = np.zeros(max(ranks.values()) + 1, bool)
-    part[[rank for token, rank in ranks.items() if len(token) == 1 and token[0] >= 128]] = True
-    return [(pieces.encode, lone), (pairs.encode_ordinary, part)]
+def _packed(ids) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
+class Coders:
+    """Token ids of texts in both vocabularies, and which ids are a lone byte of a longer character."""
+
+    def __init__(self, proto: bytes, ranks: dict[bytes, int], pattern: str):
+        self.pieces = table(proto)
+        self.memo = WordMemo(self.pieces, _packed)
+        self.pairs = tiktoken.Encoding("pairs", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        lone, part = np.zeros(len(self.pieces.piece), bool), np.zeros(max(ranks.values()) + 1, bool)
+        lone[sorted(set(self.pieces.is_byte) - {self.pieces.byte_id[10]})] = True  # line ends are bytes in any script
+        part[[rank for token, rank in ranks.items() if len(token) == 1 and token[0] >= 128]] = True
+        self.lone = lone, part
+
+    def __call__(self, texts: list[str]):
+        lists = [self.pieces.words(t) for t in texts]
+        self.memo.learn(lists)
+        for text, words in zip(texts, lists):
+            yield np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32), np.array(self.pairs.encode_ordinary(text), np.int32)
 
 
 def measured(df: DataFrame, rules: Rules = Rules(), model: str | None = None, pairs: str | None = None) -> DataFrame:
@@ -141,20 +152,17 @@ def measured(df: DataFrame, rules: Rules = Rules(), model: str | None = None, pa
     proto, ranks, pattern = model_bytes(model), pair_ranks(pairs), public_tokenizers.PATTERN
 
     def make():
-        both = coders(proto, ranks, pattern)
-
-        def one(text):
-            text = (text or "").encode("utf-8", "replace").decode("utf-8")
-            words = text.encode("utf-8").split()
-            chars, symbols, lines, again = base_counts(text, words)
-            failed = len(words) < rules.least_words or 100 * again > rules.most_repeat_percent * len(words)
-            out, counts = [], []
-            for encode, lone in both:
-                ids = np.array(encode(text), np.int64)
-                counts.append(len(ids))
-                out += [len(ids), *token_measures(ids, len(text), lone)]
-            return len(words), chars, symbols, lines, again, failed, script_of(text), counts[0].bit_length(), *out
-        return lambda texts: map(one, texts)
+        both = Coders(proto, ranks, pattern)
+
+        def many(texts):
+            texts = [(t or "").encode("utf-8", "replace").decode("utf-8") for t in texts]
+            for text, ids in zip(texts, both(texts)):
+                words = text.encode("utf-8").split()
+                chars, symbols, lines, again = base_counts(text, words)
+                failed = len(words) < rules.least_words or 100 * again > rules.most_repeat_percent * len(words)
+                out = [x for some, lone in zip(ids, both.lone) for x in (len(some), *token_measures(some, len(text), lone))]
+                yield len(words), chars, symbols, lines, again, failed, script_of(text), len(ids[0]).bit_length(), *out
+        return many
 
     columns = ", ".join(f"{v}_tokens long, " + ", ".join(f"{v}_{m} double" for m in MEASURES) for v in VOCABULARIES)
     language = F.coalesce("lang", F.lit("")) if "lang" in df.columns else F.lit("")

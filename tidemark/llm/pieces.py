@@ -24,7 +24,7 @@ from tidemark.llm.common import map_texts
 
 SPACE = "▁"
 NEVER = 1 << 60
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 60 << 20
 ENTRY_BYTES = 110  # of the table itself, at its least filling
 MEMO_LENGTH = 64
 LOCKSTEP_LENGTH = 96
@@ -428,11 +428,18 @@ def digests(df: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def token_counts(df: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id, n_tokens without an end id; only the number is wanted, so the tokenizer library counts."""
+    """doc_id, n_tokens without an end id."""
     proto = model_bytes(model)
 
     def make():
-        coder = sentencepiece.SentencePieceProcessor(model_proto=proto)
-        return lambda texts: ((len(coder.encode((t or "").encode("utf-8", "replace"))),) for t in texts)
+        coder = table(proto)
+        memo = WordMemo(coder, len)
+
+        def many(texts):
+            lists = [coder.words(t or "") for t in texts]
+            memo.learn(lists)
+            for words in lists:
+                yield (sum(map(memo.__getitem__, words)),)
+        return many
 
     return map_texts(df, "n_tokens long", make)
