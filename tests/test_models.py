@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import boosting as BO
 from tidemark.operators import gates as G
 from tidemark.operators import metrics as ME
 from tidemark.operators import models as M
@@ -10,6 +11,7 @@ from tidemark.plans import serving as SV
 from tidemark.session import stage
 
 FEATS = ["a", "b"]
+SMALL = BO.Settings(rounds=5, rate=0.5, depth=3, min_leaf=5)
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +41,7 @@ def split(rows):
 @pytest.mark.parametrize("kind", ["forest", "logistic", "balanced"])
 def test_direction_models_beat_the_prior(rows, kind):
     train, test = split(rows)
-    fit = {"forest": lambda: M.fit_direction(train, (1, 2), trees=8, depth=4, min_leaf=5), "logistic": lambda: M.fit_logistic(train, 1.0), "balanced": lambda: M.fit_balanced_logistic(train)}[kind]()
+    fit = {"forest": lambda: M.fit_forest(train, (1, 2), trees=8, depth=4, min_leaf=5), "logistic": lambda: M.fit_logistic(train, 1.0), "balanced": lambda: M.fit_balanced_logistic(train)}[kind]()
     out = fit(test)
     bad = out.where((F.abs(F.col("p0") + F.col("p1") + F.col("p2") - 1) > 1e-9) | (F.least(*ME.P) < 0))
     assert bad.count() == 0
@@ -47,35 +49,17 @@ def test_direction_models_beat_the_prior(rows, kind):
     assert row["own"] < 0.7 * row["prior"]
 
 
-def test_ordinal_thresholds(rows):
-    train, test = split(rows)
-    out = M.fit_ordinal(train, (1,), rounds=5, depth=3)(test)
-    assert out.where("not_down < 0 or not_down > 1 or up < 0 or up > 1").count() == 0
-    assert out.where("(y >= 1) = (not_down > 0.5) and (y >= 2) = (up > 0.5)").count() > 0.9 * out.count()
-
-
-def test_quantiles_and_risk(rows):
-    train, test = split(rows)
-    out = M.fit_quantiles(train, depth=3, min_leaf=10)(test)
-    assert out.where("lower > mid or mid > upper").count() == 0
-    assert 0.6 < out.where("target_return between lower and upper").count() / out.count() < 1.0
-    risk = M.fit_risk(train, rounds=5)(test)
-    assert risk.where("risk < 0 or risk > 1").count() == 0
-    row = risk.agg(F.avg(F.abs(F.col("risk") - F.col("target_risk"))).alias("own"), F.stddev("target_risk").alias("spread")).first()
-    assert row["own"] < row["spread"]
-
-
 def test_matrix_calibrator_is_at_its_optimum(rows):
     """At the optimum the mean residual of each class is zero (the intercepts are not penalised)."""
     train, test = split(rows)
-    scored = stage(M.fit_direction(train, (1,), trees=5, depth=3, min_leaf=5)(test).drop("features"))
+    scored = stage(M.fit_direction(train, (1,), settings=SMALL)(test).drop("features"))
     out = M.fit_matrix_calibrator(scored, 1.0)(scored)
     row = out.agg(*[F.avg(F.col(f"p{k}") - (F.col("y") == k).cast("double")).alias(f"g{k}") for k in range(3)]).first()
     assert max(abs(row[f"g{k}"]) for k in range(3)) < 1e-3
 
 
 def test_training_ends_in_a_bundle_and_its_manifest(spark, rows):
-    metrics, manifest, bundle = SV.train(rows, ["wf-0", "wf-1", "wf-2"], FEATS, 30, seeds=(1,), trees=5, depth=3, min_leaf=5)
+    metrics, manifest, bundle = SV.train(rows, ["wf-0", "wf-1", "wf-2"], FEATS, 30, seeds=(1,), settings=SMALL)
     row = manifest.first()
     last = metrics.orderBy(F.desc("fold")).first()
     assert metrics.count() == 3 and row["temperature"] == last["temperature"] and row["conformal_multiplier"] == last["conformal_multiplier"]
@@ -99,3 +83,31 @@ def test_training_ends_in_a_bundle_and_its_manifest(spark, rows):
     late = {r["status"] for r in day("2030-01-04").collect()}
     assert late and late.isdisjoint({r["status"] for r in fresh.collect()})
     assert day("2030-01-01 05:00:00", fresh.select("asset_id", "snapshot_time", "version")).count() == 0
+
+
+def test_experiments_share_one_training_run(spark, rows, monkeypatch):
+    """Variants, folds and seeds are groups of one run; their figures are those of runs of their own."""
+    from tidemark.plans import experiments as X
+    runs, plain = [], BO.fit
+    monkeypatch.setattr(BO, "fit", lambda *a, **k: (runs.append(a[1]), plain(*a, **k))[1])
+    folds = ["wf-0", "wf-1"]
+    samples = rows.withColumns({"label_end_time": F.col("snapshot_time") + F.expr("INTERVAL 1 DAY"), "neutral_band_threshold": F.lit(0.03), "atr_14_normalized": F.lit(0.01)})
+    both = X.variant_scores(samples, folds, {"one": ["a"], "two": FEATS}, (1,), SMALL)
+    assert len(runs) == 1 and both.where("role = 'train'").count() == 0
+    alone = X.variant_scores(samples, folds, {"one": ["a"], "other": ["b"]}, (1,), SMALL).where("variant = 'one'").drop("variant")
+    key = ["fold", "asset_id", "snapshot_time"]
+    other = alone.select(*key, *[F.col(p).alias(f"o{p}") for p in ME.P])
+    apart = both.where("variant = 'one'").join(other, key).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("p0") - F.col("op0"))).alias("d")).first()
+    assert apart["n"] == alone.count() and apart["d"] < 1e-9
+    report = {r["variant"]: r for r in X.exp_feature_groups(samples, folds, {"spot": ["b"], "full": FEATS}, 30, iterations=50, settings=SMALL).collect()}
+    assert report["full"]["brier"] < report["spot"]["brier"] and report["full"]["risk_mae"] >= 0 and report["full"]["folds"] == 2
+    calibrated = X.exp_calibration(alone, folds).collect()
+    assert {r["variant"] for r in calibrated} == {"raw", "temperature_blend", "selected"}
+    segments = X.worst(spark.createDataFrame([("d", str(k), float(k)) for k in range(6)], "dimension string, value string, brier_delta double"), 3)
+    assert sorted((r["value"], r["worst_rank"]) for r in segments.collect() if r["worst_rank"]) == [("3", 3), ("4", 2), ("5", 1)]
+
+
+def test_capacity_settings_follow_the_fixed_values():
+    settings = {v[0]: M.capacity_settings(v) for v in M.CAPACITY_VARIANTS}
+    assert settings["current"].rounds == 50 and settings["current"].rate == pytest.approx(0.2) and settings["very_shallow"].leaves == 5
+    assert settings["shallow"].min_leaf == 200 and settings["shallow"].l2 == 10.0

@@ -5,16 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import maths
-from tidemark.operators.blocks import parallelism
 from tidemark.operators.metrics import P, probs
 from tidemark.operators.quantiles import higher, order_statistics
+from tidemark.operators.vectors import vector_sums
 
 # Fixed values of the temperature search: 321 candidates from 0.25 to 10, log-spaced.
 GRID_STEPS, GRID_LOW, GRID_HIGH = 320, 0.25, 10.0
+GRID = GRID_LOW * (GRID_HIGH / GRID_LOW) ** (np.arange(GRID_STEPS + 1) / GRID_STEPS)
 NLL_CAP = -math.log(1e-12)
 
 
@@ -22,32 +24,25 @@ def grid_temperature(step: Column) -> Column:
     return GRID_LOW * F.pow(F.lit(GRID_HIGH / GRID_LOW), step / GRID_STEPS)
 
 
-def with_grid(df: DataFrame) -> DataFrame:
-    """Repeat each row over the candidate temperatures (a generator, not a join)."""
-    return df.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(GRID_STEPS)))).withColumn(
-        "temperature", grid_temperature(F.col("step")))
-
-
-def distinct_cases(cases: DataFrame) -> DataFrame:
-    """Equal rows once with their count ``_n``, spread evenly because each is then evaluated 321 times."""
-    return cases.groupBy(*cases.columns).agg(F.count(F.lit(1)).alias("_n")).repartition(parallelism(cases))
-
-
 def temperature_losses(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """(key, step, temperature, nll).
 
-    Only the two log-odds against the true class enter the expansion, equal cases once with their count;
-    the grouped mean is combined map-side, so at most 321 rows per key and task are shuffled.
+    Only the two log-odds against the true class leave the row; the losses under all candidates are one vector of it,
+    summed in each task, so at most 321 rows per key and task are shuffled, once.
     """
     logs = [maths.clip_log(p) for p in probs()]
     own = F.when(F.col("y") == 0, logs[0]).when(F.col("y") == 1, logs[1]).otherwise(logs[2])
     first = F.when(F.col("y") == 0, logs[1]).otherwise(logs[0]) - own
     second = F.when(F.col("y") == 2, logs[1]).otherwise(logs[2]) - own
-    grid = with_grid(distinct_cases(df.select(*by, first.alias("_a"), second.alias("_b"))))
-    t = F.col("temperature")
-    nll = F.least(F.log1p(F.exp(F.col("_a") / t) + F.exp(F.col("_b") / t)), F.lit(NLL_CAP))
-    return grid.groupBy(*by, "step").agg((F.sum(nll * F.col("_n")) / F.sum("_n")).alias("nll")).withColumn(
-        "temperature", grid_temperature(F.col("step")))
+
+    def nll(a, b):
+        return np.minimum(np.log1p(np.exp(a[:, None] / GRID) + np.exp(b[:, None] / GRID)), NLL_CAP)
+    return _mean_losses(df.select(*by, first.alias("_a"), second.alias("_b")).dropna(subset=["_a", "_b"]), by, ["_a", "_b"], nll)
+
+
+def _mean_losses(cases: DataFrame, by: Sequence[str], inputs: Sequence[str], losses) -> DataFrame:
+    sums = vector_sums(cases, by, inputs, losses, GRID_STEPS + 1)
+    return sums.select(*by, "step", (F.col("total") / F.col("rows")).alias("nll"), grid_temperature(F.col("step")).alias("temperature"))
 
 
 def temperature_fit(df: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -58,12 +53,13 @@ def temperature_fit(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def binary_temperature_fit(df: DataFrame, by: Sequence[str], label: Column, p: Column) -> DataFrame:
     c = maths.clamp(p, maths.TINY, 1 - maths.TINY)
-    grid = with_grid(distinct_cases(df.select(*by, label.cast("double").alias("_l"), F.ln(c / (1 - c)).alias("_z"))))
-    q = maths.clamp(1 / (1 + F.exp(-maths.clamp(F.col("_z") / F.col("temperature"), -50.0, 50.0))), maths.TINY, 1 - maths.TINY)
-    nll = -(F.col("_l") * F.ln(q) + (1 - F.col("_l")) * F.ln(1 - q))
-    losses = grid.groupBy(*by, "step").agg((F.sum(nll * F.col("_n")) / F.sum("_n")).alias("nll"))
-    best = F.min_by("step", F.struct("nll", "step"))
-    return losses.groupBy(*by).agg(grid_temperature(best).alias("temperature"))
+    cases = df.select(*by, label.cast("double").alias("_l"), F.ln(c / (1 - c)).alias("_z")).dropna(subset=["_l", "_z"])
+
+    def nll(label, z):
+        q = np.clip(1 / (1 + np.exp(-np.clip(z[:, None] / GRID, -50.0, 50.0))), maths.TINY, 1 - maths.TINY)
+        return -(label[:, None] * np.log(q) + (1 - label[:, None]) * np.log(1 - q))
+    best = F.min_by("temperature", F.struct("nll", "step"))
+    return _mean_losses(cases, by, ["_l", "_z"], nll).groupBy(*by).agg(best.alias("temperature"))
 
 
 def temperature_apply(df: DataFrame, temperature: Column | float) -> DataFrame:

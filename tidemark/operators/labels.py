@@ -10,20 +10,28 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import maths
 from tidemark.functions.times import floor_to
-from tidemark.operators.blocks import block_window, blocked, owned
+from tidemark.operators.blocks import BLOCK, block_window, blocked, owned
 
 KEY = "asset_id"
 
 
-def max_drawdown(closes: Column) -> Column:
-    """min(close / running max - 1) over an ordered, bounded array."""
-    start = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("worst"))
+def with_drawdown(b: DataFrame, horizon: int, close: str = "close") -> DataFrame:
+    """``_drawdown``: min(close / running max - 1) over the next ``horizon`` rows of a blocked frame.
 
-    def step(s, v):
-        top = F.greatest(s["top"], v)
-        return F.struct(top.alias("top"), F.least(s["worst"], v / top - 1).alias("worst"))
-
-    return F.aggregate(closes, start, step, lambda s: s["worst"])
+    A window of that length lies in two stretches of it: the end of one and the start of the next.  Each row keeps the
+    highest close and the drawdown of its stretch from it to the end, and the lowest close and the drawdown from the
+    start to it; two of these make a window, so the work a row does not grow with the horizon.
+    """
+    out = b.withColumn("_hb", F.floor(F.col("_idx") / horizon))
+    stretch = Window.partitionBy(KEY, "_blk", "_hb")
+    ahead, back, v = stretch.orderBy("_idx"), stretch.orderBy(F.desc("_idx")), F.col(close)
+    out = out.withColumns({"_head": F.max(v).over(ahead), "_low": F.min(v).over(ahead)}).withColumn("_fall", F.min(v / F.col("_head")).over(ahead))
+    out = out.withColumns({"_top": F.max(v).over(back), "_floor": F.min(v).over(back)}).withColumn("_drop", F.min(F.col("_floor") / v).over(back))
+    w = block_window((KEY,))
+    first, last = F.lead(F.struct("_hb", "_top", "_drop"), 1).over(w), F.lead(F.struct("_hb", "_low", "_fall"), horizon).over(w)
+    two = F.least(first["_drop"], last["_fall"], last["_low"] / first["_top"])
+    worst = F.when(first["_hb"] == last["_hb"], last["_fall"]).otherwise(two)
+    return out.withColumn("_drawdown", F.least(worst - 1, F.lit(0.0))).drop("_hb", "_head", "_low", "_fall", "_top", "_floor", "_drop")
 
 
 def forward_targets(bars: DataFrame, horizon: int, ppy: int = 365, with_path: bool = True) -> DataFrame:
@@ -32,17 +40,19 @@ def forward_targets(bars: DataFrame, horizon: int, ppy: int = 365, with_path: bo
     Volatility uses the returns inside t+1..t+h (the step into t+1 is left out); the drawdown's running
     maximum starts at t+1.  Rows without a full horizon are dropped.
     """
-    b = blocked(bars.select(KEY, "open_time", "close"), [KEY], ["open_time"], lookback=1, lookahead=horizon)
+    b = blocked(bars.select(KEY, "open_time", "close"), [KEY], ["open_time"], lookback=1, lookahead=horizon, block=max(BLOCK, horizon))
     w = block_window((KEY,))
+    if with_path:
+        b = with_drawdown(b, horizon)
     b = b.withColumn("_r", F.ln(F.col("close") / F.lag("close", 1).over(w)))
     cols = {
         "target_return": F.ln(F.lead("close", horizon).over(w) / F.col("close")),
         "label_end_time": F.lead("open_time", horizon).over(w),
     }
     if with_path:
-        std = F.stddev_samp("_r").over(w.rowsBetween(2, horizon))
+        std = F.stddev_samp("_r").over(w.rowsBetween(2, horizon)) if horizon > 1 else F.lit(0.0)
         cols["target_volatility"] = F.coalesce(std, F.lit(0.0)) * math.sqrt(ppy)
-        cols["target_max_drawdown"] = max_drawdown(F.collect_list("close").over(w.rowsBetween(1, horizon)))
+        cols["target_max_drawdown"] = F.col("_drawdown")
     out = owned(b.withColumns(cols)).where(F.col("label_end_time").isNotNull())
     return out.select(KEY, "open_time", *cols)
 
