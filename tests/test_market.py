@@ -112,6 +112,34 @@ def test_kline_archive_with_lineage(spark, tmp_path):
         archives.verify_checksums(files, good.withColumn("sha256", F.lit("00 name")))
 
 
+def opened(df):
+    """How many files the last run of this frame opened."""
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return leaves.apply(0).metrics().apply("numFiles").value()
+
+
+def test_a_filter_opens_only_its_archives(spark, tmp_path):
+    for asset in ("BTCUSDT", "ETHUSDT"):
+        for month in range(1, 7):
+            (tmp_path / asset).mkdir(exist_ok=True)
+            (tmp_path / asset / f"{asset}-1h-2025-{month:02d}.zip").write_bytes(zipped(KLINE.replace(",42,", f",{month},") + "\n"))
+    (tmp_path / "BTCUSDT" / "notes.zip").write_bytes(b"no archive")
+    files = archives.named_archives(spark, str(tmp_path))
+    for where, n in (("month = '2025-03'", 2), ("month >= '2025-05' AND asset_id = 'ETHUSDT'", 2), ("interval = '1d'", 0), ("interval = '1h'", 12)):
+        some = files.where(where)
+        assert len(some.collect()) == n and opened(some) == n
+    bars = archives.read_kline_archives(files.where("month = '2025-03'")).collect()
+    assert sorted((r["asset_id"], r["trade_count"]) for r in bars) == [("BTCUSDT", 3), ("ETHUSDT", 3)]
+    path, seen = scratch(spark, "test"), []
+
+    def each(batch, batch_id):
+        seen.extend(r["asset_id"] + r["month"] for r in batch.collect())
+    for month in ("07", "08"):  # a restart delivers only what is new
+        (tmp_path / "ETHUSDT" / f"ETHUSDT-1h-2025-{month}.zip").write_bytes(zipped(KLINE + "\n"))
+        streams.start(archives.named_archives(spark, str(tmp_path), stream=True).where("interval = '1h'"), path, each).awaitTermination()
+    assert len(seen) == len(set(seen)) == 14
+
+
 def test_futures_files_with_and_without_header(spark):
     rows = [("/r/BTCUSDT-1h-2025-01.zip", zipped("open_time,open\n" + KLINE)), ("/r/ETHUSDT-1h-2025-01.zip", zipped(KLINE))]
     out = archives.read_futures_klines(archives.zip_lines(spark.createDataFrame(rows, "path string, content binary")), "klines").collect()

@@ -45,6 +45,23 @@ def zip_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path).select("path", "content")
 
 
+ARCHIVE = r"^([A-Za-z0-9_]+)-([0-9a-zA-Z]+)-(\d{4}-\d{2})[^/]*\.zip$"
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def named_archives(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """(path, asset_id, interval, month, content) of the archives below a path, what they are about read off their names.
+
+    The three columns come from file metadata alone: a filter on them is applied when files are listed, so archives of
+    other assets, intervals or months are not opened.  Names of another form have empty columns.  As a ``stream`` each
+    archive is delivered once, the files seen being the offset.
+    """
+    reader = spark.readStream.schema(FILES).option("maxFilesPerTrigger", 1000) if stream else spark.read
+    files = reader.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
+    about = {c: F.regexp_extract("_metadata.file_name", ARCHIVE, k + 1) for k, c in enumerate(("asset_id", "interval", "month"))}
+    return files.select("path", *[e.alias(c) for c, e in about.items()], "content")
+
+
 def zip_lines(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_decode, LINES)
 

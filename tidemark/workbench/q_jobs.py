@@ -161,17 +161,25 @@ def explain_perturb(spark, d):
 # --- dataset jobs --------------------------------------------------------------------------------
 
 _names = ("return_30d", "volatility_30d", "rsi_14", "market_breadth_30d", "momentum_rank_30d")
+_deriv = ("funding_rate_mean_7d", "premium_zscore_90d", "futures_volume_zscore_30d", "open_interest_change_30d", "derivatives_available")
 
 
-@query("job_dataset_crypto", f"""WITH {QF.SQL_CRYPTO}, h AS (SELECT 30 AS h UNION ALL SELECT 90), sf AS (SELECT al.asset_id, al.open_time, al.close, al.return_30d, al.volatility_30d, al.volatility_90d, al.rsi_14, br.breadth AS market_breadth_30d, k30.q AS momentum_rank_30d, al.i
+@query("job_dataset_crypto", f"""WITH {QF.SQL_CRYPTO}, {QF.SQL_DERIV}, h AS (SELECT 30 AS h UNION ALL SELECT 90), sp AS (SELECT al.asset_id, al.open_time, al.close, al.return_30d, al.volatility_30d, al.volatility_90d, al.rsi_14, br.breadth AS market_breadth_30d, k30.q AS momentum_rank_30d, al.i
  FROM al JOIN br USING (open_time) JOIN k30 ON k30.open_time = al.open_time AND k30.asset_id = al.asset_id),
+sf AS (SELECT sp.*, {', '.join(f'coalesce(f.{c}, 0.0) AS {c}' for c in _deriv)} FROM sp ASOF LEFT JOIN dfeat f ON sp.asset_id = f.asset_id AND sp.open_time >= f.snapshot_time),
 fw AS (SELECT *, 30 AS horizon_days, ln(lead(close, 30) OVER w / close) AS target_return, lead(open_time, 30) OVER w AS label_end_time, {QF.q_band('volatility_30d', 'volatility_90d', 30, 365)} AS band FROM sf WINDOW w AS (PARTITION BY asset_id ORDER BY open_time)
  UNION ALL SELECT *, 90, ln(lead(close, 90) OVER w / close), lead(open_time, 90) OVER w, {QF.q_band('volatility_30d', 'volatility_90d', 90, 365)} FROM sf WINDOW w AS (PARTITION BY asset_id ORDER BY open_time))
-SELECT asset_id, open_time AS snapshot_time, {big('horizon_days')}, {r(*_names)}, {r('target_return')}, label_end_time, {big('CASE WHEN target_return > band THEN 2 WHEN target_return < -band THEN 0 ELSE 1 END', 'target_direction')}, 'crypto-daily-v2' AS dataset_version
+SELECT asset_id, open_time AS snapshot_time, {big('horizon_days')}, {r(*_names, *_deriv)}, {r('target_return')}, label_end_time, {big('CASE WHEN target_return > band THEN 2 WHEN target_return < -band THEN 0 ELSE 1 END', 'target_direction')}, 'crypto-daily-v2' AS dataset_version
 FROM fw WHERE i >= 364 AND target_return IS NOT NULL""")
 def job_dataset_crypto(spark, d):
-    out = DS.build_crypto(t.item_ticks(spark, d), None, t.BENCH, QF._hot, order=t.TICK_ORDER, band=QF.WIDE, trend_limit=QF.TREND, vol_limit=QF.VOL)
-    return out.select("asset_id", "snapshot_time", "horizon_days", *_names, "target_return", "label_end_time", "target_direction", "dataset_version")
+    out = crypto_samples(spark, d)
+    return out.select("asset_id", "snapshot_time", "horizon_days", *_names, *_deriv, "target_return", "label_end_time", "target_direction", "dataset_version")
+
+
+def crypto_samples(spark, d):
+    """Labelled crypto samples of both horizons with spot, derivative and cross-section features."""
+    return kept(spark, "crypto", d, lambda: DS.build_crypto(
+        t.item_ticks(spark, d), QF.asset_derivatives(spark, d), t.BENCH, QF._hot, order=t.TICK_ORDER, band=QF.WIDE, trend_limit=QF.TREND, vol_limit=QF.VOL))
 
 
 SQL_EQJOB = f"""{QF.SQL_EQUITY}, fw AS (SELECT asset_id, open_time AS snapshot_time, ln(lead(close, 30) OVER w / close) AS target_return, lead(open_time, 30) OVER w AS label_end_time FROM bars WINDOW w AS (PARTITION BY asset_id ORDER BY open_time)),
@@ -248,16 +256,16 @@ def job_train(spark, d):
     return both[0].unionByName(both[1]).withColumn("feature_reference", F.array_join(reference, ","))
 
 
-def _daily(spark, d, equity):
+def _daily_equity(spark, d):
     """Every ready asset's prediction for the newest session with enough features, by the final bundle."""
     _, manifest, final = trained(spark, d)
     feats = newest_features(spark, d)
     cutoff = feats.agg(F.max("snapshot_time")).scalar()
-    ready = G.readiness_spot(t.daily_bars(spark, d).where(F.col("open_time") <= cutoff), cutoff, t.BENCH, 252 if equity else 365, assets=t.part_assets(spark, d).select("asset_id"))
+    ready = G.readiness_spot(t.daily_bars(spark, d).where(F.col("open_time") <= cutoff), cutoff, t.BENCH, 252, assets=t.part_assets(spark, d).select("asset_id"))
     stored = spark.createDataFrame([], "asset_id string, snapshot_time timestamp_ntz, version string")
     model = manifest.select("direction_eligible", "scenario_eligible").first().asDict()
     now = feats.agg(F.max("snapshot_time") + F.expr("INTERVAL 1 HOUR")).scalar()
-    out = SV.daily_score(final, feats, ready, cutoff, now, model, stored, C.horizon_scale(F.col(SCALE[0]), *SCALE[1:]), equity, F.lit(True))
+    out = SV.daily_score(final, feats, ready, cutoff, now, model, stored, C.horizon_scale(F.col(SCALE[0]), *SCALE[1:]), True, F.lit(True))
     lists = {c: F.array_join(c, ",") for c in ("positive", "negative", "limitations")}
     return out.withColumns(lists)
 
@@ -270,14 +278,45 @@ def newest_features(spark, d):
     return rows.where(F.col("snapshot_time") == last)
 
 
+CRYPTO_FEATS = [*schemas.SPOT_FEATURES, *schemas.DERIVATIVE_FEATURES, *schemas.CROSS_SECTION_FEATURES, *[f"asset_{s.lower()}" for s in QF._hot]]
+CRYPTO_SCALE = ("volatility_30d", HORIZON, 365)
+
+
+def crypto_bundle(spark, d):
+    """The manifest and models of the crypto samples, on their own features; fitted once per session and table folder."""
+    key = (spark.sparkContext.applicationId, d, "crypto")
+
+    def fit():
+        rows = crypto_samples(spark, d).where(F.col("horizon_days") == HORIZON).withColumn("y", F.col("target_direction"))
+        folds = X.with_prior(stage(L.walk_forward(rows, YEARS)))
+        found = sorted(r["fold"] for r in folds.where("role = 'test'").select("fold").distinct().collect())  # a row for each year
+        metrics, *rest = SV.train(stage(folds), found, CRYPTO_FEATS, HORIZON, 365, CRYPTO_SCALE[0], "volatility_30d", seeds=schemas.SEEDS[:2], version="tidemark-crypto-1")
+        _trained[key] = tuple(rest)
+        return metrics
+    kept(spark, "trained-crypto", d, fit)
+    return _trained[key]
+
+
 @query("job_daily_score_crypto")
 def job_daily_score_crypto(spark, d):
-    return _daily(spark, d, False)
+    """Predictions of the newest day on which the benchmark is complete, for assets whose spot and derivative history is ready."""
+    manifest, final = crypto_bundle(spark, d)
+    daily, deriv = t.series(spark, d), QF.asset_derivatives(spark, d).where(F.col("asset_id").isNotNull())
+    cutoff = daily.where(F.col("asset_id") == t.BENCH).agg(F.max("open_time")).scalar()
+    now = daily.agg(F.max("open_time") + F.expr("INTERVAL 1 HOUR")).scalar()
+    feats = stage(FE.crypto_snapshots(daily.where(F.col("open_time") <= cutoff), deriv, t.BENCH, QF._hot, trend_limit=QF.TREND, vol_limit=QF.VOL))
+    ids = daily.select("asset_id").distinct()
+    spot = G.readiness_spot(daily.where(F.col("open_time") <= cutoff), cutoff, t.BENCH, 365, assets=ids).select("asset_id", F.col("ready").alias("_spot"))
+    ready = G.readiness_history(deriv, cutoff, now, assets=ids).join(spot, "asset_id").select("asset_id", (F.col("ready") & F.col("_spot")).alias("ready"))
+    stored = spark.createDataFrame([], "asset_id string, snapshot_time timestamp_ntz, version string")
+    model = manifest.select("direction_eligible", "scenario_eligible").first().asDict()
+    out = SV.daily_score(final, feats, ready, cutoff, now, model, stored, C.horizon_scale(F.col(CRYPTO_SCALE[0]), *CRYPTO_SCALE[1:]), False, F.lit(True))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("positive", "negative", "limitations")})
 
 
 @query("job_daily_score_equity")
 def job_daily_score_equity(spark, d):
-    return _daily(spark, d, True)
+    return _daily_equity(spark, d)
 
 
 @query("exp_feature_groups")
