@@ -3,6 +3,7 @@
 import math
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,13 +87,19 @@ def test_order_statistics_of_infinities_and_close_values(spark):
     assert order_statistics(micros, ["g"], "v", {"q": higher(0.5)}).first()["q"] == 1.7e15 + 10_000 * 1000
 
 
-def test_close_values_fall_into_many_cells(spark):
-    from tidemark.operators.quantiles import CELLS, _cell, _code
-    rows = spark.range(20_000).select((100 + F.col("id") * 1.5e-5).alias("v"))
-    spread = rows.withColumn("c", _code(F.col("v"), 8))
-    ends = spread.groupBy("c").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    cells = spread.join(ends, "c").groupBy("c", _cell(F.col("v"), F.col("low"), F.col("high")).alias("k")).count()
-    assert cells.agg(F.max("count")).first()[0] <= 2 * 20_000 / CELLS + 2
+def test_only_a_small_share_of_a_group_is_ordered(spark):
+    """A million values within 1e-9 beside one outlier, and a group of few: exact, few rows in the window, six exchanges at most."""
+    close = spark.range(1_000_000).select((1.0 + F.pmod(F.col("id") * 7919, F.lit(1_000_000)) * 1e-15).alias("v"), F.lit("hot").alias("g"))
+    rows = close.unionByName(spark.createDataFrame([(1e6, "hot"), (3.0, "few"), (1.0, "few"), (2.0, None)], "v double, g string"))
+    specs = {"a": linear(0.1), "m": linear(0.5), "z": higher(1.0)}
+    out = order_statistics(rows, ["g"], "v", specs, count_name="n")
+    found = {r["g"]: r for r in out.collect()}
+    exact = np.sort(np.append(1.0 + np.arange(1_000_000) * 1e-15, 1e6))
+    assert found["hot"]["n"] == 1_000_001 and found["hot"]["z"] == 1e6
+    assert found["hot"]["m"] == exact[500_000] and found["hot"]["a"] == pytest.approx(np.quantile(exact, 0.1), abs=1e-16)
+    assert (found["few"]["a"], found["few"]["m"], found[None]["m"]) == (1.2, 2.0, 2.0)
+    plan = out._jdf.queryExecution().executedPlan()
+    assert plan.toString().count("Exchange hashpartitioning") <= 6
 
 
 def test_an_asset_without_snapshots_is_not_ready(spark):

@@ -1,17 +1,14 @@
 """Exact order statistics without holding a group in one task.
 
-Values are counted, then located by a bounded, order-preserving code (the binary exponent and the top
-bits of the mantissa).  Only the code histogram is scanned to find where the wanted ranks fall.  A wanted
-code is cut once more into cells over its own least and greatest value, and only the values of the wanted
-cells are ordered, so neither a group with a third of all rows nor one whose values lie close together
-needs a single-task sort.
+A mergeable sketch gives each group's values at evenly spaced ranks, within a known error; two of them bracket every
+wanted rank.  A second pass counts what lies below a bracket and orders only what lies inside, equal values once with
+their count, which is a fixed small share of the group: neither a group with a third of all rows nor one whose values
+lie close together needs a single-task sort.  A rank outside its bracket, which the error forbids, fails the job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,21 +39,9 @@ def nearest_rank(q: float) -> Rank:
     return ranks
 
 
-def _code(v: Column, bits: int) -> Column:
-    a = F.abs(v)
-    e = F.floor(F.log2(a))
-    steps = float(1 << bits)
-    body = (e + 1100) * steps + F.floor(a / F.pow(F.lit(2.0), e) * steps)
-    endless = F.signum(v) * float(1 << 40)
-    return F.when(v == 0, F.lit(0.0)).when(a == float("inf"), endless).otherwise(F.signum(v) * body).cast("long")
-
-
-def _cell(v: Column, low: Column, high: Column) -> Column:
-    """Number of the cell of v among ``CELLS`` equal ones over [low, high]; one cell where they are equal."""
-    return F.when(high > low, F.floor((v - low) / (high - low) * CELLS)).otherwise(F.lit(0)).cast("long")
-
-
-CELLS = 1024
+STEPS = 512  # ranks that the sketch is asked for
+ACCURACY = 10_000  # a rank is right within n / ACCURACY
+ROOM = 8  # so many times that error is left on either side
 
 
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -65,49 +50,50 @@ def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(named, [left[c].eqNullSafe(named[f"_r_{c}"]) for c in keys]).drop(*[f"_r_{c}" for c in keys])
 
 
-def order_statistics(df: DataFrame, by: Sequence[str], value: str, specs: dict[str, Rank],
-                     bits: int = 8, count_name: str | None = None) -> DataFrame:
-    """One row per group with one column per spec; NULL and NaN values are left out."""
-    by = list(by)
+def _bracket(low: Column, high: Column) -> Column:
+    """Struct of the values that enclose the ranks from ``low`` to ``high``; no value where an end is open."""
+    def place(rank: Column, shift: float) -> Column:
+        return (rank / F.col("_n") + F.lit(shift)) * STEPS
+
+    first = F.floor(place(low, -ROOM / ACCURACY)).cast("int")
+    last = (F.ceil(place(high + 1, ROOM / ACCURACY))).cast("int")
+    return F.struct(F.when(first > 0, F.get("_marks", first)).alias("a"), F.when(last < STEPS, F.get("_marks", last)).alias("b"))
+
+
+def order_statistics(df: DataFrame, by: Sequence[str], value: str, specs: dict[str, Rank], count_name: str | None = None) -> DataFrame:
+    """One row per group with one column per spec; NULL and NaN values are left out.  ``df`` is read twice."""
+    by, names = list(by), list(specs)
     groups = by or ["_all"]
     src = df if by else df.withColumn("_all", F.lit(0))
     # + 0.0 folds the two zeros into one value.
-    src = src.select(*groups, (F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
-    counts = (src.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-              .groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
-              .withColumn("_code", _code(F.col("_v"), bits)))
-    hist = counts.groupBy(*groups, "_code").agg(F.sum("_c").alias("_bc"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    run = Window.partitionBy(*groups).orderBy("_code").rowsBetween(Window.unboundedPreceding, -1)
-    hist = (hist.withColumn("_before", F.coalesce(F.sum("_bc").over(run), F.lit(0)))
-            .withColumn("_n", F.sum("_bc").over(Window.partitionBy(*groups))))
-    names = list(specs)
+    src = src.select(*groups, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    marks = src.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", [i / STEPS for i in range(STEPS + 1)], ACCURACY).alias("_marks"))
+    ranks = {}
     for i, name in enumerate(names):
-        lo, hi, frac = specs[name](F.col("_n"))
-        hist = hist.withColumns({f"_lo{i}": lo, f"_hi{i}": hi, f"_fr{i}": frac})
-    inside = reduce(or_, [
-        (F.col(f"_{edge}{i}") >= F.col("_before")) & (F.col(f"_{edge}{i}") < F.col("_before") + F.col("_bc"))
-        for i in range(len(names)) for edge in ("lo", "hi")])
-    place = [*groups, "_code"]
-    rows = _same(counts, hist.where(inside), place).withColumn("_cell", _cell(F.col("_v"), F.col("_low"), F.col("_high")))
-    # The same step inside each wanted code.
-    below = Window.partitionBy(*place).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = [f"_{k}{i}" for i in range(len(names)) for k in ("lo", "hi", "fr")]
-    cells = rows.groupBy(*place, "_cell").agg(F.sum("_c").alias("_bc"), *[F.first(c).alias(c) for c in ("_before", "_n", *ranks)])
-    cells = cells.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_bc").over(below), F.lit(0))).where(inside)
-    place = [*place, "_cell"]
-    order = Window.partitionBy(*place).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    near = (_same(rows.select(*place, "_v", "_c"), cells, place)
-            .withColumn("_s", F.col("_before") + F.coalesce(F.sum("_c").over(order), F.lit(0))))
-    aggs = [F.max("_n").alias("_n")]
+        low, high, share = specs[name](F.col("_n"))
+        ranks |= {f"_lo{i}": low, f"_hi{i}": high, f"_fr{i}": share}
+    marks = marks.withColumns(ranks).withColumns({f"_br{i}": _bracket(F.col(f"_lo{i}"), F.col(f"_hi{i}")) for i in range(len(names))}).drop("_marks")
+    # For each wanted rank a value is below its bracket (and only counted), inside it, or of no use.
+    uses = []
+    for i in range(len(names)):
+        a, b = F.col(f"_br{i}.a"), F.col(f"_br{i}.b")
+        below = a.isNotNull() & (F.col("_v") < a)
+        inside = (a.isNull() | (F.col("_v") >= a)) & (b.isNull() | (F.col("_v") <= b))
+        uses.append(F.when(below | inside, F.struct(F.lit(i).alias("k"), F.when(inside, F.col("_v")).alias("v"))))
+    kept = _same(src, marks, groups).select(*groups, "_n", *ranks, F.explode(F.array_compact(F.array(*uses))).alias("_u"))
+    counts = kept.groupBy(*groups, "_n", *ranks, "_u.k", "_u.v").agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(*groups, "k").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    spots = counts.withColumn("_s", F.coalesce(F.sum("_c").over(run), F.lit(0))).where(F.col("v").isNotNull())
+    aggs = [F.max(c).alias(c) for c in ("_n", *[r for r in ranks if r.startswith("_fr")])]
     for i in range(len(names)):
         for edge in ("lo", "hi"):
             r = F.col(f"_{edge}{i}")
-            aggs.append(F.max(F.when((r >= F.col("_s")) & (r < F.col("_s") + F.col("_c")), F.col("_v"))).alias(f"_{edge}{i}"))
-        aggs.append(F.max(f"_fr{i}").alias(f"_fr{i}"))
-    out = near.groupBy(*groups).agg(*aggs)
+            aggs.append(F.max(F.when((F.col("k") == i) & (r >= F.col("_s")) & (r < F.col("_s") + F.col("_c")), F.col("v"))).alias(f"_at_{edge}{i}"))
+    out = spots.groupBy(*groups).agg(*aggs)
+    lost = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
     cols = []
     for i, n in enumerate(names):
-        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        low, high = F.coalesce(F.col(f"_at_lo{i}"), lost), F.coalesce(F.col(f"_at_hi{i}"), lost)
         cols.append(F.when((low == high) | (F.col(f"_fr{i}") == 0), low).otherwise(low + (high - low) * F.col(f"_fr{i}")).alias(n))
     extra = [F.col("_n").alias(count_name)] if count_name else []
     return out.select(*by, *extra, *cols)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import maths
 from tidemark.functions.times import micros
 from tidemark.operators import bars as B
+from tidemark.operators import gates as G
 from tidemark.operators import relations as R
 from tidemark.operators.quantiles import nearest_rank, order_statistics
 
@@ -174,12 +175,19 @@ def shadow_overall(progress: DataFrame) -> DataFrame:
     return agg.withColumn("state", state).drop("_w", "_e")
 
 
-def analysis_report(joined: DataFrame, bars: DataFrame, news: DataFrame, now: Column) -> DataFrame:
-    """Newest analysis per (asset, horizon) with price freshness and the newest article time."""
+def analysis_report(joined: DataFrame, bars: DataFrame, news: DataFrame, now: Column, factors: DataFrame) -> DataFrame:
+    """Newest analysis per (asset, horizon) with price freshness, the newest article time, its factors and limitations.
+
+    ``factors`` has the lists positive and negative by prediction_id; an analysis without any has empty ones.
+    """
     latest = R.latest_analysis(joined, ("symbol", "horizon_days"))
     df = latest.join(latest_times(bars).select("symbol", "latest_close"), "symbol", "left").join(
-        latest_news_times(news).select("symbol", "latest_published"), "symbol", "left")
-    return df.withColumns({"freshness": maths.freshness(F.col("latest_close"), now, "26 HOUR"), "risk_level": maths.risk_level(F.col("risk_score"))})
+        latest_news_times(news).select("symbol", "latest_published"), "symbol", "left").join(factors.select("prediction_id", "positive", "negative"), "prediction_id", "left")
+    none = F.array().cast("array<string>")
+    limits = G.limitations(F.col("direction_eligible"), F.col("scenario_eligible"), F.col("asset_class") == "us_equity")
+    return df.withColumns({
+        "freshness": maths.freshness(F.col("latest_close"), now, "26 HOUR"), "risk_level": maths.risk_level(F.col("risk_score")),
+        "positive": F.coalesce("positive", none), "negative": F.coalesce("negative", none), "limitations": limits})
 
 
 def model_card(models: DataFrame, version: str | None = None) -> DataFrame:

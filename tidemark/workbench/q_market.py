@@ -627,11 +627,26 @@ def asset_list(spark, d):
     return RP.asset_list(t.assets(spark, d), unique, t.ts(t.NOW), "72 HOUR")
 
 
-@query("analysis_report", f"""WITH {SQL_LA}, {SQL_OB}, {t.SQL_NEWS}, {SQL_LN} SELECT symbol, {big('horizon_days')}, prediction_id, {q_fresh('latest_close', 26)} AS freshness, latest_published,
- CASE WHEN risk_score < 0.25 THEN 'Low' WHEN risk_score < 0.5 THEN 'Medium' WHEN risk_score < 0.75 THEN 'High' ELSE 'VeryHigh' END AS risk_level FROM la LEFT JOIN lt USING (symbol) LEFT JOIN ln USING (symbol)""")
+SQL_FACTORS = """fk AS (SELECT l_orderkey AS prediction_id, 'line_' || l_linenumber AS feature, round(sum(l_discount - 0.05), 9) AS delta FROM lineitem GROUP BY 1, 2),
+fr AS (SELECT *, row_number() OVER (PARTITION BY prediction_id, delta > 0 ORDER BY abs(delta) DESC, feature) AS rn FROM fk WHERE delta <> 0),
+fl AS (SELECT prediction_id, string_agg(feature, ',' ORDER BY rn) FILTER (WHERE delta > 0) AS positive, string_agg(feature, ',' ORDER BY rn) FILTER (WHERE delta < 0) AS negative FROM fr WHERE rn <= 3 GROUP BY 1)"""
+
+
+def factors(spark, d):
+    """What each line of an order takes off it against the usual, as factors of the prediction of that number."""
+    lines = t.load(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("prediction_id"), F.concat(F.lit("line_"), F.col("l_linenumber").cast("string")).alias("feature"))
+    return top_factors_of(lines.agg(F.round(F.sum(F.col("l_discount") - 0.05), 9).alias("delta")), ["prediction_id"])
+
+
+@query("analysis_report", f"""WITH {SQL_LA}, {SQL_OB}, {t.SQL_NEWS}, {SQL_LN}, {SQL_FACTORS} SELECT la.symbol, {big('la.horizon_days', 'horizon_days')}, la.prediction_id, {q_fresh('latest_close', 26)} AS freshness, latest_published,
+ CASE WHEN risk_score < 0.25 THEN 'Low' WHEN risk_score < 0.5 THEN 'Medium' WHEN risk_score < 0.75 THEN 'High' ELSE 'VeryHigh' END AS risk_level, coalesce(positive, '') AS positive, coalesce(negative, '') AS negative,
+ concat_ws(',', CASE WHEN NOT m.direction_eligible THEN 'direction_suppressed' END, CASE WHEN NOT m.scenario_eligible THEN 'scenario_unverified' END, CASE WHEN a.asset_class = 'us_equity' THEN 'eod_shadow_only' END,
+ CASE WHEN a.asset_class = 'us_equity' THEN 'horizon_in_sessions' END, CASE WHEN a.asset_class <> 'us_equity' THEN 'news_not_used' END, 'factors_not_causal', 'not_advice') AS limitations
+ FROM la JOIN models m ON m.model_id = la.model_id JOIN assets a ON a.symbol = la.symbol LEFT JOIN lt ON lt.symbol = la.symbol LEFT JOIN ln ON ln.symbol = la.symbol LEFT JOIN fl ON fl.prediction_id = la.prediction_id""")
 def analysis_report(spark, d):
-    out = RP.analysis_report(_latest(spark, d), order_bars(spark, d), t.news(spark, d), t.ts(t.NOW))
-    return out.select("symbol", "horizon_days", "prediction_id", "freshness", "latest_published", "risk_level")
+    out = RP.analysis_report(_latest(spark, d), order_bars(spark, d), t.news(spark, d), t.ts(t.NOW), factors(spark, d))
+    lists = [F.array_join(c, ",").alias(c) for c in ("positive", "negative", "limitations")]
+    return out.select("symbol", "horizon_days", "prediction_id", "freshness", "latest_published", "risk_level", *lists)
 
 
 SQL_ISSUES = """iss AS (SELECT o_orderkey AS issue_id, 'A' || (o_custkey % 5) AS asset_id, CASE WHEN o_orderkey % 2 = 0 THEN 'DERIVATIVE_CUTOFF_INCOMPLETE' ELSE 'US_EQUITY_SESSION_INCOMPLETE' END AS code, o_orderdate AS data_time, o_orderkey % 400 > 1 AS is_resolved FROM orders)"""
