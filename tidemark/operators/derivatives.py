@@ -62,19 +62,21 @@ def consolidate(*frames: DataFrame, keys: Sequence[str] = ("asset_id", "snapshot
 # --- one-day assembly ----------------------------------------------------------------------------
 
 
-def grid_check(series: DataFrame, step: str, n: int, keys: Sequence[str] = ("asset_id", "day"),
-               time: str = "time", day: str = "day") -> DataFrame:
-    """Does each key hold exactly ``n`` points on the fixed grid that starts at ``day``?"""
+def _on_grid(step: str, n: int, time: str, day: str) -> tuple[list[Column], Column]:
+    """Aggregates of a series and whether they make ``n`` points on the fixed grid that starts at ``day``."""
     unit = {"hour": 3_600_000_000, "5min": 300_000_000}[step]
     offset = micros(F.col(time)) - micros(F.col(day))
     on_grid = (offset % unit == 0) & (offset >= 0) & (offset < unit * n)
-    out = series.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("points"), F.count_distinct(time).alias("distinct_points"),
-        F.count_if(~on_grid).alias("off_grid"))
-    ok = (F.col("points") == n) & (F.col("distinct_points") == n) & (F.col("off_grid") == 0)
-    return out.withColumns({
-        "ok": ok,
-        "reason": F.when(F.col("points") != n, "count").when(~ok, "gap").otherwise("")})
+    aggs = [F.count(F.lit(1)).alias("points"), F.count_distinct(time).alias("distinct_points"), F.count_if(~on_grid).alias("off_grid")]
+    return aggs, (F.col("points") == n) & (F.col("distinct_points") == n) & (F.col("off_grid") == 0)
+
+
+def grid_check(series: DataFrame, step: str, n: int, keys: Sequence[str] = ("asset_id", "day"),
+               time: str = "time", day: str = "day") -> DataFrame:
+    """Does each key hold exactly ``n`` points on the fixed grid that starts at ``day``?"""
+    aggs, ok = _on_grid(step, n, time, day)
+    return series.groupBy(*keys).agg(*aggs).withColumns({
+        "ok": ok, "reason": F.when(F.col("points") != n, "count").when(~ok, "gap").otherwise("")})
 
 
 def window_check(series: DataFrame, start: str, cutoff: str, keys: Sequence[str], time: str = "time") -> DataFrame:
@@ -100,9 +102,9 @@ def snapshot_assemble(futures: DataFrame, premium: DataFrame, funding: DataFrame
                       long_short: DataFrame, taker_long_short: DataFrame) -> DataFrame:
     """One complete derivative snapshot per (asset, UTC day); days with a broken grid are rejected.
 
-    ``futures``/``premium`` carry open_time, close_time and values; the others (time, value).  Grids are
-    checked by bounded aggregates first; only days that pass are hashed, so each collected list holds
-    exactly 24 or 288 points.
+    ``futures``/``premium`` carry open_time, close_time and values; the others (time, value).  Values and grids are
+    checked by bounded aggregates first, in one grouping of each series; only days that pass are hashed, so each
+    collected list holds exactly 24 or 288 points.  Funding has no grid: its list is as long as the asset's day.
     """
     keys = ["asset_id", "day"]
 
@@ -113,10 +115,8 @@ def snapshot_assemble(futures: DataFrame, premium: DataFrame, funding: DataFrame
         bad = functools.reduce(lambda a, b: a | b, value_checks)
         if cutoff_col:
             bad = bad | (F.col(cutoff_col) >= F.col("day") + F.expr(DAY))
-        clean = df.groupBy(*keys).agg(F.count_if(bad).alias("_bad"), F.count(F.lit(1)).alias("_n")).where("_bad = 0")
-        good = clean.select(*keys)
-        if n:
-            good = good.join(grid_check(df, step, n).where("ok").select(*keys), keys, "left_semi")
+        grid, whole = _on_grid(step, n, "time", "day") if n else ([], F.lit(True))
+        good = df.groupBy(*keys).agg(F.count_if(bad).alias("_bad"), *grid).where((F.col("_bad") == 0) & whole).select(*keys)
         kept = df.join(good, keys, "left_semi")
         return kept.groupBy(*keys).agg(
             F.count(F.lit(1)).alias(f"{tag}_count"), *aggs,
