@@ -156,10 +156,23 @@ def varied_texts(seed):
     return texts + ["", None, " \n", "one", "ONE", "one two", "One\tTwo", "É é", "é É", "two one"]
 
 
-@pytest.mark.parametrize("seed, nodes", [(1, 2048), (2, 16)])
-def test_components_equal_those_by_exact_jaccard(spark, monkeypatch, seed, nodes):
+def test_common_shingles_by_bits_and_by_lists(monkeypatch):
+    from tidemark.llm import oddsketch
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 200)).astype(np.uint64)) for _ in range(40)]
+    sketches = [bytes(64)] * 40
+    for words in (1 << 22, 0):
+        monkeypatch.setattr(oddsketch, "MATRIX_WORDS", words)
+        held = oddsketch.Sets(list(range(40)), [len(s) for s in sets], sketches, [s.tobytes() for s in sets], 0.8, 512)
+        others = np.array([3, 1, 39, 17])
+        assert held.common(5, others).tolist() == [len(np.intersect1d(sets[5], sets[j])) for j in others]
+
+
+@pytest.mark.parametrize("seed, nodes, words", [(1, 2048, 1 << 22), (2, 16, 0)])
+def test_components_equal_those_by_exact_jaccard(spark, monkeypatch, seed, nodes, words):
     from tidemark.llm import oddsketch
     monkeypatch.setattr(oddsketch, "BLOCK_NODES", nodes)
+    monkeypatch.setattr(oddsketch, "MATRIX_WORDS", words)
     texts = varied_texts(seed)
     expected, sets = plain_classes(texts)
     rows = {r["doc_id"]: r for r in oddsketch.near_copies(docs_of(spark, texts)).collect()}

@@ -38,6 +38,7 @@ BITS = 512
 SAFETY = 5.3
 BLOCK_NODES = 2048
 BLOCK_SHINGLES = 1 << 19
+MATRIX_WORDS = 1 << 22
 Candidates = Callable[[DataFrame], DataFrame]  # of nodes (node, print, ...) to pairs (u, v)
 
 
@@ -130,30 +131,53 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, bits: int) ->
 
 
 class Sets:
-    """Nodes of one or two blocks in a task: labels, sketches and sets, and the links that join different labels."""
+    """Nodes of one or two blocks in a task: labels, sketches and sets, and the links that join different labels.
+
+    Only shingles that several of the nodes have can be common to two of them.  They lie in a matrix of bits, if that
+    takes at most ``MATRIX_WORDS``, else in the lists of the nodes.
+    """
 
     def __init__(self, nodes: list[int], sizes: list[int], sketches: list[bytes], items: list[bytes], similarity: float, most: int):
         self.nodes, self.n = nodes, np.array(sizes)
         self.sketch = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(nodes), -1)
-        self.item = np.unique(np.frombuffer(b"".join(items), np.uint64), return_inverse=True)[1]
-        self.start = np.append(0, np.cumsum(self.n))
+        _, item, counts = np.unique(np.frombuffer(b"".join(items), np.uint64), return_inverse=True, return_counts=True)
+        shared = counts[item] > 1
+        place = (np.cumsum(counts > 1) - 1)[item[shared]]
+        owner = np.repeat(np.arange(len(nodes)), self.n)[shared]
+        self.shared = np.bincount(owner, minlength=len(nodes))
         self.label, self.similarity, self.most = np.arange(len(nodes)), similarity, most
-        self.mark = np.zeros(int(self.item.max(initial=-1)) + 1, bool)
+        width = -(-int(place.max(initial=-1) + 1) // 64)
+        self.bits = self.lists = None
+        if width * len(nodes) <= MATRIX_WORDS:
+            self.bits = np.zeros((len(nodes), width), np.uint64)
+            np.bitwise_or.at(self.bits, (owner, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+        else:
+            self.lists, self.start, self.mark = place, np.append(0, np.cumsum(self.shared)), np.zeros(width * 64, bool)
+
+    def common(self, i: int, others: np.ndarray) -> np.ndarray:
+        """How many shingles node i shares with each of ``others``."""
+        if self.bits is not None:
+            return np.bitwise_count(self.bits[others] & self.bits[i]).sum(axis=1, dtype=np.int64)
+        own = self.lists[self.start[i]:self.start[i + 1]]
+        self.mark[own] = True
+        sizes = self.shared[others]
+        ends = np.cumsum(sizes)
+        at = np.arange(int(ends[-1])) + np.repeat(self.start[others] - ends + sizes, sizes)
+        hits = np.append(0, np.cumsum(self.mark[self.lists[at]]))
+        self.mark[own] = False
+        return hits[ends] - hits[ends - sizes]
 
     def links_of(self, i: int, others: np.ndarray) -> list[tuple[int, int]]:
         """Links of node i to nodes of ``others`` that are not joined with it, one for each label that it joins."""
         far = others[self.label[others] != self.label[i]]
+        share = self.similarity / (1 + self.similarity)  # of both sizes together, what two similar sets have in common
         least, greatest = np.minimum(self.n[far], self.n[i]), np.maximum(self.n[far], self.n[i])
-        far = far[least >= self.similarity * greatest - 1e-9]
+        able = np.minimum(self.shared[far], self.shared[i]) >= share * (self.n[far] + self.n[i]) - 1e-9
+        far = far[able & (least >= self.similarity * greatest - 1e-9)]
         far = far[np.bitwise_count(self.sketch[far] ^ self.sketch[i]).sum(axis=1) <= self.most]
         if not len(far):
             return []
-        own = self.item[self.start[i]:self.start[i + 1]]
-        self.mark[own] = True
-        places = np.concatenate([np.arange(self.start[j], self.start[j + 1]) for j in far.tolist()])
-        common = np.add.reduceat(self.mark[self.item[places]], np.append(0, np.cumsum(self.n[far])[:-1]), dtype=np.int64)
-        self.mark[own] = False
-        out = []
+        common, out = self.common(i, far), []
         for j in far[common >= self.similarity * (self.n[far] + self.n[i] - common) - 1e-9].tolist():
             if self.label[j] != self.label[i]:
                 self.label[self.label == self.label[j]] = self.label[i]
