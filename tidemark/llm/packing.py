@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.ordering import positions
 from tidemark.llm.pieces import token_counts
+from tidemark.session import stage
 
 
 @dataclass(frozen=True)
@@ -100,7 +101,8 @@ def best_fit(sized: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     if not settings.lengths or min(settings.lengths) < 1:
         raise ValueError("sequence lengths must be positive")
-    pieces = pieces_of(sized.select("doc_id", F.col("size").cast("long").alias("size")), settings)
+    # written first: numbering looks at its rows twice, and sizes may be costly
+    pieces = stage(pieces_of(sized.select("doc_id", F.col("size").cast("long").alias("size")), settings))
     mixed = pieces.select("*", F.lit(0).alias("all"), F.xxhash64("doc_id", "piece").alias("mix"))
     numbered = positions(mixed, "all", ["mix", "doc_id", "start", "length"])
     dealt = numbered.select("doc_id", "piece", "start", "length", F.call_function("div", F.col("pos"), F.lit(settings.pack_rows)).cast("int").alias("pack"))
