@@ -16,12 +16,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import sentencepiece
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_texts
-from tidemark.llm.pieces import WordMemo, model_bytes, table
+from tidemark.llm.pieces import model_bytes
 from tidemark.session import stage
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -64,8 +65,9 @@ def repeated_words(words: list, window: int = 5) -> int:
     n = len(words) - window + 1
     if n < 2:
         return 0
-    number: dict = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    number = dict.fromkeys(words)
+    number = dict(zip(number, range(len(number))))
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
     if len(number) == len(words):
         return 0
     code, span = ids[:n], len(number)
@@ -107,10 +109,12 @@ def token_measures(ids: np.ndarray, n_chars: int, is_byte: np.ndarray) -> tuple[
     """Characters per token, share of lone bytes, entropy as a share of the most for so many tokens; zeros for none."""
     if not len(ids):
         return 0.0, 0.0, 0.0
-    seen = np.bincount(ids)
-    share = seen[seen > 0] / len(ids)
+    order = np.sort(ids)
+    ends = np.flatnonzero(order[1:] != order[:-1])
+    seen = np.diff(ends, prepend=-1, append=len(ids) - 1)
     most = np.log2(len(ids))
-    return n_chars / len(ids), float(is_byte[ids].mean()), float(-(share * np.log2(share)).sum() / most) + 0.0 if most else 0.0
+    entropy = most - (seen * np.log2(seen)).sum() / len(ids)
+    return n_chars / len(ids), float(np.count_nonzero(is_byte[ids])) / len(ids), float(entropy / most) if most else 0.0
 
 
 def pair_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -120,27 +124,20 @@ def pair_ranks(path: str | None = None) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-def _packed(ids) -> bytes:
-    return np.array(ids, np.int32).tobytes()
-
-
 class Coders:
     """Token ids of texts in both vocabularies, and which ids are a lone byte of a longer character."""
 
     def __init__(self, proto: bytes, ranks: dict[bytes, int], pattern: str):
-        self.pieces = table(proto)
-        self.memo = WordMemo(self.pieces, _packed)
+        self.pieces = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.pairs = tiktoken.Encoding("pairs", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        lone, part = np.zeros(len(self.pieces.piece), bool), np.zeros(max(ranks.values()) + 1, bool)
-        lone[sorted(set(self.pieces.is_byte) - {self.pieces.byte_id[10]})] = True  # line ends are bytes in any script
+        newline = self.pieces.piece_to_id("<0x0A>")  # line ends are bytes in any script
+        lone = np.array([self.pieces.is_byte(i) and i != newline for i in range(self.pieces.get_piece_size())])
+        part = np.zeros(max(ranks.values()) + 1, bool)
         part[[rank for token, rank in ranks.items() if len(token) == 1 and token[0] >= 128]] = True
         self.lone = lone, part
 
-    def __call__(self, texts: list[str]):
-        lists = [self.pieces.words(t) for t in texts]
-        self.memo.learn(lists)
-        for text, words in zip(texts, lists):
-            yield np.frombuffer(b"".join(map(self.memo.__getitem__, words)), np.int32), np.array(self.pairs.encode_ordinary(text), np.int32)
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(self.pieces.encode(text), np.int32), np.array(self.pairs.encode_ordinary(text), np.int32)
 
 
 def measured(df: DataFrame, rules: Rules = Rules(), model: str | None = None, pairs: str | None = None) -> DataFrame:
@@ -154,15 +151,15 @@ def measured(df: DataFrame, rules: Rules = Rules(), model: str | None = None, pa
     def make():
         both = Coders(proto, ranks, pattern)
 
-        def many(texts):
-            texts = [(t or "").encode("utf-8", "replace").decode("utf-8") for t in texts]
-            for text, ids in zip(texts, both(texts)):
-                words = text.encode("utf-8").split()
-                chars, symbols, lines, again = base_counts(text, words)
-                failed = len(words) < rules.least_words or 100 * again > rules.most_repeat_percent * len(words)
-                out = [x for some, lone in zip(ids, both.lone) for x in (len(some), *token_measures(some, len(text), lone))]
-                yield len(words), chars, symbols, lines, again, failed, script_of(text), len(ids[0]).bit_length(), *out
-        return many
+        def one(text):
+            data = (text or "").encode("utf-8", "replace")
+            text, words = data.decode("utf-8"), data.split()
+            chars, symbols, lines, again = base_counts(text, words)
+            failed = len(words) < rules.least_words or 100 * again > rules.most_repeat_percent * len(words)
+            ids = both(text)
+            out = [x for some, lone in zip(ids, both.lone) for x in (len(some), *token_measures(some, len(text), lone))]
+            return len(words), chars, symbols, lines, again, failed, script_of(text), len(ids[0]).bit_length(), *out
+        return lambda texts: map(one, texts)
 
     columns = ", ".join(f"{v}_tokens long, " + ", ".join(f"{v}_{m} double" for m in MEASURES) for v in VOCABULARIES)
     language = F.coalesce("lang", F.lit("")) if "lang" in df.columns else F.lit("")
