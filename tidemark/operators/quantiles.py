@@ -79,16 +79,16 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, specs: dict[s
         a, b = F.col(f"_br{i}.a"), F.col(f"_br{i}.b")
         below = a.isNotNull() & (F.col("_v") < a)
         inside = (a.isNull() | (F.col("_v") >= a)) & (b.isNull() | (F.col("_v") <= b))
-        uses.append(F.when(below | inside, F.struct(F.lit(i).alias("k"), F.when(inside, F.col("_v")).alias("v"))))
+        uses.append(F.when(below | inside, F.struct(F.lit(i).alias("_k"), F.when(inside, F.col("_v")).alias("_w"))))
     kept = _same(src, marks, groups).select(*groups, "_n", *ranks, F.explode(F.array_compact(F.array(*uses))).alias("_u"))
-    counts = kept.groupBy(*groups, "_n", *ranks, "_u.k", "_u.v").agg(F.count(F.lit(1)).alias("_c"))
-    run = Window.partitionBy(*groups, "k").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    spots = counts.withColumn("_s", F.coalesce(F.sum("_c").over(run), F.lit(0))).where(F.col("v").isNotNull())
+    counts = kept.groupBy(*groups, "_n", *ranks, "_u._k", "_u._w").agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(*groups, "_k").orderBy("_w").rowsBetween(Window.unboundedPreceding, -1)
+    spots = counts.withColumn("_s", F.coalesce(F.sum("_c").over(run), F.lit(0))).where(F.col("_w").isNotNull())
     aggs = [F.max(c).alias(c) for c in ("_n", *[r for r in ranks if r.startswith("_fr")])]
     for i in range(len(names)):
         for edge in ("lo", "hi"):
             r = F.col(f"_{edge}{i}")
-            aggs.append(F.max(F.when((F.col("k") == i) & (r >= F.col("_s")) & (r < F.col("_s") + F.col("_c")), F.col("v"))).alias(f"_at_{edge}{i}"))
+            aggs.append(F.max(F.when((F.col("_k") == i) & (r >= F.col("_s")) & (r < F.col("_s") + F.col("_c")), F.col("_w"))).alias(f"_at_{edge}{i}"))
     out = spots.groupBy(*groups).agg(*aggs)
     lost = F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")
     cols = []
