@@ -25,8 +25,9 @@ from tidemark.workbench.registry import big, query, r, rexp
 
 
 def stream_of(spark, d, name):
+    """The table's file, or all files of its folder; a pattern matches both where a plain path has to be a folder."""
     schema = t.load(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.[p]arquet")
 
 
 def ticks(spark, d):
