@@ -1,9 +1,11 @@
 """Gradient boosting of trees on histograms: one Spark job a level, for all groups, seeds and outputs at once.
 
-Features are cut into bins at approximate quantiles of each group's training rows and written once with the row's label.
+Features are cut into bins at approximate quantiles of each group's training rows and written once with the row's label,
+in units: some thousand rows of a group with their scores for one seed.  Few units of a model mean few tables to add up.
 A level of a round is one job: tasks add up, per open node, the gradient, Hessian and count of every (feature, bin); these
 tables are summed by (model, node) after a shuffle of one row for each, and only the best split of each node comes back.
 A model is one (group, seed); groups may be folds, variants of an experiment or both, and may have settings of their own.
+Runs on other rows, labels or losses can share these jobs (``fit_together``), which is what a run of many rounds waits for.
 
 The task's tables and what is shuffled depend on models, open nodes, features and bins, never on the number of rows.
 Scores of rows are written anew every ``REFRESH`` rounds; between them tasks add the younger trees themselves.
@@ -11,7 +13,9 @@ Scores of rows are written anew every ``REFRESH`` rounds; between them tasks add
 
 from __future__ import annotations
 
+import functools
 import math
+import pickle
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import groupby
@@ -19,7 +23,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +34,10 @@ from tidemark.session import stage
 
 REFRESH = 10
 ACCURACY = 2000  # of the quantile sketch that the bins are cut from
+UNIT = 16_384  # rows of a group that are packed together
+KEYS_A_TASK = 16  # tables of nodes, or counts of leaves, that one task adds up at least
+STEP = 16  # bits of a value's code that one pass over the rows tells apart
+FEW = 4096  # values of a leaf that tasks count as they are
 
 
 @dataclass(frozen=True)
@@ -196,93 +204,95 @@ def _shape(values: pa.Array, width: int) -> np.ndarray:
 
 @dataclass
 class _Turn:
-    """The state of a round as tasks see it; ``models`` hold only the trees that the rows' scores lack."""
+    """The state of a round as tasks see it; ``models`` hold only the trees that the rows' scores lack.
 
-    names: list[str]
-    models: list[Model]
-    seeds: list[int]
-    loss: object
+    Models are known by (run, group, seed number), their trees by the output as well.
+    """
+
+    losses: list
+    models: list[list[Model]]
+    seeds: list[list[int]]
     number: int
     bins: int
-    width: int
-    growing: dict[tuple[int, int, int], Tree]
-    open: dict[tuple[int, int, int], list[int]]
-    allowed: dict[tuple[int, int], np.ndarray]
-
-    def parts(self, batches: Iterator[pa.RecordBatch]):
-        """(group, seed number, drawn bins, label, score by output) of each batch."""
-        place = {name: g for g, name in enumerate(self.names)}
-        for batch in batches:
-            group = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
-            mix, y = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            bins = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, self.width)
-            held = _shape(batch.column(4), len(self.seeds) * self.loss.outputs)
-            for g in np.unique(group).tolist():
-                of_group, model = group == g, self.models[g]
-                if self.number >= model.settings.rounds:
-                    continue
-                for s, seed in enumerate(self.seeds):
-                    rows = of_group & _drawn(mix, seed, self.number, model.settings.rows)
-                    k = self.loss.outputs
-                    score = held[rows, s * k:(s + 1) * k] + model.scores(bins[rows], seed)
-                    yield g, s, bins[rows], y[rows], score
-
-    def tables(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for each (model, open node): its (feature, bin) sums over this task's rows."""
-        sums: dict[tuple[int, int, int], np.ndarray] = {}
-        b, f = self.bins, self.width
-        for g, s, bins, y, score in self.parts(batches):
-            gradient, hessian = self.loss.slopes(score, y)
-            for k in range(self.loss.outputs):
-                nodes = self.open.get((g, s, k))
+    growing: dict[tuple[int, int, int, int], Tree]
+    open: dict[tuple[int, int, int, int], list[int]]
+    allowed: dict[tuple[int, int, int], np.ndarray]
+
+    def parts(self, units: Iterator[bytes]):
+        """(run, group, seed number, drawn bins, label, score by output) of each unit whose model still grows."""
+        for unit in units:
+            r, g, s, mix, y, bins, held = pickle.loads(unit)
+            if (r, g, s) in self.allowed:
+                model = self.models[r][g]
+                rows = _drawn(mix, self.seeds[r][s], self.number, model.settings.rows)
+                own = bins[rows]
+                yield r, g, s, own, y[rows], held[rows] + model.scores(own, self.seeds[r][s])
+
+    def tables(self, part: int, units: Iterator[bytes]):
+        """((model, open node, part), sums) with this task's (feature, bin) sums of each open node."""
+        sums: dict[tuple[int, int, int, int], np.ndarray] = {}
+        b = self.bins
+        for r, g, s, bins, y, score in self.parts(units):
+            loss, allowed = self.losses[r], self.allowed[r, g, s]
+            if not any(self.open.get((r, g, s, k)) for k in range(loss.outputs)):
+                continue
+            gradient, hessian = loss.slopes(score, y)
+            f = len(allowed)
+            placed = bins[:, allowed] + np.arange(f) * b
+            for k in range(loss.outputs):
+                model = r, g, s, k
+                nodes = self.open.get(model)
                 if not nodes:
                     continue
-                dense = np.full(len(self.growing[g, s, k].feature), -1, np.int64)
+                dense = np.full(len(self.growing[model].feature), -1, np.int64)
                 dense[nodes] = np.arange(len(nodes))
-                at = dense[self.growing[g, s, k].nodes(bins)]
+                at = dense[self.growing[model].nodes(bins)]
                 rows = at >= 0
-                cell = ((at[rows, None] * f + np.arange(f)) * b + bins[rows]).ravel()
+                cell = (at[rows, None] * (f * b) + placed[rows]).ravel()
                 size = len(nodes) * f * b
                 found = [np.bincount(cell, np.repeat(w[rows, k], f), size) for w in (gradient, hessian)] + [np.bincount(cell, minlength=size)]
                 table = np.stack(found, axis=1).reshape(len(nodes), -1)
-                sums[g, s, k] = sums[g, s, k] + table if (g, s, k) in sums else table
-        part = TaskContext.get().partitionId()
-        for (g, s, k), table in sums.items():
-            rows = [(g, s, k, node, part, table[i].tobytes()) for i, node in enumerate(self.open[g, s, k])]
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), (*[pa.int32()] * 5, pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, ["g", "s", "k", "node", "part", "sums"])
-
-    def best(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The best split of each node, from the tables of all tasks in the order of their numbers."""
-        rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
-        for (g, s, k, node), group in groupby(rows, key=itemgetter(0, 1, 2, 3)):
-            table = np.zeros(self.width * self.bins * 3)
-            for row in group:
-                table += np.frombuffer(row[5])
-            found = best_split(table.reshape(self.width, self.bins, 3), self.models[g].settings, self.allowed[g, s])
-            if found is not None:
-                yield pa.RecordBatch.from_arrays([*[pa.array([v], pa.int32()) for v in (g, s, k, node, found[1], found[2])], *[pa.array([v], pa.float64()) for v in (found[0], *found[3])]],
-                                                 ["g", "s", "k", "node", "feature", "cut", "gain", "gl", "hl", "gr", "hr"])
-
-    def leftovers(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(g, s, k, node, rest): what each drawn row's score leaves over, by its leaf."""
-        for g, s, bins, y, score in self.parts(batches):
-            for k in range(self.loss.outputs):
-                node = self.growing[g, s, k].nodes(bins).astype(np.int32)
-                same = [pa.array(np.full(len(y), v, np.int32)) for v in (g, s, k)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(node), pa.array(y - score[:, k])], ["g", "s", "k", "node", "rest"])
+                sums[model] = sums[model] + table if model in sums else table
+        for model, table in sums.items():
+            for i, node in enumerate(self.open[model]):
+                yield (*model, node, part), table[i].tobytes()
+
+    def leftovers(self, units: Iterator[bytes]):
+        """((model, leaf), codes) of what the drawn rows' scores leave over, for the losses that refit their leaves."""
+        for r, g, s, bins, y, score in self.parts(units):
+            for k in range(self.losses[r].outputs if self.losses[r].refit is not None else 0):
+                rest = y - score[:, k]
+                keep = ~np.isnan(rest)
+                node, code = self.growing[r, g, s, k].nodes(bins[keep]), coded(rest[keep])
+                for leaf in np.unique(node).tolist():
+                    yield (r, g, s, k, leaf), code[node == leaf]
 
     def refreshed(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows with the scores of all trees so far."""
-        place = {name: g for g, name in enumerate(self.names)}
+        """The units with the scores of all trees so far."""
         for batch in batches:
-            group = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
-            bins = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, self.width)
-            held = _shape(batch.column(4), len(self.seeds) * self.loss.outputs).copy()
-            for g in np.unique(group).tolist():
-                rows = group == g
-                held[rows] += np.hstack([self.models[g].scores(bins[rows], seed) for seed in self.seeds])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(list(held), pa.list_(pa.float64()))], ["by", "mix", "y", "bins", "score"])
+            out = []
+            for unit in batch.column(0).to_pylist():
+                r, g, s, mix, y, bins, held = pickle.loads(unit)
+                out.append(pickle.dumps((r, g, s, mix, y, bins, held + self.models[r][g].scores(bins, self.seeds[r][s])), 5))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["unit"])
+
+
+def _best(rows, settings: list[list[Settings]], allowed: Mapping[tuple[int, int, int], np.ndarray], bins: int):
+    """(gain, model, node, feature, cut, sums) of each node's best split, from the tables of all tasks in their order."""
+    for (r, g, s, k, node), group in groupby(rows, key=lambda row: row[0][:-1]):
+        usable = allowed[r, g, s]
+        table = np.zeros(len(usable) * bins * 3)
+        for _, sums in group:
+            table += np.frombuffer(sums)
+        found = best_split(table.reshape(len(usable), bins, 3), settings[r][g])
+        if found is not None:
+            yield found[0], (r, g, s, k), node, int(usable[found[1]]), found[2], found[3]
+
+
+def _dealt(pairs, keys: int):
+    """Pairs with equal keys but for the last entry in one task, in the order of that entry; ``keys`` tells how many there are."""
+    tasks = max(1, min(pairs.context.defaultParallelism, -(-keys // KEYS_A_TASK)))
+    return pairs.repartitionAndSortWithinPartitions(tasks, lambda key: hash(key[:-1]))
 
 
 def _pull(g: np.ndarray, h: np.ndarray, settings: Settings) -> np.ndarray:
@@ -293,16 +303,14 @@ def leaf_value(g: float, h: float, settings: Settings) -> float:
     return -settings.rate * math.copysign(max(abs(g) - settings.l1, 0.0), g) / (h + settings.l2)
 
 
-def best_split(table: np.ndarray, settings: Settings, allowed: np.ndarray):
+def best_split(table: np.ndarray, settings: Settings):
     """(gain, feature, cut, (gl, hl, gr, hr)) of the split that gains most, the first of equals; none without a gain."""
     left = table.cumsum(axis=1)[:, :-1]
-    whole = table[allowed[0]].sum(axis=0)
+    whole = table[0].sum(axis=0)
     right = whole - left
     gain = _pull(left[..., 0], left[..., 1], settings) + _pull(right[..., 0], right[..., 1], settings) - _pull(whole[0], whole[1], settings)
     fits = (np.minimum(left[..., 2], right[..., 2]) >= settings.min_leaf) & (np.minimum(left[..., 1], right[..., 1]) > 1e-3)
-    usable = np.zeros(len(table), bool)
-    usable[allowed] = True
-    gain = np.where(fits & usable[:, None], gain, -np.inf)
+    gain = np.where(fits, gain, -np.inf)
     at = int(gain.argmax())
     feature, cut = divmod(at, gain.shape[1])
     if not gain[feature, cut] > 1e-12:
@@ -337,6 +345,20 @@ class Boosted:
         return predict(features, group)
 
 
+@dataclass
+class Run:
+    """What to fit: one model for each value of ``by`` and each seed; ``each`` gives groups settings of their own."""
+
+    train: DataFrame
+    loss: object
+    label: str
+    by: str | None = None
+    seeds: Sequence[int] = (0,)
+    settings: Settings = Settings()
+    each: Mapping[str, Settings] | None = None
+    features: str = "features"
+
+
 def fit(train: DataFrame, loss, label: str, by: str | None = None, seeds: Sequence[int] = (0,), settings: Settings = Settings(),
         each: Mapping[str, Settings] | None = None, features: str = "features", bins: int = 64) -> Boosted:
     """Boosted trees on the vector column ``features``, one model for each value of ``by`` and each seed.
@@ -345,93 +367,217 @@ def fit(train: DataFrame, loss, label: str, by: str | None = None, seeds: Sequen
     their own, below all others.  A group with too few rows for a split keeps its start; a null group is not fitted; an
     empty table fits nothing.  ``bins`` is at most 255.
     """
+    return fit_together([Run(train, loss, label, by, seeds, settings, each, features)], bins)[0]
+
+
+def fit_together(runs: Sequence[Run], bins: int = 64) -> list[Boosted]:
+    """As ``fit`` for each run, with the same trees; the levels of all runs share their jobs."""
     if not 2 <= bins <= 255:
         raise ValueError("bins must be 2 to 255")
-    group = F.lit("all") if by is None else F.col(by).cast("string")
-    x = vector_to_array(features)
-    rows = train.where(F.col(label).isNotNull() & group.isNotNull()).select(group.alias("by"), F.col(label).cast("double").alias("y"), x.alias("x"))
+    made = [_begun(r, run, bins) for r, run in enumerate(runs)]
+    models = [list(found.values()) for found, _ in made]
+    if any(models):
+        _rounds(runs, models, [units for _, units in made if units is not None], bins)
+    return [Boosted(found, run.loss) for (found, _), run in zip(made, runs)]
+
+
+def _begun(r: int, run: Run, bins: int) -> tuple[dict[str, Model], DataFrame | None]:
+    """Each group's model without trees, and the training rows in units: some rows of a group with their scores for one seed."""
+    group = F.lit("all") if run.by is None else F.col(run.by).cast("string")
+    rows = run.train.where(F.col(run.label).isNotNull() & group.isNotNull()).select(
+        group.alias("by"), F.col(run.label).cast("double").alias("y"), vector_to_array(run.features).alias("x"))
     rows = stage(rows)
     first = rows.first()
     if first is None:
-        return Boosted({}, loss)
-    width, k = len(first["x"]), loss.outputs
+        return {}, None
+    width, k, seeds = len(first["x"]), run.loss.outputs, list(run.seeds)
     shares = [i / (bins - 1) for i in range(1, bins - 1)]
     value = lambda f: F.when(~F.isnan(F.col("x")[f]), F.col("x")[f])
     edges = rows.groupBy("by").agg(F.array(*[F.percentile_approx(value(f), shares, ACCURACY) for f in range(width)]).alias("cuts"))
-    found = edges.join(loss.start(rows, "by"), "by").orderBy("by").collect()  # a row for each group
-    names = [r["by"] for r in found]
-    models = [Model([np.unique(np.array(c if c is not None else [], float)) for c in r["cuts"]], np.array(r["start"], float), (each or {}).get(r["by"], settings)) for r in found]
-    for m in models:
-        m.trees = {seed: [] for seed in seeds}
-    place = {name: g for g, name in enumerate(names)}
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = edges.join(run.loss.start(rows, "by"), "by").orderBy("by").collect()  # a row for each group
+    models = {row["by"]: Model([np.unique(np.array(c if c is not None else [], float)) for c in row["cuts"]], np.array(row["start"], float),
+                               (run.each or {}).get(row["by"], run.settings), {seed: [] for seed in seeds}) for row in found}
+    cuts, starts, place = [m.cuts for m in models.values()], np.array([m.start for m in models.values()]), {name: g for g, name in enumerate(models)}
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def packed(g: int) -> pa.RecordBatch:
+            mix, y, bins = (np.concatenate(x) for x in zip(*held.pop(g)))
+            score = np.tile(starts[g], (len(y), 1))
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps((r, g, s, mix, y, bins, score), 5) for s in range(len(seeds))], pa.binary())], ["unit"])
+
         for batch in batches:
             group = np.array([place[b] for b in batch.column(0).to_pylist()], np.int64)
-            values = _shape(batch.column(3), width)
-            out, score = np.zeros(values.shape, np.uint8), np.zeros((len(group), len(seeds) * k))
+            mix, y, values = batch.column(1).to_numpy(), batch.column(2).to_numpy(), _shape(batch.column(3), width)
             for g in np.unique(group).tolist():
-                out[group == g] = binned(values[group == g], models[g].cuts)
-                score[group == g] = np.tile(models[g].start, len(seeds))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r.tobytes() for r in out], pa.binary()), pa.array(list(score), pa.list_(pa.float64()))], ["by", "mix", "y", "bins", "score"])
-
-    schema = "by string, mix long, y double, bins binary, score array<double>"
-    hashed = rows.select("by", F.xxhash64("x", "y").alias("mix"), "y", "x")
-    state = stage(hashed.mapInArrow(coded, schema))
-    young = [Model([], m.start, m.settings, {seed: [] for seed in seeds}) for m in models]
-    for number in range(max(m.settings.rounds for m in models)):
-        turn = _Turn(names, young, list(seeds), loss, number, bins + 1, width, {}, {}, {})
-        for g, m in enumerate(models):
-            if number >= m.settings.rounds:
-                continue
-            usable = np.array(range(width) if m.settings.features is None else m.settings.features)
-            for s, seed in enumerate(seeds):
-                some = np.random.default_rng((seed, number, 1)).permutation(len(usable))[:max(1, math.ceil(m.settings.columns * len(usable)))]
-                turn.allowed[g, s] = np.sort(usable[some])
-                for out in range(k):
-                    turn.growing[g, s, out], turn.open[g, s, out] = Tree(m.settings.depth), [0]
-        _grow(state.coalesce(parallelism(train)), turn)
-        if loss.refit is not None:
-            _refit(state, turn)
-        for g, s in turn.allowed:
-            made = [turn.growing[g, s, out] for out in range(k)]
-            models[g].trees[seeds[s]].append(made)
-            young[g].trees[seeds[s]].append(made)
-        if (number + 1) % REFRESH == 0:
-            state = stage(state.mapInArrow(turn.refreshed, schema))
-            for m in young:
-                m.trees = {seed: [] for seed in seeds}
-    return Boosted(dict(zip(names, models)), loss)
-
-
-def _grow(state: DataFrame, turn: _Turn) -> None:
+                own = group == g
+                held.setdefault(g, []).append((mix[own], y[own], binned(values[own], cuts[g])))
+                if sum(len(x[1]) for x in held[g]) >= UNIT:
+                    yield packed(g)
+        for g in list(held):
+            yield packed(g)
+
+    whole = rows.coalesce(max(1, -(-rows.count() // (4 * UNIT))))
+    return models, whole.select("by", F.xxhash64("x", "y").alias("mix"), "y", "x").mapInArrow(units, "unit binary")
+
+
+def _rounds(runs: Sequence[Run], models: list[list[Model]], units: Sequence[DataFrame], bins: int) -> None:
+    """Grow the trees of all runs round by round."""
+    tasks = parallelism(units[0])
+    state, rows = _held(functools.reduce(DataFrame.unionByName, units).repartition(tasks))
+    losses, seeds = [run.loss for run in runs], [list(run.seeds) for run in runs]
+    young = [[Model([], m.start, m.settings, {seed: [] for seed in seeds[r]}) for m in of_run] for r, of_run in enumerate(models)]
+    last = max(m.settings.rounds for of_run in models for m in of_run)
+    for number in range(last):
+        turn = _Turn(losses, young, seeds, number, bins + 1, {}, {}, {})
+        for r, of_run in enumerate(models):
+            for g, m in enumerate(of_run):
+                if number >= m.settings.rounds:
+                    continue
+                usable = np.array(range(len(m.cuts)) if m.settings.features is None else m.settings.features)
+                for s, seed in enumerate(seeds[r]):
+                    some = np.random.default_rng((seed, number, 1)).permutation(len(usable))[:max(1, math.ceil(m.settings.columns * len(usable)))]
+                    turn.allowed[r, g, s] = np.sort(usable[some])
+                    for out in range(losses[r].outputs):
+                        turn.growing[r, g, s, out], turn.open[r, g, s, out] = Tree(m.settings.depth), [0]
+        _grow(rows, turn)
+        _refit(rows, turn)
+        for r, g, s in turn.allowed:
+            trees = [turn.growing[r, g, s, out] for out in range(losses[r].outputs)]
+            for of_run in (models, young):
+                of_run[r][g].trees[seeds[r][s]].append(trees)
+        if (number + 1) % REFRESH == 0 and number + 1 < last:
+            rows.unpersist()
+            state, rows = _held(state.mapInArrow(turn.refreshed, "unit binary"))
+            for of_run in young:
+                for m in of_run:
+                    m.trees = {seed: [] for seed in m.trees}
+    rows.unpersist()
+
+
+def _held(units: DataFrame):
+    """The units as a written table, and as an RDD that the next jobs hold in memory or on disk."""
+    state = stage(units)
+    return state, state.rdd.map(itemgetter(0)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _grow(rows, turn: _Turn) -> None:
     """Split the open nodes level by level; a model's splits are taken by gain until its leaves are used up."""
     leaves = dict.fromkeys(turn.growing, 1)
+    settings, allowed, bins = [[m.settings for m in of_run] for of_run in turn.models], turn.allowed, turn.bins
     while any(turn.open.values()):
-        tables = state.mapInArrow(turn.tables, "g int, s int, k int, node int, part int, sums binary")
-        dealt = tables.repartition("g", "s", "k", "node").sortWithinPartitions("g", "s", "k", "node", "part")
-        splits = dealt.mapInArrow(turn.best, "g int, s int, k int, node int, feature int, cut int, gain double, gl double, hl double, gr double, hr double")
-        found = sorted(splits.collect(), key=lambda r: (r["g"], r["s"], r["k"], -r["gain"], r["node"]))  # a row for each open node at most
+        dealt = _dealt(rows.mapPartitionsWithIndex(turn.tables), sum(map(len, turn.open.values())))
+        found = dealt.mapPartitions(lambda pairs: _best(pairs, settings, allowed, bins)).collect()  # a row for each open node at most
         turn.open = {m: [] for m in turn.open}
-        for r in found:
-            name = r["g"], r["s"], r["k"]
-            settings = turn.models[r["g"]].settings
-            if leaves[name] >= settings.leaves:
+        for gain, name, node, feature, cut, (gl, hl, gr, hr) in sorted(found, key=lambda x: (x[1], -x[0], x[2])):
+            own = settings[name[0]][name[1]]
+            if leaves[name] >= own.leaves:
                 continue
             leaves[name] += 1
-            turn.growing[name].split(r["node"], r["feature"], r["cut"], leaf_value(r["gl"], r["hl"], settings), leaf_value(r["gr"], r["hr"], settings))
-            if (2 * r["node"] + 2).bit_length() <= settings.depth:
-                turn.open[name] += [2 * r["node"] + 1, 2 * r["node"] + 2]
-        turn.open = {m: nodes if leaves[m] < turn.models[m[0]].settings.leaves else [] for m, nodes in turn.open.items()}
-
-
-def _refit(state: DataFrame, turn: _Turn) -> None:
-    """Leaves take the exact quantile of what their rows' scores leave over."""
-    rests = state.mapInArrow(turn.leftovers, "g int, s int, k int, node int, rest double")
-    wanted = F.element_at(F.array(*[F.lit(float(q)) for q in turn.loss.refit]), F.col("k") + 1)
-
-    def rank(n: Column):
-        h = (n - 1) * wanted
-        return F.floor(h).cast("long"), F.ceil(h).cast("long"), h - F.floor(h)
-    for r in order_statistics(rests, ["g", "s", "k", "node"], "rest", {"value": rank}).collect():  # a row for each leaf
-        turn.growing[r["g"], r["s"], r["k"]].value[r["node"]] = turn.models[r["g"]].settings.rate * r["value"]
+            turn.growing[name].split(node, feature, cut, leaf_value(gl, hl, own), leaf_value(gr, hr, own))
+            if (2 * node + 2).bit_length() <= own.depth:
+                turn.open[name] += [2 * node + 1, 2 * node + 2]
+        turn.open = {m: nodes if leaves[m] < settings[m[0]][m[1]].leaves else [] for m, nodes in turn.open.items()}
+
+
+# --- exact quantiles of leaves ----------------------------------------------------------------------
+
+
+def coded(values: np.ndarray) -> np.ndarray:
+    """Numbers without a sign in the order of the values; the two zeros are one."""
+    bits = np.ascontiguousarray(values + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+
+
+def decoded(code: int) -> float:
+    bits = code & ~(1 << 63) if code >> 63 else ~code & ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+@dataclass(frozen=True)
+class _Spot:
+    """Where a wanted rank lies: among the ``n`` values whose code without the last ``shift`` bits is ``head``, at ``rank``."""
+
+    head: int
+    shift: int
+    rank: int
+    n: int
+
+    def finer(self) -> int:
+        """Bits left out next: none once few values are left, so that tasks count whole values."""
+        return 0 if self.n <= FEW else max(self.shift - STEP, 0)
+
+
+def _counts(found: Iterator, spots: Mapping[tuple, Sequence[_Spot]] | None, part: int):
+    """((leaf, end, part), (codes, counts)) of this task's values; at first by the leading bits of all values."""
+    sums: dict[tuple, list] = {}
+    for leaf, code in found:
+        for end, spot in enumerate([None] if spots is None else spots.get(leaf, ())):
+            if spot is None:
+                some = code >> np.uint64(64 - STEP)
+            elif spot.shift == 0:
+                continue
+            else:
+                some = code[code >> np.uint64(spot.shift) == spot.head] >> np.uint64(spot.finer())
+            if len(some):
+                sums.setdefault((*leaf, end), []).append(np.unique(some, return_counts=True))
+    for key, counts in sums.items():
+        yield (*key, part), _added(counts)
+
+
+def _added(counts: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(counts) == 1:
+        return counts[0]
+    codes, at = np.unique(np.concatenate([c for c, _ in counts]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([n for _, n in counts]), len(codes)).astype(np.int64)
+
+
+def _located(pairs: Iterator, spots: Mapping[tuple, Sequence[_Spot]] | None, quantiles: Sequence[Sequence[float] | None]):
+    """(leaf, end, spot, share) of each wanted rank, one step finer; ``share`` is how far the quantile lies beyond the lower end."""
+    for key, group in groupby(pairs, key=lambda pair: pair[0][:-1]):
+        leaf, end, total = key[:-1], key[-1], None
+        for _, counts in group:
+            total = counts if total is None else _added([total, counts])
+        codes, counts = total
+        before = np.concatenate([[0], np.cumsum(counts)])
+        if spots is None:
+            h = (int(before[-1]) - 1) * quantiles[leaf[0]][leaf[3]]
+            ranks, shift, share = [math.floor(h), math.ceil(h)], 64 - STEP, h - math.floor(h)
+        else:
+            spot = spots[leaf][end]
+            ranks, shift, share = [spot.rank], spot.finer(), None
+        for i, rank in enumerate(ranks):
+            at = int(np.searchsorted(before, rank, "right")) - 1
+            yield leaf, end + i, _Spot(int(codes[at]), shift, rank - int(before[at]), int(counts[at])), share
+
+
+def _refit(rows, turn: _Turn) -> None:
+    """Leaves take the exact quantile of what their rows' scores leave over.
+
+    Values are counted by their leading bits; the cell of a wanted rank is counted by the next bits, or by whole values
+    where it holds few.  So a task's counts are bounded and a leaf's values are never in one place.
+    """
+    quantiles = [loss.refit for loss in turn.losses]
+    models = [m for m in turn.growing if quantiles[m[0]] is not None]
+    if not models:
+        return
+    spots: dict[tuple, list] | None = None
+    shares: dict[tuple, float] = {}
+    leaves = 8 * len(models)
+    while spots is None or any(spot.shift for both in spots.values() for spot in both):
+        before = spots
+        pairs = rows.mapPartitionsWithIndex(lambda part, units: _counts(turn.leftovers(units), before, part))
+        found = _dealt(pairs, leaves).mapPartitions(lambda group: _located(group, before, quantiles)).collect()  # two rows for each leaf
+        spots = {leaf: list(both) for leaf, both in (before or {}).items()}
+        for leaf, end, spot, share in sorted(found, key=lambda x: (x[0], x[1])):
+            if before is None:
+                spots.setdefault(leaf, []).append(spot)
+                shares[leaf] = share
+            else:
+                spots[leaf][end] = spot
+        leaves = 2 * len(spots)
+    for leaf, (low, high) in spots.items():
+        low, high, share = decoded(low.head), decoded(high.head), shares[leaf]
+        value = low if low == high or share == 0 else low + (high - low) * share
+        turn.growing[leaf[:4]].value[leaf[4]] = turn.models[leaf[0]][leaf[1]].settings.rate * value

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -54,51 +55,77 @@ def fit_forest(train: DataFrame, seeds: Sequence[int] = SEEDS, features: str = "
     return lambda df: _bag(df, models, P, (0, 1, 2))
 
 
-def _boosted(train: DataFrame, loss, label: str, names: Sequence[str], link, by: str | None, seeds: Sequence[int], settings: BO.Settings,
-             each: Mapping[str, BO.Settings] | None, features: str) -> Scorer:
-    """One run of boosting for all values of ``by``; the outputs go to ``names``, null for a value without training rows."""
-    model = BO.fit(train, loss, label, by, seeds, settings, each, features)
+@dataclass
+class Plan:
+    """A boosting run and what makes a scorer of its models; ``fit_together`` fits several in the same jobs."""
+
+    run: BO.Run
+    finish: Callable[[BO.Boosted], Scorer]
+
+
+def fit_together(plans: Sequence[Plan]) -> list[Scorer]:
+    fitted = BO.fit_together([p.run for p in plans])
+    return [p.finish(model) for p, model in zip(plans, fitted)]
+
+
+def chained(scorers: Sequence[Scorer]) -> Scorer:
+    return lambda df: functools.reduce(lambda out, score: score(out), scorers, df)
 
-    def score(df: DataFrame) -> DataFrame:
-        group = F.lit("all") if by is None else F.col(by).cast("string")
-        out = df.withColumn("_raw", model.raw(vector_to_array(features), group, link))
-        return out.withColumns({n: F.col("_raw")[k] for k, n in enumerate(names)}).drop("_raw")
-    return score
 
+def _boosted(run: BO.Run, names: Sequence[str], link, after: Callable[[DataFrame], DataFrame] = lambda df: df) -> Plan:
+    """The outputs of all values of ``by`` go to ``names``, null for a value without training rows."""
+    def finish(model: BO.Boosted) -> Scorer:
+        def score(df: DataFrame) -> DataFrame:
+            group = F.lit("all") if run.by is None else F.col(run.by).cast("string")
+            out = df.withColumn("_raw", model.raw(vector_to_array(run.features), group, link))
+            return after(out.withColumns({n: F.col("_raw")[k] for k, n in enumerate(names)}).drop("_raw"))
+        return score
+    return Plan(run, finish)
 
-def fit_direction(train: DataFrame, seeds: Sequence[int] = SEEDS, features: str = "features", label: str = "y", by: str | None = None,
-                  settings: BO.Settings = BO.Settings(), each: Mapping[str, BO.Settings] | None = None) -> Scorer:
+
+def direction(train: DataFrame, seeds: Sequence[int] = SEEDS, features: str = "features", label: str = "y", by: str | None = None,
+              settings: BO.Settings = BO.Settings(), each: Mapping[str, BO.Settings] | None = None) -> Plan:
     """Seed-bagged multiclass boosting; the mean probability goes to p0..p2."""
-    return _boosted(train, BO.Softmax(3), label, P, BO.softmax, by, seeds, settings, each, features)
+    return _boosted(BO.Run(train, BO.Softmax(3), label, by, seeds, settings, each, features), P, BO.softmax)
 
 
-def fit_ordinal(train: DataFrame, seeds: Sequence[int] = SEEDS, features: str = "features", label: str = "y", by: str | None = None,
-                settings: BO.Settings = BO.Settings()) -> Scorer:
+def ordinal(train: DataFrame, seeds: Sequence[int] = SEEDS, features: str = "features", label: str = "y", by: str | None = None,
+            settings: BO.Settings = BO.Settings()) -> Plan:
     """Two boosted threshold models, P(y >= 1) and P(y >= 2)."""
-    return _boosted(train, BO.Thresholds(1, 2), label, ("not_down", "up"), BO.sigmoid, by, seeds, settings, None, features)
+    return _boosted(BO.Run(train, BO.Thresholds(1, 2), label, by, seeds, settings, None, features), ("not_down", "up"), BO.sigmoid)
 
 
 def _same(score):
     return score
 
 
-def fit_quantiles(train: DataFrame, target: str = "target_return", qs: dict[str, float] | None = None, features: str = "features", by: str | None = None,
-                  settings: BO.Settings = BO.Settings(), seeds: Sequence[int] = SEEDS[:1]) -> Scorer:
+def quantiles(train: DataFrame, target: str = "target_return", qs: dict[str, float] | None = None, features: str = "features", by: str | None = None,
+              settings: BO.Settings = BO.Settings(), seeds: Sequence[int] = SEEDS[:1]) -> Plan:
     """Boosted quantiles of the target, sorted where they cross; leaves hold exact quantiles."""
     qs = qs or {"lower": 0.1, "mid": 0.5, "upper": 0.9}
-    model = _boosted(train, BO.Pinball(*qs.values()), target, list(qs), _same, by, seeds, settings, None, features)
 
-    def score(df: DataFrame) -> DataFrame:
-        out = model(df).withColumn("_sorted", F.array_sort(F.array(*qs)))
+    def ordered(df: DataFrame) -> DataFrame:
+        out = df.withColumn("_sorted", F.array_sort(F.array(*qs)))
         return out.withColumns({n: F.col("_sorted")[k] for k, n in enumerate(sorted(qs, key=qs.get))}).drop("_sorted")
-    return score
+    return _boosted(BO.Run(train, BO.Pinball(*qs.values()), target, by, seeds, settings, None, features), list(qs), _same, ordered)
 
 
-def fit_risk(train: DataFrame, features: str = "features", target: str = "target_risk", by: str | None = None, settings: BO.Settings = BO.Settings(),
-             seeds: Sequence[int] = SEEDS[:1], each: Mapping[str, BO.Settings] | None = None) -> Scorer:
+def risk(train: DataFrame, features: str = "features", target: str = "target_risk", by: str | None = None, settings: BO.Settings = BO.Settings(),
+         seeds: Sequence[int] = SEEDS[:1], each: Mapping[str, BO.Settings] | None = None) -> Plan:
     """Boosted regression of risk, clipped to [0, 1]."""
-    model = _boosted(train, BO.Squared(), target, ["_risk"], _same, by, seeds, settings, each, features)
-    return lambda df: model(df).withColumn("risk", maths.clamp(F.col("_risk"), 0.0, 1.0)).drop("_risk")
+    return _boosted(BO.Run(train, BO.Squared(), target, by, seeds, settings, each, features), ["_risk"], _same,
+                    lambda df: df.withColumn("risk", maths.clamp(F.col("_risk"), 0.0, 1.0)).drop("_risk"))
+
+
+def _alone(plan: Callable[..., Plan]) -> Callable[..., Scorer]:
+    """The plan's scorer, fitted in a run of its own."""
+    @functools.wraps(plan)
+    def fit(*args, **kw) -> Scorer:
+        return fit_together([plan(*args, **kw)])[0]
+    return fit
+
+
+fit_direction, fit_ordinal, fit_quantiles, fit_risk = map(_alone, (direction, ordinal, quantiles, risk))
 
 
 def fit_logistic(train: DataFrame, c: float, features: str = "features", label: str = "y", standardize: bool = True, weight: str | None = None) -> Scorer:

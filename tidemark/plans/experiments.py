@@ -55,10 +55,10 @@ def by_variant(rows: DataFrame, folds: Sequence[str], each: Mapping[str, BO.Sett
     grouped = rows.where(F.col("fold").isin(*folds)).withColumn("_group", F.concat_ws("|", "variant", "fold"))
     settings = {f"{name}|{fold}": own for name, own in each.items() for fold in folds}
     train, scored = grouped.where("role = 'train'"), grouped.where("role <> 'train'")
-    out = M.fit_direction(train, seeds, by="_group", each=settings)(scored)
+    plans = [M.direction(train, seeds, by="_group", each=settings)]
     if risk:
-        out = M.fit_risk(train, by="_group", each=settings)(out)
-    return stage(out.drop("features", "_group"))
+        plans.append(M.risk(train, by="_group", each=settings))
+    return stage(M.chained(M.fit_together(plans))(scored).drop("features", "_group"))
 
 
 def in_variants(samples: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -219,9 +219,8 @@ def exp_direction(samples: DataFrame, folds: Sequence[str], features: Sequence[s
     ready = stage(M.vectors(samples, features))
 
     def fit(train: DataFrame):
-        multi = M.fit_direction(train, seeds, by="fold", settings=settings)
-        ordinal, quant = M.fit_ordinal(train, seeds, by="fold", settings=settings), M.fit_quantiles(train, by="fold", settings=settings)
-        return lambda df: quant(ordinal(multi(df)))
+        plans = M.direction(train, seeds, by="fold", settings=settings), M.ordinal(train, seeds, by="fold", settings=settings)
+        return M.chained(M.fit_together([*plans, M.quantiles(train, by="fold", settings=settings)]))
 
     val, test = split_roles(stage(M.together(ready, folds, fit).drop("features")))
     inner = L.inner_calibration(val)

@@ -27,9 +27,12 @@ def train_folds(samples: DataFrame, folds: Sequence[str], features: Sequence[str
     logistic = M.over_folds(ready, folds, M.fit_balanced_logistic)
     rows = logistic.withColumns({f"l{k}": F.col(f"p{k}") for k in range(3)}).drop(*ME.P)
     train = ready.where(F.col("fold").isin(*folds) & (F.col("role") == "train"))
-    for score in (M.fit_direction(train, seeds, by="fold", settings=settings), M.fit_quantiles(train, by="fold", settings=settings), M.fit_risk(train, by="fold", settings=settings)):
-        rows = score(rows)
-    return stage(rows.drop("features"))
+    return stage(M.chained(three_models(train, seeds, settings, "fold"))(rows).drop("features"))
+
+
+def three_models(train: DataFrame, seeds: Sequence[int], settings: BO.Settings, by: str | None = None) -> list[M.Scorer]:
+    """Scorers of direction, quantiles and risk, grown in the same jobs."""
+    return M.fit_together([M.direction(train, seeds, by=by, settings=settings), M.quantiles(train, by=by, settings=settings), M.risk(train, by=by, settings=settings)])
 
 
 def fold_metrics(samples: DataFrame, scored: DataFrame, horizon: int, ppy: int, scale_feature: str, risk_feature: str) -> DataFrame:
@@ -102,7 +105,7 @@ def fit_bundle(train_rows: DataFrame, validation: DataFrame, features: Sequence[
                seeds: Sequence[int] = SEEDS, settings: BO.Settings = BO.Settings()) -> Bundle:
     """Fit on the training rows, calibrate on validation; the medians become the explanation reference."""
     ready = M.vectors(train_rows.withColumn("target_risk", maths.target_risk(F.col("target_volatility"))), features)
-    d, q, r = M.fit_direction(ready, seeds, settings=settings), M.fit_quantiles(ready, settings=settings), M.fit_risk(ready, settings=settings)
+    d, q, r = three_models(ready, seeds, settings)
     val = q(d(M.vectors(validation, features))).withColumns({"k": F.lit(1), "target": F.col("target_return"), "scale": C.horizon_scale(F.col(scale_feature), horizon, ppy)})
     val = stage(val.drop("features"))
     temp = C.temperature_fit(val, ["k"])
@@ -119,7 +122,7 @@ def final_fit(samples: DataFrame, metrics: DataFrame, features: Sequence[str], v
     """Models refitted on every sample once, whatever folds it is in, with the calibration of the newest fold."""
     rows = stage(samples.dropDuplicates(["asset_id", "snapshot_time"]))
     ready = stage(M.vectors(rows.withColumn("target_risk", maths.target_risk(F.col("target_volatility"))), features))
-    d, q, r = M.fit_direction(ready, seeds, settings=settings), M.fit_quantiles(ready, settings=settings), M.fit_risk(ready, settings=settings)
+    d, q, r = three_models(ready, seeds, settings)
     newest = metrics.orderBy(F.desc("fold")).limit(1).select(
         F.lit(1).alias("k"), "temperature", F.col("probability_blend_weight").alias("weight"), F.col("conformal_multiplier").alias("multiplier"))
     shares = rows.agg(F.count(F.lit(1)).alias("sample_count"), *[F.avg((F.col("y") == k).cast("double")).alias(f"q{k}") for k in range(3)]).withColumn("k", F.lit(1))
