@@ -5,6 +5,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tidemark.operators import boosting as BO
+from tidemark.operators import calibration as C
+from tidemark.operators import labels as L
 
 
 def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
@@ -53,3 +55,20 @@ def test_codes_keep_the_order_of_values():
     codes = BO.coded(values)
     assert (np.diff(codes.astype(object)) >= 0).all() and codes[3] == codes[4] and len(set(codes.tolist())) == len(values) - 1
     assert [BO.decoded(int(c)) for c in codes] == values.tolist()
+
+
+def test_fold_parameters_do_not_deal_rows_by_fold(spark):
+    """Rows of a fold stay where they are, however small the session's broadcast threshold is and however few folds there are."""
+    rows = spark.range(20000).select(F.lit("a").alias("fold"), (F.timestamp_seconds(F.col("id") * 3600)).alias("snapshot_time"),
+                                     F.timestamp_seconds(F.col("id") * 3600 + 86400).alias("label_end_time"), (F.col("id") % 3).cast("int").alias("y"),
+                                     *[F.lit(v).alias(n) for n, v in (("p0", 0.2), ("p1", 0.5), ("p2", 0.3), ("q0", 0.3), ("q1", 0.4), ("q2", 0.3))])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = L.inner_calibration(rows)
+        fit, sel = parts.where("part = 'fit'"), parts.where("part = 'selection'")
+        for out in (parts, C.temperature_blend(fit, sel, ["fold"])):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert parts.groupBy("part").count().count() == 2 and C.temperature_blend(fit, sel, ["fold"]).count() == sel.count() > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -85,12 +85,13 @@ def blend_apply(df: DataFrame, weight: Column, prior: str = "q") -> DataFrame:
 def temperature_blend(fit: DataFrame, target: DataFrame, by: Sequence[str], prior: str = "q") -> DataFrame:
     """Fit temperature then blend weight on ``fit``, apply both to ``target`` (prior columns on each).
 
-    Fitted parameters are one row per key and join back on the key.
+    Fitted parameters are one row per key and join back on the key; sent to the rows, for dealt by the few keys all rows of
+    a key would meet in one task.
     """
     by = list(by)
-    temps = temperature_fit(fit, by)
+    temps = F.broadcast(temperature_fit(fit, by))
     scaled = temperature_apply(fit.join(temps, by), F.col("temperature"))
-    weights = blend_fit(scaled, by, prior)
+    weights = F.broadcast(blend_fit(scaled, by, prior))
     out = temperature_apply(target.join(temps, by), F.col("temperature")).join(weights, by)
     return blend_apply(out, F.col("weight"), prior)
 

@@ -125,7 +125,8 @@ def inner_calibration(df: DataFrame, time: str = "snapshot_time", share: float =
         *by, F.col("_d").alias("selection_start"))
     part = (F.when(F.col(time) >= F.col("selection_start"), "selection")
             .when(label_end(df, time) < F.col("selection_start") - F.expr(f"INTERVAL {embargo_days} DAY"), "fit"))
-    return df.join(starts, by).withColumn("part", part).where(F.col("part").isNotNull())
+    # A row for each key: dealt by the few keys instead, a fold's rows would all meet in one task.
+    return df.join(F.broadcast(starts), by).withColumn("part", part).where(F.col("part").isNotNull())
 
 
 def inner_year(train: DataFrame, by: Sequence[str] = ("fold",), time: str = "snapshot_time", min_fit: int = 500,

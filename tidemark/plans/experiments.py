@@ -202,14 +202,16 @@ def ordinal_blend(fit: DataFrame, target: DataFrame, by: Sequence[str] = ("fold"
     """Calibrate both thresholds, project to three classes, blend with the prior."""
     by = list(by)
     nd = C.binary_temperature_fit(fit, by, F.col("y") >= 1, F.col("not_down")).withColumnRenamed("temperature", "_tn")
+    nd = F.broadcast(nd)
     up = C.binary_temperature_fit(fit, by, F.col("y") >= 2, F.col("up")).withColumnRenamed("temperature", "_tu")
+    up = F.broadcast(up)
 
     def project(df: DataFrame) -> DataFrame:
         d = df.join(nd, by).join(up, by)
         p = maths.ordinal(maths.binary_temperature_scale(F.col("not_down"), F.col("_tn")), maths.binary_temperature_scale(F.col("up"), F.col("_tu")))
         return d.withColumns(dict(zip(ME.P, p))).drop("_tn", "_tu")
 
-    w = C.blend_fit(project(fit), by, "q")
+    w = F.broadcast(C.blend_fit(project(fit), by, "q"))
     return C.blend_apply(project(target).join(w, by), F.col("weight"), "q").drop("weight")
 
 

@@ -139,7 +139,7 @@ def score_batch(spark, d):
     """Every fold's test rows by the models of that fold, calibrated on its validation rows."""
     rows = fold_scores(spark, d)
     val, test = X.split_roles(rows.withColumns({"target": F.col("target_return"), "scale": C.horizon_scale(F.col(SCALE[0]), *SCALE[1:])}))
-    fitted = C.temperature_fit(val, ["fold"])
+    fitted = F.broadcast(C.temperature_fit(val, ["fold"]))
     weight = C.blend_fit(C.temperature_apply(val.join(fitted, "fold"), F.col("temperature")), ["fold"])
     ready = test.join(fitted, "fold").join(weight, "fold").join(C.conformal_scaled(val, ["fold"]), "fold")
     return SC.finish_score(ready, F.col("temperature"), F.col("weight"), F.col("multiplier"), F.col("scale")).select(*OUT, *ME.P, "lower", "mid", "upper", "risk_score")
