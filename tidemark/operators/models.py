@@ -64,7 +64,11 @@ class Plan:
 
 
 def fit_together(plans: Sequence[Plan]) -> list[Scorer]:
-    fitted = BO.fit_together([p.run for p in plans])
+    if len(plans) == 1:
+        r = plans[0].run
+        fitted = [BO.fit(r.train, r.loss, r.label, r.by, r.seeds, r.settings, r.each, r.features)]
+    else:
+        fitted = BO.fit_together([p.run for p in plans])
     return [p.finish(model) for p, model in zip(plans, fitted)]
 
 
