@@ -2,12 +2,15 @@
 
 Features are cut into bins at approximate quantiles of each group's training rows and written once with the row's label,
 in units: some thousand rows of a group with their scores for one seed.  Few units of a model mean few tables to add up.
-A level of a round is one job: tasks add up, per open node, the gradient, Hessian and count of every (feature, bin); these
-tables are summed by (model, node) after a shuffle of one row for each, and only the best split of each node comes back.
 A model is one (group, seed); groups may be folds, variants of an experiment or both, and may have settings of their own.
-Runs on other rows, labels or losses can share these jobs (``fit_together``), which is what a run of many rounds waits for.
-
-The task's tables and what is shuffled depend on models, open nodes, features and bins, never on the number of rows.
+A model of few rows is one unit, and a task grows its trees of a round; all such models take one job a round.
+Of models with more rows a level of a round is one job: tasks add up, per open node, the gradient, Hessian and count of
+every (feature, bin); these tables are summed by (model, node) after a shuffle of one row for each, and only the best split
+of each node comes back.  Runs on other rows, labels or losses can share these jobs (``fit_together``), which is what a run
+of many rounds waits for.
+
+A task's rows are bounded by ``WHOLE`` units; its tables and what is shuffled depend on models, open nodes, features and
+bins, never on the number of rows.
 Scores of rows are written anew every ``REFRESH`` rounds; between them tasks add the younger trees themselves.
 """
 
@@ -17,7 +20,7 @@ import functools
 import math
 import pickle
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import groupby
 from operator import itemgetter
 
@@ -30,11 +33,13 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.blocks import parallelism
 from tidemark.operators.quantiles import linear, order_statistics
-from tidemark.session import stage
+from tidemark.session import at_once, stage
 
 REFRESH = 10
 ACCURACY = 2000  # of the quantile sketch that the bins are cut from
 UNIT = 16_384  # rows of a group that are packed together
+WHOLE = 4  # units of a model up to which one task grows its trees: a job a level costs more than a level of so few rows
+UNITS_A_TASK = 16  # models of one unit that a task grows at most where there are more tasks than cores
 KEYS_A_TASK = 16  # tables of nodes, or counts of leaves, that one task adds up at least
 STEP = 16  # bits of a value's code that one pass over the rows tells apart
 FEW = 4096  # values of a leaf that tasks count as they are
@@ -152,11 +157,14 @@ class Tree:
         """The leaf of each row of bins."""
         at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
         for _ in range(self.depth):
-            feature = self.feature[at]
-            inner = feature >= 0
-            at = np.where(inner, 2 * at + 1 + (bins[rows, feature] > self.cut[at]), at)
+            at = self.below(at, bins, rows)
         return at
 
+    def below(self, at: np.ndarray, bins: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The nodes one level further down of rows that are at ``at``; a leaf stays."""
+        feature = self.feature[at]
+        return np.where(feature >= 0, 2 * at + 1 + (bins[rows, feature] > self.cut[at]), at)
+
 
 def binned(values: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
     """Bin 0 for a missing value, else 1 + the number of cuts below it."""
@@ -218,6 +226,12 @@ class _Turn:
     open: dict[tuple[int, int, int, int], list[int]]
     allowed: dict[tuple[int, int, int], np.ndarray]
 
+    def of(self, models: frozenset[tuple[int, int]]) -> _Turn:
+        """The part of some models, known by (run, group)."""
+        own = [{k: v for k, v in found.items() if k[:2] in models} for found in (self.growing, self.open, self.allowed)]
+        young = [[m if (r, g) in models else Model([], m.start, m.settings) for g, m in enumerate(of_run)] for r, of_run in enumerate(self.models)]
+        return replace(self, models=young, growing=own[0], open=own[1], allowed=own[2])
+
     def parts(self, units: Iterator[bytes]):
         """(run, group, seed number, drawn bins, label, score by output) of each unit whose model still grows."""
         for unit in units:
@@ -231,32 +245,47 @@ class _Turn:
     def tables(self, part: int, units: Iterator[bytes]):
         """((model, open node, part), sums) with this task's (feature, bin) sums of each open node."""
         sums: dict[tuple[int, int, int, int], np.ndarray] = {}
-        b = self.bins
         for r, g, s, bins, y, score in self.parts(units):
             loss, allowed = self.losses[r], self.allowed[r, g, s]
             if not any(self.open.get((r, g, s, k)) for k in range(loss.outputs)):
                 continue
-            gradient, hessian = loss.slopes(score, y)
-            f = len(allowed)
-            placed = bins[:, allowed] + np.arange(f) * b
+            slopes = loss.slopes(score, y)
+            placed = _placed(bins, allowed, self.bins)
             for k in range(loss.outputs):
                 model = r, g, s, k
                 nodes = self.open.get(model)
                 if not nodes:
                     continue
-                dense = np.full(len(self.growing[model].feature), -1, np.int64)
-                dense[nodes] = np.arange(len(nodes))
-                at = dense[self.growing[model].nodes(bins)]
-                rows = at >= 0
-                cell = (at[rows, None] * (f * b) + placed[rows]).ravel()
-                size = len(nodes) * f * b
-                found = [np.bincount(cell, np.repeat(w[rows, k], f), size) for w in (gradient, hessian)] + [np.bincount(cell, minlength=size)]
-                table = np.stack(found, axis=1).reshape(len(nodes), -1)
+                table = _sums(self.growing[model].nodes(bins), nodes, placed, [w[:, k] for w in slopes], len(allowed) * self.bins)
                 sums[model] = sums[model] + table if model in sums else table
         for model, table in sums.items():
             for i, node in enumerate(self.open[model]):
                 yield (*model, node, part), table[i].tobytes()
 
+    def grown(self, units: Iterator[bytes]):
+        """(model, tree) of each output of the models whose rows are one unit, with the leaves refitted where the loss does so."""
+        for r, g, s, bins, y, score in self.parts(units):
+            loss, allowed, own = self.losses[r], self.allowed[r, g, s], self.models[r][g].settings
+            slopes = loss.slopes(score, y)
+            placed, rows, width = _placed(bins, allowed, self.bins), np.arange(len(y)), len(allowed) * self.bins
+            for k in range(loss.outputs):
+                tree, at, nodes, leaves = Tree(own.depth), np.zeros(len(y), np.int64), [0], 1
+                while nodes:
+                    found = []
+                    for node, table in zip(nodes, _sums(at, nodes, placed, [w[:, k] for w in slopes], width)):
+                        best = best_split(table.reshape(len(allowed), self.bins, 3), own)
+                        if best is not None:
+                            found.append((best[0], node, int(allowed[best[1]]), *best[2:]))
+                    nodes, leaves = _split(tree, found, leaves, own)
+                    at = tree.below(at, bins, rows)
+                if loss.refit is not None:
+                    rest = y - score[:, k]
+                    keep = ~np.isnan(rest)
+                    node, rest = at[keep], rest[keep] + 0.0
+                    for leaf in np.unique(node).tolist():
+                        tree.value[leaf] = own.rate * _quantile(rest[node == leaf], loss.refit[k])
+                yield (r, g, s, k), tree
+
     def leftovers(self, units: Iterator[bytes]):
         """((model, leaf), codes) of what the drawn rows' scores leave over, for the losses that refit their leaves."""
         for r, g, s, bins, y, score in self.parts(units):
@@ -274,7 +303,46 @@ class _Turn:
             for unit in batch.column(0).to_pylist():
                 r, g, s, mix, y, bins, held = pickle.loads(unit)
                 out.append(pickle.dumps((r, g, s, mix, y, bins, held + self.models[r][g].scores(bins, self.seeds[r][s])), 5))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["unit"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], ["unit", "place"])
+
+
+def _placed(bins: np.ndarray, allowed: np.ndarray, width: int) -> np.ndarray:
+    """Each row's cells in a table of the allowed features by ``width`` bins."""
+    return bins[:, allowed] + np.arange(len(allowed)) * width
+
+
+def _sums(at: np.ndarray, nodes: Sequence[int], placed: np.ndarray, slopes: Sequence[np.ndarray], width: int) -> np.ndarray:
+    """Gradient, Hessian and count by cell, a row of the result for each of the nodes."""
+    dense = np.full(max(int(at.max(initial=0)), *nodes) + 1, -1, np.int64)
+    dense[nodes] = np.arange(len(nodes))
+    at = dense[at]
+    rows = np.flatnonzero(at >= 0)
+    cell = (at[rows, None] * width + placed[rows]).ravel()
+    size = len(nodes) * width
+    found = [np.bincount(cell, np.repeat(w[rows], placed.shape[1]), size) for w in slopes] + [np.bincount(cell, minlength=size)]
+    return np.stack(found, axis=1).reshape(len(nodes), -1)
+
+
+def _split(tree: Tree, found: Sequence[tuple], leaves: int, own: Settings) -> tuple[list[int], int]:
+    """Split by gain, (gain, node, feature, cut, sums) each, until the leaves are used up: the nodes to open next and the leaves there are."""
+    opened: list[int] = []
+    for _, node, feature, cut, (gl, hl, gr, hr) in sorted(found, key=lambda x: (-x[0], x[1])):
+        if leaves >= own.leaves:
+            break
+        leaves += 1
+        tree.split(node, feature, cut, leaf_value(gl, hl, own), leaf_value(gr, hr, own))
+        if (2 * node + 2).bit_length() <= own.depth:
+            opened += [2 * node + 1, 2 * node + 2]
+    return opened if leaves < own.leaves else [], leaves
+
+
+def _quantile(values: np.ndarray, q: float) -> float:
+    """The exact quantile, interpolated as in ``_refit``."""
+    h = (len(values) - 1) * q
+    low, high = math.floor(h), math.ceil(h)
+    ordered = np.partition(values, (low, high))
+    low, high, share = float(ordered[low]), float(ordered[high]), h - low
+    return low if low == high or share == 0 else low + (high - low) * share
 
 
 def _best(rows, settings: list[list[Settings]], allowed: Mapping[tuple[int, int, int], np.ndarray], bins: int):
@@ -374,58 +442,152 @@ def fit_together(runs: Sequence[Run], bins: int = 64) -> list[Boosted]:
     """As ``fit`` for each run, with the same trees; the levels of all runs share their jobs."""
     if not 2 <= bins <= 255:
         raise ValueError("bins must be 2 to 255")
-    made = [_begun(r, run, bins) for r, run in enumerate(runs)]
-    models = [list(found.values()) for found, _ in made]
-    if any(models):
-        _rounds(runs, models, [units for _, units in made if units is not None], bins)
-    return [Boosted(found, run.loss) for (found, _), run in zip(made, runs)]
-
-
-def _begun(r: int, run: Run, bins: int) -> tuple[dict[str, Model], DataFrame | None]:
-    """Each group's model without trees, and the training rows in units: some rows of a group with their scores for one seed."""
-    group = F.lit("all") if run.by is None else F.col(run.by).cast("string")
-    rows = run.train.where(F.col(run.label).isNotNull() & group.isNotNull()).select(
-        group.alias("by"), F.col(run.label).cast("double").alias("y"), vector_to_array(run.features).alias("x"))
-    rows = stage(rows)
-    first = rows.first()
-    if first is None:
-        return {}, None
-    width, k, seeds = len(first["x"]), run.loss.outputs, list(run.seeds)
-    shares = [i / (bins - 1) for i in range(1, bins - 1)]
-    value = lambda f: F.when(~F.isnan(F.col("x")[f]), F.col("x")[f])
-    edges = rows.groupBy("by").agg(F.array(*[F.percentile_approx(value(f), shares, ACCURACY) for f in range(width)]).alias("cuts"))
-    found = edges.join(run.loss.start(rows, "by"), "by").orderBy("by").collect()  # a row for each group
-    models = {row["by"]: Model([np.unique(np.array(c if c is not None else [], float)) for c in row["cuts"]], np.array(row["start"], float),
-                               (run.each or {}).get(row["by"], run.settings), {seed: [] for seed in seeds}) for row in found}
-    cuts, starts, place = [m.cuts for m in models.values()], np.array([m.start for m in models.values()]), {name: g for g, name in enumerate(models)}
+    models, units = _begun(runs, bins)
+    if units:
+        _rounds(runs, [list(found.values()) for found in models], units, bins)
+    return [Boosted(found, run.loss) for found, run in zip(models, runs)]
+
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+def _begun(runs: Sequence[Run], bins: int) -> tuple[list[dict[str, Model]], list[_Units]]:
+    """Each run's models by group, without trees, and the training rows in units: some rows of a group with their scores for one seed.
+
+    Runs on the same frame, groups and features differ in labels only: their rows are written once, ``y0``, ``y1`` .. being the labels.
+    """
+    tables: list[list[int]] = []  # runs by what they share
+    for r, run in enumerate(runs):
+        same = (of for of in tables if runs[of[0]].train is run.train and (runs[of[0]].by, runs[of[0]].features) == (run.by, run.features))
+        if (found := next(same, None)) is None:
+            tables.append(found := [])
+        found.append(r)
+    home = {r: (t, i) for t, of in enumerate(tables) for i, r in enumerate(of)}
+    most = max(map(len, tables))
+
+    def labelled(t: int) -> DataFrame:
+        run, labels = runs[tables[t][0]], [F.col(runs[r].label).cast("double") for r in tables[t]]
+        group = F.lit("all") if run.by is None else F.col(run.by).cast("string")
+        labels += [F.lit(None).cast("double")] * (most - len(labels))
+        return run.train.where(F.coalesce(*labels).isNotNull() & group.isNotNull()).select(
+            F.lit(t).alias("of"), group.alias("by"), vector_to_array(run.features).alias("x"), *[y.alias(f"y{i}") for i, y in enumerate(labels)])
+
+    rows = stage(functools.reduce(DataFrame.unionByName, map(labelled, range(len(tables)))))
+    sizes = {(n["of"], n["by"]): n for n in rows.groupBy("of", "by").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("width"), *[F.count(f"y{i}").alias(f"n{i}") for i in range(most)]).collect()}  # a row for each group
+    if not sizes:
+        return [{} for _ in runs], []
+    widths = [max([0, *(n["width"] or 0 for (of, _), n in sizes.items() if of == t)]) for t in range(len(tables))]
+    # Bins follow the rows that have the run's label; where none lacks it, those of the table.
+    partly = {r for r, (t, i) in home.items() if any(n["n"] != n[f"n{i}"] for (of, _), n in sizes.items() if of == t)}
+
+    def own(r: int) -> DataFrame:
+        t, i = home[r]
+        return rows.where((F.col("of") == t) & F.col(f"y{i}").isNotNull()).select("by", "x", F.col(f"y{i}").alias("y"))
 
-        def packed(g: int) -> pa.RecordBatch:
-            mix, y, bins = (np.concatenate(x) for x in zip(*held.pop(g)))
-            score = np.tile(starts[g], (len(y), 1))
-            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps((r, g, s, mix, y, bins, score), 5) for s in range(len(seeds))], pa.binary())], ["unit"])
+    shares = [i / (bins - 1) for i in range(1, bins - 1)]
+    value = lambda f: F.when(~F.isnan(F.get("x", F.lit(f))), F.get("x", F.lit(f)))
+    cells = [rows.select(F.lit(-1).alias("run"), "of", "by", "x"), *[own(r).select(F.lit(r).alias("run"), F.lit(home[r][0]).alias("of"), "by", "x") for r in sorted(partly)]]
+    edges = functools.reduce(DataFrame.unionByName, cells).groupBy("run", "of", "by").agg(
+        F.array(*[F.percentile_approx(value(f), shares, ACCURACY) for f in range(max(widths))]).alias("cuts"))
+    starts = functools.reduce(DataFrame.unionByName, [
+        run.loss.start(own(r).drop("x"), "by").select(F.lit(r).alias("run"), "by", "start") for r, run in enumerate(runs)])
+    cut, start = at_once(edges.collect, starts.collect)  # a row for each group
+    cut, start = {(n["run"], n["of"], n["by"]): n["cuts"] for n in cut}, {(n["run"], n["by"]): n["start"] for n in start}
+    models: list[dict[str, Model]] = []
+    for r, run in enumerate(runs):
+        t, kind = home[r][0], r if r in partly else -1
+        models.append({by: Model([np.unique(np.array(c if c is not None else [], float)) for c in cut[kind, t, by][:widths[t]]], np.array(start[r, by], float),
+                                 (run.each or {}).get(by, run.settings), {seed: [] for seed in run.seeds}) for of, by in sorted(start) if of == r})
+    known = {(r, by): g for r, found in enumerate(models) for g, by in enumerate(found)}
+    cuts, began, seeds = [[m.cuts for m in found.values()] for found in models], [[m.start for m in found.values()] for found in models], [len(run.seeds) for run in runs]
+
+    def packed(r: int, g: int, held: list) -> list[bytes]:
+        mix, y, placed = (np.concatenate(x) for x in zip(*held))
+        return [pickle.dumps((r, g, s, mix, y, placed, np.tile(began[r][g], (len(y), 1))), 5) for s in range(seeds[r])]
+
+    def parts(t: int, by: str, group: pa.RecordBatch | pa.Table):
+        """((run, group), (hashes, labels, bins)) of some rows of a group, for each run that has labels there."""
+        x, shared = _shape(group.column(2).combine_chunks() if isinstance(group, pa.Table) else group.column(2), widths[t]), None
+        for i, r in enumerate(tables[t]):
+            if (r, by) not in known:
+                continue
+            at = r, known[r, by]
+            y, mix = group.column(3 + i), group.column(3 + most + i).to_numpy()
+            has = y.is_valid().to_numpy(zero_copy_only=False) if isinstance(y, pa.Array) else y.is_valid().to_numpy()
+            y = y.to_numpy(zero_copy_only=False) if isinstance(y, pa.Array) else y.to_numpy()
+            if r in partly:
+                yield at, (mix[has], y[has].astype(float), binned(x[has], cuts[r][at[1]]))
+            else:
+                shared = binned(x, cuts[r][at[1]]) if shared is None else shared
+                yield at, (mix, y, shared)
 
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Units of at least ``UNIT`` rows of a group, the last ones of a task but fewer."""
+        held: dict[tuple[int, int], list] = {}
+        out = lambda at: pa.RecordBatch.from_arrays([pa.array(packed(*at, held.pop(at)), pa.binary())], ["unit"])
         for batch in batches:
-            group = np.array([place[b] for b in batch.column(0).to_pylist()], np.int64)
-            mix, y, values = batch.column(1).to_numpy(), batch.column(2).to_numpy(), _shape(batch.column(3), width)
-            for g in np.unique(group).tolist():
-                own = group == g
-                held.setdefault(g, []).append((mix[own], y[own], binned(values[own], cuts[g])))
-                if sum(len(x[1]) for x in held[g]) >= UNIT:
-                    yield packed(g)
-        for g in list(held):
-            yield packed(g)
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            place = {key: i for i, key in enumerate(dict.fromkeys(keys))}
+            group = np.array([place[key] for key in keys], np.int64)
+            for key, i in place.items():
+                for at, part in parts(*key, batch.take(pa.array(np.flatnonzero(group == i)))):
+                    held.setdefault(at, []).append(part)
+                    if sum(len(x[1]) for x in held[at]) >= UNIT:
+                        yield out(at)
+        for at in list(held):
+            yield out(at)
+
+    whole = {key for key, n in sizes.items() if n["n"] <= WHOLE * UNIT}
+    names = [(r, known[r, by], s) for t, by in whole for r in tables[t] if (r, by) in known for s in range(seeds[r])]
+    # The models with most rows and outputs are dealt first, each to the task that has least to do.
+    cost = {(r, known[r, by]): sizes[t, by]["n"] * runs[r].loss.outputs for t, by in whole for r in tables[t] if (r, by) in known}
+    load = np.zeros(min(len(names), max(rows.sparkSession.sparkContext.defaultParallelism, -(-len(names) // UNITS_A_TASK))))
+    task: dict[tuple[int, int, int], int] = {}
+    for name in sorted(names, key=lambda m: (-cost[m[:2]], m)):
+        task[name] = int(load.argmin())
+        load[task[name]] += cost[name[:2]]
+
+    def all_of(group: pa.Table) -> pa.Table:
+        """The units of a group, each all rows of a model."""
+        units = [(unit, task[*at, s]) for at, part in parts(group.column(0)[0].as_py(), group.column(1)[0].as_py(), group) for s, unit in enumerate(packed(*at, [part]))]
+        return pa.table({"unit": pa.array([u for u, _ in units], pa.binary()), "place": pa.array([p for _, p in units], pa.int32())})
+
+    def of(keys: set[tuple[int, str]]) -> DataFrame:
+        has = [(F.col("of") == t) & F.col("by").isin([by for q, by in keys if q == t]) for t in sorted({t for t, _ in keys})]
+        ys = [f"y{i}" for i in range(most)]
+        return rows.where(functools.reduce(Column.__or__, has)).select("of", "by", "x", *ys, *[F.xxhash64(y, "x").alias(f"mix{i}") for i, y in enumerate(ys)])
+
+    units = []
+    if names:
+        units.append(_Units(of(whole).groupBy("of", "by").applyInArrow(all_of, "unit binary, place int"), frozenset(name[:2] for name in names), len(load)))
+    if large := sizes.keys() - whole:
+        split = of(large).coalesce(max(1, -(-sum(sizes[key]["n"] for key in large) // (4 * UNIT))))
+        split = split.mapInArrow(some, "unit binary").repartition(parallelism(rows)).withColumn("place", F.lit(0))
+        units.append(_Units(split, frozenset((r, known[r, by]) for t, by in large for r in tables[t] if (r, by) in known), None))
+    return models, units
+
+
+class _Units:
+    """Units of some models as a written table, and as an RDD that the next jobs hold in memory or on disk.
+
+    With ``tasks`` each unit is all of a model's rows and lies in the task that its ``place`` names.
+    """
+
+    def __init__(self, units: DataFrame, models: frozenset[tuple[int, int]], tasks: int | None):
+        self.models, self.tasks, self.rdd = models, tasks, None
+        self.hold(units)
 
-    whole = rows.coalesce(max(1, -(-rows.count() // (4 * UNIT))))
-    return models, whole.select("by", F.xxhash64("x", "y").alias("mix"), "y", "x").mapInArrow(units, "unit binary")
+    def hold(self, units: DataFrame) -> None:
+        if self.rdd is not None:
+            self.rdd.unpersist()
+        self.state = stage(units)
+        if self.tasks is None:
+            rdd = self.state.rdd.map(itemgetter(0))
+        else:
+            rdd = self.state.rdd.map(lambda row: (row[1], row[0])).partitionBy(self.tasks, int).values()
+        self.rdd = rdd.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _rounds(runs: Sequence[Run], models: list[list[Model]], units: Sequence[DataFrame], bins: int) -> None:
+def _rounds(runs: Sequence[Run], models: list[list[Model]], units: Sequence[_Units], bins: int) -> None:
     """Grow the trees of all runs round by round."""
-    tasks = parallelism(units[0])
-    state, rows = _held(functools.reduce(DataFrame.unionByName, units).repartition(tasks))
     losses, seeds = [run.loss for run in runs], [list(run.seeds) for run in runs]
     young = [[Model([], m.start, m.settings, {seed: [] for seed in seeds[r]}) for m in of_run] for r, of_run in enumerate(models)]
     last = max(m.settings.rounds for of_run in models for m in of_run)
@@ -441,44 +603,46 @@ def _rounds(runs: Sequence[Run], models: list[list[Model]], units: Sequence[Data
                     turn.allowed[r, g, s] = np.sort(usable[some])
                     for out in range(losses[r].outputs):
                         turn.growing[r, g, s, out], turn.open[r, g, s, out] = Tree(m.settings.depth), [0]
-        _grow(rows, turn)
-        _refit(rows, turn)
+        _grow(units, turn)
         for r, g, s in turn.allowed:
             trees = [turn.growing[r, g, s, out] for out in range(losses[r].outputs)]
             for of_run in (models, young):
                 of_run[r][g].trees[seeds[r][s]].append(trees)
         if (number + 1) % REFRESH == 0 and number + 1 < last:
-            rows.unpersist()
-            state, rows = _held(state.mapInArrow(turn.refreshed, "unit binary"))
+            for some in units:
+                some.hold(some.state.mapInArrow(turn.refreshed, "unit binary, place int"))
             for of_run in young:
                 for m in of_run:
                     m.trees = {seed: [] for seed in m.trees}
-    rows.unpersist()
-
-
-def _held(units: DataFrame):
-    """The units as a written table, and as an RDD that the next jobs hold in memory or on disk."""
-    state = stage(units)
-    return state, state.rdd.map(itemgetter(0)).persist(StorageLevel.MEMORY_AND_DISK)
+    for some in units:
+        some.rdd.unpersist()
+
+
+def _grow(units: Sequence[_Units], turn: _Turn) -> None:
+    """The trees of a round, grown in the tasks that hold all rows of a model or level by level."""
+    for some in units:
+        own = turn.of(some.models)
+        if not own.growing:
+            continue
+        if some.tasks is None:
+            _levels(some.rdd, own)
+            _refit(some.rdd, own)
+        else:
+            own.growing.update(some.rdd.mapPartitions(own.grown).collect())  # a row for each model's output
+        turn.growing.update(own.growing)
 
 
-def _grow(rows, turn: _Turn) -> None:
+def _levels(rows, turn: _Turn) -> None:
     """Split the open nodes level by level; a model's splits are taken by gain until its leaves are used up."""
     leaves = dict.fromkeys(turn.growing, 1)
     settings, allowed, bins = [[m.settings for m in of_run] for of_run in turn.models], turn.allowed, turn.bins
     while any(turn.open.values()):
         dealt = _dealt(rows.mapPartitionsWithIndex(turn.tables), sum(map(len, turn.open.values())))
-        found = dealt.mapPartitions(lambda pairs: _best(pairs, settings, allowed, bins)).collect()  # a row for each open node at most
-        turn.open = {m: [] for m in turn.open}
-        for gain, name, node, feature, cut, (gl, hl, gr, hr) in sorted(found, key=lambda x: (x[1], -x[0], x[2])):
-            own = settings[name[0]][name[1]]
-            if leaves[name] >= own.leaves:
-                continue
-            leaves[name] += 1
-            turn.growing[name].split(node, feature, cut, leaf_value(gl, hl, own), leaf_value(gr, hr, own))
-            if (2 * node + 2).bit_length() <= own.depth:
-                turn.open[name] += [2 * node + 1, 2 * node + 2]
-        turn.open = {m: nodes if leaves[m] < settings[m[0]][m[1]].leaves else [] for m, nodes in turn.open.items()}
+        found: dict[tuple, list] = {}
+        for gain, name, *split in dealt.mapPartitions(lambda pairs: _best(pairs, settings, allowed, bins)).collect():  # a row for each open node at most
+            found.setdefault(name, []).append((gain, *split))
+        for m in turn.open:
+            turn.open[m], leaves[m] = _split(turn.growing[m], found.get(m, []), leaves[m], settings[m[0]][m[1]])
 
 
 # --- exact quantiles of leaves ----------------------------------------------------------------------

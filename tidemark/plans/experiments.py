@@ -225,20 +225,26 @@ def exp_direction(samples: DataFrame, folds: Sequence[str], features: Sequence[s
         return M.chained(M.fit_together([*plans, M.quantiles(train, by="fold", settings=settings)]))
 
     val, test = split_roles(stage(M.together(ready, folds, fit).drop("features")))
-    inner = L.inner_calibration(val)
-    f, s = inner.where("part = 'fit'"), inner.where("part = 'selection'")
+    f, s = (stage(L.inner_calibration(val)).where(F.col("part") == part).drop("part", "selection_start") for part in ("fit", "selection"))
+    # Each calibration is one plan for its variants, and what it reads is written before: all in one they are a plan that the driver cannot hold.
+    quant_val, quant_test = (C.quantile_direction(d, "neutral_band_threshold") for d in (val, test))
+    named = lambda **frames: union([d.select(*IDS, *[c for c in d.columns if c in (*ME.P, "not_down", "up")]).withColumn("variant", F.lit(n)) for n, d in frames.items()])
+    cols = [*IDS, *ME.P, "variant"]
+    both = [stage(named(multiclass=a, quantile=b, inner=c)) for a, b, c in ((val, quant_val, f), (test, quant_test, s))]
+    blended = stage(C.temperature_blend(*both, VF).select(*cols))
+    both = [stage(named(ordinal=a, inner=b).drop(*ME.P)) for a, b in ((val, f), (test, s))]
+    ordinal = stage(ordinal_blend(*both, VF).select(*cols))
+    prior = named(prior=test).withColumns({f"p{k}": F.col(f"q{k}") for k in range(3)}).select(*cols)
     trial = union([df.select("fold", "y", *ME.P, F.lit(n).alias("method")) for n, df in (
-        ("prior", s.withColumns({f"p{k}": F.col(f"q{k}") for k in range(3)})), ("multiclass", C.temperature_blend(f, s, ["fold"])), ("ordinal", ordinal_blend(f, s)))])
+        ("prior", s.withColumns({f"p{k}": F.col(f"q{k}") for k in range(3)})), ("multiclass", blended.where("variant = 'inner'")), ("ordinal", ordinal.where("variant = 'inner'")))])
     scores = trial.groupBy("fold", "method").agg(ME.brier_expr())
     best = scores.groupBy("fold").agg(F.min(F.struct("brier", "method")).alias("_b"), F.max(F.when(F.col("method") == "prior", F.col("brier"))).alias("_p"))
-    pick = best.select("fold", F.when(F.col("_p") - F.col("_b.brier") < 0.001, "prior").otherwise(F.col("_b.method")).alias("method"))
-    quant_val, quant_test = (C.quantile_direction(d, "neutral_band_threshold") for d in (val, test))
-    outs = {"prior": test.withColumns({f"p{k}": F.col(f"q{k}") for k in range(3)}), "multiclass": C.temperature_blend(val, test, ["fold"]),
-            "ordinal": ordinal_blend(val, test), "quantile": C.temperature_blend(quant_val, quant_test, ["fold"])}
-    cols = [*IDS, *ME.P]
-    nested = union([outs[m].join(pick.where(F.col("method") == m), "fold", "left_semi").select(*cols) for m in ("prior", "multiclass", "ordinal")])
-    long = stage(union([d.select(*cols).withColumn("variant", F.lit(n)) for n, d in (*[(k, v) for k, v in outs.items() if k != "prior"], ("nested", nested))]))
-    return mean_report(fold_report(long)).join(intervals_against(long, "multiclass", horizon, iterations), "variant", "left")
+    pick = stage(best.select("fold", F.when(F.col("_p") - F.col("_b.brier") < 0.001, "prior").otherwise(F.col("_b.method")).alias("variant")))
+    outs = union([blended, ordinal, prior]).where("variant <> 'inner'")
+    nested = outs.join(F.broadcast(pick), ["fold", "variant"], "left_semi").withColumn("variant", F.lit("nested"))
+    long = stage(union([outs.where("variant <> 'prior'"), nested]))
+    report = stage(mean_report(stage(fold_report(long))))
+    return report.join(stage(intervals_against(long, "multiclass", horizon, iterations)), "variant", "left")
 
 
 def exp_macro(samples: DataFrame, macro: DataFrame, folds: Sequence[str], features: Sequence[str], macro_features: Sequence[str],

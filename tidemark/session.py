@@ -5,8 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.util import inheritable_thread_target
+
+AT_ONCE = 8  # calls that wait for their jobs side by side
 
 
 def local_session(cores: int | str = "*", app: str = "tidemark", shuffle_partitions: int = 8) -> SparkSession:
@@ -76,6 +80,13 @@ def clear_scratch(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def at_once(*calls: Callable[[], object]) -> list:
+    """The results of calls that each wait for jobs of their own, run side by side on the driver."""
+    inherits = inheritable_thread_target(SparkSession.active())  # job groups and the like
+    with ThreadPoolExecutor(max(1, min(len(calls), AT_ONCE))) as pool:
+        return [x.result() for x in [pool.submit(inherits(call)) for call in calls]]
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a frame that several branches of a plan reuse and read it back.
 
