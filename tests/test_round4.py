@@ -87,3 +87,21 @@ def test_direction_experiment_calibrates_in_written_steps(spark, samples, monkey
     alone = X.mean_report(X.fold_report(C.temperature_blend(*X.split_roles(scored), ["fold"]).withColumn("variant", F.lit("multiclass")))).first()
     assert rows["multiclass"]["brier"] == pytest.approx(alone["brier"], abs=1e-9)
     assert min(rows[v]["brier"] for v in ("multiclass", "ordinal")) <= rows["nested"]["brier"] + 1e-9 or rows["nested"]["brier"] <= rows["nested"]["baseline_brier"] + 1e-9
+
+
+def test_training_of_all_horizons_is_one_run(spark, samples, monkeypatch):
+    """Folds, final fit and horizons share it; each horizon has the manifest of a training of its own."""
+    from tidemark.plans import serving as SV
+    runs, plain = [], BO.fit_together
+    monkeypatch.setattr(BO, "fit_together", lambda *a, **k: (runs.append(len(a[0])), plain(*a, **k))[1])
+    rows = stage(samples.withColumns({"target_volatility": F.abs("target_return"), "volatility_60s": F.lit(0.1) + F.abs("a") / 10, "volatility_20s": F.lit(0.2)}))
+    other = stage(rows.withColumn("target_return", -F.col("target_return")).withColumn("y", 2 - F.col("y")).withColumns({"q0": F.col("q2"), "q2": F.col("q0")}))
+    both = SV.train_horizons({30: rows, 90: other}, ["wf-0", "wf-1"], FEATS, seeds=(1,), settings=SMALL)
+    assert runs == [3]
+    alone = SV.train(other, ["wf-0", "wf-1"], FEATS, 90, seeds=(1,), settings=SMALL)
+    assert runs == [3, 3]
+    found, wanted = both[90][1].first().asDict(), alone[1].first().asDict()
+    assert found.keys() == wanted.keys()
+    for name, value in wanted.items():
+        assert found[name] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), name
+    assert both[30][1].first()["prior_0"] == pytest.approx(wanted["prior_2"]) and both[30][0].count() == 2

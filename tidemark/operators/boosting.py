@@ -395,6 +395,10 @@ class Boosted:
     def __init__(self, models: Mapping[str, Model], loss):
         self.models, self.loss = dict(models), loss
 
+    def part(self, names: Mapping[str, str]) -> Boosted:
+        """The models of some groups under other names."""
+        return Boosted({new: self.models[old] for old, new in names.items() if old in self.models}, self.loss)
+
     def raw(self, features: Column, group: Column, link: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> Column:
         models = self.models
 

@@ -16,8 +16,10 @@ from tidemark.functions import maths
 from tidemark.operators import boosting as BO
 from tidemark.operators.metrics import P
 from tidemark.schemas import SEEDS
+from tidemark.session import at_once
 
 Scorer = Callable[[DataFrame], DataFrame]
+ROWS_A_TASK = 16_384  # of a logistic fit at least: it is a job an iteration, and a task costs more than so few rows
 
 
 def vectors(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -63,13 +65,15 @@ class Plan:
     finish: Callable[[BO.Boosted], Scorer]
 
 
-def fit_together(plans: Sequence[Plan]) -> list[Scorer]:
+def fitted(plans: Sequence[Plan]) -> list[BO.Boosted]:
     if len(plans) == 1:
         r = plans[0].run
-        fitted = [BO.fit(r.train, r.loss, r.label, r.by, r.seeds, r.settings, r.each, r.features)]
-    else:
-        fitted = BO.fit_together([p.run for p in plans])
-    return [p.finish(model) for p, model in zip(plans, fitted)]
+        return [BO.fit(r.train, r.loss, r.label, r.by, r.seeds, r.settings, r.each, r.features)]
+    return BO.fit_together([p.run for p in plans])
+
+
+def fit_together(plans: Sequence[Plan]) -> list[Scorer]:
+    return [p.finish(model) for p, model in zip(plans, fitted(plans))]
 
 
 def chained(scorers: Sequence[Scorer]) -> Scorer:
@@ -135,6 +139,7 @@ fit_direction, fit_ordinal, fit_quantiles, fit_risk = map(_alone, (direction, or
 def fit_logistic(train: DataFrame, c: float, features: str = "features", label: str = "y", standardize: bool = True, weight: str | None = None) -> Scorer:
     """L2 multinomial regression with inverse strength ``c`` (per-sample penalty 1 / (c n))."""
     n = train.count()
+    train = train.coalesce(max(1, -(-n // ROWS_A_TASK)))
     scaler = StandardScaler(inputCol=features, outputCol="_x", withMean=True, withStd=True).fit(train) if standardize else None
     data = scaler.transform(train) if scaler else train.withColumn("_x", F.col(features))
     lr = LogisticRegression(featuresCol="_x", labelCol="_label", family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=200)
@@ -181,12 +186,10 @@ LINEAR_C = (0.001, 0.01, 0.1, 1.0)
 
 
 def over_folds(samples: DataFrame, folds: Sequence[str], fit: Callable[[DataFrame], Scorer], roles: Sequence[str] = ("validation", "test")) -> DataFrame:
-    """Fit on each fold's training rows, score its other roles, and stack the result."""
-    parts = []
-    for fold in folds:
-        rows = samples.where(F.col("fold") == fold)
-        score = fit(rows.where(F.col("role") == "train"))
-        parts.append(score(rows.where(F.col("role").isin(*roles))))
+    """Fit on each fold's training rows, all folds at once; score the fold's other roles, and stack the result."""
+    rows = [samples.where(F.col("fold") == fold) for fold in folds]
+    scores = at_once(*[functools.partial(fit, own.where(F.col("role") == "train")) for own in rows])
+    parts = [score(own.where(F.col("role").isin(*roles))) for score, own in zip(scores, rows)]
     return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 

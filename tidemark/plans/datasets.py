@@ -32,11 +32,22 @@ def build_equity(bars: DataFrame, expected: DataFrame, benchmark: str = schemas.
                  version: str = "us-equity-daily-v1", band: NeutralBand = NeutralBand(), **limits) -> DataFrame:
     """Session bars to samples; the job fails and names expected assets that have no bars."""
     daily = stage(bars)
+    require_bars(daily, expected)
+    feats = stage(FE.equity_snapshots(daily, benchmark, **limits))
+    return label_equity(feats, daily, horizons, version, band)
+
+
+def require_bars(daily: DataFrame, expected: DataFrame) -> None:
+    """Fails and names expected assets that have no bars."""
     absent = expected.select("asset_id").join(daily.select("asset_id"), "asset_id", "left_anti")
     names = [r["asset_id"] for r in absent.orderBy("asset_id").collect()]
     if names:
         raise ValueError(f"no bars for: {', '.join(names)}")
-    feats = stage(FE.equity_snapshots(daily, benchmark, **limits))
+
+
+def label_equity(feats: DataFrame, daily: DataFrame, horizons: Sequence[int] = schemas.HORIZONS, version: str = "us-equity-daily-v1",
+                 band: NeutralBand = NeutralBand()) -> DataFrame:
+    """Feature rows that have a label, for every horizon."""
     parts = [L.attach_targets(feats, daily, h, 252, "volatility_20s", "volatility_60s", band) for h in horizons]
     return stamp_version(union_all(parts), version)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,21 +18,30 @@ from tidemark.operators import relations as R
 from tidemark.operators import scoring as S
 from tidemark.plans import experiments as X
 from tidemark.schemas import SEEDS
-from tidemark.session import stage
+from tidemark.session import at_once, stage
 
 
 def train_folds(samples: DataFrame, folds: Sequence[str], features: Sequence[str], seeds: Sequence[int] = SEEDS, settings: BO.Settings = BO.Settings()) -> DataFrame:
     """Every validation and test row with raw direction, quantiles, risk and the balanced-logistic baseline l0..l2."""
-    ready = stage(M.vectors(samples.withColumn("target_risk", maths.target_risk(F.col("target_volatility"))), features))
-    logistic = M.over_folds(ready, folds, M.fit_balanced_logistic)
-    rows = logistic.withColumns({f"l{k}": F.col(f"p{k}") for k in range(3)}).drop(*ME.P)
+    ready = stage(with_targets(samples, features))
     train = ready.where(F.col("fold").isin(*folds) & (F.col("role") == "train"))
-    return stage(M.chained(three_models(train, seeds, settings, "fold"))(rows).drop("features"))
+    rows, scorers = at_once(lambda: baseline(ready, folds), lambda: M.fit_together(three_models(train, seeds, settings, "fold")))
+    return stage(M.chained(scorers)(rows).drop("features"))
 
 
-def three_models(train: DataFrame, seeds: Sequence[int], settings: BO.Settings, by: str | None = None) -> list[M.Scorer]:
-    """Scorers of direction, quantiles and risk, grown in the same jobs."""
-    return M.fit_together([M.direction(train, seeds, by=by, settings=settings), M.quantiles(train, by=by, settings=settings), M.risk(train, by=by, settings=settings)])
+def with_targets(samples: DataFrame, features: Sequence[str]) -> DataFrame:
+    return M.vectors(samples.withColumn("target_risk", maths.target_risk(F.col("target_volatility"))), features)
+
+
+def baseline(ready: DataFrame, folds: Sequence[str]) -> DataFrame:
+    """The validation and test rows with l0..l2 of the balanced logistic model of their fold."""
+    rows = M.over_folds(ready, folds, M.fit_balanced_logistic)
+    return rows.withColumns({f"l{k}": F.col(f"p{k}") for k in range(3)}).drop(*ME.P)
+
+
+def three_models(train: DataFrame, seeds: Sequence[int], settings: BO.Settings, by: str | None = None) -> list[M.Plan]:
+    """Direction, quantiles and risk, to be grown in the same jobs."""
+    return [M.direction(train, seeds, by=by, settings=settings), M.quantiles(train, by=by, settings=settings), M.risk(train, by=by, settings=settings)]
 
 
 def fold_metrics(samples: DataFrame, scored: DataFrame, horizon: int, ppy: int, scale_feature: str, risk_feature: str) -> DataFrame:
@@ -71,18 +80,47 @@ def train(samples: DataFrame, folds: Sequence[str], features: Sequence[str], hor
     and interval multiplier of the newest fold (never fitted on an outer test period), class shares and feature
     medians of all rows.
     """
-    scored = train_folds(samples, folds, features, seeds, settings) if scored is None else scored
-    metrics = fold_metrics(samples, scored, horizon, ppy, scale_feature, risk_feature)
-    metrics = tagged = stage(metrics.withColumn("horizon_days", F.lit(horizon)))
-    gates = G.gate_direction(tagged, ["horizon_days"]).select("horizon_days", "brier", "baseline_brier", "ece", "direction_passed").join(
-        G.gate_scenario(tagged, ["horizon_days"]).select("horizon_days", "coverage", "scenario_passed"), "horizon_days")
-    bundle = final_fit(samples, metrics, features, version, seeds, settings)
-    stored = bundle.parameters.select(
-        F.lit(version).alias("version"), F.col("temperature"), F.col("weight").alias("probability_blend_weight"), F.col("multiplier").alias("conformal_multiplier"),
-        *[F.col(f"q{k}").alias(f"prior_{k}") for k in range(3)], "sample_count",
-        F.create_map(*[x for f in features for x in (F.lit(f), F.col(f"r_{f}"))]).alias("feature_reference"))
-    decided = gates.withColumns({"direction_eligible": F.col("direction_passed"), "scenario_eligible": F.col("scenario_passed"), "production_eligible": F.col("scenario_passed")})
-    return metrics, stage(decided.join(stored, how="cross")), bundle
+    known = {} if scored is None else {horizon: scored}
+    return train_horizons({horizon: samples}, folds, features, ppy, scale_feature, risk_feature, seeds, version, settings, known)[horizon][:3]
+
+
+def train_horizons(samples: Mapping[int, DataFrame], folds: Sequence[str], features: Sequence[str], ppy: int = 252, scale_feature: str = "volatility_60s",
+                   risk_feature: str = "volatility_20s", seeds: Sequence[int] = SEEDS, version: str = "tidemark-1",
+                   settings: BO.Settings = BO.Settings(), scored: Mapping[int, DataFrame] = {}) -> dict[int, tuple[DataFrame, DataFrame, Bundle, DataFrame]]:
+    """What ``train`` gives for each horizon and its scored folds.
+
+    The models of all folds and the final ones, refitted on every sample once whatever folds it is in, are groups of one
+    training run for all horizons; the baselines are fitted beside it.
+    """
+    ids, needs = ["asset_id", "snapshot_time"], ["y", "target_return", "target_risk", "features"]
+    ready = dict(zip(samples, at_once(*[lambda df=df: stage(with_targets(df, features)) for df in samples.values()])))
+    once = dict(zip(samples, at_once(*[lambda df=df: stage(df.dropDuplicates(ids)) for df in ready.values()])))
+    new = [h for h in samples if h not in scored]
+    parts = [once[h].select(F.lit(f"{h}|").alias("_group"), *needs) for h in samples]
+    for h in new:
+        own = ready[h].where(F.col("fold").isin(*folds) & (F.col("role") == "train"))
+        parts.append(own.select(F.concat_ws("|", F.lit(str(h)), "fold").alias("_group"), *needs))
+    train = X.union(parts)
+    boosted, *rows = at_once(lambda: M.fitted(three_models(train, seeds, settings, "_group")), *[lambda h=h: baseline(ready[h], folds) for h in new])
+    unscored = dict(zip(new, rows))
+
+    def scorers(names: Mapping[str, str], by: str | None) -> list[M.Scorer]:
+        return [plan.finish(models.part(names)) for plan, models in zip(three_models(train, seeds, settings, by), boosted)]
+
+    def finished(h: int) -> tuple[DataFrame, DataFrame, Bundle, DataFrame]:
+        tested = scored[h] if h in scored else stage(M.chained(scorers({f"{h}|{f}": f for f in folds}, "fold"))(unscored[h]).drop("features"))
+        metrics = stage(fold_metrics(samples[h], tested, h, ppy, scale_feature, risk_feature).withColumn("horizon_days", F.lit(h)))
+        gates = G.gate_direction(metrics, ["horizon_days"]).select("horizon_days", "brier", "baseline_brier", "ece", "direction_passed").join(
+            G.gate_scenario(metrics, ["horizon_days"]).select("horizon_days", "coverage", "scenario_passed"), "horizon_days")
+        bundle = final_bundle(once[h], metrics, scorers({f"{h}|": "all"}, None), features, version)
+        stored = bundle.parameters.select(
+            F.lit(version).alias("version"), F.col("temperature"), F.col("weight").alias("probability_blend_weight"), F.col("multiplier").alias("conformal_multiplier"),
+            *[F.col(f"q{k}").alias(f"prior_{k}") for k in range(3)], "sample_count",
+            F.create_map(*[x for f in features for x in (F.lit(f), F.col(f"r_{f}"))]).alias("feature_reference"))
+        decided = gates.withColumns({"direction_eligible": F.col("direction_passed"), "scenario_eligible": F.col("scenario_passed"), "production_eligible": F.col("scenario_passed")})
+        return metrics, stage(decided.join(stored, how="cross")), bundle, tested
+
+    return dict(zip(samples, at_once(*[lambda h=h: finished(h) for h in samples])))
 
 
 @dataclass
@@ -105,7 +143,7 @@ def fit_bundle(train_rows: DataFrame, validation: DataFrame, features: Sequence[
                seeds: Sequence[int] = SEEDS, settings: BO.Settings = BO.Settings()) -> Bundle:
     """Fit on the training rows, calibrate on validation; the medians become the explanation reference."""
     ready = M.vectors(train_rows.withColumn("target_risk", maths.target_risk(F.col("target_volatility"))), features)
-    d, q, r = three_models(ready, seeds, settings)
+    d, q, r = M.fit_together(three_models(ready, seeds, settings))
     val = q(d(M.vectors(validation, features))).withColumns({"k": F.lit(1), "target": F.col("target_return"), "scale": C.horizon_scale(F.col(scale_feature), horizon, ppy)})
     val = stage(val.drop("features"))
     temp = C.temperature_fit(val, ["k"])
@@ -117,17 +155,13 @@ def fit_bundle(train_rows: DataFrame, validation: DataFrame, features: Sequence[
     return Bundle(d, q, r, params, features, version)
 
 
-def final_fit(samples: DataFrame, metrics: DataFrame, features: Sequence[str], version: str, seeds: Sequence[int] = SEEDS,
-              settings: BO.Settings = BO.Settings()) -> Bundle:
-    """Models refitted on every sample once, whatever folds it is in, with the calibration of the newest fold."""
-    rows = stage(samples.dropDuplicates(["asset_id", "snapshot_time"]))
-    ready = stage(M.vectors(rows.withColumn("target_risk", maths.target_risk(F.col("target_volatility"))), features))
-    d, q, r = three_models(ready, seeds, settings)
+def final_bundle(rows: DataFrame, metrics: DataFrame, scorers: Sequence[M.Scorer], features: Sequence[str], version: str) -> Bundle:
+    """Models fitted on ``rows``, every sample once, with the calibration of the newest fold."""
     newest = metrics.orderBy(F.desc("fold")).limit(1).select(
         F.lit(1).alias("k"), "temperature", F.col("probability_blend_weight").alias("weight"), F.col("conformal_multiplier").alias("multiplier"))
     shares = rows.agg(F.count(F.lit(1)).alias("sample_count"), *[F.avg((F.col("y") == k).cast("double")).alias(f"q{k}") for k in range(3)]).withColumn("k", F.lit(1))
-    medians = S.median_reference(rows, features).select(F.lit(1).alias("k"), *[F.col(f).alias(f"r_{f}") for f in features])
-    return Bundle(d, q, r, stage(newest.join(shares, "k").join(medians, "k")), features, version)
+    medians = S.median_reference(rows.select(*features), features).select(F.lit(1).alias("k"), *[F.col(f).alias(f"r_{f}") for f in features])
+    return Bundle(*scorers, stage(newest.join(shares, "k").join(medians, "k")), features, version)
 
 
 def score(bundle: Bundle, rows: DataFrame, scale: Column) -> DataFrame:

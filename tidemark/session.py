@@ -72,6 +72,11 @@ def kept(spark: SparkSession, name: str, source: str, make: Callable[[], DataFra
     return _kept[key]
 
 
+def known(spark: SparkSession, name: str, source: str) -> bool:
+    """Whether ``kept`` has the frame."""
+    return (spark.sparkContext.applicationId, name, source) in _kept
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove all folders this application staged; call it when no frame that reads them is in use any more."""
     for key in [k for k in _kept if k[0] == spark.sparkContext.applicationId]:

@@ -17,7 +17,7 @@ from tidemark.operators import scoring as SC
 from tidemark.plans import datasets as DS
 from tidemark.plans import experiments as X
 from tidemark.plans import serving as SV
-from tidemark.session import kept, stage
+from tidemark.session import at_once, kept, known, stage
 from tidemark.workbench import q_features as QF
 from tidemark.workbench import q_market as QM
 from tidemark.workbench import tables as t
@@ -34,11 +34,25 @@ HORIZON = 30
 SCALE = ("volatility_60s", HORIZON, 252)
 
 
+def equity_bars(spark, d):
+    """Session bars; every expected asset has some."""
+    def make():
+        daily = stage(t.daily_bars(spark, d))
+        DS.require_bars(daily, t.part_assets(spark, d))
+        return daily
+    return kept(spark, "equity-bars", d, make)
+
+
+def equity_features(spark, d):
+    """Every complete feature row, whether or not its label is known yet."""
+    return kept(spark, "equity-features", d, lambda: FE.equity_snapshots(equity_bars(spark, d), t.BENCH, trend_limit=0.2, vol_limit=15.0))
+
+
 def labelled(spark, d, horizon=HORIZON):
     """Labelled equity samples with their own features and those of the benchmark and its regime."""
     def make():
-        daily = t.daily_bars(spark, d)
-        rows = DS.build_equity(daily, t.part_assets(spark, d), t.BENCH, (horizon,), band=QF.WIDE, trend_limit=0.2, vol_limit=15.0)
+        feats = equity_features(spark, d)
+        rows = DS.label_equity(feats, equity_bars(spark, d), (horizon,), band=QF.WIDE)
         rows = DS.build_equity_macro(rows, t.BENCH).withColumn("y", F.col("target_direction"))
         regime = rows.where(F.col("asset_id") == t.BENCH).select("snapshot_time", F.col("market_regime").alias("spy_regime"))
         return rows.join(regime, "snapshot_time", "left")
@@ -152,7 +166,7 @@ def fold_scores(spark, d):
 @query("explain_perturb")
 def explain_perturb(spark, d):
     """Top factors of every labelled row once, by the final models."""
-    final = trained(spark, d)[2]
+    [(_, _, final)] = trained(spark, d, HORIZON)
     rows = labelled(spark, d).where(F.year("snapshot_time").isin(*YEARS))
     out = SV.explain(final, rows, ["asset_id", "snapshot_time"], C.horizon_scale(F.col(SCALE[0]), *SCALE[1:]))
     return out.select("asset_id", "snapshot_time", F.array_join("positive", ",").alias("positive"), F.array_join("negative", ",").alias("negative"))
@@ -233,32 +247,32 @@ def job_collect_derivatives(spark, d):
 _trained: dict[tuple, tuple] = {}
 
 
-def trained(spark, d, horizon=HORIZON):
-    """Metrics, manifest and final bundle, fitted once per session and table folder."""
-    key = (spark.sparkContext.applicationId, d, horizon)
-    metrics = kept(spark, f"trained-{horizon}", d, lambda: _train(spark, d, horizon, key))
-    return metrics, *_trained[key]
-
-
-def _train(spark, d, horizon, key):
-    features, rows = FEATS, samples(spark, d, horizon)
-    fitted = fold_scores(spark, d) if horizon == HORIZON else None
-    metrics, *rest = SV.train(rows, FOLDS, features, horizon, scored=fitted)
-    _trained[key] = tuple(rest)
-    return metrics
+def trained(spark, d, *horizons):
+    """Metrics, manifest and final bundle of each horizon, fitted once per session and table folder; new ones in one run."""
+    new = [h for h in horizons if not known(spark, f"trained-{h}", d)]
+    if new:
+        equity_features(spark, d)  # both horizons label these
+        rows = dict(zip(new, at_once(*[lambda h=h: samples(spark, d, h) for h in new])))
+        scored = {HORIZON: fold_scores(spark, d)} if HORIZON in new and known(spark, "fold-scores", d) else {}
+        for h, (metrics, manifest, final, tested) in SV.train_horizons(rows, FOLDS, FEATS, scored=scored).items():
+            _trained[spark.sparkContext.applicationId, d, h] = manifest, final
+            kept(spark, f"trained-{h}", d, lambda: metrics)
+            if h == HORIZON:
+                kept(spark, "fold-scores", d, lambda: tested)
+    return [(kept(spark, f"trained-{h}", d, None), *_trained[spark.sparkContext.applicationId, d, h]) for h in horizons]
 
 
 @query("job_train")
 def job_train(spark, d):
     """The manifests of both horizons."""
-    both = [trained(spark, d, h)[1] for h in schemas.HORIZONS]
+    both = [manifest for _, manifest, _ in trained(spark, d, *schemas.HORIZONS)]
     reference = F.array_sort(F.transform(F.map_entries("feature_reference"), lambda e: F.concat_ws("=", e["key"], F.round(e["value"], 6).cast("string"))))
     return both[0].unionByName(both[1]).withColumn("feature_reference", F.array_join(reference, ","))
 
 
 def _daily_equity(spark, d):
     """Every ready asset's prediction for the newest session with enough features, by the final bundle."""
-    _, manifest, final = trained(spark, d)
+    [(_, manifest, final)] = trained(spark, d, HORIZON)
     feats = newest_features(spark, d)
     cutoff = feats.agg(F.max("snapshot_time")).scalar()
     ready = G.readiness_spot(t.daily_bars(spark, d).where(F.col("open_time") <= cutoff), cutoff, t.BENCH, 252, assets=t.part_assets(spark, d).select("asset_id"))
