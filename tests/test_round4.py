@@ -105,3 +105,29 @@ def test_training_of_all_horizons_is_one_run(spark, samples, monkeypatch):
     for name, value in wanted.items():
         assert found[name] == (pytest.approx(value, abs=1e-9) if isinstance(value, float) else value), name
     assert both[30][1].first()["prior_0"] == pytest.approx(wanted["prior_2"]) and both[30][0].count() == 2
+
+
+def test_explanations_cover_every_feature_row(spark, tmp_path, monkeypatch):
+    """Sessions before the test years and those whose label is not known yet are explained as well."""
+    from tidemark.plans import serving as SV
+    from tidemark.workbench import q_jobs as J
+    from tidemark.workbench import tables as t
+    d, rng = str(tmp_path), np.random.default_rng(3)
+    types = [t.BENCH, "SMALL"]
+    spark.createDataFrame(list(enumerate(types)), "p_partkey long, p_type string").write.parquet(f"{d}/part.parquet")
+    lines = [(i * 2 + k, n, k, 1, "RN"[n % 2], float(rng.integers(1, 50)), float(100 + 10 * np.sin(i / 9) + rng.uniform(-3, 3)), datetime(1995, 1, 1) + timedelta(days=i))
+             for i in range(240) for k in range(2) for n in range(4)]
+    schema = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz"
+    spark.createDataFrame(lines, schema).write.parquet(f"{d}/lineitem.parquet")
+    value = F.get(J.M.vector_to_array("features"), F.lit(J.FEATS.index("rsi_14")))
+    medians = spark.createDataFrame([(1.0, 1.0, 0.0, 0.3, 0.4, 0.3)], "temperature double, weight double, multiplier double, q0 double, q1 double, q2 double")
+    bundle = SV.Bundle(lambda df: df.withColumns({"p0": 0.1 + 0.001 * value, "p1": 0.5 - 0.002 * value, "p2": 0.4 + 0.001 * value * value}),
+                       lambda df: df.withColumns({"lower": F.lit(-0.1), "mid": F.lit(0.0), "upper": F.lit(0.1)}), lambda df: df.withColumn("risk", F.lit(0.5)),
+                       medians.withColumns({f"r_{f}": F.lit(-7.0) for f in J.FEATS}), J.FEATS, "v")
+    monkeypatch.setattr(J, "trained", lambda *a: [(None, None, bundle)])
+    rows = J.equity_features(spark, d)
+    found = {(r["asset_id"], r["snapshot_time"]): (r["positive"], r["negative"]) for r in J.explain_perturb(spark, d).collect()}
+    wanted = {(r["asset_id"], r["snapshot_time"]) for r in rows.collect()}
+    last = max(time for _, time in wanted)
+    assert found.keys() == wanted and len(wanted) > 60 and last >= datetime(1995, 8, 28)
+    assert all("rsi_14" in p + n and "," not in p + n for p, n in found.values())

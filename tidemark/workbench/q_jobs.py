@@ -165,10 +165,9 @@ def fold_scores(spark, d):
 
 @query("explain_perturb")
 def explain_perturb(spark, d):
-    """Top factors of every labelled row once, by the final models."""
+    """Top factors of every complete feature row, by the final models."""
     [(_, _, final)] = trained(spark, d, HORIZON)
-    rows = labelled(spark, d).where(F.year("snapshot_time").isin(*YEARS))
-    out = SV.explain(final, rows, ["asset_id", "snapshot_time"], C.horizon_scale(F.col(SCALE[0]), *SCALE[1:]))
+    out = SV.explain(final, equity_features(spark, d), ["asset_id", "snapshot_time"], C.horizon_scale(F.col(SCALE[0]), *SCALE[1:]))
     return out.select("asset_id", "snapshot_time", F.array_join("positive", ",").alias("positive"), F.array_join("negative", ",").alias("negative"))
 
 
